@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, language, mixing, quality, sharding, substrings, urls
+from quern.llm import chat, decontaminate, jaccard, language, mixing, quality, sharding, substrings, urls
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
     "op2_shard": sharding.op2_shard,
     "op3_language": language.op3_language,
     "op4_urls": urls.op4_urls,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_chat": chat.op6_chat,
     "op7_mix": mixing.op7_mix,
     "op9_decontaminate": decontaminate.op9_decontaminate,
