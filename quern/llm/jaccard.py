@@ -80,15 +80,15 @@ def _scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "bits", "token", "found"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["doc_id", "hash", "n", "node", "bits", "token", "found"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         held: list[np.ndarray] = []
         docs_held = 0
 
         def frequent() -> pa.RecordBatch:
             token, found = np.unique(np.concatenate(held), return_counts=True)
             keep = found >= max(3, docs_held // FREQUENT)
-            none = [pa.nulls(int(keep.sum()), k) for k in kinds[:4]]
+            none = [pa.nulls(int(keep.sum()), k) for k in kinds[:5]]
             return pa.RecordBatch.from_arrays([*none, pa.array(token[keep].view(np.int64)), pa.array(found[keep].astype(np.int64))], names)
 
         for batch in batches:
@@ -99,7 +99,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                 bits = signatures(sets, index)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(np.diff(index)), pa.array(node_ids(sets, index)), pa.array([x.tobytes() for x in bits], pa.binary()),
+                        part.column("doc_id"), part.column("hash"), pa.array(np.diff(index)), pa.array(node_ids(sets, index)), pa.array([x.tobytes() for x in bits], pa.binary()),
                         pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int64()),
                     ],
                     names,
@@ -110,7 +110,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, bits binary, token long, found long")
+    return docs.mapInArrow(run, "doc_id long, hash long, n long, node long, bits binary, token long, found long")
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -250,17 +250,19 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and its sorted hashes, for the wanted (node, rep): read again from the text of document rep."""
-    chosen = docs.join(wanted.select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("_node", "text")
+    reps = wanted.select(F.col("rep.doc_id").alias("_id"), F.col("rep.hash").alias("_hash"), F.col("node").alias("_node"), "copies")
+    chosen = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("_node", "text", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets, index = sets_of(part.column("text"))
-                right = np.flatnonzero(node_ids(sets, index) == part.column("_node").to_numpy())
-                blobs = [sets[index[k] : index[k + 1]].tobytes() for k in right.tolist()]
-                yield pa.RecordBatch.from_arrays([part.column("_node").take(pa.array(right)), pa.array(blobs, pa.binary())], ["node", "members"])
+                blobs = [sets[lo:hi].tobytes() for lo, hi in zip(index[:-1].tolist(), index[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("_node"), pa.array(blobs, pa.binary())], ["node", "members"])
 
-    return chosen.mapInArrow(run, "node long, members binary")
+    # rows repeated as a whole would give a node twice; nodes of one document cannot be repeated
+    once = chosen.where("copies = 1").union(chosen.where("copies > 1").dropDuplicates(["_node"]))
+    return once.drop("copies").mapInArrow(run, "node long, members binary")
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -306,30 +308,18 @@ def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame
     return rows.groupBy("tile").applyInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (columns doc_id, text).
-
-    Texts are lower-cased (A-Z) and split at white space; a set is the distinct 5-word shingles, or
-    the whole sequence of a shorter text.  Two documents link when 100 * intersection >= 80 * union;
-    component_id is the smallest doc_id reachable by links.  Sets are compared by 64-bit hashes of
-    their shingles.
-
-    Equal sets are one node, so exact copies cost nothing past the first scan.  Nodes meet in tiles:
-    those whose prefixes (the first fifth in one order, frequent shingles last) share a shingle, in
-    bands of size.  Large tiles first try a few pairs for each set; once those links are
-    components, only pairs between different components are left to compare, by signatures, then
-    exactly.  So a large group of near copies is joined without all of its pairs, and no link
-    between components is missed.
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of the text), n_shingles, component_id and chosen, for every row of docs; see `linked`.
 
-    Null or empty texts have no set and link with nothing; rows of equal doc_id are separate
-    documents under one id; a null doc_id is never a component's smallest unless all are null.
+    One document of each component is chosen, that of the smallest doc_id (null last), then hash.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     scanned = stored(_scan(docs), "sets")
-    each = scanned.where("node is not null").select("doc_id", "n", "node")
-    size = each.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.count_distinct("doc_id", "node").alias("rows")).first()
+    each = scanned.where("node is not null").select("doc_id", "hash", "n", "node")
+    size = each.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("members")).first()
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
     nodes = stored(
-        scanned.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")),
+        scanned.where("n > 0").groupBy("node").agg(F.min(rank).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")),
         "nodes",
     )
     often = (
@@ -340,30 +330,58 @@ def linked(docs: DataFrame) -> DataFrame:
     buckets = max(32, min(1 << 16, size.members // (5 * BUCKET)))
     tiles = stored(_tiles(_postings(docs, frequent, buckets)), "tiles")
     pairs = stored(_bounded(tiles.where("a is not null").select("a", "b").distinct(), nodes), "pairs")
-    texts = docs if size.rows == size.docs else docs.dropDuplicates()
 
     def checked(some: DataFrame) -> DataFrame:
         ends = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
-        return stored(_verified(some, stored(_arrays(texts, nodes.join(ends, "node")), "arrays")), "links")
+        return stored(_verified(some, stored(_arrays(docs, nodes.join(ends, "node")), "arrays")), "links")
 
     links = checked(pairs)
     parts = stored(components(links), "parts")
     large = tiles.where("tile is not null").select("tile", "nodes").dropDuplicates(["tile"])
     crossing = stored(_crossing(large, parts, nodes).join(pairs, ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
-        parts = components(links.union(checked(crossing)))
+        parts = stored(components(links.union(checked(crossing))), "parts")
     own = nodes.join(parts, "node", "left")
     least = own.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = own.where("component is not null or copies > 1").join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("first"))
+    alone = F.col("first").isNull() | (F.col("n") == 0)
     return each.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("first", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "hash", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")))).alias("chosen"),
     )
 
 
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (columns doc_id, text).
+
+    Texts are lower-cased (A-Z) and split at white space; a set is the distinct 5-word shingles, or
+    the whole sequence of a shorter text.  Two documents link when 100 * intersection >= 80 * union;
+    component_id is the smallest doc_id reachable by links.  Sets are compared by 64-bit hashes of
+    their shingles.
+
+    Equal sets are one node, so exact copies cost nothing past the first scan.  Nodes meet in tiles:
+    those whose prefixes (the first fifth in one order, frequent shingles last) share a shingle, in
+    order of size.  Large tiles first try a few pairs for each set; once those links are
+    components, only pairs between different components are left to compare, by signatures, then
+    exactly.  So a large group of near copies is joined without all of its pairs, and no link
+    between components is missed.
+
+    Null or empty texts have no set and link with nothing; rows of equal doc_id are separate
+    documents under one id; a null doc_id is never a component's smallest unless all are null.
+    """
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that of the smallest doc_id; all rows of that id with its text stay one row."""
-    groups = linked(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_group")).where(F.col("_id").eqNullSafe(F.col("_group"))).distinct()
-    return docs.join(groups.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each component (see `grouped`); of rows equal in doc_id and text one stays."""
+    chosen = grouped(docs).where("chosen").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_chosen"))
+    kept = docs.withColumn("_hash", F.xxhash64("text")).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_chosen")), "left_semi"
+    )
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    if n.ids + min(n.nulls, 1) < n.rows:
+        kept = kept.dropDuplicates(["doc_id", "_hash"])
+    return kept.drop("_hash")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, decontaminate, jaccard, language, mixing, quality, sharding, substrings, urls
+from quern.llm import chat, decontaminate, jaccard, language, mixing, quality, sharding, substrings, suffixes, urls
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard": jaccard.op5_jaccard,
     "op6_chat": chat.op6_chat,
     "op7_mix": mixing.op7_mix,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
 }
