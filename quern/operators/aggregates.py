@@ -12,16 +12,21 @@ def _when(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("double")
 
 
-SOLD, RETURNED = ~F.col("is_return"), F.col("is_return")
+def sold() -> Column:
+    return ~F.col("is_return")
+
+
+def returned() -> Column:
+    return F.col("is_return")
 
 
 def measures() -> dict[str, Column]:
     """Aggregates shared by totals and trends; a KPI that has no rows is 0, never null."""
     return {
-        "gross_revenue": _when(SOLD, F.col("revenue")),
-        "returns_value": F.abs(_when(RETURNED, F.col("revenue"))),
-        "units": _when(SOLD, F.col("quantity")),
-        "orders": F.count_distinct(F.when(SOLD, F.col("invoice_id"))),
+        "gross_revenue": _when(sold(), F.col("revenue")),
+        "returns_value": F.abs(_when(returned(), F.col("revenue"))),
+        "units": _when(sold(), F.col("quantity")),
+        "orders": F.count_distinct(F.when(sold(), F.col("invoice_id"))),
         "active_customers": F.count_distinct("customer_id"),
     }
 
@@ -30,7 +35,7 @@ def totals(sales: DataFrame) -> DataFrame:
     """One row: revenue, returns, units, orders, customers, guests' revenue, lines."""
     return sales.agg(
         *[c.alias(k) for k, c in measures().items()],
-        _when(SOLD & F.col("customer_id").isNull(), F.col("revenue")).alias("guest_revenue"),
+        _when(sold() & F.col("customer_id").isNull(), F.col("revenue")).alias("guest_revenue"),
         F.count("*").alias("lines"),
     ).withColumn("net_revenue", F.col("gross_revenue") - F.col("returns_value"))
 
@@ -50,7 +55,7 @@ def breakdown(sales: DataFrame, *keys: str) -> DataFrame:
 
 
 def order_values(sales: DataFrame) -> DataFrame:
-    return sales.where(SOLD).groupBy("invoice_id").agg(F.sum("revenue").cast("double").alias("value"))
+    return sales.where(sold()).groupBy("invoice_id").agg(F.sum("revenue").cast("double").alias("value"))
 
 
 def daily_with_hour(sales: DataFrame) -> DataFrame:
@@ -61,14 +66,14 @@ def daily_with_hour(sales: DataFrame) -> DataFrame:
 
 def top_products(sales: DataFrame, n: int) -> DataFrame:
     """The n products of the largest gross revenue, ties by code."""
-    return sales.where(SOLD).groupBy("product_code").agg(F.sum("revenue").alias("r")).orderBy(F.desc("r"), "product_code").limit(n).select("product_code")
+    return sales.where(sold()).groupBy("product_code").agg(F.sum("revenue").alias("r")).orderBy(F.desc("r"), "product_code").limit(n).select("product_code")
 
 
 def product_periods(sales: DataFrame, granularity: str = "week", top: int | None = None) -> DataFrame:
     """Product by period; the average price counts return lines too."""
     chosen = sales if top is None else sales.join(top_products(sales, top), "product_code", "left_semi")
     return chosen.groupBy("product_code", bucket("occurred_at", granularity).alias("period")).agg(
-        _when(SOLD, F.col("quantity")).alias("units"), _when(SOLD, F.col("revenue")).alias("gross_revenue"),
+        _when(sold(), F.col("quantity")).alias("units"), _when(sold(), F.col("revenue")).alias("gross_revenue"),
         F.avg(F.col("unit_price").cast("double")).alias("avg_unit_price"),
         F.count_distinct("customer_id").alias("customers"), F.count_distinct("region").alias("regions"),
     )
@@ -80,7 +85,7 @@ def group_values(sales: DataFrame, group: str, value: str = "order_value") -> Da
         "region": F.col("region"), "quarter": F.concat(F.lit("Q"), F.quarter("occurred_at")),
         "customer_type": F.when(F.col("customer_id").isNull(), "guest").otherwise("identified"),
     }[group]
-    rows = sales.where(SOLD).select(label.alias("label"), "invoice_id", F.col("revenue").alias("value")).where("label is not null")
+    rows = sales.where(sold()).select(label.alias("label"), "invoice_id", F.col("revenue").alias("value")).where("label is not null")
     if value == "line":
         return rows.select("label", F.col("value").cast("double").alias("value"))
     return rows.groupBy("label", "invoice_id").agg(F.sum("value").cast("double").alias("value")).select("label", "value")
@@ -88,7 +93,7 @@ def group_values(sales: DataFrame, group: str, value: str = "order_value") -> Da
 
 def filter_options(sales: DataFrame) -> DataFrame:
     """(kind, value, weight): date bounds and lines, regions by revenue, top 100 products, categories."""
-    revenue = F.coalesce(F.sum(F.when(SOLD, F.col("revenue"))), F.lit(0)).cast("double")
+    revenue = F.coalesce(F.sum(F.when(sold(), F.col("revenue"))), F.lit(0)).cast("double")
     none = F.lit(None).cast("double")
     span = sales.agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"), F.count("*").alias("n"))
     bounds = span.select(F.explode(F.array(
@@ -107,21 +112,21 @@ def customers(sales: DataFrame) -> DataFrame:
     """One row for each identified customer: first, last, orders, revenue, returns, units, lines."""
     return sales.where("customer_id is not null").groupBy(F.col("customer_id").alias("customer")).agg(
         F.min("occurred_at").alias("first_purchase"), F.max("occurred_at").alias("last_purchase"),
-        F.count_distinct(F.when(SOLD, F.col("invoice_id"))).alias("frequency"),
-        _when(SOLD, F.col("revenue")).alias("monetary_gross"), F.abs(_when(RETURNED, F.col("revenue"))).alias("returns_value"),
-        _when(SOLD, F.col("quantity")).alias("units"), F.count("*").alias("lines"),
+        F.count_distinct(F.when(sold(), F.col("invoice_id"))).alias("frequency"),
+        _when(sold(), F.col("revenue")).alias("monetary_gross"), F.abs(_when(returned(), F.col("revenue"))).alias("returns_value"),
+        _when(sold(), F.col("quantity")).alias("units"), F.count("*").alias("lines"),
     )
 
 
 def guests(sales: DataFrame) -> DataFrame:
-    return sales.where("customer_id is null").agg(_when(SOLD, F.col("revenue")).alias("gross_revenue"), F.count("*").alias("lines"))
+    return sales.where("customer_id is null").agg(_when(sold(), F.col("revenue")).alias("gross_revenue"), F.count("*").alias("lines"))
 
 
 def basket_sizes(sales: DataFrame) -> DataFrame:
-    return sales.where(SOLD).groupBy("invoice_id").agg(
+    return sales.where(sold()).groupBy("invoice_id").agg(
         F.count_distinct("product_code").alias("products"), F.sum("quantity").cast("double").alias("units"), F.sum("revenue").cast("double").alias("revenue"))
 
 
 def basket_lines(sales: DataFrame, include_returns: bool = False) -> DataFrame:
     rows = sales.where("invoice_id is not null and product_code is not null")
-    return rows if include_returns else rows.where(SOLD)
+    return rows if include_returns else rows.where(sold())

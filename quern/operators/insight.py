@@ -33,16 +33,16 @@ def association_reliability(survival: Column, correlation: Column) -> Column:
     return F.coalesce(0.75 * _clamp(survival) + 0.25 * _clamp(F.coalesce(correlation, F.lit(0.0))), F.lit(0.0))
 
 
-def signal(source: str, scope: str, key: Column, direction: Column, magnitude: Column, reliability: Column, evidence: Mapping[str, Column]) -> list[Column]:
+def signal(source: str, scope: str, key: Column, direction: Column, magnitude: Column, reliability: float, evidence: Mapping[str, Column]) -> list[Column]:
     """The columns of a signal; evidence is a map of figures as text."""
     pairs = [x for k, c in evidence.items() for x in (F.lit(k), c.cast("string"))]
     return [
         F.lit(source).alias("source"), F.lit(scope).alias("scope"), key.cast("string").alias("key"), direction.alias("direction"),
-        magnitude.cast("double").alias("magnitude"), reliability.cast("double").alias("reliability"), F.create_map(*pairs).alias("evidence"),
+        magnitude.cast("double").alias("magnitude"), F.lit(reliability).cast("double").alias("reliability"), F.create_map(*pairs).alias("evidence"),
     ]
 
 
-def from_forecast(forecasts: DataFrame, reliability: Column = F.lit(1.0)) -> DataFrame:
+def from_forecast(forecasts: DataFrame, reliability: float = 1.0) -> DataFrame:
     """By series: forecast over actual of the same periods; within 2 % is flat."""
     sums = forecasts.groupBy("series_id").agg(F.sum("actual").alias("a"), F.sum("forecast").alias("f"))
     change = F.try_divide(F.col("f") - F.col("a"), F.abs("a"))
@@ -50,14 +50,14 @@ def from_forecast(forecasts: DataFrame, reliability: Column = F.lit(1.0)) -> Dat
     return sums.where("a <> 0").select(*signal("forecast", "product", F.col("series_id"), way, change, reliability, {"actual": F.round("a", 2), "forecast": F.round("f", 2)}))
 
 
-def from_segments(profiles: DataFrame, reliability: Column = F.lit(1.0)) -> DataFrame:
+def from_segments(profiles: DataFrame, reliability: float = 1.0) -> DataFrame:
     """By segment: share of money over share of customers."""
     over = F.try_divide(F.col("money_share"), F.col("customer_share"))
     way = F.when(over >= 1.5, "concentrated").when(over <= 0.5, "thin").otherwise("even")
     return profiles.select(*signal("segmentation", "segment", F.col("name"), way, over, reliability, {"customers": F.col("customers")}))
 
 
-def from_rules(rules: DataFrame, limit: int = 25, least: float = 0.5, reliability: Column = F.lit(1.0)) -> DataFrame:
+def from_rules(rules: DataFrame, limit: int = 25, least: float = 0.5, reliability: float = 1.0) -> DataFrame:
     """By item: the strongest of the best rules that hold it."""
     best = rules.where(F.col("normalised_lift") >= least).orderBy(F.desc("normalised_lift"), "antecedent", "consequent").limit(limit)
     return best.select(*signal("association", "product", F.col("consequent"), F.lit("paired"), F.col("normalised_lift"), reliability, {"with": F.array_join("antecedent", ", "), "lift": F.round("lift", 4)})).withColumn(

@@ -104,13 +104,13 @@ def benjamini_hochberg(frame: DataFrame, p: str = "p_value", name: str = "q_valu
     return ordered.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rn")).over(down))).drop("_rn", "_m")
 
 
-@F.pandas_udf("double")
-def fisher(both: pd.Series, left: pd.Series, right: pd.Series, n: pd.Series) -> pd.Series:
+def fisher_p(both: pd.Series, left: pd.Series, right: pd.Series, n: pd.Series) -> pd.Series:
     """One-sided exact test of each rule's counts."""
     return pd.Series([special.fisher_greater(int(b), int(x), int(y), int(t)) for b, x, y, t in zip(both, left, right, n, strict=True)])
 
 
 def tested(rules: DataFrame, alpha: float = 0.05) -> DataFrame:
+    fisher = F.pandas_udf(fisher_p, "double")
     rows = rules.withColumn("p_value", fisher("both", "n_antecedent", "n_consequent", "baskets"))
     return benjamini_hochberg(rows).withColumn("is_association", F.col("q_value") <= alpha)
 

@@ -90,8 +90,8 @@ def _signals(spark, sf_dir):
     mined = rules.generate(rules.itemsets(_baskets(spark, sf_dir), 0.01, 2), 0.05, 1.0)
     summary = rfm.segment_summary(rfm.scored(aggregates.customers(sales(spark, sf_dir, "invoice_id", "occurred_at", "customer_id", "quantity", "revenue", "is_return"))))
     parts = (
-        insight.from_forecast(held, F.lit(0.5)), insight.from_rules(mined, least=0.0, reliability=F.lit(0.6)),
-        insight.from_segments(summary.withColumnRenamed("segment", "name"), F.lit(0.4)),
+        insight.from_forecast(held, 0.5), insight.from_rules(mined, least=0.0, reliability=0.6),
+        insight.from_segments(summary.withColumnRenamed("segment", "name"), 0.4),
     )
     return stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "signals")
 
