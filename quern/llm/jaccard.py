@@ -15,8 +15,10 @@ from quern.llm.graph import components
 WIDTH = 5
 #: Documents link at SHARED of TOTAL: five times the intersection is at least four times the union.
 SHARED, TOTAL = 4, 5
-#: Bits of a signature.
-BITS = 1024
+#: Bits of a signature: the next power of two from the set's size on, within these.
+FEWEST_BITS, MOST_BITS = 256, 1 << 17
+#: Representatives are broadcast up to so many (some 10 MB); beyond it their join shuffles.
+BROADCAST_NODES = 200_000
 #: A shingle in one of so many documents, or more, comes last in the order of shingles.
 FREQUENT = 1024
 #: Tiles of up to so many sets give all their pairs of fitting size at once.
@@ -51,15 +53,28 @@ def node_ids(sets: np.ndarray, index: np.ndarray) -> np.ndarray:
     return mix(_per_set(mix(sets ^ np.uint64(0x5BD1E9955BD1E995)), index) + np.diff(index).astype(np.uint64)).view(np.int64)
 
 
-def signatures(sets: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Parity bitmaps: bit k is the parity of the set's hashes that fall on k; (sets, BITS / 8) bytes.
+def signatures(sets: np.ndarray, index: np.ndarray) -> list[bytes]:
+    """Parity bitmaps: bit k is the parity of the set's hashes that fall on k.
 
-    Hashes in both sets cancel, so two bitmaps differ in at most as many bits as the sets in members.
+    Hashes in both sets cancel, so two bitmaps differ in at most as many bits as the sets in
+    members.  A bitmap's halves, combined, are the bitmap of half the bits.
     """
-    n = len(index) - 1
-    owner = np.repeat(np.arange(n), np.diff(index))
-    counts = np.bincount(owner * BITS + (sets >> np.uint64(54)).astype(np.int64), minlength=n * BITS)
-    return np.packbits((counts & 1).astype(np.uint8).reshape(n, BITS), axis=1)
+    sizes = np.diff(index)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), FEWEST_BITS, MOST_BITS)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = base[owner] + (sets & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)).tobytes()
+    edges = (base // 8).tolist()
+    return [packed[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap in `size` bytes, as words."""
+    words = np.frombuffer(bits, np.uint64)
+    while 8 * len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
 def prefix_sizes(n: np.ndarray) -> np.ndarray:
@@ -96,10 +111,9 @@ def _scan(docs: DataFrame) -> DataFrame:
                 sets, index = sets_of(part.column("text"))
                 held.append(sets)
                 docs_held += part.num_rows
-                bits = signatures(sets, index)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("hash"), pa.array(np.diff(index)), pa.array(node_ids(sets, index)), pa.array([x.tobytes() for x in bits], pa.binary()),
+                        part.column("doc_id"), part.column("hash"), pa.array(np.diff(index)), pa.array(node_ids(sets, index)), pa.array(signatures(sets, index), pa.binary()),
                         pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int64()),
                     ],
                     names,
@@ -240,8 +254,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n_a), -1) for c in ("bits_a", "bits_b"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            both = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)
+            differ = np.array([np.bitwise_count(folded(x, min(len(x), len(y))) ^ folded(y, min(len(x), len(y)))).sum(dtype=np.int64) for x, y in both])
             ok = fits(n_a, n_b) & ((SHARED + TOTAL) * differ <= (TOTAL - SHARED) * (n_a + n_b))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
@@ -251,6 +265,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and its sorted hashes, for the wanted (node, rep): read again from the text of document rep."""
     reps = wanted.select(F.col("rep.doc_id").alias("_id"), F.col("rep.hash").alias("_hash"), F.col("node").alias("_node"), "copies")
+    if wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        reps = F.broadcast(reps)
     chosen = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("_node", "text", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,13 +308,18 @@ def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("n").to_numpy(), kind="stable")
         n, node, part = (group.column(c).to_numpy()[order] for c in ("n", "node", "part"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)[order]
+        bits = group.column("bits").take(pa.array(order)).to_pylist()
+        width = np.array([len(x) for x in bits])  # grows with n, at most twofold between sizes that fit
         reach = np.searchsorted(SHARED * n, TOTAL * n, "right")
         left, right = [], []
+        level, rows_of, lo = 0, np.zeros((0, 0), np.uint64), 0
         for i in range(len(n) - 1):
+            if width[i] != level:
+                level, lo = int(width[i]), i
+                rows_of = np.stack([folded(x, level) for x in bits[i : int(np.searchsorted(width, 2 * level, "right"))]])
             j = np.arange(i + 1, reach[i])
             j = j[part[j] != part[i]]
-            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            differ = np.bitwise_count(rows_of[j - lo] ^ rows_of[i - lo]).sum(axis=1, dtype=np.int64)
             j = j[(SHARED + TOTAL) * differ <= (TOTAL - SHARED) * (n[i] + n[j])]
             left.append(np.full(len(j), node[i]))
             right.append(node[j])
