@@ -15,8 +15,10 @@ from quern.llm.graph import components
 WIDTH = 5
 #: Documents link at SHARED of TOTAL: five times the intersection is at least four times the union.
 SHARED, TOTAL = 4, 5
-#: Bits of a signature: the next power of two from the set's size on, within these.
-FEWEST_BITS, MOST_BITS = 256, 1 << 17
+#: Bits of a signature: the next power of two from so many times the set's size on, within these.
+BITS_EACH, FEWEST_BITS, MOST_BITS = 4, 512, 1 << 19
+#: Nearest sets, by signature, that each set of a large tile tries before all the rest.
+NEAREST = 2
 #: Representatives are broadcast up to so many (some 10 MB); beyond it their join shuffles.
 BROADCAST_NODES = 200_000
 #: A shingle in one of so many documents, or more, comes last in the order of shingles.
@@ -60,7 +62,7 @@ def signatures(sets: np.ndarray, index: np.ndarray) -> list[bytes]:
     members.  A bitmap's halves, combined, are the bitmap of half the bits.
     """
     sizes = np.diff(index)
-    bits = np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), FEWEST_BITS, MOST_BITS)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(sizes * BITS_EACH, 1))).astype(np.int64), FEWEST_BITS, MOST_BITS)
     base = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = base[owner] + (sets & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -299,8 +301,11 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of a tile that no chain of links joins yet and whose sizes and signatures allow a link."""
+def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame, nearest: int | None = None) -> DataFrame:
+    """Pairs of a tile that no chain of links joins yet and whose sizes and signatures allow a link.
+
+    All of them, or for each set only those with its `nearest` larger sets by signature.
+    """
     members = tiles.select("tile", F.explode("nodes").alias("node")).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     split = members.groupBy("tile").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("tile")
     rows = members.join(split, "tile").join(nodes.select("node", "n", "bits"), "node").select("tile", "node", "part", "n", "bits")
@@ -320,7 +325,10 @@ def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame
             j = np.arange(i + 1, reach[i])
             j = j[part[j] != part[i]]
             differ = np.bitwise_count(rows_of[j - lo] ^ rows_of[i - lo]).sum(axis=1, dtype=np.int64)
-            j = j[(SHARED + TOTAL) * differ <= (TOTAL - SHARED) * (n[i] + n[j])]
+            able = (SHARED + TOTAL) * differ <= (TOTAL - SHARED) * (n[i] + n[j])
+            j, differ = j[able], differ[able]
+            if nearest and len(j) > nearest:
+                j = j[np.argsort(differ, kind="stable")[:nearest]]
             left.append(np.full(len(j), node[i]))
             right.append(node[j])
         a, b = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
@@ -359,9 +367,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     links = checked(pairs)
     parts = stored(components(links), "parts")
     large = tiles.where("tile is not null").select("tile", "nodes").dropDuplicates(["tile"])
-    crossing = stored(_crossing(large, parts, nodes).join(pairs, ["a", "b"], "left_anti"), "crossing")
-    if not crossing.isEmpty():
-        parts = stored(components(links.union(checked(crossing))), "parts")
+    for nearest in (NEAREST, None):  # first the likely links of large groups, then every pair that is left
+        crossing = stored(_crossing(large, parts, nodes, nearest).join(pairs, ["a", "b"], "left_anti"), "crossing")
+        if not crossing.isEmpty():
+            links, pairs = stored(links.union(checked(crossing)), "links"), pairs.union(crossing)
+            parts = stored(components(links), "parts")
     own = nodes.join(parts, "node", "left")
     least = own.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     named = own.where("component is not null or copies > 1").join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("first"))
