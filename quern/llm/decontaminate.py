@@ -278,3 +278,24 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         items_digest(F.col("item_ids")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+OP9_SQL = r"""WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+windows AS (
+  SELECT DISTINCT id, least(len(w), 10) AS size, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM split WHERE kind = 'i' AND len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+found AS (
+  SELECT d.id, d.k, d.size, x.id AS item
+  FROM (SELECT id, size, k, array_to_string(w[k : k + size - 1], ' ') AS win
+        FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM split, sizes WHERE kind = 'd' AND len(w) >= size)) d
+  JOIN windows x ON x.size = d.size AND x.win = d.win),
+hit AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(k, k + size)) AS p FROM found) GROUP BY id),
+named AS (SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM found) GROUP BY id)
+SELECT s.id AS doc_id, len(s.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM split s LEFT JOIN hit h ON h.id = s.id LEFT JOIN named m ON m.id = s.id WHERE s.kind = 'd'
+"""

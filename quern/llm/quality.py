@@ -162,3 +162,37 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "cleaned")
+
+
+def _sql() -> str:
+    phrases = "|".join(re.escape(x) for x in BOILERPLATE).replace("\\ ", " ")
+    separators = f"[{SEPARATORS}]"
+    endings = ENDINGS.replace("'", "''")
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+split AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM docs),
+windows AS (
+  SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS times
+  FROM (SELECT doc_id, k, array_to_string(w[k : k + {WINDOW - 1}], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS k FROM split WHERE len(w) >= {WINDOW}))),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + {WINDOW})) AS p FROM windows WHERE times > 1) GROUP BY 1),
+lines AS (SELECT doc_id, l, regexp_extract_all(l, '{word}') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs)),
+worded AS (
+  SELECT doc_id, l, len(w) AS n, length(array_to_string(w, '')) AS chars, w[len(w)] AS last, length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) AS symbols FROM lines WHERE len(w) > 0),
+judged AS (
+  SELECT *, (n < {FRAGMENT_WORDS} AND NOT (contains('{endings}', right(last, 1)) OR unicode(right(last, 1)) >= 128)) OR 100 * symbols > {LINE_SYMBOLS} * chars
+         OR (n <= {SHORT_LINE} AND (regexp_matches(l, '(?i){phrases}') OR len(regexp_extract_all(l, '{separators}')) >= 2)) AS bad FROM worded),
+by_line AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS dups, count(*) FILTER (bad) AS n_bad, coalesce(sum(chars) FILTER (bad), 0) AS lost, sum(chars) AS chars FROM judged GROUP BY 1),
+counted AS (
+  SELECT s.doc_id, len(s.w) AS n_words, coalesce(b.chars, 0) AS word_chars, length(regexp_replace(s.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(b.dups, 0) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words, coalesce(b.n_bad, 0) AS n_bad_lines, coalesce(b.lost, 0) AS lost_chars
+  FROM split s LEFT JOIN by_line b ON b.doc_id = s.doc_id LEFT JOIN repeated r ON r.doc_id = s.doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       n_bad_lines::BIGINT AS n_bad_lines, lost_chars::BIGINT AS lost_chars, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND 100 * lost_chars <= {MAX_LOST} * word_chars AS kept
+FROM counted
+"""
+
+
+OP10_SQL = _sql()

@@ -21,4 +21,6 @@ ORACLE_SQL = {
     "op4_urls": urls.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
     "op7_mix": mixing.OP7_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
+    "op10_quality": quality.OP10_SQL,
 }
