@@ -21,8 +21,10 @@ BITS_EACH, FEWEST_BITS, MOST_BITS = 4, 512, 1 << 19
 NEAREST = 2
 #: Representatives are broadcast up to so many (some 10 MB); beyond it their join shuffles.
 BROADCAST_NODES = 200_000
-#: A shingle in one of so many documents, or more, comes last in the order of shingles.
-FREQUENT = 1024
+#: Shingles seen in so many documents, or more, come last in the order of shingles: so many of them at the most.
+FREQUENT, MOST_FREQUENT = 24, 1 << 20
+#: Documents in a run whose own frequent shingles are reported.
+RUN = 8_192
 #: Tiles of up to so many sets give all their pairs of fitting size at once.
 SMALL_TILE = 6
 #: Postings to a bucket.
@@ -90,11 +92,7 @@ def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One row for each document (node, size, signature) and rows for shingles that are frequent in some run of documents.
-
-    A shingle in at least one of FREQUENT documents overall reaches that share in some run of
-    documents, so all of those are reported.
-    """
+    """One row for each document (node, size, signature) and rows for shingles that a run of documents has twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "hash", "n", "node", "bits", "token", "found"]
@@ -104,7 +102,7 @@ def _scan(docs: DataFrame) -> DataFrame:
 
         def frequent() -> pa.RecordBatch:
             token, found = np.unique(np.concatenate(held), return_counts=True)
-            keep = found >= max(3, docs_held // FREQUENT)
+            keep = found >= 2
             none = [pa.nulls(int(keep.sum()), k) for k in kinds[:5]]
             return pa.RecordBatch.from_arrays([*none, pa.array(token[keep].view(np.int64)), pa.array(found[keep].astype(np.int64))], names)
 
@@ -120,7 +118,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                     ],
                     names,
                 )
-                if docs_held >= 8 * FREQUENT or sum(map(len, held)) > 4_000_000:
+                if docs_held >= RUN or sum(map(len, held)) > 4_000_000:
                     yield frequent()
                     held, docs_held = [], 0
         if held:
@@ -129,12 +127,19 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hash long, n long, node long, bits binary, token long, found long")
 
 
+def _frequent(scanned: DataFrame) -> np.ndarray:
+    """The shingles that come last, sorted.  They only set the order of shingles: any order finds all links."""
+    often = scanned.where("token is not null").groupBy("token").agg(F.sum("found").alias("found")).where(F.col("found") >= FREQUENT)
+    kept = often.orderBy(F.desc("found"), "token").limit(MOST_FREQUENT).select("token").collect()
+    return np.sort(np.array([r.token for r in kept], np.int64).view(np.uint64))
+
+
 def _postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """Prefix members of each set as packed arrays of (key, node, size), by bucket of the key.
 
     The order of members is: frequent ones last, then by hash.  Sets met before in a task are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most 1 << 20 numbers
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
@@ -345,19 +350,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     scanned = stored(_scan(docs), "sets")
     each = scanned.where("node is not null").select("doc_id", "hash", "n", "node")
-    size = each.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("members")).first()
+    size = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members")).first()
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
     nodes = stored(
         scanned.where("n > 0").groupBy("node").agg(F.min(rank).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")),
         "nodes",
     )
-    often = (
-        scanned.where("token is not null").groupBy("token").agg(F.sum("found").alias("found")).where(F.col("found") >= max(16, size.docs // FREQUENT))
-        .orderBy(F.desc("found"), "token").limit(1 << 20).select("token")  # an order of shingles only: nothing is left out
-    )
-    frequent = np.sort(np.array([r.token for r in often.collect()], np.int64).view(np.uint64))
     buckets = max(32, min(1 << 16, size.members // (5 * BUCKET)))
-    tiles = stored(_tiles(_postings(docs, frequent, buckets)), "tiles")
+    tiles = stored(_tiles(_postings(docs, _frequent(scanned), buckets)), "tiles")
     pairs = stored(_bounded(tiles.where("a is not null").select("a", "b").distinct(), nodes), "pairs")
 
     def checked(some: DataFrame) -> DataFrame:
