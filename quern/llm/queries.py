@@ -21,6 +21,7 @@ ORACLE_SQL = {
     "op4_urls": urls.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
     "op7_mix": mixing.OP7_SQL,
+    "op8_suffixes": suffixes.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_quality": quality.OP10_SQL,
 }

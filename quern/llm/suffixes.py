@@ -301,3 +301,20 @@ def cut(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, together: i
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP8_SQL = r"""WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, k, md5(substr(h, 2 * k + 1, 800)) AS d FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS k FROM hexed WHERE length(h) >= 800)),
+twice AS (SELECT d FROM strings GROUP BY d HAVING count(*) > 1),
+starts AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 400 THEN 0 ELSE 1 END AS new FROM strings WHERE d IN (SELECT d FROM twice)),
+spans AS (SELECT doc_id, min(k) AS lo, max(k) + 400 AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM starts) GROUP BY doc_id, g),
+gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM spans
+  UNION ALL SELECT doc_id, max(hi), NULL FROM spans GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, NULL FROM hexed WHERE doc_id NOT IN (SELECT doc_id FROM spans)),
+kept AS (
+  SELECT g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS rest FROM gaps g JOIN hexed x ON x.doc_id = g.doc_id GROUP BY 1),
+sums AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS c FROM spans GROUP BY 1)
+SELECT h.doc_id, (length(h.h) // 2)::BIGINT AS n_bytes, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(s.c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.rest, ''))) AS kept_sha256
+FROM hexed h JOIN kept k ON k.doc_id = h.doc_id LEFT JOIN sums s ON s.doc_id = h.doc_id
+"""
