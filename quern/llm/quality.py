@@ -33,8 +33,9 @@ WINDOW = 8
 FRAGMENT_WORDS = 4
 #: A line with more symbols per hundred characters of its words fails.
 LINE_SYMBOLS = 20
-#: Boilerplate and navigation lines have at most so many words.
-SHORT_LINE = 20
+#: Boilerplate and navigation lines have at most so many words; a longer line is navigation if so many words
+#: have a separator among them.
+SHORT_LINE, WORDS_PER_SEPARATOR = 20, 5
 #: Percentage of the characters in words that a document may lose with its lines.
 MAX_LOST = 50
 
@@ -111,9 +112,10 @@ def _measure(texts: pa.Array) -> dict[str, list | np.ndarray]:
     bad = worded & ((l_words < FRAGMENT_WORDS) & ~_ENDING[last] | (100 * l_symbols > LINE_SYMBOLS * l_chars))
     suspect = pc.fill_null(pc.match_substring_regex(texts, _SUSPECT, ignore_case=True), False).to_numpy(zero_copy_only=False)
     raw = data.tobytes()
-    for k in np.flatnonzero(suspect[l_doc] & worded & ~bad & (l_words <= SHORT_LINE)):
+    for k in np.flatnonzero(suspect[l_doc] & worded & ~bad):
         line = raw[l_starts[k] : l_ends[k]].decode("utf-8", "replace")
-        bad[k] = bool(_PHRASE.search(line)) or len(_SEPARATED.findall(line)) >= 2
+        short, parts = l_words[k] <= SHORT_LINE, len(_SEPARATED.findall(line))
+        bad[k] = (short and bool(_PHRASE.search(line))) or (parts >= 2 and (short or parts * WORDS_PER_SEPARATOR >= l_words[k]))
     lost = np.bincount(l_doc[bad], weights=l_chars[bad], minlength=n).astype(np.int64)
     n_bad = np.bincount(l_doc[bad], minlength=n)
 
@@ -140,7 +142,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     Counts are over the whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
     (see STATS).  A line fails that has few words and no closing punctuation, many symbols, a
-    boilerplate phrase, or two navigation separators; a document is kept if it passes the base
+    boilerplate phrase (short lines), or navigation separators (two in a short line, many in a long one); a document is kept if it passes the base
     rules and its failed lines hold at most half of its characters in words.  `cleaned` is the
     text without failed lines where a kept document has some, else null.
 
@@ -181,7 +183,8 @@ worded AS (
   SELECT doc_id, l, len(w) AS n, length(array_to_string(w, '')) AS chars, w[len(w)] AS last, length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) AS symbols FROM lines WHERE len(w) > 0),
 judged AS (
   SELECT *, (n < {FRAGMENT_WORDS} AND NOT (contains('{endings}', right(last, 1)) OR unicode(right(last, 1)) >= 128)) OR 100 * symbols > {LINE_SYMBOLS} * chars
-         OR (n <= {SHORT_LINE} AND (regexp_matches(l, '(?i){phrases}') OR len(regexp_extract_all(l, '{separators}')) >= 2)) AS bad FROM worded),
+         OR (n <= {SHORT_LINE} AND regexp_matches(l, '(?i){phrases}')) OR (parts >= 2 AND (n <= {SHORT_LINE} OR parts * {WORDS_PER_SEPARATOR} >= n)) AS bad
+  FROM (SELECT *, len(regexp_extract_all(l, '{separators}')) AS parts FROM worded)),
 by_line AS (
   SELECT doc_id, count(*) - count(DISTINCT l) AS dups, count(*) FILTER (bad) AS n_bad, coalesce(sum(chars) FILTER (bad), 0) AS lost, sum(chars) AS chars FROM judged GROUP BY 1),
 counted AS (
