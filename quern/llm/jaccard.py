@@ -17,6 +17,8 @@ WIDTH = 5
 SHARED, TOTAL = 4, 5
 #: Bits of a signature: the next power of two from so many times the set's size on, within these.
 BITS_EACH, FEWEST_BITS, MOST_BITS = 4, 512, 1 << 19
+#: Bytes of the coarse signature, which most pairs do not pass: the signature folded.
+COARSE = FEWEST_BITS // 8
 #: Nearest sets, by signature, that each set of a large tile tries before all the rest.
 NEAREST = 2
 #: Representatives are broadcast up to so many (some 10 MB); beyond it their join shuffles.
@@ -95,15 +97,15 @@ def _scan(docs: DataFrame) -> DataFrame:
     """One row for each document (node, size, signature) and rows for shingles that a run of documents has twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "hash", "n", "node", "bits", "token", "found"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        names = ["doc_id", "hash", "n", "node", "bits", "coarse", "token", "found"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         held: list[np.ndarray] = []
         docs_held = 0
 
         def frequent() -> pa.RecordBatch:
             token, found = np.unique(np.concatenate(held), return_counts=True)
             keep = found >= 2
-            none = [pa.nulls(int(keep.sum()), k) for k in kinds[:5]]
+            none = [pa.nulls(int(keep.sum()), k) for k in kinds[:6]]
             return pa.RecordBatch.from_arrays([*none, pa.array(token[keep].view(np.int64)), pa.array(found[keep].astype(np.int64))], names)
 
         for batch in batches:
@@ -111,9 +113,11 @@ def _scan(docs: DataFrame) -> DataFrame:
                 sets, index = sets_of(part.column("text"))
                 held.append(sets)
                 docs_held += part.num_rows
+                bits = signatures(sets, index)
+                coarse = [folded(x, COARSE).tobytes() for x in bits]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("hash"), pa.array(np.diff(index)), pa.array(node_ids(sets, index)), pa.array(signatures(sets, index), pa.binary()),
+                        part.column("doc_id"), part.column("hash"), pa.array(np.diff(index)), pa.array(node_ids(sets, index)), pa.array(bits, pa.binary()), pa.array(coarse, pa.binary()),
                         pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.int64()),
                     ],
                     names,
@@ -124,7 +128,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, hash long, n long, node long, bits binary, token long, found long")
+    return docs.mapInArrow(run, "doc_id long, hash long, n long, node long, bits binary, coarse binary, token long, found long")
 
 
 def _frequent(scanned: DataFrame) -> np.ndarray:
@@ -251,10 +255,10 @@ def _tiles(postings: DataFrame) -> DataFrame:
     return postings.groupBy("bucket").applyInArrow(run, "a long, b long, tile long, nodes array<long>")
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and bit counts allow a link: nine times the differing bits is at most the sum of sizes."""
-    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+def _bounded(pairs: DataFrame, nodes: DataFrame, bits: str) -> DataFrame:
+    """Pairs whose sizes and bit counts (of the named column) allow a link: nine times the differing bits is at most the sum of sizes."""
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(bits).alias("bits_a"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(bits).alias("bits_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,12 +357,13 @@ def grouped(docs: DataFrame) -> DataFrame:
     size = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("members")).first()
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
     nodes = stored(
-        scanned.where("n > 0").groupBy("node").agg(F.min(rank).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")),
+        scanned.where("n > 0").groupBy("node").agg(F.min(rank).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("coarse").alias("coarse"), F.count("*").alias("copies")),
         "nodes",
     )
     buckets = max(32, min(1 << 16, size.members // (5 * BUCKET)))
     tiles = stored(_tiles(_postings(docs, _frequent(scanned), buckets)), "tiles")
-    pairs = stored(_bounded(tiles.where("a is not null").select("a", "b").distinct(), nodes), "pairs")
+    likely = _bounded(tiles.where("a is not null").select("a", "b").distinct(), nodes, "coarse")
+    pairs = stored(_bounded(stored(likely, "likely"), nodes, "bits"), "pairs")
 
     def checked(some: DataFrame) -> DataFrame:
         ends = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
