@@ -122,7 +122,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                     ],
                     names,
                 )
-                if docs_held >= RUN or sum(map(len, held)) > 4_000_000:
+                if docs_held >= RUN or sum(map(len, held)) > 2_000_000:
                     yield frequent()
                     held, docs_held = [], 0
         if held:
@@ -149,7 +149,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
         last = shared.value
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, limit=8 << 20):
+            for part in slices(batch):
                 sets, index = sets_of(part.column("text"))
                 nodes, sizes = node_ids(sets, index), np.diff(index)
                 new = np.zeros(len(nodes), bool)
