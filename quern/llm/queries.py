@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_urls": urls.OP4_SQL,
+    "op5_jaccard": jaccard.OP5_SQL,
     "op6_chat": chat.OP6_SQL,
     "op7_mix": mixing.OP7_SQL,
     "op8_suffixes": suffixes.OP8_SQL,
