@@ -6,16 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, layout, mix, slices, table, word_hashes, words
+from quern.llm.common import LOWER, layout, mix, slices, stored, table, word_hashes, words
 from quern.llm.decontaminate import WORD
 
 #: A unit ends with the sentence or line that brings it to so many words; a line's rest of fewer words
 #: is a unit too, but is never removed.
 MIN_WORDS = 6
 
+#: Texts are also cut by content, wherever lines and sentences end: a piece starts at the least of any WINDOW
+#: word pairs in a row, so two copies of a passage are cut alike but for WINDOW words at each end.  Neighbouring
+#: pieces seen before are removed where they run to RUN_WORDS; a passage of 2 * WINDOW + RUN_WORDS words does.
+WINDOW = 13
+RUN_WORDS = 24
+
+#: A bit map of the digests found twice, 8 bits a digest between these bounds, sorts out most rows that were found once.
+MAP_BITS = (1 << 19, 1 << 28)
+BLOCK_BITS = 1 << 15
+
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _BLANK = np.zeros(256, dtype=bool)
@@ -69,29 +80,187 @@ def units(texts: pa.Array, least: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
     return doc, lo - offsets[doc], hi - offsets[doc], size, one, two
 
 
-def _unit_rows(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each unit of at least `least` words; again: an earlier unit of the document has the same digests."""
+def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each code point of a script without spaces (Thai to Tibetan, Burmese, Khmer, kana, Han)."""
+    lead = np.flatnonzero((data >= 0xE0) & (data <= 0xF0))
+    if not len(lead):
+        return lead, lead
+    a, b = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+    four = (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    three = (a >= 0xE3) & (a <= 0xE9)
+    for byte, lo, hi in ((0xE0, 0xB8, 0xBF), (0xE1, 0x80, 0x82), (0xE1, 0x9E, 0x9F), (0xE2, 0xBA, 0xBF), (0xEA, 0x80, 0x93), (0xEF, 0xA4, 0xAB), (0xEF, 0xBC, 0xBE)):
+        three |= (a == byte) & (b >= lo) & (b <= hi)
+    chosen = three | four
+    return lead[chosen], (lead + 3 + four)[chosen]
+
+
+def tokens(lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words`, but each code point of a script without spaces is a word."""
+    starts, ends, firsts = words(lower, offsets, WORD)
+    lead, after = _unspaced(lower)
+    if not len(lead):
+        return starts, ends, firsts
+    inner_start, inner_end = after[~np.isin(after, ends)], lead[~np.isin(lead, starts)]
+    starts = np.unique(np.concatenate([starts, lead, inner_start]))
+    ends = np.unique(np.concatenate([ends, after, inner_end]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
+    """The least (or greatest) of each `width` values in a row."""
+    for k in range(width - 1):
+        out = least(out[:-1], values[k + 1 :]) if k else least(values[:-1], values[1:])
+    return out
+
+
+def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of all texts: document, start and end in bytes, first and last word (exclusive), and a digest of each two neighbouring pieces.
+
+    A text of one piece has that one alone.
+    """
+    data, offsets = layout(texts)
+    lower = LOWER[data]
+    starts, ends, firsts = tokens(lower, offsets)
+    n = len(starts)
+    if not n:
+        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint64),)
+    hashes = word_hashes(lower, starts, ends)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
+    opens = np.zeros(n, bool)
+    opens[firsts[:-1][np.diff(firsts) > 0]] = True
+    ends_doc = np.concatenate([opens[1:], [True]])
+    value = mix(hashes * np.uint64(3) + mix(np.concatenate([hashes[1:], [np.uint64(0)]])))
+    value[ends_doc] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    cut = opens.copy()
+    if n >= WINDOW:
+        lows = _sliding(value, WINDOW, np.minimum)
+        lows[owner[: n - WINDOW + 1] != owner[WINDOW - 1 :]] = 0  # a window of two documents
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        chosen = np.flatnonzero((_sliding(np.concatenate([edge, lows, edge]), WINDOW, np.maximum) == value) & ~ends_doc)
+        tied = np.zeros(len(chosen), bool)  # one word or two over and over make one piece
+        tied[1:] = (value[chosen[1:]] == value[chosen[:-1]]) & (np.diff(chosen) <= 2)
+        cut[chosen[~tied]] = True
+    begin = np.flatnonzero(cut)
+    size = np.diff(np.concatenate([begin, [n]]))
+    place = (np.arange(n) - np.repeat(begin, size)).astype(np.uint64)
+    digest = mix(np.add.reduceat(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), begin) + size.astype(np.uint64))
+    doc = owner[begin]
+    last = np.concatenate([doc[1:] != doc[:-1], [True]])
+    lo = np.where(opens[begin], offsets[doc], starts[begin])
+    hi = np.where(last, offsets[doc + 1], np.concatenate([lo[1:], [len(data)]]))
+    first, until = begin - firsts[doc], begin + size - firsts[doc]
+    mate = np.minimum(np.arange(len(begin)) + 1, len(begin) - 1)
+    alone = last & opens[begin]
+    rows = np.flatnonzero(~last | alone)
+    mate = np.where(alone, np.arange(len(begin)), mate)[rows]
+    both = mix(digest[rows] * np.uint64(5) + mix(np.where(alone[rows], np.uint64(1), digest[mate]) + np.uint64(9)))
+    return doc[rows], (lo - offsets[doc])[rows], hi[mate] - offsets[doc[rows]], first[rows], until[mate], both
+
+
+def _bit_map(digests: DataFrame) -> np.ndarray:
+    """Bytes with bit `one` modulo their number of bits set for each row; at most 32 MB reach the driver."""
+    bits = min(max(1 << (8 * digests.count()).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for at in batch.column("bits"):
+                block = np.zeros(BLOCK_BITS, np.uint8)
+                block[np.array(at.as_py())] = 1
+                packed.append(np.packbits(block, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed, pa.binary())], ["block", "packed"])
+
+    slot = F.col("one").bitwiseAND(bits - 1)
+    block, bit = F.shiftrightunsigned(slot, BLOCK_BITS.bit_length() - 1).cast("int"), slot.bitwiseAND(BLOCK_BITS - 1).cast("int")
+    blocks = digests.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.collect_set("bit").alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in blocks.mapInArrow(run, "block int, packed binary").collect():
+        out[row.block * (BLOCK_BITS // 8) :][: BLOCK_BITS // 8] = np.frombuffer(row.packed, np.uint8)
+    return out
+
+
+def _unit_rows(docs: DataFrame, least: int, known: Broadcast | None = None) -> DataFrame:
+    """A row for each unit of at least `least` words and each two pieces (their `two` is 0).
+
+    again: an earlier row of the document has the same digests.  Rows that the bit map `known` lacks are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 doc, lo, hi, size, one, two = units(part.column("text"), least)
                 long = size >= least
-                doc, lo, hi, one, two = doc[long], lo[long], hi[long], one[long], two[long]
+                none = np.zeros(int(long.sum()), np.int64)
+                more = pieces(part.column("text"))
+                doc, lo, hi, first, until, one = (np.concatenate(x) for x in zip((doc[long], lo[long], hi[long], none, none, one[long]), more, strict=True))
+                two = np.concatenate([two[long], np.zeros(len(more[0]), np.uint64)])
                 key = mix(one ^ mix(doc.astype(np.uint64)))
                 order = np.argsort(key, kind="stable")
                 again = np.zeros(len(key), bool)
                 again[order[1:]] = key[order[1:]] == key[order[:-1]]
+                if known is not None:
+                    slot = one & np.uint64(len(known.value) * 8 - 1)
+                    kept = (known.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    doc, lo, hi, first, until, one, two, again = (x[kept] for x in (doc, lo, hi, first, until, one, two, again))
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), part.column("doc_id").take(at), part.column("hash").take(at),
-                        pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(again),
+                        pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
+                        pa.array(first.astype(np.int32)), pa.array(until.astype(np.int32)), pa.array(again),
                     ],
-                    ["one", "two", "doc_id", "hash", "lo", "hi", "again"],
+                    ["one", "two", "doc_id", "hash", "lo", "hi", "first_word", "until_word", "again"],
                 )
 
-    return docs.mapInArrow(run, "one long, two long, doc_id long, hash long, lo int, hi int, again boolean")
+    return docs.mapInArrow(run, "one long, two long, doc_id long, hash long, lo int, hi int, first_word int, until_word int, again boolean")
+
+
+def spans_of(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans of a document's repeated units, and between them of runs of pieces of RUN_WORDS words.
+
+    found: (lo, hi, first word, end word), the last 0 for units.  Pieces run on where one's rows overlap.
+    """
+    whole = sorted(x[:2] for x in found if not x[3])
+    runs: list[list[int]] = []
+    for lo, hi, first, until in sorted(x for x in found if x[3]):
+        if runs and lo < runs[-1][1]:
+            runs[-1][1], runs[-1][3] = max(runs[-1][1], hi), max(runs[-1][3], until)
+        else:
+            runs.append([lo, hi, first, until])
+    out, k = list(whole), 0
+    for lo, hi, first, until in runs:
+        if until - first < RUN_WORDS:
+            continue
+        while k < len(whole) and whole[k][1] <= lo:
+            k += 1
+        j = k
+        while j < len(whole) and whole[j][0] < hi:
+            if lo < whole[j][0]:
+                out.append((lo, whole[j][0]))
+            lo = max(lo, whole[j][1])
+            j += 1
+        if lo < hi:
+            out.append((lo, hi))
+    return sorted(out)
+
+
+def _spans(grouped: DataFrame) -> DataFrame:
+    """doc_id, hash and spans, from found; documents without any fall away."""
+    schema = "doc_id long, hash long, spans array<struct<lo:int,hi:int>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+        for batch in batches:
+            flat = batch.column("found").flatten()
+            rows = list(zip(*(flat.field(c).to_pylist() for c in ("lo", "hi", "first_word", "until_word")), strict=True))
+            offsets = np.concatenate([[0], np.cumsum(batch.column("found").value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            spans = [spans_of(rows[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            some = [k for k, x in enumerate(spans) if x]
+            made = pa.array([[{"lo": lo, "hi": hi} for lo, hi in spans[k]] for k in some], kind)
+            at = pa.array(some, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("hash").take(at), made], ["doc_id", "hash", "spans"])
+
+    return grouped.mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -99,16 +268,17 @@ def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     Digests meet in one aggregation with partial sums, so a line that a third of all documents
     share sends one row from each task; only digests found twice go back to the units, in a join
-    that is split where it is skewed.
+    that is split where it is skewed and that a bit map keeps small.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     rank = F.struct("doc_id", "hash")
-    first = _unit_rows(keyed, least).groupBy("one", "two").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+    first = stored(_unit_rows(keyed, least).groupBy("one", "two").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
         "one", "two", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash")
-    )
+    ), "units")
+    known = docs.sparkSession.sparkContext.broadcast(_bit_map(first))
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")) & ~F.col("again")
-    later = _unit_rows(keyed, least).join(first, ["one", "two"]).where(~stays)
-    return later.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    later = _unit_rows(keyed, least, known).join(first, ["one", "two"]).where(~stays)
+    return _spans(later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("lo", "hi", "first_word", "until_word")).alias("found")))
 
 
 def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
