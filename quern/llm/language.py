@@ -1,4 +1,4 @@
-"""Language identification by cross-parsing: the language whose text explains a document in fewest phrases."""
+"""Language identification by cross-parsing: the language whose text explains a document in phrases of fewest bits."""
 
 from __future__ import annotations
 
@@ -130,14 +130,15 @@ def is_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(True))
 
 
-def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Automata of a bounded sample of labelled texts (columns text, lang), by language.
+def fit(labelled: DataFrame) -> dict[str, tuple[np.ndarray, int]]:
+    """Automata of a bounded sample of labelled texts (columns text, lang) and their symbols of training, by language.
 
-    Counts per language give the share of its rows to sample, by a hash of the text; the sampled
-    pieces reach the driver, SAMPLE_DOCS times four of SAMPLE_BYTES at the most for each language.
+    Counts of different texts per language (HyperLogLog) give the share of them to sample, by a hash of
+    the text, so copies of a text count once; the sampled pieces reach the driver, SAMPLE_DOCS times
+    four of SAMPLE_BYTES at the most for each language.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2 * SAMPLE_DOCS / n))])
@@ -152,16 +153,18 @@ def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
     out = {}
     for lang in sorted(texts):
         symbols, _ = _symbols(pa.array([" ".join(texts[lang][:SAMPLE_DOCS])], pa.string()))
-        out[lang] = automaton(symbols[:room])
+        symbols = symbols[:room]
+        out[lang] = automaton(symbols), len(symbols)
     return out
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, int]]) -> DataFrame:
     """docs (a column text) with lang_pred, score and phrases.
 
     Each whole text is parsed against each language's automaton into longest matches; the language
-    of fewest phrases wins, the first by name on ties.  score is the runner-up's phrases over the
-    sum of both, from 0.5 (a tie) to 1, and 1 with one language only.  Null texts, texts without a
+    of fewest bits wins, the first by name on ties.  A phrase takes the bits that name a place in the
+    language's training text or a symbol, since more text makes longer phrases.  score is the
+    runner-up's bits over the sum of both, from 0.5 (a tie) to 1, and 1 with one language only.  Null texts, texts without a
     letter and all texts of a model without languages give `und` with score 0 and no phrases.
     """
     base = docs.drop(*PREDICTED.fieldNames())
@@ -169,7 +172,8 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TOTAL_BYTES * 2 states of SYMBOLS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, tables = list(shared.value), list(shared.value.values())
+        langs, tables = list(shared.value), [x for x, _ in shared.value.values()]
+        price = np.log2(np.array([n for _, n in shared.value.values()], float) + SYMBOLS)
         for batch in batches:
             for part in slices(batch, limit=8 << 20):
                 texts = part.column("text").cast(pa.large_string())
@@ -178,11 +182,12 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 score, fewest = np.zeros(part.num_rows), np.zeros(part.num_rows, np.int64)
                 if langs and lettered.any():
                     counts = phrases(tables, *_symbols(texts))
-                    best = counts.argmin(axis=1)
-                    ranked = np.sort(counts, axis=1)
+                    bits = counts * price
+                    best = bits.argmin(axis=1)
+                    ranked = np.sort(bits, axis=1)
                     second = ranked[:, 1] if len(langs) > 1 else ranked[:, 0]
-                    fewest = np.where(lettered, ranked[:, 0], 0)
-                    sure = second / np.maximum(ranked[:, 0] + second, 1) if len(langs) > 1 else np.ones(len(best))
+                    fewest = np.where(lettered, counts[np.arange(len(best)), best], 0)
+                    sure = second / np.maximum(ranked[:, 0] + second, price.min()) if len(langs) > 1 else np.ones(len(best))
                     score = np.where(lettered, sure, 0.0)
                     names = [langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                 added = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(fewest, pa.int64())]
