@@ -12,9 +12,6 @@ from quern.functions import special
 from quern.operators.shape import ratio
 from quern.sources.stage import stored
 
-#: Candidates of a level beyond which mining stops.
-MOST_CANDIDATES = 2_000_000
-
 
 def basket_items(lines: DataFrame, item: str, floor: int = 1) -> DataFrame:
     """(invoice_id, item, at), distinct, without returns; invoices of fewer than `floor` items are left out."""
@@ -40,8 +37,8 @@ def itemsets(items: DataFrame, min_support: float = 0.01, longest: int = 3) -> D
     """(items, length, freq, baskets) of itemsets in at least ceil(min_support * baskets) baskets.
 
     Level by level: frequent singles shrink the baskets, then each level joins a basket's frequent
-    sets with its later frequent items; counts are partial sums.  Candidates are bounded by the
-    items that are frequent, and a level of too many stops the search.
+    sets with its later frequent items; counts are partial sums.  Only candidates that a basket
+    holds are made, so no number of them stops the search.
     """
     items = stored(items.select("invoice_id", "item"), "items")
     n = items.select("invoice_id").distinct().count()
@@ -51,8 +48,7 @@ def itemsets(items: DataFrame, min_support: float = 0.01, longest: int = 3) -> D
     out = singles.select(F.array("item").alias("items"), "freq")
     level, frequent = kept.select("invoice_id", F.array("item").alias("items")), out
     for length in range(2, longest + 1):
-        k = frequent.count()
-        if k < length or k * (k - 1) // 2 > MOST_CANDIDATES:
+        if frequent.count() < length:
             break
         grown = level.join(kept.withColumnRenamed("item", "_next"), "invoice_id").where(F.col("_next") > F.element_at("items", -1)).select(
             "invoice_id", F.array_append("items", F.col("_next")).alias("items"))
