@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.sources.sales import bucket
+from quern.sources.stage import stored
 
 
 def _when(condition: Column, value: Column) -> Column:
@@ -31,17 +32,22 @@ def measures() -> dict[str, Column]:
     }
 
 
+def _by_order(sales: DataFrame, *keys: Column | str) -> DataFrame:
+    """Lines summed by (keys, invoice, customer, return): what the distinct counts run over is orders, not lines."""
+    return sales.groupBy(*keys, "invoice_id", "customer_id", "is_return").agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.count("*").alias("_lines"))
+
+
 def totals(sales: DataFrame) -> DataFrame:
     """One row: revenue, returns, units, orders, customers, guests' revenue, lines."""
-    return sales.agg(
+    return _by_order(sales).agg(
         *[c.alias(k) for k, c in measures().items()],
         _when(sold() & F.col("customer_id").isNull(), F.col("revenue")).alias("guest_revenue"),
-        F.count("*").alias("lines"),
+        F.coalesce(F.sum("_lines"), F.lit(0)).alias("lines"),
     ).withColumn("net_revenue", F.col("gross_revenue") - F.col("returns_value"))
 
 
 def trend(sales: DataFrame, granularity: str = "week") -> DataFrame:
-    return sales.groupBy(bucket("occurred_at", granularity).alias("period")).agg(
+    return _by_order(sales, bucket("occurred_at", granularity).alias("period")).groupBy("period").agg(
         *[c.alias(k) for k, c in measures().items()]
     ).withColumn("net_revenue", F.col("gross_revenue") - F.col("returns_value"))
 
@@ -49,8 +55,10 @@ def trend(sales: DataFrame, granularity: str = "week") -> DataFrame:
 def breakdown(sales: DataFrame, *keys: str) -> DataFrame:
     """Measures by product, region, category or customer; rows without the key are left out."""
     present = sales.where(F.col(keys[0]).isNotNull())
-    return present.groupBy(*keys).agg(
-        *[c.alias(k) for k, c in measures().items() if k != "active_customers"], F.count("*").alias("lines")
+    orders = present.groupBy(*dict.fromkeys([*keys, "invoice_id", "is_return"])).agg(F.sum("revenue").alias("revenue"), F.sum("quantity").alias("quantity"), F.count("*").alias("_lines"))
+    return orders.groupBy(*keys).agg(
+        *[c.alias(k) for k, c in measures().items() if k not in ("active_customers", "orders")],
+        F.count(F.when(sold(), F.col("invoice_id"))).alias("orders"), F.sum("_lines").alias("lines")
     )
 
 
@@ -92,19 +100,25 @@ def group_values(sales: DataFrame, group: str, value: str = "order_value") -> Da
 
 
 def filter_options(sales: DataFrame) -> DataFrame:
-    """(kind, value, weight): date bounds and lines, regions by revenue, top 100 products, categories."""
-    revenue = F.coalesce(F.sum(F.when(sold(), F.col("revenue"))), F.lit(0)).cast("double")
+    """(kind, value, weight): date bounds and lines, regions by revenue, top 100 products, categories.
+
+    One pass over the sales: sums by region, product, category and as a whole are grouping sets of
+    one aggregation, combined on the map side.
+    """
     none = F.lit(None).cast("double")
-    span = sales.agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"), F.count("*").alias("n"))
-    bounds = span.select(F.explode(F.array(
+    sets = [[F.col("region")], [F.col("product_code")], [F.col("category")], []]
+    got = stored(sales.groupingSets(sets, "region", "product_code", "category").agg(
+        F.grouping_id().alias("level"), F.coalesce(F.sum(F.when(sold(), F.col("revenue"))), F.lit(0)).cast("double").alias("w"),
+        F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"), F.count("*").alias("n")), "options")
+    bounds = got.where("level = 7").select(F.explode(F.array(
         F.struct(F.lit("date_min").alias("kind"), F.col("lo").cast("date").cast("string").alias("value"), none.alias("weight")),
         F.struct(F.lit("date_max").alias("kind"), F.col("hi").cast("date").cast("string").alias("value"), none.alias("weight")),
         F.struct(F.lit("lines").alias("kind"), F.col("n").cast("string").alias("value"), none.alias("weight")),
     )).alias("x")).select("x.*")
-    regions = sales.where("region is not null").groupBy("region").agg(revenue.alias("w")).select(F.lit("region").alias("kind"), F.col("region").alias("value"), F.col("w").alias("weight"))
-    products = sales.groupBy("product_code").agg(revenue.alias("w")).orderBy(F.desc("w"), "product_code").limit(100).select(
+    regions = got.where("level = 3 and region is not null").select(F.lit("region").alias("kind"), F.col("region").alias("value"), F.col("w").alias("weight"))
+    products = got.where("level = 5").orderBy(F.desc("w"), "product_code").limit(100).select(
         F.lit("product").alias("kind"), F.col("product_code").alias("value"), F.col("w").alias("weight"))
-    categories = sales.where("category is not null").select(F.lit("category").alias("kind"), F.col("category").alias("value"), none.alias("weight")).distinct()
+    categories = got.where("level = 6 and category is not null").select(F.lit("category").alias("kind"), F.col("category").alias("value"), none.alias("weight"))
     return bounds.union(regions).union(products).union(categories)
 
 

@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.stage import stored
+
 #: The canonical fields, the codes that are no merchandise, and the date styles' patterns.
 TEXT_FIELDS = ("invoice_id", "product_code", "product_name", "category", "customer_id", "region")
 NUMBER_FIELDS = ("quantity", "unit_price", "revenue", "discount")
 ID_FIELDS = ("invoice_id", "product_code", "customer_id")
-NON_PRODUCT_CODES = ("POST", "D", "M", "BANK CHARGES", "C2", "DOT", "CRUK", "S", "AMAZONFEE", "B", "PADS", "ADJUST")
+NON_PRODUCT_CODES = ("ADJUST", "AMAZONFEE", "B", "BANK CHARGES", "C2", "CRUK", "D", "DOT", "M", "PADS", "POST", "S")
 DATE_STYLES = {
     "iso": ("yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy-M-d'T'H:m:s"),
     "dmy": ("d/M/yyyy H:m:s", "d/M/yyyy H:m", "d/M/yyyy", "d-M-yyyy H:m", "d-M-yyyy"),
@@ -21,8 +23,16 @@ REASONS = ("invalid_value", "exact_duplicate", "non_product_code", "non_positive
 
 
 def parse_date(value: Column, style: str) -> Column:
-    """The first pattern of the style that fits, else null."""
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(p)).cast("timestamp_ntz") for p in DATE_STYLES[style]])
+    """The first pattern of the style that fits, else null.
+
+    A pattern is tried only where the value has its colons and its T: a failed parse costs far more than a look.
+    """
+    colons = F.length(value) - F.length(F.replace(value, F.lit(":")))
+    tried = [
+        F.when((colons == p.count(":")) & (value.contains("T") == F.lit("T" in p)), F.try_to_timestamp(value, F.lit(p)).cast("timestamp_ntz"))
+        for p in DATE_STYLES[style]
+    ]
+    return F.coalesce(*tried)
 
 
 def parse_rate(frame: DataFrame, column: str, style: str) -> DataFrame:
@@ -41,20 +51,21 @@ def rename(raw: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 def normalise(rows: DataFrame) -> DataFrame:
     """Trim, single spaces, ids without a trailing .0, codes in upper case, empty as null."""
-    out = rows
-    for name in rows.columns:
-        value = F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), "^ | $", "")
+    spaced = rows.select(*[F.translate(c, "\t\n\x0b\f\r", "     ").alias(c) for c in rows.columns])
+    out = []
+    for name in rows.columns:  # patterns run only over the values that need them
+        value = F.trim(F.when(F.contains(F.col(name), F.lit("  ")), F.regexp_replace(name, " +", " ")).otherwise(F.col(name)))
         if name in ID_FIELDS:
-            value = F.regexp_replace(value, r"^(\d+)\.0$", "$1")
+            value = F.when(F.contains(F.col(name), F.lit(".0")), F.regexp_replace(value, r"^(\d+)\.0$", "$1")).otherwise(value)
         if name == "product_code":
             value = F.upper(value)
-        out = out.withColumn(name, F.nullif(value, F.lit("")))
-    return out
+        out.append(value.alias(name))
+    return spaced.select(*out).select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns])
 
 
 def typed(rows: DataFrame, style: str = "iso") -> DataFrame:
     """Dates and numbers; `readable` is false where a date is missing or a number that is present cannot be read."""
-    readable = parse_date(F.col("occurred_at"), style).isNotNull()
+    readable = F.col("_date").isNotNull()
     out = rows.withColumn("_date", parse_date(F.col("occurred_at"), style))
     for name in NUMBER_FIELDS:
         if name in rows.columns:
@@ -120,17 +131,19 @@ def with_outliers(rows: DataFrame, threshold: float = 5.0, least: int = 10) -> D
     """is_outlier: 0.6745 * |deviation| / scale over the threshold, by product over |quantity|.
 
     scale is the median absolute deviation, or 1.2533 times the mean one where that is 0.  Products
-    of fewer than `least` rows are never flagged.  Medians are exact aggregates per product, joined
-    back, so a product of very many rows does not sort in one task's window.
+    of fewer than `least` rows are never flagged.  Medians come from counts of quantities by
+    product, so the rows themselves are joined once and sorted nowhere.
     """
     size = F.abs(F.col("quantity"))
-    centres = rows.where("product_code is not null and quantity is not null").groupBy("product_code").agg(F.median(size).alias("_m"), F.count("*").alias("_n"))
-    near = rows.join(centres, "product_code", "left").withColumn("_d", F.abs(size - F.col("_m")))
-    scales = near.where("_d is not null").groupBy(F.col("product_code").alias("_code")).agg(F.median("_d").alias("_mad"), F.avg("_d").alias("_mean"))
-    both = near.join(scales, F.col("product_code") == F.col("_code"), "left")
+    counts = rows.where("product_code is not null and quantity is not null").groupBy(F.col("product_code").alias("_code"), size.alias("_q")).agg(F.count("*").alias("_k"))
+    centres = counts.groupBy("_code").agg(F.percentile("_q", 0.5, F.col("_k")).alias("_m"), F.sum("_k").alias("_n"))
+    away = F.abs(F.col("_q") - F.col("_m"))
+    scales = counts.join(centres, "_code").groupBy("_code", "_m", "_n").agg(F.percentile(away, 0.5, F.col("_k")).alias("_mad"), (F.sum(away * F.col("_k")) / F.col("_n")).alias("_mean"))
     scale = F.when(F.col("_mad") > 0, F.col("_mad")).otherwise(1.2533 * F.col("_mean"))
-    flag = (F.col("_n") >= least) & (0.6745 * F.col("_d") > threshold * scale) & (scale > 0)
-    return both.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("_m", "_n", "_d", "_code", "_mad", "_mean")
+    limits = scales.where(F.col("_n") >= least).select("_code", "_m", scale.alias("_scale"))
+    both = rows.join(limits, F.col("product_code") == F.col("_code"), "left")
+    flag = (0.6745 * F.abs(size - F.col("_m")) > threshold * F.col("_scale")) & (F.col("_scale") > 0)
+    return both.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop("_m", "_code", "_scale")
 
 
 def last_complete(latest: Column, granularity: str) -> Column:
@@ -195,6 +208,6 @@ def judged(raw: DataFrame, mapping: Mapping[str, str], style: str = "iso") -> Da
 
 
 def clean(raw: DataFrame, mapping: Mapping[str, str], style: str = "iso") -> DataFrame:
-    """The clean rows of raw: judged, then named, completed and flagged."""
-    kept = judged(raw, mapping, style).where("reason is null").drop("reason", "readable")
+    """The clean rows of raw: judged once and stored, then named, completed and flagged."""
+    kept = stored(judged(raw, mapping, style).where("reason is null").drop("reason", "readable"), "judged")
     return finalise(with_outliers(with_revenue(named(with_returns(kept)))))

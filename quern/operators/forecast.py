@@ -76,9 +76,10 @@ def drift(split: DataFrame, key: str = "series_id") -> DataFrame:
 
 
 def seasonal_naive(split: DataFrame, season: int = 52, with_drift: bool = False, key: str = "series_id") -> DataFrame:
-    """The value a season ago, repeated; with_drift adds the mean change from one season to the next.
+    """The value a season ago, repeated; with_drift adds the mean change from the season before last to the last one.
 
-    A history shorter than a season gives the last value (or the drift line).
+    A history shorter than a season gives the last value; one shorter than two seasons, which has
+    no such change, the line through its first and last value.
     """
     train = _training(split)
     ends = train.groupBy(key, "fold").agg(F.max("place").alias("end"), F.min("place").alias("start"), F.max_by("value", "place").alias("last"), F.min_by("value", "place").alias("head"), F.count("*").alias("n"))
@@ -86,14 +87,14 @@ def seasonal_naive(split: DataFrame, season: int = 52, with_drift: bool = False,
     rows = _tests(split, key).join(ends, [key, "fold"])
     source = F.col("end") - season + ((F.col("step") - 1) % season) + 1
     rows = rows.withColumn("from", source).join(past, [key, "fold", "from"], "left")
-    short = F.col("last") + (F.col("step") * F.try_divide(F.col("last") - F.col("head"), F.col("n") - 1) if with_drift else F.lit(0.0))
+    short = F.col("last") + (F.col("step") * (F.col("last") - F.col("head")) / F.greatest(F.col("n") - 1, F.lit(1)) if with_drift else F.lit(0.0))
     value = F.col("seasonal")
     if with_drift:
-        later = train.select(key, "fold", (F.col("place") - season).alias("from"), F.col("value").alias("later"))
+        later = train.join(ends.select(key, "fold", "end"), [key, "fold"]).where(F.col("place") > F.col("end") - season).select(key, "fold", (F.col("place") - season).alias("from"), F.col("value").alias("later"))
         change = past.join(later, [key, "fold", "from"]).groupBy(key, "fold").agg(F.avg(F.col("later") - F.col("seasonal")).alias("change"))
         rows = rows.join(change, [key, "fold"], "left")
-        value = value + F.coalesce("change", F.lit(0.0)) * (F.floor((F.col("step") - 1) / season) + 1)
-    return rows.select(key, "fold", "step", "period", "actual", F.when(F.col("n") >= season, value).otherwise(short).alias("forecast"))
+        value = value + F.col("change")
+    return rows.select(key, "fold", "step", "period", "actual", F.when(F.col("n") >= (2 * season if with_drift else season), value).otherwise(short).alias("forecast"))
 
 
 # Models with state, run for each series and fold as a group

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.order import numbered, percentiles
 from quern.operators.shape import ratio
 from quern.sources.stage import stored
 
@@ -23,30 +24,12 @@ def with_measures(customers: DataFrame) -> DataFrame:
         (F.col("monetary_gross") - F.col("returns_value")).alias("monetary"), ratio(F.col("monetary_gross"), F.col("frequency")).alias("average_order"))
 
 
-def _place(frame: DataFrame, base: DataFrame, value: str, tie: str, descending: bool, name: str, parts: int) -> DataFrame:
-    """frame with exact row numbers of base's rows in the order of (value, tie).
-
-    By ranges: counts of each range first, places inside a range after, so no task sorts all rows.
-    """
-    way = F.desc if descending else F.asc
-    edges = base.agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), [k / parts for k in range(1, parts)], 1_000)).alias("_e"))
-
-    def parted(rows: DataFrame) -> DataFrame:
-        part = F.size(F.filter("_e", lambda e: e < F.col(value)))
-        return rows.join(F.broadcast(edges)).withColumn("_part", -part if descending else part).drop("_e")
-
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parted(base).groupBy("_part").agg(F.count("*").alias("_c")).select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(way(value), tie))
-    return parted(frame).withColumn("_i", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_s") + F.col("_i")).drop("_part", "_s", "_i")
-
-
-def scored(customers: DataFrame, bins: int = 5, parts: int = 64) -> DataFrame:
+def scored(customers: DataFrame, bins: int = 5) -> DataFrame:
     """Scores 1 to `bins` by place (ties by customer); a recent customer has a high recency score."""
     rows = stored(with_measures(customers), "customers")
     out = rows.join(F.broadcast(rows.agg(F.count("*").alias("_n"))))
-    for name, value, descending in (("r", "recency", True), ("f", "frequency", False), ("m", "monetary", False)):
-        out = _place(out, rows, value, "customer", descending, f"_{name}", parts)
+    for name, value in (("r", F.desc("recency")), ("f", F.asc("frequency")), ("m", F.asc("monetary"))):
+        out = numbered(out, [value, "customer"], f"_{name}")
         out = out.withColumn(name, F.greatest(F.lit(1), F.ceil((F.col(f"_{name}") - 1) * F.lit(bins) / F.greatest(F.col("_n") - 1, F.lit(1)))).cast("long"))
     cell = F.concat(*[F.col(c).cast("string") for c in "rfm"])
     named = out.withColumn("cell", cell).withColumn("segment", segment(F.col("r"), F.col("f"), F.col("m"), bins))
@@ -54,21 +37,21 @@ def scored(customers: DataFrame, bins: int = 5, parts: int = 64) -> DataFrame:
 
 
 def segment(r: Column, f: Column, m: Column, top: int = 5) -> Column:
-    """Six segments, first match wins."""
+    """Six segments, first match wins; a customer's value is the better of frequency and money."""
     high, low = top - 1, 2
+    valuable, recent = F.greatest(f, m) >= high, r >= high
     return (
-        F.when((r >= high) & (f >= high) & (m >= high), "champions").when((f >= high) & (r >= low + 1), "loyal")
-        .when((r >= high) & (f <= low), "new or promising").when((r <= low) & (f >= high - 1), "at risk")
-        .when((r <= low) & (f <= low), "dormant").otherwise("developing")
+        F.when(recent & valuable, "champions").when(valuable & (r >= low), "loyal").when(recent & (f <= low), "new")
+        .when(recent, "potential_loyalist").when(valuable, "at_risk").otherwise("hibernating")
     )
 
 
 def segment_summary(scored_rows: DataFrame) -> DataFrame:
     total = scored_rows.agg(F.sum("monetary").alias("all_money"), F.count("*").alias("all_customers"))
+    money = percentiles(scored_rows, "monetary", [0.5], "_p", ["segment"]).select("segment", F.element_at("_p", 1).alias("median_monetary"))
     return scored_rows.groupBy("segment").agg(
-        F.count("*").alias("customers"), F.sum("monetary").alias("monetary"), F.median("recency").alias("median_recency"),
-        F.median("frequency").alias("median_frequency"), F.median("monetary").alias("median_monetary"),
-    ).join(F.broadcast(total)).select(
+        F.count("*").alias("customers"), F.sum("monetary").alias("monetary"), F.median("recency").alias("median_recency"), F.median("frequency").alias("median_frequency"),
+    ).join(F.broadcast(money), "segment").join(F.broadcast(total)).select(
         "segment", "customers", "monetary", ratio(F.col("customers"), F.col("all_customers")).alias("customer_share"),
         ratio(F.col("monetary"), F.col("all_money")).alias("money_share"), "median_recency", "median_frequency", "median_monetary")
 

@@ -98,34 +98,43 @@ def class_table(profiles: DataFrame) -> DataFrame:
 
 
 def anomalies(series: DataFrame, value: str, time: str = "period", period: int = 52, threshold: float = 3.5) -> DataFrame:
-    """Each period with baseline, score and flag.
+    """Each period with baseline, score and flag; reason says why there are no scores.
 
-    From 8 cycles on the baseline is a centred rolling median times (or plus) the median of its
-    phase; shorter series use a centred rolling median of up to 13 points.  The miss is
-    proportional if all values are positive; its robust z over the threshold is flagged.
+    From 8 cycles on the baseline is a centred rolling median (an odd number of periods, a cycle
+    long) and the median departure of each phase of the calendar from it, less the median of these
+    departures; shorter series use a centred rolling median of up to 13 periods.  If all values are
+    positive, departures are ratios and the miss is proportional.  The score is the miss's robust z.
     """
-    n = series.count()  # periods of one aggregated series
-    x = F.col(value).cast("double")
+    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    size = series.agg(F.count("*").alias("n"), F.coalesce(F.min(x) > 0, F.lit(False)).alias("positive")).first()  # of one aggregated series
+    n, positive = size.n, size.positive
     order = Window.orderBy(time)
-    positive = series.agg(F.coalesce(F.min(x) > 0, F.lit(False)).alias("p")).first()["p"]
     seasonal = period > 1 and n >= 8 * period
-    width = period if seasonal else min(13, max(3, n // 2 * 2 - 1))
-    frame = order.rowsBetween(-(width // 2), width - 1 - width // 2)
-    rows = series.select(time, x.alias("value")).withColumn("level", F.percentile("value", 0.5).over(frame))
+    width = period + 1 - period % 2 if seasonal else max(3, min(13, n // 3 * 2 + 1))
+    frame = order.rowsBetween(-(width // 2), width // 2)
+    enough = F.count("value").over(frame) >= (max(3, period // 2) if seasonal else 1)
+    rows = series.select(time, x.alias("value")).withColumn("level", F.when(enough, F.percentile("value", 0.5).over(frame)))
     baseline = F.col("level")
     if seasonal:
-        phase = {52: F.least(F.weekofyear(time), F.lit(52)), 12: F.month(time), 7: F.weekday(time)}.get(period, F.row_number().over(order) % period)
-        rows = rows.withColumn("phase", phase.cast("long")).withColumn("shift", F.try_divide(F.col("value"), F.col("level")) if positive else F.col("value") - F.col("level"))
-        usual = rows.groupBy("phase").agg(F.median("shift").alias("usual"))
-        rows = rows.join(F.broadcast(usual), "phase")
-        baseline = F.col("level") * F.col("usual") if positive else F.col("level") + F.col("usual")
-    rows = rows.withColumn("baseline", baseline).withColumn("miss", F.try_divide(F.col("value") - F.col("baseline"), F.col("baseline")) if positive else F.col("value") - F.col("baseline"))
-    centre = rows.agg(F.median("miss").alias("centre"))
+        phase = {52: F.least(F.weekofyear(time), F.lit(52)), 12: F.month(time), 7: F.weekday(time)}.get(period, (F.row_number().over(order) - 1) % period)
+        shift = F.try_divide(F.col("value"), F.col("level")) if positive else F.col("value") - F.col("level")
+        rows = rows.withColumn("phase", phase.cast("long")).withColumn("shift", shift)
+        rows = rows.join(F.broadcast(rows.groupBy("phase").agg(F.median("shift").alias("usual"))), "phase")
+        rows = rows.join(F.broadcast(rows.agg(F.median("usual").alias("middle"))))
+        if positive:
+            baseline = F.col("level") * F.when(F.col("middle") != 0, F.col("usual") / F.col("middle")).otherwise(F.col("usual"))
+        else:
+            baseline = F.col("level") + F.col("usual") - F.col("middle")
+    residual = F.col("value") - F.col("baseline")
+    rows = rows.withColumn("baseline", baseline).withColumn("residual", residual).withColumn("miss", F.try_divide(F.col("value"), F.col("baseline")) - 1 if positive else residual)
+    centre = rows.agg(F.median("miss").alias("centre"), F.median(F.abs("miss")).alias("usual_miss"), F.count("miss").alias("usable"), F.median("value").alias("half"), F.percentile("value", [0.25, 0.75]).alias("q"))
     rows = rows.join(F.broadcast(centre)).withColumn("dev", F.abs(F.col("miss") - F.col("centre")))
-    spread = rows.agg(F.median("dev").alias("mad"), F.avg("dev").alias("mean_dev"), F.count("dev").alias("usable"))
+    spread = rows.agg(F.median("dev").alias("mad"), F.avg("dev").alias("mean_dev"))
     scale = F.when(F.col("mad") > 0, F.col("mad")).otherwise(1.2533 * F.col("mean_dev"))
-    score = F.when((F.col("usable") >= 5) & (scale > 0) & F.lit(n >= 8), 0.6745 * (F.col("miss") - F.col("centre")) / scale)
-    scored = rows.join(F.broadcast(spread)).withColumn("score", score)
-    return scored.select(
-        time, "value", "baseline", "score", F.coalesce(F.abs("score") > threshold, F.lit(False)).alias("flagged"),
-        F.when(F.col("miss") > 0, "above").when(F.col("miss") < 0, "below").otherwise("level").alias("direction"))
+    reference = F.col("usual_miss") if positive else F.element_at("q", 2) - F.element_at("q", 1)
+    least = 1e-6 * F.greatest(reference, F.abs("half"), F.lit(1.0))
+    reason = F.when((F.lit(n) < 8) | (F.col("usable") < 5), "too few periods").when(~(scale > least), "no spread")
+    score = F.when(reason.isNull(), 0.6745 * F.col("dev") / scale)
+    return rows.join(F.broadcast(spread)).select(
+        time, "value", "baseline", "residual", score.alias("score"), F.coalesce(score > threshold, F.lit(False)).alias("flagged"),
+        F.when(F.col("residual") > F.col("centre"), "above").otherwise("below").alias("direction"), reason.alias("reason"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.order import numbered, percentiles, running
+from quern.sources.stage import stored
+
 #: Interval of each granularity.
 STEP = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAYS", "month": "INTERVAL 1 MONTH", "year": "INTERVAL 1 YEAR"}
 
@@ -83,11 +86,11 @@ def trend_points(trend: DataFrame, granularity: str, data_end: DataFrame, window
 def gini(frame: DataFrame, value: str) -> DataFrame:
     """One row (gini): values of at least 0; one value gives 0, none or a sum of 0 null.
 
-    Equal values share their ranks' sum, so the window runs over distinct values, summed before.
+    Equal values share their ranks' sum; counts of values are summed in order by ranges.
     """
     counts = frame.where(F.col(value) >= 0).groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    through = F.sum("n").over(Window.orderBy("x"))
-    ranked = counts.withColumn("ranks", F.col("n") * (2 * through - F.col("n") + 1) / 2)
+    through = F.col("through")
+    ranked = running(counts, ["x"], "n", "through").withColumn("ranks", F.col("n") * (2 * through - F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("ranks") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x")).alias("t"), F.sum("n").alias("n"))
     return sums.select(F.when(F.col("t") > 0, 2 * F.col("s") / (F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
 
@@ -95,8 +98,8 @@ def gini(frame: DataFrame, value: str) -> DataFrame:
 def concentration(frame: DataFrame, key: str, value: str, top: float = 0.2) -> DataFrame:
     """Share of the top fraction of entities in the sum of positive values."""
     positive = frame.where(F.col(value) > 0).select(key, F.col(value).cast("double").alias("x"))
-    ranked = positive.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("x"), key)))
-    size = positive.agg(F.count("*").alias("entities"), F.sum("x").alias("total"))
+    ranked = numbered(positive, [F.desc("x"), key], "rn")
+    size = ranked.agg(F.count("*").alias("entities"), F.sum("x").alias("total"))
     both = ranked.join(F.broadcast(size)).withColumn("top_entities", F.greatest(F.lit(1), F.ceil(F.col("entities") * F.lit(top))).cast("long"))
     return both.groupBy("entities", "top_entities", "total").agg(F.sum(F.when(F.col("rn") <= F.col("top_entities"), F.col("x"))).alias("top")).select(
         "entities", "top_entities", ratio(F.col("top"), F.col("total")).alias("top_share"))
@@ -149,17 +152,18 @@ def describe(frame: DataFrame, value: str) -> DataFrame:
     Skewness and kurtosis divide by the sample deviation (n - 1); the other two definitions are
     in quern.operators.statistics.
     """
-    x = frame.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    x = stored(frame.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)"), "values")
     first = x.agg(
         F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.sum("x").alias("sum"), F.percentile("x", [float(p) for p in PERCENTILES]).alias("p"))
+        F.sum("x").alias("sum")).join(F.broadcast(percentiles(x, "x", PERCENTILES)))
     both = x.join(F.broadcast(first))
+    mad = percentiles(both.select(F.abs(F.col("x") - F.element_at("p", 5)).alias("d")), "d", [0.5], "m").select(F.element_at("m", 1).alias("mad"))
     z = (F.col("x") - F.col("mean")) / F.col("sd")
     fence = 1.5 * (F.element_at("p", 6) - F.element_at("p", 4))
     second = both.agg(
-        F.avg(F.pow(z, 3)).alias("skewness"), F.avg(F.pow(z, 4)).alias("k4"), F.percentile(F.abs(F.col("x") - F.element_at("p", 5)), 0.5).alias("mad"),
+        F.avg(F.pow(z, 3)).alias("skewness"), F.avg(F.pow(z, 4)).alias("k4"),
         F.count_if((F.col("x") < F.element_at("p", 4) - fence) | (F.col("x") > F.element_at("p", 6) + fence)).alias("outside_fences"))
-    third = both.join(F.broadcast(second.select("mad"))).agg(
+    third = both.join(F.broadcast(mad)).agg(
         F.count_if((F.col("mad") > 0) & (0.6745 * F.abs(F.col("x") - F.element_at("p", 5)) / F.col("mad") > 3.5)).alias("robust_outliers"))
     return first.join(F.broadcast(second)).join(F.broadcast(third)).select(
         "n", "mean", "sd", ratio(F.col("sd"), F.col("mean")).alias("cv"), "min", "max", "sum",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import special
+from quern.operators.order import percentiles, running
 from quern.operators.shape import ratio
 from quern.sources.stage import stored
 
@@ -15,10 +16,9 @@ from quern.sources.stage import stored
 def moments(frame: DataFrame, value: str) -> DataFrame:
     """One row with population skewness and excess kurtosis, quartiles, mean over median."""
     x = F.col(value).cast("double")
-    q = F.percentile(x, [0.25, 0.5, 0.75])
     out = frame.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), q.alias("q"),
-        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis")).join(F.broadcast(percentiles(frame, x, [0.25, 0.5, 0.75], "q")))
     return out.select(
         "n", "mean", "sd", "min", "max", F.element_at("q", 1).alias("q1"), F.element_at("q", 2).alias("median"), F.element_at("q", 3).alias("q3"),
         (F.element_at("q", 3) - F.element_at("q", 1)).alias("iqr"), "skewness", "kurtosis", ratio(F.col("mean"), F.element_at("q", 2)).alias("mean_over_median"))
@@ -57,16 +57,16 @@ def information(frame: DataFrame, left: str, right: str) -> DataFrame:
 
 def quantile_bins(frame: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
     """frame with a bin by quantile edges: equal edges are one, bins are closed on the right."""
-    edges = frame.agg(F.array_distinct(F.percentile(F.col(value).cast("double"), [k / bins for k in range(bins + 1)])).alias("_edges"))
+    edges = percentiles(frame, value, [k / bins for k in range(bins + 1)], "_e").select(F.array_distinct("_e").alias("_edges"))
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     place = F.size(F.filter(inner, lambda e: e < F.col(value)))
     return frame.join(F.broadcast(edges)).withColumn(name, F.when(F.col(value).isNotNull(), place).cast("long")).drop("_edges")
 
 
 def average_ranks(frame: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    """frame with average ranks: counts of distinct values are summed in order, so ties and rows do not sort in one task."""
+    """frame with average ranks: counts of distinct values are summed in order by ranges, so ties and rows do not sort in one task."""
     counts = frame.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranks = counts.select("_v", (F.sum("_c").over(Window.orderBy("_v")) - (F.col("_c") - 1) / 2).alias(name))
+    ranks = running(counts, ["_v"], "_c", "_t").select("_v", (F.col("_t") - (F.col("_c") - 1) / 2).alias(name))
     return frame.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
@@ -104,8 +104,8 @@ def group_ranks(frame: DataFrame, label: str, value: str, least: int = 5) -> Dat
     sizes = frame.groupBy(label).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(label)
     rows = frame.join(sizes, label, "left_semi")
     counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    ranks = counts.select("_v", "_c", (F.sum("_c").over(Window.orderBy("_v")) - (F.col("_c") - 1) / 2).alias("_r"))
-    ties = counts.agg(F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
+    ranks = running(counts, ["_v"], "_c", "_t").select("_v", "_c", (F.col("_t") - (F.col("_c") - 1) / 2).alias("_r"))
+    ties = ranks.agg(F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
     return rows.groupBy(label, F.col(value).alias("_v")).agg(F.count("*").alias("_k")).join(ranks, "_v").groupBy(label).agg(
         F.sum("_k").alias("n"), F.sum(F.col("_k") * F.col("_r")).alias("rank_sum")).join(F.broadcast(ties))
 

@@ -41,7 +41,7 @@ _BASE = {
     "fc_naive": ("arg_max(value, place)", lambda s: forecast.naive(s)),
     "fc_moving_average": ("avg(value) FILTER (place > start - 4)", lambda s: forecast.moving_average(s)),
     "fc_drift": ("arg_max(value, place) + step * (arg_max(value, place) - arg_min(value, place)) / (count(*) - 1)", lambda s: forecast.drift(s)),
-    "fc_seasonal_naive": ("coalesce(max(value) FILTER (place = start - 52 + step), arg_max(value, place))", lambda s: forecast.seasonal_naive(s, SEASON)),
+    "fc_seasonal_naive": ("CASE WHEN start >= 52 THEN max(value) FILTER (place = start - 52 + step) ELSE arg_max(value, place) END", lambda s: forecast.seasonal_naive(s, SEASON)),
 }
 
 
@@ -61,9 +61,9 @@ for _name in _BASE:
 
 
 @query(_sql("""SELECT t.series_id, CAST(t.fold AS BIGINT) AS fold, t.step, round(t.value, 3) AS actual,
-  round(max(x.value) FILTER (x.place = t.start - 52 + t.step) + coalesce(any_value(c.change), 0), 3) AS forecast
+  round(CASE WHEN t.start >= 104 THEN max(x.value) FILTER (x.place = t.start - 52 + t.step) + avg(x.value) FILTER (x.place > t.start - 52) - avg(x.value) FILTER (x.place > t.start - 104 AND x.place <= t.start - 52)
+    ELSE arg_max(x.value, x.place) + t.step * (arg_max(x.value, x.place) - arg_min(x.value, x.place)) / greatest(1, t.start - 1) END, 3) AS forecast
 FROM f t JOIN f x ON x.series_id = t.series_id AND x.fold = t.fold AND x.role = 'train'
-LEFT JOIN (SELECT a.series_id, a.fold, avg(b.value - a.value) AS change FROM f a JOIN f b ON a.series_id = b.series_id AND a.fold = b.fold AND b.place = a.place + 52 WHERE a.role = 'train' AND b.role = 'train' GROUP BY 1, 2) c ON c.series_id = t.series_id AND c.fold = t.fold
 WHERE t.role = 'test' GROUP BY t.series_id, t.fold, t.step, t.value, t.start""", _SERIES))
 def fc_seasonal_drift(spark, sf_dir):
     return rounded(forecast.seasonal_naive(split(spark, sf_dir), SEASON, with_drift=True).select("series_id", "fold", "step", "actual", "forecast"), 3)
@@ -80,7 +80,7 @@ def _members(spark, sf_dir):
 
 _MEMBERS = _SERIES + """,
 e AS (SELECT series_id, fold, any_value(start) AS start, arg_max(value, place) AS naive, avg(value) FILTER (place > start - 4) AS moving_average FROM f WHERE role = 'train' GROUP BY 1, 2),
-s AS (SELECT t.series_id, t.fold, t.step, t.value AS actual, e.naive, e.moving_average, coalesce(x.value, e.naive) AS seasonal_naive FROM f t JOIN e ON e.series_id = t.series_id AND e.fold = t.fold
+s AS (SELECT t.series_id, t.fold, t.step, t.value AS actual, e.naive, e.moving_average, CASE WHEN t.start >= 52 THEN x.value ELSE e.naive END AS seasonal_naive FROM f t JOIN e ON e.series_id = t.series_id AND e.fold = t.fold
   LEFT JOIN f x ON x.series_id = t.series_id AND x.fold = t.fold AND x.role = 'train' AND x.place = t.start - 52 + t.step WHERE t.role = 'test'),
 m AS (SELECT series_id, fold, step, actual, unnest(['naive', 'moving_average', 'seasonal_naive']) AS model, unnest([naive, moving_average, seasonal_naive]) AS forecast FROM s)"""
 
@@ -105,7 +105,8 @@ def fc_best_model(spark, sf_dir):
 
 @query(_sql("""SELECT series_id, p.step, round(forecast, 3) AS forecast, round(greatest(0, forecast + q[1]), 3) AS lower, round(greatest(0, forecast + q[2]), 3) AS upper
 FROM (SELECT series_id, step, forecast FROM m WHERE model = 'seasonal_naive' AND fold = 0) p JOIN
- (SELECT step, quantile_cont(actual - forecast, [0.1, 0.9]) AS q FROM m WHERE model = 'seasonal_naive' AND fold > 0 GROUP BY 1) e ON e.step = p.step""", _MEMBERS))
+ (SELECT s.step, CASE WHEN count(m.actual) >= 5 THEN quantile_cont(m.actual - m.forecast, [0.1, 0.9]) ELSE (SELECT quantile_cont(actual - forecast, [0.1, 0.9]) FROM m WHERE model = 'seasonal_naive' AND fold > 0) END AS q
+  FROM (SELECT DISTINCT step FROM m) s LEFT JOIN m ON m.step = s.step AND m.model = 'seasonal_naive' AND m.fold > 0 GROUP BY 1) e ON e.step = p.step""", _MEMBERS))
 def fc_intervals(spark, sf_dir):
     rows = _members(spark, sf_dir)[1].where("model = 'seasonal_naive'")
     point = rows.where("fold = 0")

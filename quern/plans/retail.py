@@ -500,19 +500,38 @@ def seasonal_strength(spark, sf_dir):
     return rounded(series.seasonal_strength(series.decompose(_net(spark, sf_dir, "month"), 12, "gross_revenue")), 5)
 
 
-@query(_sql("""SELECT CAST(period AS VARCHAR) AS period, round(baseline, 3) AS baseline, round(0.6745 * (miss - c) / s, 4) AS score, abs(0.6745 * (miss - c) / s) > 3.5 AS flagged
-FROM d, (SELECT CASE WHEN median(abs(miss - c)) > 0 THEN median(abs(miss - c)) ELSE 1.2533 * avg(abs(miss - c)) END AS s FROM d)""",
-"s AS (SELECT date_trunc('week', occurred_at)::DATE AS period, sum(CASE WHEN NOT is_return THEN revenue ELSE 0 END)::DOUBLE AS x FROM sales GROUP BY 1)",
-"l AS (SELECT period, x, quantile_cont(x, 0.5) OVER (ORDER BY period ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS baseline FROM s)",
-"d AS (SELECT *, (x - baseline) / baseline AS miss, (SELECT median((x - baseline) / baseline) FROM l) AS c FROM l)"))
-def anomaly_week(spark, sf_dir):
-    got = series.anomalies(_net(spark, sf_dir, "week"), "gross_revenue")
-    return got.select(F.col("period").cast("string").alias("period"), F.round("baseline", 3).alias("baseline"), F.round("score", 4).alias("score"), "flagged")
+def _anomaly_sql(unit: str, period: int, phase: str) -> str:
+    """From 8 cycles on with phases, below with a median of up to 13 periods; values in millions."""
+    return _sql("""SELECT CAST(period AS VARCHAR) AS period, round(baseline, 5) AS baseline, CASE WHEN ok THEN round(0.6745 * abs(miss - c) / s, 4) END AS score, coalesce(ok AND 0.6745 * abs(miss - c) / s > 3.5, false) AS flagged,
+  CASE WHEN x - baseline > c THEN 'above' ELSE 'below' END AS direction
+FROM (SELECT *, n >= 8 AND (SELECT count(miss) FROM d) >= 5 AND s > 1e-6 * greatest(1, abs((SELECT median(x) FROM s)), CASE WHEN positive THEN (SELECT median(abs(miss)) FROM d) ELSE (SELECT quantile_cont(x, 0.75) - quantile_cont(x, 0.25) FROM s) END) AS ok
+FROM d, (SELECT CASE WHEN median(abs(miss - c)) > 0 THEN median(abs(miss - c)) ELSE 1.2533 * avg(abs(miss - c)) END AS s FROM d))""",
+    f"s AS (SELECT date_trunc('{unit}', occurred_at)::DATE AS period, sum(CASE WHEN NOT is_return THEN revenue ELSE 0 END)::DOUBLE / 1e6 AS x FROM sales GROUP BY 1)",
+    f"z AS (SELECT count(*) AS n, count(*) >= 8 * {period} AS seasonal, min(x) > 0 AS positive FROM s)",
+    "o AS (SELECT period, x, row_number() OVER (ORDER BY period) AS i, n, seasonal, positive, greatest(3, least(13, n // 3 * 2 + 1)) // 2 AS half FROM s, z)",
+    f"""l AS (SELECT o.period, o.x, o.n, o.seasonal, o.positive, {phase.format('o.period')} AS phase, CASE WHEN count(b.x) >= (CASE WHEN o.seasonal THEN {max(3, period // 2)} ELSE 1 END) THEN quantile_cont(b.x, 0.5) END AS level
+  FROM o JOIN o b ON b.i BETWEEN o.i - (CASE WHEN o.seasonal THEN {(period + 1 - period % 2) // 2} ELSE o.half END) AND o.i + (CASE WHEN o.seasonal THEN {(period + 1 - period % 2) // 2} ELSE o.half END) GROUP BY o.period, o.x, o.n, o.seasonal, o.positive)""",
+    "u AS (SELECT phase, median(CASE WHEN positive THEN x / level ELSE x - level END) AS usual FROM l GROUP BY 1)",
+    "j AS (SELECT l.*, usual, (SELECT median(usual) FROM l JOIN u USING (phase)) AS middle FROM l JOIN u USING (phase))",
+    "b AS (SELECT *, CASE WHEN NOT seasonal THEN level WHEN positive THEN level * usual / middle ELSE level + usual - middle END AS baseline FROM j)",
+    "d AS (SELECT *, CASE WHEN positive THEN x / baseline - 1 ELSE x - baseline END AS miss, (SELECT median(CASE WHEN positive THEN x / baseline - 1 ELSE x - baseline END) FROM b) AS c FROM b)")
+
+
+def _millions(spark, sf_dir, unit):
+    return _net(spark, sf_dir, unit).select("period", (F.col("gross_revenue") / 1e6).alias("millions"))
+
+
+def _anomaly_query(unit: str, period: int, phase: str):
+    @query(_anomaly_sql(unit, period, phase), name=f"anomaly_{unit}")
+    def run(spark, sf_dir):
+        got = series.anomalies(_millions(spark, sf_dir, unit), "millions", period=period)
+        return got.select(F.col("period").cast("string").alias("period"), F.round("baseline", 5).alias("baseline"), F.round("score", 4).alias("score"), "flagged", "direction")
+
+    return run
 
 
-@query()
-def anomaly_day(spark, sf_dir):
-    return rounded(series.anomalies(_net(spark, sf_dir, "day"), "gross_revenue", period=7))
+for _unit, _period, _phase in (("week", 52, "least(week({}), 52)"), ("day", 7, "isodow({})"), ("month", 12, "month({})")):
+    _anomaly_query(_unit, _period, _phase)
 
 
 # Customers
@@ -523,8 +542,8 @@ m AS (SELECT *, date_diff('day', last_purchase, (SELECT max(last_purchase) FROM
 k AS (SELECT *, greatest(1, ceil((row_number() OVER (ORDER BY recency DESC, customer) - 1) * 5.0::DOUBLE / (count(*) OVER () - 1)))::BIGINT AS r,
   greatest(1, ceil((row_number() OVER (ORDER BY frequency, customer) - 1) * 5.0::DOUBLE / (count(*) OVER () - 1)))::BIGINT AS f,
   greatest(1, ceil((row_number() OVER (ORDER BY monetary, customer) - 1) * 5.0::DOUBLE / (count(*) OVER () - 1)))::BIGINT AS m FROM m),
-z AS (SELECT *, CASE WHEN r >= 4 AND f >= 4 AND m >= 4 THEN 'champions' WHEN f >= 4 AND r >= 3 THEN 'loyal' WHEN r >= 4 AND f <= 2 THEN 'new or promising'
-  WHEN r <= 2 AND f >= 3 THEN 'at risk' WHEN r <= 2 AND f <= 2 THEN 'dormant' ELSE 'developing' END AS segment FROM k)"""
+z AS (SELECT *, CASE WHEN r >= 4 AND greatest(f, m) >= 4 THEN 'champions' WHEN greatest(f, m) >= 4 AND r >= 2 THEN 'loyal' WHEN r >= 4 AND f <= 2 THEN 'new'
+  WHEN r >= 4 THEN 'potential_loyalist' WHEN greatest(f, m) >= 4 THEN 'at_risk' ELSE 'hibernating' END AS segment FROM k)"""
 
 
 def _scored(spark, sf_dir):

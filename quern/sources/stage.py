@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,17 +10,49 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one is made only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    Where none is set, a cluster gets one below its warehouse, which all executors reach; a
+    temporary folder of this machine is made in local mode only.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quern-")
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            folder = tempfile.mkdtemp(prefix="quern-")
+        else:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_quern"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
+    path = f"{_home(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `stored` made and nothing reads any more."""
+    spark = df.sparkSession
+    home = _home(spark)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = folder.find(home.removeprefix("file://"))
+        if at >= 0:
+            _delete(spark, folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are read or written elsewhere."""
+    _delete(spark, _home(spark))
