@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators import rules, shape
+from quern.operators.order import numbered
 from quern.operators.shape import ratio
 from quern.sources.stage import stored
 
@@ -92,12 +93,12 @@ def lift_inflation(found: DataFrame) -> DataFrame:
     return found.select("antecedent", "consequent", "lift", "normalised_lift", neither.alias("neither_share"))
 
 
-def exposure(found: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """How rules spread their recommendations over the catalogue: Gini of counts and the share of the top tenth."""
-    counts = found.groupBy(F.col("consequent").alias("item")).agg(F.count("*").alias("k"))
-    every = catalogue.select("item").distinct().join(counts, "item", "left").select("item", F.coalesce("k", F.lit(0)).cast("double").alias("k"))
-    top = shape.concentration(every, "item", "k", 0.1).select(F.col("top_share").alias("top_tenth_share"))
-    return shape.gini(every, "k").join(F.broadcast(top))
+def exposure(found: DataFrame) -> DataFrame:
+    """How rules spread over the items they recommend: items, Gini of their counts and the share of the top tenth (one item at least)."""
+    counts = stored(found.groupBy(F.col("consequent").alias("item")).agg(F.count("*").cast("double").alias("k")), "exposure")
+    placed = numbered(counts, [F.desc("k"), "item"], "rn").join(F.broadcast(counts.agg(F.count("*").alias("items"), F.sum("k").alias("all"))))
+    top = placed.where(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("items") / 10))).groupBy("items").agg(ratio(F.sum("k"), F.max("all")).alias("top_tenth_share"))
+    return shape.gini(counts, "k").join(F.broadcast(top))
 
 
 def singleton_policies(items: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
@@ -133,4 +134,4 @@ def silhouette(points: DataFrame, features: Sequence[str], sample: int = 2_000)
 def rendered(recommendations: DataFrame) -> DataFrame:
     """Recommendations as lines of text, in order."""
     caveat = F.when(F.size("caveats") > 0, F.concat(F.lit(" ("), F.array_join("caveats", "; "), F.lit(")"))).otherwise("")
-    return recommendations.select("place", F.concat(F.col("place").cast("string"), F.lit(". "), F.col("key"), F.lit(": "), F.col("action"), caveat).alias("line"))
+    return recommendations.select("place", F.concat(F.col("place").cast("string"), F.lit(". "), F.col("action"), caveat).alias("line"))

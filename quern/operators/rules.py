@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import special
-from quern.operators.shape import ratio
+from quern.operators.order import numbered
+from quern.operators.shape import gini, ratio
+from quern.operators.statistics import correlation
 from quern.sources.stage import stored
 
 
@@ -155,10 +157,32 @@ def validate(rules: DataFrame, items: DataFrame, min_lift: float = 1.0, least: i
 
 
 def survival(validated: DataFrame) -> DataFrame:
-    judged = validated.where("judged")
+    """One row over the judged rules: survivors, their share, the mean change of lift, and the rank correlation of lift."""
+    judged = stored(validated.where("judged"), "judged")
+    ranks = correlation(judged, "lift", "held_lift").select(F.col("spearman").alias("lift_rank_correlation"))
     return judged.agg(
         F.count("*").alias("judged"), F.count_if("survives").alias("surviving"), F.avg(F.col("survives").cast("int")).alias("survival_rate"),
-        F.avg(F.col("held_lift") - F.col("lift")).alias("mean_shrinkage"))
+        F.avg(F.col("held_lift") - F.col("lift")).alias("mean_shrinkage")).join(F.broadcast(ranks))
+
+
+def survival_verdict(rate: Column) -> Column:
+    return F.when(rate.isNull(), "not judged").when(rate >= 0.8, "durable").when(rate >= 0.5, "mixed").otherwise("transient")
+
+
+def new_item_coverage(rules: DataFrame, mined: DataFrame, later: DataFrame, threshold: int = 1) -> DataFrame:
+    """One row: items that only the later baskets have, and how many of them the rules recommend."""
+    fresh = later.select("item").distinct().join(mined.select("item").distinct(), "item", "left_anti")
+    counts = rules.groupBy(F.col("consequent").alias("item")).agg(F.count("*").alias("k"))
+    return fresh.join(counts, "item", "left").agg(F.count("*").alias("new_items"), F.count_if(F.coalesce("k", F.lit(0)) >= threshold).alias("covered")).withColumn("share", ratio(F.col("covered"), F.col("new_items")))
+
+
+def hazards(rules: DataFrame, catalogue: DataFrame, later: DataFrame) -> DataFrame:
+    """One row: what rules cannot reach (catalogue, new items), how many explain themselves (all do), and how uneven their exposure is."""
+    counts = rules.groupBy(F.col("consequent").alias("item")).agg(F.count("*").alias("k"))
+    near = coverage(rules, catalogue).select("items", "reachable", F.col("share").alias("item_coverage"))
+    fresh = new_item_coverage(rules, catalogue, later).select("new_items", F.col("share").alias("new_item_coverage"))
+    shown = rules.agg(F.count("*").alias("rules"), F.avg((F.size("antecedent") > 0).cast("int")).alias("transparency"))
+    return near.join(F.broadcast(fresh)).join(F.broadcast(shown)).join(F.broadcast(gini(counts, "k").select(F.col("gini").alias("exposure_gini"))))
 
 
 def overlap(first: DataFrame, second: DataFrame, n: int = 50) -> DataFrame:
@@ -187,7 +211,7 @@ def affinity(rules: DataFrame, weight: str = "normalised_lift") -> DataFrame:
 def popularity_zones(items: DataFrame, capacity: int) -> DataFrame:
     """(item, zone): items in order of popularity, `capacity` to a zone."""
     counts = items.groupBy("item").agg(F.count("*").alias("n"))
-    return counts.select("item", F.floor((F.row_number().over(Window.orderBy(F.desc("n"), "item")) - 1) / capacity).cast("long").alias("zone"))
+    return numbered(counts, [F.desc("n"), "item"], "_place").select("item", F.floor((F.col("_place") - 1) / capacity).cast("long").alias("zone"))
 
 
 def affinity_zones(edges: DataFrame, items: DataFrame, capacity: int) -> DataFrame:

@@ -131,8 +131,38 @@ def adjusted_rand(table: DataFrame) -> DataFrame:
     return joined.select(F.col("all").alias("customers"), F.when(top == expected, 1.0).otherwise(F.try_divide(F.col("s") - expected, top - expected)).alias("adjusted_rand"))
 
 
-def matched(table: DataFrame) -> dict:
-    """The renaming of b's labels that keeps most customers, over all assignments (k up to 8)."""
+def stability(labels: DataFrame) -> DataFrame:
+    """(earlier, later, customers, adjusted_rand, retention) of every pair of windows, over the customers in both.
+
+    labels: window, customer, label.  One join by customer serves all pairs; windows are few.
+    """
+    left = labels.select("customer", F.col("window").alias("earlier"), F.col("label").alias("a"))
+    right = labels.select("customer", F.col("window").alias("later"), F.col("label").alias("b"))
+    pair = ["earlier", "later"]
+    table = stored(left.join(right, "customer").where("earlier < later").groupBy(*pair, "a", "b").agg(F.count("*").alias("n")), "contingency")
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    both = table.groupBy(*pair).agg(pairs("n").alias("s"), F.sum("n").alias("customers"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("stayed"))
+    rows = table.groupBy(*pair, "a").agg(F.sum("n").alias("n")).groupBy(*pair).agg(pairs("n").alias("sa"))
+    columns = table.groupBy(*pair, "b").agg(F.sum("n").alias("n")).groupBy(*pair).agg(pairs("n").alias("sb"))
+    expected = F.try_divide(F.col("sa") * F.col("sb"), F.col("customers") * (F.col("customers") - 1) / 2)
+    top = (F.col("sa") + F.col("sb")) / 2
+    return both.join(rows, pair).join(columns, pair).select(
+        *pair, "customers", F.when(top == expected, 1.0).otherwise(F.try_divide(F.col("s") - expected, top - expected)).alias("adjusted_rand"), ratio(F.col("stayed"), F.col("customers")).alias("retention"))
+
+
+def stability_summary(pairs: DataFrame) -> DataFrame:
+    """One row: mean agreement and retention over all pairs, agreement of neighbours, the thinnest pair, and a verdict."""
+    nth = pairs.withColumn("_step", F.col("later") - F.col("earlier"))
+    got = nth.agg(
+        F.count("*").alias("pairs"), F.avg("adjusted_rand").alias("mean_adjusted_rand"), F.avg(F.when(F.col("_step") == 1, F.col("adjusted_rand"))).alias("mean_consecutive"),
+        F.avg("retention").alias("mean_retention"), F.min("customers").alias("thinnest"))
+    return got.withColumn("verdict", verdict(F.col("mean_adjusted_rand"), F.col("mean_retention")))
+
+
+def matched(table: DataFrame, most: int = 8) -> dict:
+    """The renaming of b's labels that keeps most customers, over all assignments of up to `most` clusters."""
+    if table.agg(F.greatest(F.count_distinct("a"), F.count_distinct("b")).alias("k")).first().k > most:
+        raise ValueError(f"matching tries all assignments of up to {most} clusters")
     cells = {(r.a, r.b): r.n for r in table.collect()}
     left, right = sorted({a for a, _ in cells}), sorted({b for _, b in cells})
     short, long = (left, right) if len(left) <= len(right) else (right, left)
@@ -147,6 +177,15 @@ def migration(table: DataFrame) -> DataFrame:
     return table.join(sums, "a").select("a", "b", "n", ratio(F.col("n"), F.col("_all")).alias("share_of_source"), (F.col("a") == F.col("b")).alias("stays"))
 
 
+def flows(labels: DataFrame) -> DataFrame:
+    """(window, a, b, n, share_of_source) of every two consecutive windows; window is "earlier-later"."""
+    left = labels.select("customer", "window", F.col("label").alias("a"))
+    right = labels.select("customer", (F.col("window") - 1).alias("window"), F.col("label").alias("b"))
+    table = left.join(right, ["customer", "window"]).groupBy("window", "a", "b").agg(F.count("*").alias("n"))
+    sums = table.groupBy("window", "a").agg(F.sum("n").alias("_all"))
+    return table.join(sums, ["window", "a"]).select(F.concat_ws("-", F.col("window").cast("string"), (F.col("window") + 1).cast("string")).alias("window"), "a", "b", "n", ratio(F.col("n"), F.col("_all")).alias("share_of_source"))
+
+
 def retention(table: DataFrame) -> DataFrame:
     return table.agg(ratio(F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)), F.sum("n")).alias("retention"))
 

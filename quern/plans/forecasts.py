@@ -60,22 +60,27 @@ for _name in _BASE:
     _baseline(_name)
 
 
-@query(_sql("""SELECT t.series_id, CAST(t.fold AS BIGINT) AS fold, t.step, round(t.value, 3) AS actual,
+@query(_sql("""SELECT t.series_id, CAST(t.fold AS BIGINT) AS fold, t.step, round(t.value, 6) AS actual,
   round(CASE WHEN t.start >= 104 THEN max(x.value) FILTER (x.place = t.start - 52 + t.step) + avg(x.value) FILTER (x.place > t.start - 52) - avg(x.value) FILTER (x.place > t.start - 104 AND x.place <= t.start - 52)
-    ELSE arg_max(x.value, x.place) + t.step * (arg_max(x.value, x.place) - arg_min(x.value, x.place)) / greatest(1, t.start - 1) END, 3) AS forecast
+    ELSE arg_max(x.value, x.place) + t.step * (arg_max(x.value, x.place) - arg_min(x.value, x.place)) / greatest(1, t.start - 1) END, 6) AS forecast
 FROM f t JOIN f x ON x.series_id = t.series_id AND x.fold = t.fold AND x.role = 'train'
 WHERE t.role = 'test' GROUP BY t.series_id, t.fold, t.step, t.value, t.start""", _SERIES))
 def fc_seasonal_drift(spark, sf_dir):
-    return rounded(forecast.seasonal_naive(split(spark, sf_dir), SEASON, with_drift=True).select("series_id", "fold", "step", "actual", "forecast"), 3)
+    return rounded(forecast.seasonal_naive(split(spark, sf_dir), SEASON, with_drift=True).select("series_id", "fold", "step", "actual", "forecast"), 6)
 
 
-def _members(spark, sf_dir):
-    rows = split(spark, sf_dir)
+def baselines(rows):
+    """The three baselines of split series, as one table."""
     out = None
     for name, got in (("naive", forecast.naive(rows)), ("moving_average", forecast.moving_average(rows)), ("seasonal_naive", forecast.seasonal_naive(rows, SEASON))):
         one = got.select("series_id", F.lit(name).alias("model"), "fold", "step", "actual", "forecast")
         out = one if out is None else out.union(one)
-    return rows, stored(out, "members")
+    return stored(out, "members")
+
+
+def _members(spark, sf_dir):
+    rows = split(spark, sf_dir)
+    return rows, baselines(rows)
 
 
 _MEMBERS = _SERIES + """,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import aggregates, cleaning, forecast, insight, reports, series, shape, statistics
+from quern.operators import aggregates, cleaning, forecast, reports, series, shape, statistics
 from quern.plans import forecasts, segments
 from quern.plans.retail import _BASKETS, _JUDGED, _MAPPING, _RULES, _baskets, _brand_weeks, _mined, _sql, query, raw_lines, rounded
 from quern.sources.sales import read, sales
@@ -41,11 +41,11 @@ def lift_inflation(spark, sf_dir):
     return reports.lift_inflation(_mined(spark, sf_dir)).select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", F.round("neither_share", 8).alias("neither_share"))
 
 
-@query(_sql("""SELECT round(2 * sum(i * k) / (count(*) * sum(k)) - (count(*) + 1) / count(*)::DOUBLE, 6) AS gini,
-  (SELECT round(sum(k) FILTER (rn <= greatest(1, ceil(m * 0.1::DOUBLE))) / sum(k), 6) FROM (SELECT k, count(*) OVER () AS m, row_number() OVER (ORDER BY k DESC, item) AS rn FROM e WHERE k > 0)) AS top_tenth_share
-FROM (SELECT k, row_number() OVER (ORDER BY k) AS i FROM e)""", _RULES, "e AS (SELECT item, count(v.c)::DOUBLE AS k FROM (SELECT DISTINCT item FROM b) i LEFT JOIN (SELECT c FROM v WHERE confidence >= 0.05 AND lift >= 1) v ON v.c = i.item GROUP BY 1)"))
+@query(_sql("""SELECT count(*) AS items, round(2 * sum(i * k) / (count(*) * sum(k)) - (count(*) + 1) / count(*)::DOUBLE, 6) AS gini,
+  (SELECT round(sum(k) FILTER (rn <= greatest(1, m // 10)) / sum(k), 6) FROM (SELECT k, count(*) OVER () AS m, row_number() OVER (ORDER BY k DESC, item) AS rn FROM e)) AS top_tenth_share
+FROM (SELECT k, row_number() OVER (ORDER BY k) AS i FROM e)""", _RULES, "e AS (SELECT c AS item, count(*)::DOUBLE AS k FROM v WHERE confidence >= 0.05 AND lift >= 1 GROUP BY 1)"))
 def rule_exposure(spark, sf_dir):
-    return rounded(reports.exposure(_mined(spark, sf_dir), _baskets(spark, sf_dir)), 6)
+    return rounded(reports.exposure(_mined(spark, sf_dir)), 6)
 
 
 @query()
@@ -85,11 +85,6 @@ def class_table(spark, sf_dir):
     return rounded(series.class_table(series.series_profiles(aggregates.product_periods(sales(spark, sf_dir, "product_code", "occurred_at", "customer_id", "region", "quantity", "unit_price", "revenue", "is_return"), "month"), "month")))
 
 
-@query()
-def recommendation_lines(spark, sf_dir):
-    return reports.rendered(insight.ranked(insight.deduplicated(insight.recommendations(insight.reconcile(segments._signals(spark, sf_dir))))))
-
-
 @query(_sql("SELECT count(*) AS with_one FROM (SELECT invoice_id FROM b GROUP BY 1 HAVING count(*) = 1)", _BASKETS))
 def singleton_baskets(spark, sf_dir):
     return _baskets(spark, sf_dir).groupBy("invoice_id").agg(F.count("*").alias("n")).where("n = 1").agg(F.count("*").alias("with_one"))

@@ -633,24 +633,12 @@ def rules_pairs(spark, sf_dir):
     return got.select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", *wide)
 
 
-@query()
-def rules_tested(spark, sf_dir):
-    return rounded(rules.tested(_mined(spark, sf_dir)).select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", "p_value", "q_value", "is_association"), 8)
-
-
 @query()
 def rules_pruned(spark, sf_dir):
     found = rules.generate(rules.itemsets(_baskets(spark, sf_dir), 0.0015, 3), 0.05, 1.0)
     return rounded(rules.drop_redundant(rules.drop_trivial(found)).select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", "confidence", "lift"), 8)
 
 
-@query()
-def rules_holdout(spark, sf_dir):
-    train, held = rules.split_by_date(_baskets(spark, sf_dir))
-    found = rules.generate(rules.itemsets(train, 0.01, 2), 0.05, 1.0)
-    return rounded(rules.survival(rules.validate(found, held)), 6)
-
-
 @query(_sql("SELECT count(*) AS items, count(r.c) AS reachable, round(count(r.c) / count(*)::DOUBLE, 6) AS share FROM (SELECT DISTINCT item FROM b) i LEFT JOIN (SELECT DISTINCT c FROM v WHERE confidence >= 0.05 AND lift >= 1) r ON r.c = i.item", _RULES))
 def rule_coverage(spark, sf_dir):
     return rounded(rules.coverage(_mined(spark, sf_dir), _baskets(spark, sf_dir)), 6)

@@ -1,4 +1,4 @@
-"""Queries of segmentation and insight."""
+"""Queries of segmentation over time."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from quern.operators import aggregates, forecast, insight, rfm, rules, segments
-from quern.plans import forecasts
-from quern.plans.retail import _baskets, _sql, query, rounded
+from quern.operators import segments
+from quern.plans.retail import _sql, query, rounded
 from quern.sources.sales import sales
 from quern.sources.stage import stored
 
@@ -22,6 +21,14 @@ l AS (SELECT win, customer, CASE WHEN recency <= 90 THEN 'a' WHEN recency <= 365
 t AS (SELECT x.label AS a, y.label AS b, count(*) AS n FROM l x JOIN l y ON x.customer = y.customer AND x.win = 2 AND y.win = 3 GROUP BY 1, 2)"""
 
 
+#: Agreement of the labels of every pair of windows.
+STABILITY_SQL = """st AS (SELECT x.win AS earlier, y.win AS later, x.label AS a, y.label AS b, count(*)::DOUBLE AS n FROM l x JOIN l y ON x.customer = y.customer AND x.win < y.win GROUP BY 1, 2, 3, 4),
+sp AS (SELECT earlier, later, k::BIGINT AS customers, (s - x * y / (k * (k - 1) / 2)) / ((x + y) / 2 - x * y / (k * (k - 1) / 2)) AS ari, stayed / k AS retention
+  FROM (SELECT earlier, later, sum(n) AS k, sum(n * (n - 1) / 2) AS s, sum(n) FILTER (a = b) AS stayed FROM st GROUP BY 1, 2)
+  JOIN (SELECT earlier, later, sum(n * (n - 1) / 2) AS x FROM (SELECT earlier, later, a, sum(n) AS n FROM st GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (earlier, later)
+  JOIN (SELECT earlier, later, sum(n * (n - 1) / 2) AS y FROM (SELECT earlier, later, b, sum(n) AS n FROM st GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (earlier, later))"""
+
+
 def _snapshots(spark, sf_dir):
     rows = sales(spark, sf_dir, "invoice_id", "occurred_at", "customer_id", "quantity", "revenue", "is_return")
     return stored(segments.snapshots(rows, SPANS), "snapshots")
@@ -44,9 +51,13 @@ def feature_matrix(spark, sf_dir):
     return rounded(segments.matrix(rows).select("customer", "x_recency", "x_frequency", "x_monetary"), 5)
 
 
-def _labels(spark, sf_dir):
+def labelled(snapshots):
     label = F.when(F.col("recency") <= 90, "a").when(F.col("recency") <= 365, "b").otherwise("c")
-    return _snapshots(spark, sf_dir).select("window", "customer", label.alias("label"))
+    return snapshots.select("window", "customer", label.alias("label"))
+
+
+def _labels(spark, sf_dir):
+    return labelled(_snapshots(spark, sf_dir))
 
 
 def _table(spark, sf_dir):
@@ -79,47 +90,12 @@ def segments_mixture(spark, sf_dir):
     return rounded(segments.quality(_clusters(spark, sf_dir, "mixture")))
 
 
-@query(_sql("""SELECT model, fold, round(greatest(0, least(1, (30 - wape) / 15)) * 0.5, 6) AS reliability FROM (SELECT model, CAST(fold AS BIGINT) AS fold, 100 * sum(abs(actual - forecast)) / sum(abs(actual)) AS wape FROM m GROUP BY 1, 2)""", forecasts._MEMBERS))
-def reliability(spark, sf_dir):
-    scores = forecast.scores(forecasts._members(spark, sf_dir)[1], "model", "fold")
-    return scores.select("model", "fold", F.round(insight.forecast_reliability(F.col("wape"), F.lit(None).cast("double"), F.lit(0.8)), 6).alias("reliability"))
-
-
-def _signals(spark, sf_dir):
-    held = forecasts._members(spark, sf_dir)[1].where("fold = 0 and model = 'seasonal_naive'")
-    mined = rules.generate(rules.itemsets(_baskets(spark, sf_dir), 0.01, 2), 0.05, 1.0)
-    summary = rfm.segment_summary(rfm.scored(aggregates.customers(sales(spark, sf_dir, "invoice_id", "occurred_at", "customer_id", "quantity", "revenue", "is_return"))))
-    parts = (
-        insight.from_forecast(held, 0.5), insight.from_rules(mined, least=0.0, reliability=0.6),
-        insight.from_segments(summary.withColumnRenamed("segment", "name"), 0.4),
-    )
-    return stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "signals")
-
-
-@query(_sql("""SELECT series_id AS key, CASE WHEN c > 0.02 THEN 'up' WHEN c < -0.02 THEN 'down' ELSE 'flat' END AS direction, round(c, 6) AS magnitude
-FROM (SELECT series_id, (sum(forecast) - sum(actual)) / abs(sum(actual)) AS c FROM m WHERE fold = 0 AND model = 'seasonal_naive' GROUP BY 1)""", forecasts._MEMBERS))
-def signals_forecast(spark, sf_dir):
-    held = forecasts._members(spark, sf_dir)[1].where("fold = 0 and model = 'seasonal_naive'")
-    return insight.from_forecast(held).select("key", "direction", F.round("magnitude", 6).alias("magnitude"))
+@query(_sql("SELECT CAST(earlier AS BIGINT) AS earlier, CAST(later AS BIGINT) AS later, customers, round(ari, 6) AS adjusted_rand, round(retention, 6) AS retention FROM sp", _SNAP, STABILITY_SQL))
+def stability_windows(spark, sf_dir):
+    return rounded(segments.stability(_labels(spark, sf_dir)), 6)
 
 
-@query()
-def findings(spark, sf_dir):
-    got = insight.reconcile(_signals(spark, sf_dir))
-    return rounded(got.withColumn("sources", F.array_join("sources", ",")).withColumn("directions", F.array_join("directions", ",")).withColumn("silent", F.array_join("silent", ",")), 6)
-
-
-@query()
-def recommendations(spark, sf_dir):
-    got = insight.ranked(insight.deduplicated(insight.recommendations(insight.reconcile(_signals(spark, sf_dir)))))
-    return rounded(got.select("place", "scope", "key", "action", "priority", F.array_join("caveats", "; ").alias("caveats")), 6)
-
-
-@query()
-def presentation_isolated(spark, sf_dir):
-    return rounded(insight.isolated(_signals(spark, sf_dir)).select("source", "place", "scope", "key", "magnitude"), 6)
-
-
-@query()
-def recommendation_consistency(spark, sf_dir):
-    return rounded(insight.consistency(insight.recommendations(insight.reconcile(_signals(spark, sf_dir)))), 6)
+@query(_sql("""SELECT count(*) AS pairs, round(avg(ari), 6) AS mean_adjusted_rand, round(avg(ari) FILTER (later = earlier + 1), 6) AS mean_consecutive, round(avg(retention), 6) AS mean_retention, min(customers) AS thinnest,
+  CASE WHEN avg(ari) >= 0.75 THEN 'stable' WHEN avg(ari) >= 0.4 THEN 'moderately stable' ELSE 'unstable' END AS verdict FROM sp""", _SNAP, STABILITY_SQL))
+def stability_summary(spark, sf_dir):
+    return rounded(segments.stability_summary(segments.stability(_labels(spark, sf_dir))), 6)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import special
-from quern.operators import cleaning, forecast, insight, mapping, rfm, rules, segments, series, shape, statistics
+from quern.operators import cleaning, forecast, insight, mapping, order, rfm, rules, segments, series, shape, statistics
 from quern.plans.filters import Filters
 from quern.sources import files
 
@@ -256,18 +256,77 @@ def test_planted_clusters(spark):
     assert segments.quality(got).first().calinski_harabasz > 100 and len({r.name for r in segments.profiles(got).collect()}) == 2
 
 
+SIGNALS = (
+    "source string, kind string, scope string, key string, label string, direction int, magnitude double, nth long, evidence map<string,string>, "
+    "about array<string>, revenue_share double, score double, band string")
+
+
 def test_insight(spark):
-    signals = spark.createDataFrame(
-        [("forecast", "product", "p", "up", 0.5, 0.8, {"a": "1"}), ("association", "product", "p", "paired", 0.9, 0.6, {"a": "1"}), ("segmentation", "segment", "s", "even", 1.0, 0.4, {"a": "1"})],
-        "source string, scope string, key string, direction string, magnitude double, reliability double, evidence map<string,string>")
-    found = {r.key: r for r in insight.reconcile(signals).collect()}
-    assert found["p"].corroborated and found["p"].silent == ["segmentation"] and not found["s"].corroborated
-    best = insight.ranked(insight.deduplicated(insight.recommendations(insight.reconcile(signals)))).collect()
-    assert [r.action for r in best] == ["stock up, with its companion"] and best[0].caveats == ["no word from segmentation"]
-    with pytest.raises(ValueError):
-        insight.weights({"evidence": -1, "revenue": 1, "breadth": 1})
+    signals = spark.createDataFrame([
+        ("forecast", "demand_direction", "business", "__TOTAL__", "all", 1, 0.1, 0, {"pessimistic": "-0.1", "optimistic": "0.2"}, [], None, 0.8, "strong"),
+        ("segmentation", "revenue_concentration", "segment", "s", "s", 1, 2.0, 0, {"customers": "3"}, [], 0.6, 0.3, "weak"),
+        ("segmentation", "segment_outflow", "segment", "s", "s", -1, 0.4, 7, {"to": "t"}, ["t"], None, 0.3, "weak"),
+        ("association", "pairing", "product", "x -> y", "x -> y", 1, 0.9, 1, {"lift": "2"}, ["x", "y"], None, 0.6, "moderate"),
+        ("association", "durable_pairing", "product", "y -> x", "y -> x", 1, 0.8, 2, {"lift": "2"}, ["x", "y"], None, 0.6, "moderate"),
+        ("forecast", "demand_direction", "product", "x -> y", "x -> y", -1, 0.1, 0, {"pessimistic": "0", "optimistic": "0"}, [], None, 0.8, "strong"),
+    ], SIGNALS)
+    findings = insight.reconcile(signals)
+    found = {r.key: r for r in findings.collect()}
+    assert found["x -> y"].corroborated and found["x -> y"].conflicts == ["between sources"] and found["x -> y"].silent == ["segmentation"]
+    assert found["s"].conflicts == ["within segmentation"] and found["s"].weak == ["segmentation weak"] and found["s"].context == ["demand_direction"] and not found["__TOTAL__"].context
+    report = insight.integration_report(findings, signals).first()
+    assert (report.findings, report.corroborated, report.with_conflicts, report.shared_scopes) == (4, 1, 2, "product")
+    total = spark.createDataFrame([(100.0,)], "total double")
+    best = {r.key: r for r in insight.ranked(insight.deduplicated(insight.recommendations(findings, signals, total))).collect()}
+    assert set(best) == {"demand::total", "concentration::s", "outflow::s::t", "pairing::x | y"}
+    assert best["concentration::s"].revenue_at_stake == 60.0 and abs(best["concentration::s"].priority - (0.4 + 0.4 * 0.3)) < 1e-12
+    assert best["pairing::x | y"].corroborated and "not confirmed on later baskets" in best["pairing::x | y"].caveats
+    for bad in ({"revenue_at_stake": -1, "evidence_weight": 1, "corroboration": 1}, {"evidence_weight": 1}):
+        with pytest.raises(ValueError):
+            insight.weights(bad)
     row = spark.range(1).select(insight.forecast_reliability(F.lit(22.5), F.lit(0.8), F.lit(0.8)).alias("a"), insight.association_reliability(F.lit(1.0), F.lit(-1.0)).alias("b")).first()
     assert (row.a, row.b) == (0.5, 0.75)
+    scores = {r.source: (r.score, r.band) for r in insight.assess({"forecast": spark.createDataFrame([(0.75,)], "score double")}).collect()}
+    assert scores == {"forecast": (0.75, "strong"), "association": (0.0, "unknown"), "segmentation": (0.0, "unknown")}
+
+
+@pytest.mark.parametrize("n", [20, 51, 52, 103, 104])
+def test_seasonal_naive_by_length(spark, n):
+    """Below one season the last value; with drift, below two seasons the line through the ends."""
+    values = [float((7 * k) % 31 + k) for k in range(n)]
+    rows = [("s", 1, "train", None, k + 1, None, v) for k, v in enumerate(values)] + [("s", 1, "test", h, n + h, None, 0.0) for h in range(1, 6)]
+    split = spark.createDataFrame(rows, "series_id string, fold long, role string, step long, place long, period date, value double")
+    plain = {r.step: r.forecast for r in forecast.seasonal_naive(split, 52).collect()}
+    assert plain == {h: (values[n - 52 + h - 1] if n >= 52 else values[-1]) for h in range(1, 6)}
+    drift = {r.step: r.forecast for r in forecast.seasonal_naive(split, 52, with_drift=True).collect()}
+    change = sum(values[n - 52 + k] - values[n - 104 + k] for k in range(52)) / 52 if n >= 104 else None
+    for h in range(1, 6):
+        expected = values[n - 52 + h - 1] + change if n >= 104 else values[-1] + h * (values[-1] - values[0]) / (n - 1)
+        assert abs(drift[h] - expected) < 1e-9
+
+
+def test_segment_ladder(spark):
+    cells = {(5, 1, 4): "champions", (2, 5, 1): "loyal", (4, 2, 3): "new", (4, 3, 3): "potential_loyalist", (1, 1, 5): "at_risk", (3, 3, 3): "hibernating"}
+    rows = spark.createDataFrame([(*k, v) for k, v in cells.items()], "r int, f int, m int, expected string")
+    assert rows.where(rfm.segment(F.col("r"), F.col("f"), F.col("m")) != F.col("expected")).count() == 0
+
+
+def test_anomalies_guards(spark):
+    flat = spark.createDataFrame([(f"2020-01-{k + 1:02d}", 5.0) for k in range(20)], "period string, x double").select(F.col("period").cast("date").alias("period"), "x")
+    assert {r.reason for r in series.anomalies(flat, "x", period=7).collect()} == {"no spread"}
+    assert {r.reason for r in series.anomalies(flat.limit(5), "x", period=7).collect()} == {"too few periods"}
+
+
+def test_running_and_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(int(k % 3), float(v)) for k, v in enumerate(rng.integers(0, 40, 500))]
+    frame = spark.createDataFrame(data, "g long, x double").withColumn("id", F.monotonically_increasing_id())
+    got = order.numbered(frame, [F.desc("x"), "id"], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, 501)) and [r.x for r in got] == sorted((x for _, x in data), reverse=True)
+    for r in order.percentiles(frame, "x", [0.1, 0.5, 0.93], by=["g"]).collect():
+        assert np.allclose(r.p, np.quantile([x for g, x in data if g == r.g], [0.1, 0.5, 0.93]))
 
 
 def test_operators_take_frames_and_do_not_know_the_queries():

@@ -11,7 +11,7 @@ CHOSEN = [
     "sales_filtered", "sales_semi_category", "kpi_growth", "trend_week", "breakdown_customer", "product_periods_top", "rfm_base", "filter_options", "trend_points",
     "pareto_products", "gini_products", "hist_revenue_log", "describe_revenue", "calendar_dow", "gap_fill_day", "clean_reasons", "clean_rows", "mi_events",
     "corr_quantity_price", "kruskal_h", "mannwhitney_u", "discount_bands", "feature_table", "series_profile", "decompose_month", "anomaly_week", "rfm_scores",
-    "itemsets_2", "rules_pairs", "fc_folds", "fc_seasonal_drift", "fc_combination_median", "fc_intervals", "rfm_windows", "adjusted_rand", "stream_sessions",
+    "anomaly_day", "rfm_summary", "itemsets_2", "rules_pairs", "rules_tested", "rules_holdout", "rule_hazards", "recommendations", "fc_total", "fc_folds", "fc_seasonal_drift", "fc_combination_median", "fc_intervals", "rfm_windows", "adjusted_rand", "stream_sessions",
 ]
 
 
