@@ -275,20 +275,20 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, bits: str) -> DataFrame:
 
 def _arrays(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and its sorted hashes, for the wanted (node, rep): read again from the text of document rep."""
-    reps = wanted.select(F.col("rep.doc_id").alias("_id"), F.col("rep.hash").alias("_hash"), F.col("node").alias("_node"), "copies")
+    reps = wanted.select(F.col("rep.doc_id").alias("__quern_id"), F.col("rep.hash").alias("__quern_hash"), F.col("node").alias("__quern_node"), "copies")
     if wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
         reps = F.broadcast(reps)
-    chosen = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("_node", "text", "copies")
+    chosen = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("__quern_id")) & (F.col("hash") == F.col("__quern_hash"))).select("__quern_node", "text", "copies")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets, index = sets_of(part.column("text"))
                 blobs = [sets[lo:hi].tobytes() for lo, hi in zip(index[:-1].tolist(), index[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("_node"), pa.array(blobs, pa.binary())], ["node", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("__quern_node"), pa.array(blobs, pa.binary())], ["node", "members"])
 
     # rows repeated as a whole would give a node twice; nodes of one document cannot be repeated
-    once = chosen.where("copies = 1").union(chosen.where("copies > 1").dropDuplicates(["_node"]))
+    once = chosen.where("copies = 1").union(chosen.where("copies > 1").dropDuplicates(["__quern_node"]))
     return once.drop("copies").mapInArrow(run, "node long, members binary")
 
 
@@ -410,14 +410,14 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component (see `grouped`); of rows equal in doc_id and text one stays."""
-    chosen = grouped(docs).where("chosen").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_chosen"))
-    kept = docs.withColumn("_hash", F.xxhash64("text")).join(
-        chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_chosen")), "left_semi"
+    chosen = grouped(docs).where("chosen").select(F.col("doc_id").alias("__quern_id"), F.col("hash").alias("__quern_chosen"))
+    kept = docs.withColumn("__quern_hash", F.xxhash64("text")).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_hash") == F.col("__quern_chosen")), "left_semi"
     )
     n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     if n.ids + min(n.nulls, 1) < n.rows:
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return kept.drop("_hash")
+        kept = kept.dropDuplicates(["doc_id", "__quern_hash"])
+    return kept.drop("__quern_hash")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

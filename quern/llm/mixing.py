@@ -112,17 +112,17 @@ def decide(
 
 def mix(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mix itself: each row of docs as often as `decide` takes it, with docs' columns only."""
-    sized = docs.withColumn("_size", size)
-    taken = decide(sized.select("doc_id", "source", F.col("_size").alias("size")), **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "copies"
+    sized = docs.withColumn("__quern_size", size)
+    taken = decide(sized.select("doc_id", "source", F.col("__quern_size").alias("size")), **options).where("copies > 0").select(
+        F.col("doc_id").alias("__quern_id"), F.col("source").alias("__quern_source"), F.col("size").alias("__quern_words"), "copies"
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    return sized.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("__quern_id")) & F.col("source").eqNullSafe(F.col("__quern_source")) & (F.col("__quern_size") == F.col("__quern_words"))
+    return sized.join(taken, same).withColumn("__quern_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return decide(docs).withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
+    return decide(docs).withColumn("__quern_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
 

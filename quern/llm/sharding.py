@@ -43,19 +43,19 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     stored with them, the partitions' starts from their counts, so a rerun of a lost task cannot move them.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("_key", row_key(*[F.col(c) for c in df.columns]))
+    keyed = df.withColumn("__quern_key", row_key(*[F.col(c) for c in df.columns]))
     place = F.monotonically_increasing_id()
     placed = stored(
-        keyed.repartitionByRange(*order, "_key").sortWithinPartitions(*order, "_key")
-        .withColumn("_part", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND((1 << 33) - 1)).drop("_key"),
+        keyed.repartitionByRange(*order, "__quern_key").sortWithinPartitions(*order, "__quern_key")
+        .withColumn("__quern_part", F.shiftright(place, 33)).withColumn("__quern_at", place.bitwiseAND((1 << 33) - 1)).drop("__quern_key"),
         "numbered",
     )
     starts, before = [], 0
-    for part, n in sorted(placed.groupBy("_part").count().collect()):  # one number for each partition
+    for part, n in sorted(placed.groupBy("__quern_part").count().collect()):  # one number for each partition
         starts.append((part, before))
         before += n
-    first = spark.createDataFrame(starts, "_part long, _start long")
-    return placed.join(F.broadcast(first), "_part").withColumn("row_number", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    first = spark.createDataFrame(starts, "__quern_part long, __quern_start long")
+    return placed.join(F.broadcast(first), "__quern_part").withColumn("row_number", F.col("__quern_start") + F.col("__quern_at")).drop("__quern_part", "__quern_at", "__quern_start")
 
 
 def shard(df: DataFrame, shards: int = 24, seed: int = 7, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -75,9 +75,9 @@ def shard(df: DataFrame, shards: int = 24, seed: int = 7, order: tuple[str, ...]
             yield pd.Series(permute(part.to_numpy(), total, seed))
 
     return (
-        rows.withColumn("_p", permuted("row_number"))
-        .withColumn("shard", (F.col("_p") % shards).cast("int"))
-        .withColumn("slot", F.expr(f"_p div {shards}")).drop("_p")
+        rows.withColumn("__quern_p", permuted("row_number"))
+        .withColumn("shard", (F.col("__quern_p") % shards).cast("int"))
+        .withColumn("slot", F.expr(f"_p div {shards}")).drop("__quern_p")
     )
 
 

@@ -289,9 +289,9 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     in the original text.  Rows of equal doc_id and text count as one document and fare alike.
     Null texts stay null and empty ones empty; columns of these names are replaced.
     """
-    base = docs.drop("n_bytes", "n_removed", "removed").withColumn("_hash", F.xxhash64("text"))
-    spans = repeats(docs, least).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), "spans")
-    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
+    base = docs.drop("n_bytes", "n_removed", "removed").withColumn("__quern_hash", F.xxhash64("text"))
+    spans = repeats(docs, least).select(F.col("doc_id").alias("__quern_id"), F.col("hash").alias("__quern_h"), "spans")
+    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_hash") == F.col("__quern_h")), "left")
     raw = F.encode("text", "UTF-8")
     edges = F.concat(F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))), F.col("spans"))
     pieces = F.transform(edges, lambda x, k: F.substring(
@@ -301,7 +301,7 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["hi"] - x["lo"])
     removed = F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>"))
     return joined.select(
-        *[kept.alias("text") if c == "text" else F.col(c) for c in base.columns if c != "_hash"],
+        *[kept.alias("text") if c == "text" else F.col(c) for c in base.columns if c != "__quern_hash"],
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.coalesce(gone, F.lit(0)).alias("n_removed"), removed.alias("removed"),
     )

@@ -18,8 +18,8 @@ LENGTH = 400
 TRIGGER = 64
 #: Texts are parsed in pieces of so many string starts, which bounds memory for long texts.
 PIECE = 2 << 20
-#: Suffixes of a trigger's phrases are sorted in one task up to so many phrases; beyond, by digests of strings.
-TOGETHER = 20_000
+#: Phrases of the dictionary whose suffixes are put in order together.
+BLOCK = 4_000
 
 _BITS = np.uint64(30)
 _LOW = np.uint64((1 << 30) - 1)
@@ -145,71 +145,108 @@ def _parsed(docs: DataFrame, length: int, width: int) -> DataFrame:
 
 def _sliced(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Bytes of the wanted phrases, cut from the documents that hold them."""
-    held = wanted.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "trigger", "p1", "p2", "lo", "one")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
-    spot = held.groupBy("_id", "_hash").agg(F.collect_list(F.struct("trigger", "p1", "p2", "lo", "one")).alias("at"))
+    held = wanted.select(F.col("doc_id").alias("__quern_id"), F.col("hash").alias("__quern_hash"), "trigger", "p1", "p2", "phrases", "lo", "one")
+    same = F.col("doc_id").eqNullSafe(F.col("__quern_id")) & (F.col("hash") == F.col("__quern_hash"))
+    spot = held.groupBy("__quern_id", "__quern_hash").agg(F.collect_list(F.struct("trigger", "p1", "p2", "phrases", "lo", "one")).alias("at"))
     raw = F.encode("text", "UTF-8")
     return docs.join(spot, same).select(raw.alias("raw"), F.explode("at").alias("at")).select(
-        "at.trigger", "at.p1", "at.p2", F.substring(F.col("raw"), (F.col("at.lo") + 1).cast("int"), (F.col("at.one") - F.col("at.lo") + length).cast("int")).alias("bytes")
+        "at.trigger", "at.p1", "at.p2", "at.phrases", F.substring(F.col("raw"), (F.col("at.lo") + 1).cast("int"), (F.col("at.one") - F.col("at.lo") + length).cast("int")).alias("bytes")
     )
 
 
-_FOUND = "p1 long, p2 long, first long, last long"
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of every suffix of data in the order of its first `length` bytes; suffixes equal that far share one.
 
-
-def _strings(blobs: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Phrase, start and digests of each string of some phrases."""
-    sizes = np.array([len(b) for b in blobs])
-    counts = sizes - length + 1
-    owner = np.repeat(np.arange(len(blobs)), counts)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = start + (np.cumsum(sizes) - sizes)[owner]
-    d1, d2 = Digests(np.frombuffer(b"".join(blobs), np.uint8)).of(at, at + length)
-    return owner, start, d1, d2
-
-
-def _runs(p1: np.ndarray, p2: np.ndarray, owner: np.ndarray, start: np.ndarray) -> pa.Table:
-    """Runs of string starts by phrase, from starts in order."""
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(owner)]]) - 1 if len(first) else first
-    return pa.table({"p1": pa.array(p1[owner[first]]), "p2": pa.array(p2[owner[first]]), "first": pa.array(start[first]), "last": pa.array(start[last])})
-
-
-def _order_within(phrases: DataFrame, length: int) -> DataFrame:
-    """Sorts the suffixes of each trigger's phrases; strings equal to a neighbour in that order occur twice."""
+    A suffix array by prefix doubling: ranks by 8 bytes are refined to 16, 32 and so on by the rank
+    of the suffix that starts where the known bytes end.  A suffix that is alone with its rank
+    keeps it, so each round sorts only what is still tied.  A rank is the place of its first
+    suffix in the order, and suffixes past the end read zeros.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
+    known = min(8, length)
+    key = np.zeros(n, np.uint64)
+    for k in range(known):
+        key = (key << np.uint64(8)) | padded[k : k + n]
+    rank = np.zeros(n + length, np.int64)
+    tied, first = np.argsort(key, kind="stable"), np.zeros(n, np.int64)
+    key = key[tied]
+    while True:
+        # tied: suffixes whose rank (first) is shared, in its order; key: what tells them apart now
+        new = np.ones(len(tied), bool)
+        new[1:] = (key[1:] != key[:-1]) | (first[1:] != first[:-1])
+        group = np.ones(len(tied), bool)
+        group[1:] = first[1:] != first[:-1]
+        at = np.arange(len(tied))
+        start, base = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(group, at, 0))
+        first = first + start - base
+        rank[tied] = first
+        alone = new & np.append(new[1:], True)
+        tied, first = tied[~alone], first[~alone]
+        if known == length or not len(tied):
+            return rank[:n]
+        step = min(known, length - known)  # so many bytes more: what the suffix `step` further knows
+        both = (first << 32) | rank[tied + step]
+        order = np.argsort(both)
+        tied, first, key = tied[order], first[order], both[order]
+        known += step
+
+
+_FOUND = "p1 long, p2 long, first long, last long, d1 long, d2 long"
+
+
+def _dictionary_order(phrases: DataFrame, length: int, block: int) -> DataFrame:
+    """Suffix order of the dictionary, block by block of whole phrases.
+
+    Rows with first and last are runs of string starts of a phrase whose neighbour in the block's
+    suffix order is equal for `length` bytes.  Blocks hold whole triggers; only a trigger of more
+    phrases than a block takes several, and its blocks also give one row with digests for each
+    string that none before it in their order equals, by which the orders are merged.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         p1, p2 = group.column("p1").to_numpy(), group.column("p2").to_numpy()
-        owner, start, d1, d2 = _strings(group.column("bytes").to_pylist(), length)
-        order = np.lexsort((d2, d1))
-        same = (d1[order[1:]] == d1[order[:-1]]) & (d2[order[1:]] == d2[order[:-1]])
+        spread = group.column("spread").to_numpy(zero_copy_only=False).astype(bool)
+        blobs = group.column("bytes").to_pylist()
+        sizes = np.array([len(b) for b in blobs])
+        data, offsets = np.frombuffer(b"".join(blobs), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, offsets[:-1], 1)
+        np.add.at(inside, offsets[:-1] + np.maximum(sizes - length + 1, 0), -1)
+        starts = np.flatnonzero(np.cumsum(inside)[: len(data)] > 0)
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        rank = suffix_ranks(data, length)[starts]
+        order = np.argsort(rank, kind="stable")
+        equal = rank[order[1:]] == rank[order[:-1]]  # neighbours whose common prefix is `length` or more
         twice = np.zeros(len(order), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        return _runs(p1, p2, owner[twice], start[twice])
-
-    return phrases.groupBy("trigger").applyInArrow(run, _FOUND)
-
-
-def _order_across(phrases: DataFrame, length: int) -> DataFrame:
-    """The same for triggers of very many phrases: strings meet by digest, in sums made on each side of a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                owner, start, d1, d2 = _strings(part.column("bytes").to_pylist(), length)
-                row = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("p1").take(row), part.column("p2").take(row), pa.array(start), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))],
-                    ["p1", "p2", "start", "d1", "d2"],
-                )
-
-    strings = phrases.select("p1", "p2", "bytes").mapInArrow(run, "p1 long, p2 long, start long, d1 long, d2 long")
-    twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(twice, ["d1", "d2"]).select("p1", "p2", F.col("start").alias("first"), F.col("start").alias("last"))
+        twice[order[1:][equal]] = True
+        twice[order[:-1][equal]] = True
+        own, at = owner[twice], (starts - offsets[owner])[twice]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.concatenate([head[1:], [len(own)]]) - 1 if len(head) else head
+        leads = np.ones(len(order), bool)
+        leads[1:] = ~equal
+        lead = order[leads]
+        lead = lead[spread[owner[lead]]]
+        d1, d2 = Digests(data).of(starts[lead], starts[lead] + length) if len(lead) else (np.zeros(0, np.uint64),) * 2
+        place = (starts - offsets[owner])[lead]
+        none = [None] * len(head)
+        return pa.table({
+            "p1": pa.array(np.concatenate([p1[own[head]], p1[owner[lead]]])), "p2": pa.array(np.concatenate([p2[own[head]], p2[owner[lead]]])),
+            "first": pa.array(np.concatenate([at[head], place])), "last": pa.array(np.concatenate([at[tail], place])),
+            "d1": pa.array([*none, *d1.view(np.int64).tolist()], pa.int64()), "d2": pa.array([*none, *d2.view(np.int64).tolist()], pa.int64()),
+        })
+
+    blocks = max(1, phrases.count() // block)
+    spread = F.col("phrases") > block
+    salt = F.when(spread, F.pmod("p1", F.ceil(F.col("phrases") / block))).otherwise(F.lit(0))
+    dealt = phrases.select("p1", "p2", "bytes", spread.alias("spread"), F.pmod("trigger", F.lit(blocks)).alias("block"), salt.cast("long").alias("salt"))
+    found = stored(dealt.groupBy("block", "salt").applyInArrow(run, _FOUND), "order")
+    merged = found.where("d1 is not null")
+    twice = merged.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return found.where("d1 is null").select("p1", "p2", "first", "last").union(merged.join(twice, ["d1", "d2"]).select("p1", "p2", "first", "last"))
 
 
 CUT = T.StructType([
@@ -219,14 +256,16 @@ CUT = T.StructType([
 ])
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, together: int = TOGETHER) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, block: int = BLOCK) -> DataFrame:
     """doc_id, hash and spans (lo, hi in bytes, unsorted) that strings found twice cover; docs has doc_id, hash, text.
 
-    Texts are parsed into phrases at triggers of a rolling hash.  The dictionary holds each phrase
-    once, with its number of occurrences in all parses.  A string is found twice if its phrase
-    occurs twice, or if the suffix order of the dictionary puts an equal string next to it.  Equal
-    strings have equal triggers, so that order is made trigger by trigger, and only triggers with
-    several different phrases need their bytes.
+    Texts are parsed into phrases at triggers of a rolling hash; phrases overlap so far that each
+    string lies in one.  The dictionary holds each phrase once, with its number of occurrences in
+    all parses.  Corpus order is the order of the dictionary's suffixes, and under each of them
+    that of the parses: a string is found twice if its phrase occurs twice in the parses, or if
+    the suffix order of the dictionary puts an equal string next to it.  Equal strings have equal
+    triggers, so only triggers with several phrases need that order, and blocks of whole triggers
+    can be put in order apart.
     """
     parses = stored(_parsed(docs, length, width), "parses")
     dictionary = stored(
@@ -237,25 +276,20 @@ def repeated(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, togeth
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
     wanted = dictionary.join(shared, "trigger").select("trigger", "p1", "p2", "phrases", "at.*")
     phrases = stored(_sliced(docs, wanted, length), "phrases")
-    hot = shared.where(F.col("phrases") > together).select("trigger")
-    few, many = phrases, None
-    if not hot.isEmpty():
-        few, many = phrases.join(hot, "trigger", "left_anti"), phrases.join(hot, "trigger", "left_semi")
-    found = _order_within(few, length)
-    if many is not None:
-        found = found.union(_order_across(many, length))
-    inside = found.groupBy("p1", "p2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    found = _dictionary_order(phrases, length, block)
+    inside = found.groupBy("p1", "p2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # runs of one phrase
     whole = dictionary.where("n > 1").select("p1", "p2", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("runs"))
     partly = inside.join(dictionary.where("n = 1").select("p1", "p2"), ["p1", "p2"])
     covered = whole.union(partly.select("p1", "p2", "runs"))
     spans = F.when(F.col("runs").isNull(), F.array(F.struct(F.col("lo").alias("lo"), (F.col("hi") + length).alias("hi")))).otherwise(
         F.transform("runs", lambda r: F.struct((F.col("lo") + r["first"]).alias("lo"), (F.col("lo") + r["last"] + length).alias("hi")))
     )
-    marked = parses.select("p1", "p2", "doc_id", "hash", "lo", "hi").join(covered, ["p1", "p2"]).select("doc_id", "hash", spans.alias("spans"))
-    return marked.groupBy("doc_id", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    marked = parses.select("p1", "p2", "doc_id", "hash", "lo", "hi").join(covered, ["p1", "p2"]).select("doc_id", "hash", F.explode(spans).alias("span"))
+    # a set: rows repeated as a whole have their spans once, however many they are
+    return marked.groupBy("doc_id", "hash").agg(F.collect_set("span").alias("spans"))
 
 
-def cut(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, together: int = TOGETHER) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, block: int = BLOCK) -> DataFrame:
     """docs (columns doc_id, text) with n_bytes, n_removed, n_spans, kept_sha256, kept and removed.
 
     Each byte of a text's UTF-8 form goes that a `length`-byte string covers which also starts
@@ -265,11 +299,11 @@ def cut(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, together: i
     Null texts count as empty, shorter ones lose nothing, repeated rows are copies of each other;
     columns of docs of these names are replaced.
     """
-    base = docs.drop(*CUT.fieldNames()).withColumn("_hash", F.xxhash64("text"))
-    keyed = base.select("doc_id", F.col("_hash").alias("hash"), "text")
-    spans = repeated(keyed, length, width, together).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h"), F.col("spans").alias("_spans"))
-    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left").drop("_id", "_h", "_hash")
-    own = [f for f in joined.schema.fields if f.name != "_spans"]
+    base = docs.drop(*CUT.fieldNames()).withColumn("__quern_hash", F.xxhash64("text"))
+    keyed = base.select("doc_id", F.col("__quern_hash").alias("hash"), "text")
+    spans = repeated(keyed, length, width, block).select(F.col("doc_id").alias("__quern_id"), F.col("hash").alias("__quern_h"), F.col("spans").alias("__quern_spans"))
+    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_hash") == F.col("__quern_h")), "left").drop("__quern_id", "__quern_h", "__quern_hash")
+    own = [f for f in joined.schema.fields if f.name != "__quern_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
@@ -278,7 +312,7 @@ def cut(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, together: i
                 rows: list[tuple] = []
                 data, offsets = layout(part.column("text"))
                 raw = data.tobytes()
-                for k, found in enumerate(part.column("_spans").to_pylist()):
+                for k, found in enumerate(part.column("__quern_spans").to_pylist()):
                     text = raw[offsets[k] : offsets[k + 1]]
                     runs: list[list[int]] = []
                     for lo, hi in sorted((s["lo"], s["hi"]) for s in found or ()):

@@ -76,17 +76,17 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
     if ruled.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         ruled = F.broadcast(ruled)
     places = keyed.select("host", "path").distinct()
-    spread = places.withColumn("_x", F.explode(expressions(F.col("host"), F.col("path"), labels, lengths))).withColumn(
-        "_digest", digest(F.col("_x.host"), F.col("_x.path"))
+    spread = places.withColumn("__quern_x", F.explode(expressions(F.col("host"), F.col("path"), labels, lengths))).withColumn(
+        "__quern_digest", digest(F.col("_x.host"), F.col("_x.path"))
     )
-    met = spread.join(ruled, F.substring("_digest", 1, 8) == F.col("r_short")).where(F.col("_digest") == F.col("r_digest"))
+    met = spread.join(ruled, F.substring("__quern_digest", 1, 8) == F.col("r_short")).where(F.col("__quern_digest") == F.col("r_digest"))
     weight = F.struct(
         (F.char_length("r_host") + F.char_length("r_path")).alias("long"), F.char_length("r_host").alias("host"),
         (F.col("r_verdict") == "block").alias("block"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"),
     )
-    best = met.groupBy("host", "path").agg(F.max(weight).alias("_best"))
+    best = met.groupBy("host", "path").agg(F.max(weight).alias("__quern_best"))
     return keyed.join(best, ["host", "path"], "left").select(
-        *[c for c in keyed.columns], F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict")
+        *[c for c in keyed.columns], F.col("__quern_best.rule").alias("rule"), F.coalesce(F.col("__quern_best.verdict"), F.lit(default)).alias("verdict")
     )
 
 

@@ -44,7 +44,29 @@ def test_against_brute_force(spark, monkeypatch):
         rows = case(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         assert got(suffixes.cut(docs, 40, 8)) == brute(rows, 40)
-        assert got(suffixes.cut(docs, 40, 8, together=3)) == brute(rows, 40)
+        assert got(suffixes.cut(docs, 40, 8, block=3)) == brute(rows, 40)
+
+
+def test_suffix_ranks():
+    import numpy as np
+
+    rng = random.Random(5)
+    for letters, n, length in (("ab", 300, 40), ("abc", 200, 13), ("a", 50, 8), ("abcdef", 400, 5)):
+        raw = "".join(rng.choice(letters) for _ in range(n)).encode()
+        rank = suffixes.suffix_ranks(np.frombuffer(raw, np.uint8), length)
+        cut = [(raw + b"\0" * length)[k : k + length] for k in range(n)]
+        for i in range(n - length):
+            for j in range(0, n - length, 7):
+                assert (rank[i] < rank[j]) == (cut[i] < cut[j]) and (rank[i] == rank[j]) == (cut[i] == cut[j])
+
+
+def test_long_text_through_spark(spark):
+    """One text longer than a piece, which repeats itself across the pieces' edge."""
+    rng = random.Random(9)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(suffixes.PIECE + 3_000))
+    text = body + body[suffixes.PIECE - 700 : suffixes.PIECE + 900]
+    row = suffixes.cut(spark.createDataFrame([(1, text)], "doc_id long, text string")).drop("kept").first()
+    assert row.n_removed == 2 * 1600 and [(r.lo, r.hi) for r in row.removed] == [(suffixes.PIECE - 700, suffixes.PIECE + 900), (len(body), len(body) + 1600)]
 
 
 def test_pieces_of_long_texts():
@@ -71,3 +93,6 @@ def test_repeated_rows_clashing_names_and_empty_table(spark):
     rows = suffixes.cut(docs)
     assert sorted((r.n_removed for r in rows.collect())) == [0, 420, 800, 800]
     assert suffixes.cut(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "kept as _hash", "1 as _spans", "2 as hash", "3 as _h", "4 as _id", "5 as removed")
+    got_rows = suffixes.cut(clash).collect()
+    assert sorted(r.n_removed for r in got_rows) == [0, 420, 800, 800] and {r["_hash"] for r in got_rows} == {"a", "b", "c", "d"} and {r["_spans"] for r in got_rows} == {1}
