@@ -77,7 +77,7 @@ def shard(df: DataFrame, shards: int = 24, seed: int = 7, order: tuple[str, ...]
     return (
         rows.withColumn("__quern_p", permuted("row_number"))
         .withColumn("shard", (F.col("__quern_p") % shards).cast("int"))
-        .withColumn("slot", F.expr(f"_p div {shards}")).drop("__quern_p")
+        .withColumn("slot", F.expr(f"__quern_p div {shards}")).drop("__quern_p")
     )
 
 

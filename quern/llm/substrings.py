@@ -13,73 +13,25 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, layout, mix, slices, stored, table, word_hashes, words
 from quern.llm.decontaminate import WORD
 
-#: A unit ends with the sentence or line that brings it to so many words; a line's rest of fewer words
-#: is a unit too, but is never removed.
-MIN_WORDS = 6
-
-#: Texts are also cut by content, wherever lines and sentences end: a piece starts at the least of any WINDOW
+#: Texts are cut into lines, and also by content, wherever lines end: a piece starts at the least of any WINDOW
 #: word pairs in a row, so two copies of a passage are cut alike but for WINDOW words at each end.  Neighbouring
-#: pieces seen before are removed where they run to RUN_WORDS; a passage of 2 * WINDOW + RUN_WORDS words does.
+#: lines and pieces seen before are removed where they run to RUN_WORDS words: whole lines of so many, shorter
+#: ones side by side, and any passage of 2 * WINDOW + RUN_WORDS words wherever it stands.  A short line that
+#: repeats on its own (a heading, a licence line) stays.
 WINDOW = 13
 RUN_WORDS = 24
 
+#: A digest with over one of so many repeated rows is hot (so there are fewer of them than this) and is joined in so many parts.
+HOT_SHARE, HOT_PARTS = 1_000, 64
+
 #: A bit map of the digests found twice, 8 bits a digest between these bounds, sorts out most rows that were found once.
 MAP_BITS = (1 << 19, 1 << 28)
 BLOCK_BITS = 1 << 15
 
-_STOP = np.zeros(256, dtype=bool)
-_STOP[list(b".!?")] = True
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
 def _running(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(values)])
 
 
-def units(texts: pa.Array, least: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """Of all texts: document, start and end in bytes, words, and two 64-bit digests of each unit.
-
-    A unit's digests are of its words in lower case without punctuation.  It reaches from its first
-    word to the next unit's first word; a text's first unit starts at 0, the last ends with the text.
-    """
-    data, offsets = layout(texts)
-    lower = LOWER[data]
-    starts, ends, firsts = words(lower, offsets, WORD)
-    n = len(starts)
-    if not n:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
-    last = np.zeros(n, bool)
-    last[firsts[1:][np.diff(firsts) > 0] - 1] = True
-    ender = np.zeros(len(data), bool)
-    ender[:-1] = _STOP[data[:-1]] & _BLANK[data[1:]]
-    stops, lines = _running(ender), _running(data == 10)
-    following = np.concatenate([starts[1:], [len(data)]])
-    hard = last | (lines[following] > lines[ends])
-    soft = hard | (stops[following] > stops[ends])
-    closes, held = [], 0
-    before = -1
-    for k, final in zip(np.flatnonzero(soft).tolist(), hard[soft].tolist(), strict=True):
-        held += k - before
-        before = k
-        if final or held >= least:
-            closes.append(k)
-            held = 0
-    close = np.array(closes)
-    begin = np.concatenate([[0], close[:-1] + 1])
-    size = close - begin + 1
-    hashes = word_hashes(lower, starts, ends)
-    place = (np.arange(n) - np.repeat(begin, size)).astype(np.uint64)
-    one = mix(np.add.reduceat(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), begin) + size.astype(np.uint64))
-    two = mix(np.add.reduceat(mix(hashes ^ mix(place + np.uint64(77))), begin) + size.astype(np.uint64))
-    doc = np.searchsorted(firsts, begin, "right") - 1
-    new = np.concatenate([[True], doc[1:] != doc[:-1]])
-    lo = np.where(new, offsets[doc], starts[begin])
-    hi = np.concatenate([lo[1:], [len(data)]])
-    hi = np.where(np.concatenate([new[1:], [True]]), offsets[doc + 1], hi)
-    return doc, lo - offsets[doc], hi - offsets[doc], size, one, two
-
-
 def _unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each code point of a script without spaces (Thai to Tibetan, Burmese, Khmer, kana, Han)."""
     lead = np.flatnonzero((data >= 0xE0) & (data <= 0xF0))
@@ -113,21 +65,47 @@ def _sliding(values: np.ndarray, width: int, least: np.ufunc) -> np.ndarray:
     return out
 
 
-def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of all texts: document, start and end in bytes, first and last word (exclusive), and a digest of each two neighbouring pieces.
+def _digests(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit digest of each run of words, from their hashes and places."""
+    place = (np.arange(len(hashes)) - np.repeat(begin, size)).astype(np.uint64)
+    return mix(np.add.reduceat(mix(hashes ^ mix(place + np.uint64(seed))), begin) + size.astype(np.uint64))
+
+
+def _edges(begin: np.ndarray, starts: np.ndarray, owner: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, and start and end in bytes, of runs of words that follow each other: from a run's first word to the next one's, a text's first run from 0 and its last to the end."""
+    doc = owner[begin]
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    lo = np.where(new, offsets[doc], starts[begin])
+    hi = np.where(np.concatenate([new[1:], [True]]), offsets[doc + 1], np.concatenate([lo[1:], [end]]))
+    return doc, lo, hi
+
+
+def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Of all texts, first the lines, then each two neighbouring pieces: document, start and end in bytes, first and last word (exclusive), two 64-bit digests.
 
-    A text of one piece has that one alone.
+    Digests are of words in lower case without punctuation; a piece's second digest is 0, a line's
+    never is.  A text of one piece has that one alone.
     """
     data, offsets = layout(texts)
     lower = LOWER[data]
     starts, ends, firsts = tokens(lower, offsets)
     n = len(starts)
     if not n:
-        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint64),)
+        return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0, np.uint64),) * 2
     hashes = word_hashes(lower, starts, ends)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
     opens = np.zeros(n, bool)
     opens[firsts[:-1][np.diff(firsts) > 0]] = True
+
+    feeds = _running(data == 10)
+    line = opens.copy()
+    line[1:] |= feeds[starts[1:]] > feeds[starts[:-1]]
+    begin = np.flatnonzero(line)
+    size = np.diff(np.concatenate([begin, [n]]))
+    doc, lo, hi = _edges(begin, starts, owner, offsets, len(data))
+    one, two = _digests(hashes, begin, size, 77), _digests(hashes, begin, size, 1_234_567) | np.uint64(1)
+    lines = (doc, lo - offsets[doc], hi - offsets[doc], begin - firsts[doc], begin + size - firsts[doc], one, two)
+
     ends_doc = np.concatenate([opens[1:], [True]])
     value = mix(hashes * np.uint64(3) + mix(np.concatenate([hashes[1:], [np.uint64(0)]])))
     value[ends_doc] = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -142,19 +120,16 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, ...]:
         cut[chosen[~tied]] = True
     begin = np.flatnonzero(cut)
     size = np.diff(np.concatenate([begin, [n]]))
-    place = (np.arange(n) - np.repeat(begin, size)).astype(np.uint64)
-    digest = mix(np.add.reduceat(mix(hashes + place * np.uint64(0x9E3779B97F4A7C15)), begin) + size.astype(np.uint64))
-    doc = owner[begin]
+    digest = _digests(hashes, begin, size, 5)
+    doc, lo, hi = _edges(begin, starts, owner, offsets, len(data))
     last = np.concatenate([doc[1:] != doc[:-1], [True]])
-    lo = np.where(opens[begin], offsets[doc], starts[begin])
-    hi = np.where(last, offsets[doc + 1], np.concatenate([lo[1:], [len(data)]]))
     first, until = begin - firsts[doc], begin + size - firsts[doc]
-    mate = np.minimum(np.arange(len(begin)) + 1, len(begin) - 1)
     alone = last & opens[begin]
     rows = np.flatnonzero(~last | alone)
-    mate = np.where(alone, np.arange(len(begin)), mate)[rows]
+    mate = np.where(alone, np.arange(len(begin)), np.minimum(np.arange(len(begin)) + 1, len(begin) - 1))[rows]
     both = mix(digest[rows] * np.uint64(5) + mix(np.where(alone[rows], np.uint64(1), digest[mate]) + np.uint64(9)))
-    return doc[rows], (lo - offsets[doc])[rows], hi[mate] - offsets[doc[rows]], first[rows], until[mate], both
+    pairs = (doc[rows], (lo - offsets[doc])[rows], hi[mate] - offsets[doc[rows]], first[rows], until[mate], both, np.zeros(len(rows), np.uint64))
+    return tuple(np.concatenate(x) for x in zip(lines, pairs, strict=True))
 
 
 def _bit_map(digests: DataFrame) -> np.ndarray:
@@ -179,8 +154,8 @@ def _bit_map(digests: DataFrame) -> np.ndarray:
     return out
 
 
-def _unit_rows(docs: DataFrame, least: int, known: Broadcast | None = None) -> DataFrame:
-    """A row for each unit of at least `least` words and each two pieces (their `two` is 0).
+def _unit_rows(docs: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """A row for each line and each two pieces (their `two` is 0).
 
     again: an earlier row of the document has the same digests.  Rows that the bit map `known` lacks are left out.
     """
@@ -188,12 +163,7 @@ def _unit_rows(docs: DataFrame, least: int, known: Broadcast | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                doc, lo, hi, size, one, two = units(part.column("text"), least)
-                long = size >= least
-                none = np.zeros(int(long.sum()), np.int64)
-                more = pieces(part.column("text"))
-                doc, lo, hi, first, until, one = (np.concatenate(x) for x in zip((doc[long], lo[long], hi[long], none, none, one[long]), more, strict=True))
-                two = np.concatenate([two[long], np.zeros(len(more[0]), np.uint64)])
+                doc, lo, hi, first, until, one, two = units(part.column("text"))
                 key = mix(one ^ mix(doc.astype(np.uint64)))
                 order = np.argsort(key, kind="stable")
                 again = np.zeros(len(key), bool)
@@ -215,36 +185,21 @@ def _unit_rows(docs: DataFrame, least: int, known: Broadcast | None = None) -> D
     return docs.mapInArrow(run, "one long, two long, doc_id long, hash long, lo int, hi int, first_word int, until_word int, again boolean")
 
 
-def spans_of(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
-    """Sorted spans of a document's repeated units, and between them of runs of pieces of RUN_WORDS words.
+def spans_of(found: list[tuple[int, int, int, int]], least: int = RUN_WORDS) -> list[tuple[int, int]]:
+    """Sorted spans of a document's runs of repeated lines and pieces of at least `least` words.
 
-    found: (lo, hi, first word, end word), the last 0 for units.  Pieces run on where one's rows overlap.
+    found: (lo, hi, first word, end word).  Units run on where one begins before or where the run ends.
     """
-    whole = sorted(x[:2] for x in found if not x[3])
     runs: list[list[int]] = []
-    for lo, hi, first, until in sorted(x for x in found if x[3]):
-        if runs and lo < runs[-1][1]:
+    for lo, hi, first, until in sorted(found):
+        if runs and lo <= runs[-1][1]:
             runs[-1][1], runs[-1][3] = max(runs[-1][1], hi), max(runs[-1][3], until)
         else:
             runs.append([lo, hi, first, until])
-    out, k = list(whole), 0
-    for lo, hi, first, until in runs:
-        if until - first < RUN_WORDS:
-            continue
-        while k < len(whole) and whole[k][1] <= lo:
-            k += 1
-        j = k
-        while j < len(whole) and whole[j][0] < hi:
-            if lo < whole[j][0]:
-                out.append((lo, whole[j][0]))
-            lo = max(lo, whole[j][1])
-            j += 1
-        if lo < hi:
-            out.append((lo, hi))
-    return sorted(out)
-
-
-def _spans(grouped: DataFrame) -> DataFrame:
+    return [(lo, hi) for lo, hi, first, until in runs if until - first >= least]
+
+
+def _spans(grouped: DataFrame, least: int) -> DataFrame:
     """doc_id, hash and spans, from found; documents without any fall away."""
     schema = "doc_id long, hash long, spans array<struct<lo:int,hi:int>>"
 
@@ -254,7 +209,7 @@ def _spans(grouped: DataFrame) -> DataFrame:
             flat = batch.column("found").flatten()
             rows = list(zip(*(flat.field(c).to_pylist() for c in ("lo", "hi", "first_word", "until_word")), strict=True))
             offsets = np.concatenate([[0], np.cumsum(batch.column("found").value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-            spans = [spans_of(rows[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            spans = [spans_of(rows[a:b], least) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             some = [k for k, x in enumerate(spans) if x]
             made = pa.array([[{"lo": lo, "hi": hi} for lo, hi in spans[k]] for k in some], kind)
             at = pa.array(some, pa.int64())
@@ -263,43 +218,53 @@ def _spans(grouped: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, hash and the sorted spans (lo, hi in bytes of the text) of units that occurred earlier.
+def repeats(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
+    """doc_id, hash and the sorted spans (lo, hi in bytes of the text) of passages that occurred earlier.
 
     Digests meet in one aggregation with partial sums, so a line that a third of all documents
     share sends one row from each task; only digests found twice go back to the units, in a join
-    that is split where it is skewed and that a bit map keeps small.
+    that a bit map keeps small.  In it a hot digest's rows are dealt to HOT_PARTS parts.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     rank = F.struct("doc_id", "hash")
-    first = stored(_unit_rows(keyed, least).groupBy("one", "two").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
-        "one", "two", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash")
+    first = stored(_unit_rows(keyed).groupBy("one", "two").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+        "one", "two", "n", F.col("first.doc_id").alias("first_id"), F.col("first.hash").alias("first_hash")
     ), "units")
     known = docs.sparkSession.sparkContext.broadcast(_bit_map(first))
+    total = first.agg(F.sum("n").alias("total"))
+    marked = stored(first.join(F.broadcast(total)).withColumn("parts", F.when(F.col("n") * HOT_SHARE > F.col("total"), HOT_PARTS).otherwise(1)).drop("n", "total"), "marked")
+    hot = F.broadcast(marked.where("parts > 1").select("one", "two", "parts"))  # fewer than HOT_SHARE rows
+    part = F.pmod(F.xxhash64("doc_id", "hash"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = _unit_rows(keyed, known).join(hot, ["one", "two"], "left").withColumn("part", part).drop("parts")
+    firsts = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")) & ~F.col("again")
-    later = _unit_rows(keyed, least, known).join(first, ["one", "two"]).where(~stays)
-    return _spans(later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("lo", "hi", "first_word", "until_word")).alias("found")))
+    later = dealt.join(firsts, ["one", "two", "part"]).where(~stays)
+    return _spans(later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("lo", "hi", "first_word", "until_word")).alias("found")), least)
+
 
+def deduplicated(docs: DataFrame, least: int = RUN_WORDS) -> DataFrame:
+    """docs (columns doc_id, text) without passages of `least` words or more that an earlier document, or the same one, had before.
 
-def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """docs (columns doc_id, text) without the units that an earlier document, or the same one, had before.
+    The units are lines, hashed by their words in lower case without punctuation, and pieces cut by
+    content for passages that do not fill lines.  Documents rank by doc_id, null first, then by a
+    hash of the text; the first occurrence of a unit in that order stays.  Runs of later ones go.
+    Added: n_bytes, n_removed, and removed, the spans cut out as byte offsets in the original text.
 
-    Documents rank by doc_id, null first, then by a hash of the text; the first occurrence of a unit
-    in that order stays.  Added: n_bytes, n_removed, and removed, the spans cut out as byte offsets
-    in the original text.  Rows of equal doc_id and text count as one document and fare alike.
-    Null texts stay null and empty ones empty; columns of these names are replaced.
+    Rows of equal doc_id and text count as one document and fare alike.  Null texts stay null,
+    empty ones and those without a word stay as they are, an empty table stays empty; texts are
+    read whole, whatever their length.  Columns of the added names are replaced.
     """
     base = docs.drop("n_bytes", "n_removed", "removed").withColumn("__quern_hash", F.xxhash64("text"))
-    spans = repeats(docs, least).select(F.col("doc_id").alias("__quern_id"), F.col("hash").alias("__quern_h"), "spans")
+    spans = repeats(docs, least).select(F.col("doc_id").alias("__quern_id"), F.col("hash").alias("__quern_h"), F.col("spans").alias("__quern_spans"))
     joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("__quern_id")) & (F.col("__quern_hash") == F.col("__quern_h")), "left")
     raw = F.encode("text", "UTF-8")
-    edges = F.concat(F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))), F.col("spans"))
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))), F.col("__quern_spans"))
     pieces = F.transform(edges, lambda x, k: F.substring(
-        raw, x["hi"] + 1, F.coalesce(F.try_element_at(F.col("spans.lo"), k + 1), F.octet_length("text")) - x["hi"]))
-    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(
+        raw, x["hi"] + 1, F.coalesce(F.try_element_at(F.col("__quern_spans.lo"), k + 1), F.octet_length("text")) - x["hi"]))
+    kept = F.when(F.col("__quern_spans").isNull(), F.col("text")).otherwise(
         F.decode(F.unhex(F.array_join(F.transform(pieces, F.hex), "")), "UTF-8"))
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["hi"] - x["lo"])
-    removed = F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>"))
+    gone = F.aggregate("__quern_spans", F.lit(0).cast("long"), lambda total, x: total + x["hi"] - x["lo"])
+    removed = F.coalesce("__quern_spans", F.array().cast("array<struct<lo:int,hi:int>>"))
     return joined.select(
         *[kept.alias("text") if c == "text" else F.col(c) for c in base.columns if c != "__quern_hash"],
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),

@@ -61,14 +61,15 @@ def test_least_passage_is_found():
     for _ in range(200):
         words = [f"w{rng.randint(0, 10**6)}" for _ in range(51)]
         a, b = (" ".join([*prose(rng, rng.randint(0, 40)), *words, *prose(rng, rng.randint(0, 40))]) for _ in range(2))
-        doc, lo, hi, first, until, digest = substrings.pieces(pa.array([a, b]))
+        doc, lo, hi, first, until, digest, two = substrings.units(pa.array([a, b]))
+        doc, lo, hi, first, until, digest = (x[two == 0] for x in (doc, lo, hi, first, until, digest))
         known = set(digest[doc == 0].tolist())
         found = [x[1:5] for x in zip(doc.tolist(), lo.tolist(), hi.tolist(), first.tolist(), until.tolist(), digest.tolist()) if x[0] == 1 and x[5] in known]
         spans = substrings.spans_of([tuple(x) for x in found])
         assert len(spans) == 1 and len(b[spans[0][0] : spans[0][1]].split()) >= substrings.RUN_WORDS
 
 
-def test_spans_keep_units():
-    units = [(10, 20, 0, 0), (30, 40, 0, 0)]
-    assert substrings.spans_of([*units, (0, 15, 3, 20), (12, 50, 12, 30)]) == [(0, 10), (10, 20), (20, 30), (30, 40), (40, 50)]
-    assert substrings.spans_of([*units, (0, 15, 3, 20)]) == [(10, 20), (30, 40)]
+def test_spans_run_over_lines_and_pieces():
+    assert substrings.spans_of([(10, 20, 3, 6), (30, 40, 12, 15)]) == []
+    assert substrings.spans_of([(10, 20, 3, 6), (0, 15, 0, 20), (12, 50, 12, 30)]) == [(0, 50)]
+    assert substrings.spans_of([(0, 15, 0, 12), (15, 40, 12, 24), (41, 50, 24, 40)]) == [(0, 40)]
