@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.sources.stage import shared_dir, stored  # noqa: F401  (re-exported to the operators)
+from quern.sources.stage import discard, shared_dir, stored  # noqa: F401  (re-exported to the operators)
 
 SLICE_BYTES = 2 << 20
 

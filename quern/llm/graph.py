@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
+from quern.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(down, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(
             down.select(F.col("k").alias("a"), F.col("m").alias("b"))
         ).distinct()
-        now = stored(small, "links")
+        old, now = now, stored(small, "links")
+        discard(old)
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
         if (new.n, new.h) == mark:
             break

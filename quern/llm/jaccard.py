@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import LOWER, NOT_SPACE, layout, mix, shingle_hashes, slices, stored, table, word_hashes, words
@@ -29,6 +29,10 @@ FREQUENT, MOST_FREQUENT = 24, 1 << 20
 RUN = 8_192
 #: Tiles of up to so many sets give all their pairs of fitting size at once.
 SMALL_TILE = 6
+#: Larger tiles are cut into size bands, and bands into blocks of so many sets; two blocks meet in one task.
+BLOCK = 1_000
+#: Postings of a shingle that more documents have than this are dealt to several groups before they meet.
+DEALT = 1 << 16
 #: Postings to a bucket.
 BUCKET = 250_000
 LARGE = 65_535
@@ -131,22 +135,29 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, hash long, n long, node long, bits binary, coarse binary, token long, found long")
 
 
-def _frequent(scanned: DataFrame) -> np.ndarray:
-    """The shingles that come last, sorted.  They only set the order of shingles: any order finds all links."""
+def _frequent(scanned: DataFrame, dealt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that come last, sorted, and in how many parts each one's postings are dealt (a power of two).
+
+    They only set the order of shingles and the dealing: any order finds all links.  At most
+    MOST_FREQUENT pairs of numbers reach the driver, as packed columns.
+    """
     often = scanned.where("token is not null").groupBy("token").agg(F.sum("found").alias("found")).where(F.col("found") >= FREQUENT)
-    kept = often.orderBy(F.desc("found"), "token").limit(MOST_FREQUENT).select("token").collect()
-    return np.sort(np.array([r.token for r in kept], np.int64).view(np.uint64))
+    kept = often.orderBy(F.desc("found"), "token").limit(MOST_FREQUENT).select("token", "found").toArrow()
+    token, found = kept.column("token").to_numpy().view(np.uint64), kept.column("found").to_numpy()
+    order = np.argsort(token)
+    return token[order], (1 << np.ceil(np.log2(np.maximum(found[order] / dealt, 1))).astype(np.int64)).astype(np.uint32)
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """Prefix members of each set as packed arrays of (key, node, size), by bucket of the key.
 
-    The order of members is: frequent ones last, then by hash.  Sets met before in a task are left out.
+    The order of members is: frequent ones last, then by hash.  Sets met before in a task are left
+    out.  A posting of a dealt shingle stands in a row of its shingle and salt, by hash of the node.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
+        last, parts = shared.value
         met: set[int] = set()
         for batch in batches:
             for part in slices(batch):
@@ -160,32 +171,36 @@ def _postings(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 if len(met) > 1_000_000:
                     met = set()
                 owner = np.repeat(np.arange(len(nodes)), sizes)
-                late = last[np.minimum(np.searchsorted(last, sets), len(last) - 1)] == sets if len(last) else np.zeros(len(sets), bool)
+                place = np.minimum(np.searchsorted(last, sets), len(last) - 1)
+                late = last[place] == sets if len(last) else np.zeros(len(sets), bool)
                 early = np.concatenate([[0], np.cumsum(~late)])
                 rank = early[:-1] - early[index[:-1]][owner]
                 within = np.arange(len(sets)) - index[:-1][owner]
                 plain = (early[index[1:]] - early[index[:-1]])[owner]
                 rank = np.where(late, plain + within - rank, rank)
                 at = np.flatnonzero((rank < prefix_sizes(sizes)[owner]) & new[owner])
-                token = sets[at]
-                bucket = (token >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                at, token, bucket = at[order], token[order], bucket[order].astype(np.int32)
+                token, node, size = sets[at], nodes[owner[at]], np.minimum(sizes[owner[at]], LARGE).astype(np.uint16)
+                dealt = np.where(late[at], parts[place[at]], 1) if len(last) else np.ones(len(at), np.int64)
+                salt = np.where(dealt > 1, (mix(node.view(np.uint64)) & (dealt - 1).astype(np.uint64)).astype(np.int64), -1)
+                bucket = np.where(dealt > 1, -1, ((token >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64))
+                order = np.lexsort((salt, np.where(dealt > 1, token, np.uint64(0)), bucket))
+                token, node, size, salt, bucket = token[order], node[order], size[order], salt[order], bucket[order].astype(np.int32)
                 key = token.astype(np.uint32)
-                node = nodes[owner[at]]
-                size = np.minimum(sizes[owner[at]], LARGE).astype(np.uint16)
-                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+                apart = (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1]) | ((salt[1:] >= 0) & (token[1:] != token[:-1]))
+                edges = np.flatnonzero(np.concatenate([[True], apart])) if len(bucket) else np.zeros(0, np.int64)
                 stops = np.concatenate([edges[1:], [len(bucket)]]) if len(edges) else edges
                 cut = list(zip(edges.tolist(), stops.tolist(), strict=True))
+                alone = salt[edges] >= 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(bucket[edges]), pa.array([key[a:b].tobytes() for a, b in cut], pa.binary()),
+                        pa.array(bucket[edges]), pa.array(np.where(alone, token[edges].view(np.int64), 0)), pa.array(np.where(alone, salt[edges], -1).astype(np.int32)),
+                        pa.array([key[a:b].tobytes() for a, b in cut], pa.binary()),
                         pa.array([node[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([size[a:b].tobytes() for a, b in cut], pa.binary()),
                     ],
-                    ["bucket", "keys", "nodes", "sizes"],
+                    ["bucket", "token", "salt", "keys", "nodes", "sizes"],
                 )
 
-    return docs.mapInArrow(run, "bucket int, keys binary, nodes binary, sizes binary")
+    return docs.mapInArrow(run, "bucket int, token long, salt int, keys binary, nodes binary, sizes binary")
 
 
 def _unpack(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -207,15 +222,34 @@ def _hung(nodes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np
     yield np.arange(n - 1), np.arange(1, n)
 
 
-def _tiles(postings: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), and for tiles of more than SMALL_TILE sets a row of their nodes.
+def _blocks(nodes: np.ndarray, sizes: np.ndarray, salt: int, block: int) -> list[tuple[int, np.ndarray]]:
+    """A tile's sets, which come by size, in blocks: size bands that only fit themselves and their neighbours, each cut by hash.
+
+    A block's number holds its band from bit 40 on.
+    """
+    band = np.floor(np.log(np.maximum(sizes, 1)) / np.log(TOTAL / SHARED) + 1e-9).astype(np.int64)
+    spread = mix(nodes.view(np.uint64))
+    out = []
+    for value in np.unique(band):
+        own = np.flatnonzero(band == value)
+        own = own[np.argsort(spread[own], kind="stable")]
+        for k, cut in enumerate(np.array_split(own, -(-len(own) // block))):
+            out.append(((int(value) << 40) | (salt << 20) | k, nodes[cut]))
+    return out
+
+
+def _tiles(postings: DataFrame, block: int) -> DataFrame:
+    """Candidate pairs (a, b), and for tiles of more than SMALL_TILE sets a row for each block of their nodes.
 
-    A tile is the sets whose prefixes share a key, in order of size.
+    A tile is the sets whose prefixes share a key, in order of size.  A dealt shingle's tile comes
+    in parts; each part's blocks are rows whatever their number, with the part's mark (the parts'
+    marks combine to the tile's) and two nodes that stand for it.
     """
 
     def run(group: pa.Table) -> pa.Table:
         keys, nodes = _unpack(group.column("keys"), np.uint32), _unpack(group.column("nodes"), np.int64)
         sizes = _unpack(group.column("sizes"), np.uint16).astype(np.int64)
+        token, salt = group.column("token")[0].as_py(), group.column("salt")[0].as_py()
         both = (keys.astype(np.uint64) << np.uint64(16)) | sizes.astype(np.uint64)
         order = np.lexsort((nodes, both))
         both, nodes, sizes = both[order], nodes[order], sizes[order]
@@ -234,25 +268,52 @@ def _tiles(postings: DataFrame) -> DataFrame:
                     ok = fits(sizes[at + i], sizes[at + j])
                     left.append(nodes[at + i][ok])
                     right.append(nodes[at + j][ok])
-        tiles: dict[int, list[int]] = {}
-        for lo, hi in zip(begin[length > SMALL_TILE].tolist(), stop[length > SMALL_TILE].tolist(), strict=True):
+        met: set[int] = set()
+        blocks: list[tuple] = []
+        large = (length > SMALL_TILE) | (salt >= 0)
+        for lo, hi in zip(begin[large].tolist(), stop[large].tolist(), strict=True):
             own = nodes[lo:hi]
-            mark = int(mix(own.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            if mark not in tiles:
-                tiles[mark] = own.tolist()
-                for i, j in _hung(own, sizes[lo:hi]):
-                    ok = fits(sizes[lo:hi][i], sizes[lo:hi][j]) & (own[i] != own[j])
-                    left.append(own[i][ok])
-                    right.append(own[j][ok])
+            spread = mix(own.view(np.uint64))
+            mark = int(np.bitwise_xor.reduce(spread).view(np.int64))
+            if mark in met:
+                continue
+            met.add(mark)
+            least = own[np.argsort(spread)[:2]].tolist()
+            for k, (number, cut) in enumerate(_blocks(own, sizes[lo:hi], max(salt, 0), block)):
+                blocks.append((token if salt >= 0 else mark, number, cut.tolist(), salt >= 0, mark if salt >= 0 and not k else 0, least if salt >= 0 and not k else []))
+            for i, j in _hung(own, sizes[lo:hi]):
+                ok = fits(sizes[lo:hi][i], sizes[lo:hi][j]) & (own[i] != own[j])
+                left.append(own[i][ok])
+                right.append(own[j][ok])
         a, b = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        m, k = pairs.shape[1], len(tiles)
+        m = pairs.shape[1]
+        tile, number, cut, dealt, mark, least = (list(x) for x in zip(*blocks, strict=True)) if blocks else ([], [], [], [], [], [])
+        none = [None] * m
         return pa.table({
-            "a": pa.array([*pairs[0].tolist(), *[None] * k], pa.int64()), "b": pa.array([*pairs[1].tolist(), *[None] * k], pa.int64()),
-            "tile": pa.array([*[None] * m, *tiles], pa.int64()), "nodes": pa.array([*[None] * m, *tiles.values()], pa.list_(pa.int64())),
+            "a": pa.array([*pairs[0].tolist(), *[None] * len(tile)], pa.int64()), "b": pa.array([*pairs[1].tolist(), *[None] * len(tile)], pa.int64()),
+            "tile": pa.array([*none, *tile], pa.int64()), "block": pa.array([*none, *number], pa.int64()), "nodes": pa.array([*none, *cut], pa.list_(pa.int64())),
+            "dealt": pa.array([*none, *dealt], pa.bool_()), "mark": pa.array([*none, *mark], pa.int64()), "least": pa.array([*none, *least], pa.list_(pa.int64())),
         })
 
-    return postings.groupBy("bucket").applyInArrow(run, "a long, b long, tile long, nodes array<long>")
+    return postings.groupBy("bucket", "token", "salt").applyInArrow(run, "a long, b long, tile long, block long, nodes array<long>, dealt boolean, mark long, least array<long>")
+
+
+def _once(tiles: DataFrame) -> DataFrame:
+    """The blocks of different tiles: look-alikes share many shingles, and so many equal tiles, of which one is enough."""
+    rows = tiles.where("tile is not null")
+    marks = rows.where("dealt").groupBy("tile").agg(F.bit_xor("mark").alias("mark")).groupBy("mark").agg(F.min("tile").alias("tile")).select("tile")
+    plain = rows.where("not dealt").dropDuplicates(["tile", "block"])
+    return plain.union(rows.where("dealt").join(marks, "tile", "left_semi").select(*rows.columns)).select("tile", "block", "nodes")
+
+
+def _chained(tiles: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the parts of a dealt tile: one part's nodes with the next one's and the first one's."""
+    each = tiles.where("dealt and size(least) > 0").select("tile", "block", F.posexplode("least").alias("nth", "node"))
+    along = Window.partitionBy("tile", "nth").orderBy("block")
+    rows = each.select("node", F.lag("node").over(along).alias("before"), F.first("node").over(along).alias("first"))
+    pairs = rows.select(F.explode(F.array(F.struct("before", "node"), F.struct(F.col("first").alias("before"), "node"))).alias("x")).where("x.before <> x.node")
+    return pairs.select(F.least("x.before", "x.node").alias("a"), F.greatest("x.before", "x.node").alias("b"))
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, bits: str) -> DataFrame:
@@ -310,18 +371,28 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame, nearest: int | None = None) -> DataFrame:
+def _crossing(blocks: DataFrame, parts: DataFrame, nodes: DataFrame, nearest: int | None = None) -> DataFrame:
     """Pairs of a tile that no chain of links joins yet and whose sizes and signatures allow a link.
 
-    All of them, or for each set only those with its `nearest` larger sets by signature.
+    All of them, in a task for each two blocks of the same or neighbouring bands that are not all
+    of one component; or, inside blocks, for each set only those with its `nearest` larger sets by signature.
     """
-    members = tiles.select("tile", F.explode("nodes").alias("node")).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    split = members.groupBy("tile").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("tile")
-    rows = members.join(split, "tile").join(nodes.select("node", "n", "bits"), "node").select("tile", "node", "part", "n", "bits")
+    members = stored(blocks.select("tile", "block", F.explode("nodes").alias("node")).join(parts, "node", "left").select("tile", "block", "node", F.coalesce("component", "node").alias("part")), "members")
+    spans = members.groupBy("tile", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    if nearest:
+        work = spans.where("lo < hi").select("tile", F.array("block").alias("sides"))
+    else:
+        other = spans.select(F.col("tile").alias("other_tile"), F.col("block").alias("other"), F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"))
+        near = (F.col("block") <= F.col("other")) & (F.shiftright("other", 40) - F.shiftright("block", 40) <= 1)
+        work = spans.join(other, (F.col("tile") == F.col("other_tile")) & near & (F.least("lo", "other_lo") < F.greatest("hi", "other_hi"))).select(
+            "tile", F.array_distinct(F.array("block", "other")).alias("sides"))
+    sides = work.select("tile", F.xxhash64("tile", "sides").alias("task"), (F.size("sides") > 1).alias("two"), F.explode("sides").alias("block"))
+    rows = members.join(sides, ["tile", "block"]).join(nodes.select("node", "n", "bits"), "node").select("task", "two", "block", "node", "part", "n", "bits")
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("n").to_numpy(), kind="stable")
-        n, node, part = (group.column(c).to_numpy()[order] for c in ("n", "node", "part"))
+        n, node, part, side = (group.column(c).to_numpy()[order] for c in ("n", "node", "part", "block"))
+        two = group.column("two")[0].as_py()
         bits = group.column("bits").take(pa.array(order)).to_pylist()
         width = np.array([len(x) for x in bits])  # grows with n, at most twofold between sizes that fit
         reach = np.searchsorted(SHARED * n, TOTAL * n, "right")
@@ -332,7 +403,7 @@ def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame, nearest: int
                 level, lo = int(width[i]), i
                 rows_of = np.stack([folded(x, level) for x in bits[i : int(np.searchsorted(width, 2 * level, "right"))]])
             j = np.arange(i + 1, reach[i])
-            j = j[part[j] != part[i]]
+            j = j[(part[j] != part[i]) & ((side[j] != side[i]) | (not two))]
             differ = np.bitwise_count(rows_of[j - lo] ^ rows_of[i - lo]).sum(axis=1, dtype=np.int64)
             able = (SHARED + TOTAL) * differ <= (TOTAL - SHARED) * (n[i] + n[j])
             j, differ = j[able], differ[able]
@@ -343,10 +414,10 @@ def _crossing(tiles: DataFrame, parts: DataFrame, nodes: DataFrame, nearest: int
         a, b = np.concatenate([np.zeros(0, np.int64), *left]), np.concatenate([np.zeros(0, np.int64), *right])
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    return rows.groupBy("tile").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("task").applyInArrow(run, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, block: int = BLOCK, dealt: int = DEALT) -> DataFrame:
     """doc_id, hash (of the text), n_shingles, component_id and chosen, for every row of docs; see `linked`.
 
     One document of each component is chosen, that of the smallest doc_id (null last), then hash.
@@ -361,8 +432,8 @@ def grouped(docs: DataFrame) -> DataFrame:
         "nodes",
     )
     buckets = max(32, min(1 << 16, size.members // (5 * BUCKET)))
-    tiles = stored(_tiles(_postings(docs, _frequent(scanned), buckets)), "tiles")
-    likely = _bounded(tiles.where("a is not null").select("a", "b").distinct(), nodes, "coarse")
+    tiles = stored(_tiles(_postings(docs, _frequent(scanned, dealt), buckets), block), "tiles")
+    likely = _bounded(tiles.where("a is not null").select("a", "b").union(_chained(tiles)).distinct(), nodes, "coarse")
     pairs = stored(_bounded(stored(likely, "likely"), nodes, "bits"), "pairs")
 
     def checked(some: DataFrame) -> DataFrame:
@@ -371,7 +442,7 @@ def grouped(docs: DataFrame) -> DataFrame:
 
     links = checked(pairs)
     parts = stored(components(links), "parts")
-    large = tiles.where("tile is not null").select("tile", "nodes").dropDuplicates(["tile"])
+    large = stored(_once(tiles), "blocks")
     for nearest in (NEAREST, None):  # first the likely links of large groups, then every pair that is left
         crossing = stored(_crossing(large, parts, nodes, nearest).join(pairs, ["a", "b"], "left_anti"), "crossing")
         if not crossing.isEmpty():
@@ -387,7 +458,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     )
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, block: int = BLOCK, dealt: int = DEALT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (columns doc_id, text).
 
     Texts are lower-cased (A-Z) and split at white space; a set is the distinct 5-word shingles, or
@@ -397,15 +468,16 @@ def linked(docs: DataFrame) -> DataFrame:
 
     Equal sets are one node, so exact copies cost nothing past the first scan.  Nodes meet in tiles:
     those whose prefixes (the first fifth in one order, frequent shingles last) share a shingle, in
-    order of size.  Large tiles first try a few pairs for each set; once those links are
+    order of size.  Large tiles are cut into size bands and blocks.  They first try a few pairs for each set; once those links are
     components, only pairs between different components are left to compare, by signatures, then
     exactly.  So a large group of near copies is joined without all of its pairs, and no link
     between components is missed.
 
+    An empty table stays empty; other columns of docs, whatever their names, are not read.
     Null or empty texts have no set and link with nothing; rows of equal doc_id are separate
     documents under one id; a null doc_id is never a component's smallest unless all are null.
     """
-    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+    return grouped(docs, block, dealt).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,11 @@ def test_groups_of_near_copies(spark):
     docs += ["", "a", "A", "a b", "a b c d e", "A  b\nc d E", " \t", None, None]
     rows = list(enumerate(docs))
     rng.shuffle(rows)
-    assert got(jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as hash", "2 as _hash", "3 as tile", "4 as component_id")
+    expected = brute(rows)
+    assert got(jaccard.linked(frame)) == expected
+    assert got(jaccard.linked(frame, block=3)) == expected  # many blocks to a tile
+    assert got(jaccard.linked(frame, block=7, dealt=20)) == expected  # and tiles that come in parts
 
 
 def test_documents(spark, sf_dir):
@@ -78,6 +82,20 @@ def test_repeated_rows_and_empty_table(spark):
     assert jaccard.linked(docs.limit(0)).count() == 0
 
 
+def test_blocks_hold_neighbouring_sizes():
+    import numpy as np
+
+    sizes = np.sort(np.random.default_rng(2).integers(1, 500, 300))
+    nodes = np.arange(300)
+    blocks = jaccard._blocks(nodes, sizes, 0, 20)
+    assert sorted(np.concatenate([b for _, b in blocks]).tolist()) == list(range(300)) and max(len(b) for _, b in blocks) <= 20
+    band = {int(x): number >> 40 for number, b in blocks for x in b}
+    for i in range(300):
+        for j in range(300):
+            if jaccard.fits(sizes[i], sizes[j]):
+                assert abs(band[i] - band[j]) <= 1
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(200 + rng.randrange(30), 200 + rng.randrange(30)) for _ in range(40)]
