@@ -20,28 +20,48 @@ def _rewritten(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without their failed lines."""
+    """Documents that pass the rules, without their failed lines.
+
+    A null or empty text fails; repeated rows fare alike and all stay; texts are judged whole; an
+    empty table stays empty; other columns stay as they are, whatever their names.
+    """
     kept = quality.measured(docs).where("kept")
     return _rewritten(kept.withColumn("text", F.coalesce("cleaned", "text")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the smallest doc_id (null last), then of the smallest hash of its text.
+
+    Null and empty texts are no copies of each other and stay, as do rows of one doc_id with
+    different texts; of rows equal in doc_id and text one stays; an empty table stays empty.
+    """
     return jaccard.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of benchmark items; those that are mostly such passages go."""
+    """Documents without passages of benchmark items; those that are mostly such passages go.
+
+    Null texts and items match nothing; equal items count once; repeated rows fare alike; an empty
+    table of documents or items leaves what it is given; other columns stay as they are.
+    """
     return _rewritten(decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources take them."""
+    """Documents as often as the target weights of their sources take them, twice at most.
+
+    Null texts have size 0; a null source is one of its own; ties in the order are broken by the
+    rows' contents, and rows equal in all columns are interchangeable; an empty table stays empty.
+    """
     return mixing.mix(docs, word_count(F.col("text")))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and slot in a global shuffle."""
+    """Documents with their shard and slot in a global shuffle.
+
+    Rows go by doc_id, null first, then by a key of all columns; equal rows get a slot each; an
+    empty table stays empty; columns named row_number, shard or slot are replaced.
+    """
     return sharding.shard(docs)
 
 
