@@ -101,6 +101,25 @@ def reasons(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
+def quality_report(rows: DataFrame, clean_rows: DataFrame) -> DataFrame:
+    """(measure, value) of a cleaned table: raw, kept and excluded rows by reason, and returns, guests, outliers and unknown names among the kept."""
+    excluded = rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("measure")).agg(F.count("*").alias("value"))
+    flags = {"returns": F.col("is_return"), "outliers": F.col("is_outlier"), "guests": F.col("customer_id").isNull(), "unnamed": F.col("product_name") == "UNKNOWN"}
+    marked = clean_rows.agg(*[F.count_if(c).alias(k) for k, c in flags.items()])
+    long = marked.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in flags])).alias("x")).select("x.*")
+    return excluded.union(rows.agg(F.lit("raw").alias("measure"), F.count("*").alias("value"))).union(long)
+
+
+def problems(clean_rows: DataFrame) -> DataFrame:
+    """(problem, rows) of a cleaned table that must be 0 before it is used."""
+    rules = {
+        "no date": F.col("occurred_at").isNull(), "no invoice": F.col("invoice_id").isNull(), "no price above 0": ~F.coalesce(F.col("unit_price") > 0, F.lit(False)),
+        "revenue against its sign": (F.col("revenue") < 0) & ~F.col("is_return"),
+    }
+    counts = clean_rows.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("problem"), F.col(k).alias("rows")) for k in rules])).alias("x")).select("x.*")
+
+
 def with_returns(rows: DataFrame) -> DataFrame:
     """is_return: an invoice that starts with C, or a negative quantity."""
     return rows.withColumn("is_return", F.coalesce(F.upper("invoice_id").startswith("C"), F.lit(False)) | F.coalesce(F.col("quantity") < 0, F.lit(False)))
@@ -209,5 +228,10 @@ def judged(raw: DataFrame, mapping: Mapping[str, str], style: str = "iso") -> Da
 
 def clean(raw: DataFrame, mapping: Mapping[str, str], style: str = "iso") -> DataFrame:
     """The clean rows of raw: judged once and stored, then named, completed and flagged."""
-    kept = stored(judged(raw, mapping, style).where("reason is null").drop("reason", "readable"), "judged")
+    return completed(stored(judged(raw, mapping, style).where("reason is null"), "judged"))
+
+
+def completed(judged_rows: DataFrame) -> DataFrame:
+    """The clean rows of judged (and stored) ones."""
+    kept = judged_rows.where("reason is null").drop("reason", "readable")
     return finalise(with_outliers(with_revenue(named(with_returns(kept)))))

@@ -263,6 +263,19 @@ def scores(forecasts: DataFrame, *by: str) -> DataFrame:
     return forecasts.groupBy(*by).agg(*[c.alias(k) for k, c in metrics().items()])
 
 
+def weighted_mape(per_series: DataFrame) -> DataFrame:
+    """One row from (mape, weight) by series: the mean MAPE by weight over the series that have both, and how many have not."""
+    usable = F.col("mape").isNotNull() & (F.col("weight") > 0)
+    kept = lambda c: F.sum(F.when(usable, c))
+    return per_series.agg(F.try_divide(kept(F.col("mape") * F.col("weight")), kept(F.col("weight"))).alias("weighted_mape"), F.count_if(usable).alias("series"), F.count_if(~F.coalesce(usable, F.lit(False))).alias("excluded"))
+
+
+def filled_forward(series: DataFrame, key: str = "series_id", time: str = "period", value: str = "value") -> DataFrame:
+    """series with missing values as the last known one; those before the first known one stay missing."""
+    past = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    return series.withColumn(value, F.last(value, ignorenulls=True).over(past))
+
+
 def mase(forecasts: DataFrame, split: DataFrame, season: int = 1, key: str = "series_id") -> DataFrame:
     """MAE over the mean absolute seasonal change inside the training periods."""
     order = Window.partitionBy(key, "fold").orderBy("place")

@@ -104,11 +104,11 @@ def validate(mapping: Mapping[str, str | None], columns: Sequence[str]) -> dict[
     return chosen
 
 
-def date_style(raw: DataFrame, column: str, requested: str | None = None, least: float = 0.95, rows: int = 1_000) -> str:
-    """The requested style if it reads enough values, else the only one that does."""
+def date_style(raw: DataFrame, column: str, requested: str | None = None, least: float = 0.95) -> str:
+    """The requested style if it reads enough of all values, else the only one that does."""
     value = F.trim(F.col(f"`{column}`"))
-    head = raw.select(value.alias("v")).where("v <> ''").limit(rows)
-    rates = head.agg(*[F.avg(parse_date(F.col("v"), s).isNotNull().cast("int")).alias(s) for s in DATE_STYLES]).first().asDict()
+    known = raw.select(value.alias("v")).where("v <> ''")
+    rates = known.agg(*[F.avg(parse_date(F.col("v"), s).isNotNull().cast("int")).alias(s) for s in DATE_STYLES]).first().asDict()
     good = [s for s, r in rates.items() if (r or 0) >= least]
     if requested:
         if requested not in good:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quern.operators import rules, shape
 from quern.operators.order import numbered
 from quern.operators.shape import ratio
+from quern.operators.statistics import correlation
 from quern.sources.stage import stored
 
 
@@ -87,6 +88,15 @@ def permutation_importance(rows: DataFrame, features: Sequence[str], predict, ta
     return rows.sparkSession.createDataFrame(out, "feature string, rise double")
 
 
+def rank_agreement(scores: DataFrame, k: int = 5) -> DataFrame:
+    """One row from (feature, first, second): rank correlation over the features that both score, and how many of the k best they share."""
+    both = stored(scores.where("first is not null and second is not null"), "agreement")
+    best = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "feature")) <= k  # noqa: E731  features are few
+    marked = both.select("first", "second", best("first").alias("a"), best("second").alias("b"))
+    rho = correlation(both, "first", "second")
+    return rho.select("n", F.when(F.col("n") >= 3, F.col("spearman")).alias("spearman")).join(F.broadcast(marked.agg(F.count_if(F.col("a") & F.col("b")).alias("shared_best"))))
+
+
 def lift_inflation(found: DataFrame) -> DataFrame:
     """Rules with the share of baskets that hold neither side, which lift rewards and normalised lift does not."""
     neither = 1 - (F.col("n_antecedent") + F.col("n_consequent") - F.col("both")) / F.col("baskets")

@@ -50,6 +50,13 @@ def seasonal_strength(parts: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.greatest(F.lit(0.0), 1 - share).alias("strength")).select(F.when(F.col("n") >= 3, F.col("strength")).alias("strength"))
 
 
+def weekly_seasonality(series: DataFrame, value: str, time: str = "period", model: str = "additive") -> DataFrame:
+    """Decomposition of a weekly series on the year's cycle, or on the quarter's where two years are not there; cycle says which."""
+    n = series.count()  # of one aggregated series
+    cycle = 52 if n >= 104 else 13
+    return decompose(series, cycle, value, time, model).withColumn("cycle", F.lit(cycle).cast("long")).withColumn("weak", F.lit(n / cycle < 3))
+
+
 def spectral_entropy(values: np.ndarray) -> float | None:
     """Normalised entropy of the one-sided periodogram of a demeaned series of 8 values or more; bins without power are left out."""
     x = np.asarray(values, float)

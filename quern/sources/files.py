@@ -10,39 +10,38 @@ from pyspark.sql import functions as F
 
 #: Encodings tried in order, and the texts that count as missing.
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1")
+MALFORMED = "_malformed"
 MISSING = ("", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def encoding_of(spark: SparkSession, path: str, sample: int = 1 << 20) -> str:
-    """The first encoding that reads a bounded sample of each file's bytes; found by Spark's own reader, so any store works."""
-    heads = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample).alias("head"), (F.col("length") > sample).alias("cut"))
-    found = "utf-8"
-    for row in heads.toLocalIterator():
-        head = bytes(row.head)
-        for name in ENCODINGS:
-            try:
-                head.decode(name)
-                break
-            except UnicodeDecodeError as problem:
-                if name != "latin-1" and row.cut and problem.start > len(head) - 4:
-                    break  # the sample's end splits a character
-        if head.startswith(b"\xef\xbb\xbf"):
-            name = "utf-8-sig"
-        if ENCODINGS.index(name) > ENCODINGS.index(found):
-            found = name
-    return found
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """The first encoding that reads every line of the files, judged in tasks over raw lines, so a stray byte anywhere counts."""
+    lines = spark.read.text(path)
+    seen = lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("broken"), F.bool_or(F.startswith("value", F.lit("\ufeff"))).alias("marked")).first()
+    return ENCODINGS[2] if seen.broken else ENCODINGS[1] if seen.marked else ENCODINGS[0]
+
+
+def _lines(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
+    chosen = encoding or encoding_of(spark, path)
+    reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("encoding", "ISO-8859-1" if chosen == "latin-1" else "UTF-8")
+    names = reader.csv(path).columns
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, MALFORMED])
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).option("enforceSchema", True).schema(schema).csv(path)
+
+
+def malformed(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """(line): the lines that read_text leaves out, since they do not have the header's number of fields."""
+    rows = _lines(spark, path, encoding)
+    return rows.where(F.col(MALFORMED).isNotNull()).select(*rows.columns).select(F.col(MALFORMED).alias("line"))
 
 
 def read_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV file with header, every column as text; missing-value texts are null and malformed lines are left out.
+    """A CSV file with header, every column as text; missing-value texts are null and malformed lines are left out (see malformed).
 
-    Only the named columns are read if any are named.
+    Only the named columns are kept if any are named.
     """
-    chosen = encoding or encoding_of(spark, path)
-    rows = (
-        spark.read.option("header", True).option("inferSchema", False).option("ignoreLeadingWhiteSpace", True).option("mode", "DROPMALFORMED")
-        .option("encoding", "ISO-8859-1" if chosen == "latin-1" else "UTF-8").csv(path)
-    )
+    rows = _lines(spark, path, encoding)
+    rows = rows.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
     if columns:
         rows = rows.select(*[f"`{c}`" for c in columns])
     return rows.select(*[F.when(~F.col(f"`{c}`").isin(list(MISSING)), F.col(f"`{c}`")).alias(c) for c in rows.columns])
