@@ -35,7 +35,8 @@ def examples(turns: DataFrame) -> DataFrame:
     a conversation can be read back from its last example.
 
     Turns go by turn, null first, then role and text.  Null role and text count as empty.  A null
-    conv_id is a conversation of its own; repeated rows are repeated turns.
+    conv_id is a conversation of its own; repeated rows are repeated turns.  Texts are kept whole,
+    whatever their length; an empty table gives no examples; other columns are not read.
     """
     head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(SPLIT))
     said = turns.select(

@@ -205,7 +205,8 @@ def find(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_words: in
 
     Items go into automata of bounded size, one pass over docs for each.  Null and empty texts have
     no words; items without words match nothing; without items nothing is hit; equal item ids count
-    once; columns of docs of these names are replaced.
+    once; repeated rows of docs fare alike, very long texts are read whole, an empty table stays
+    empty; columns of docs of these names are replaced.
     """
     base = docs.drop(*FOUND.fieldNames())
     schema = T.StructType([*base.schema.fields, *FOUND.fields])
@@ -263,7 +264,11 @@ def _pass(shared, width: int):
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """docs without hit runs of words, and without documents of which more than max_coverage percent is hit."""
+    """docs without hit runs of words, and without documents of which more than max_coverage percent is hit.
+
+    Documents without words stay; see `find` for nulls, repeats, ties and empty tables.  Other
+    columns stay as they are, but for those that `find` names, which it replaces.
+    """
     found = find(docs, items).where(F.col("n_hit") * 100 <= F.col("n_words") * max_coverage)
     return found.withColumn("text", F.coalesce("rest", "text")).select(*docs.columns)
 

@@ -166,6 +166,8 @@ def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, int]]) -> DataFr
     language's training text or a symbol, since more text makes longer phrases.  score is the
     runner-up's bits over the sum of both, from 0.5 (a tie) to 1, and 1 with one language only.  Null texts, texts without a
     letter and all texts of a model without languages give `und` with score 0 and no phrases.
+    Repeated rows fare alike, very long texts are read whole in a slice of their own, an empty
+    table stays empty, and columns of docs named as the three are replaced.
     """
     base = docs.drop(*PREDICTED.fieldNames())
     schema = T.StructType([*base.schema.fields, *PREDICTED.fields])

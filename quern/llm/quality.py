@@ -146,7 +146,9 @@ def measured(docs: DataFrame) -> DataFrame:
     rules and its failed lines hold at most half of its characters in words.  `cleaned` is the
     text without failed lines where a kept document has some, else null.
 
-    A null or empty text counts zero everywhere and fails; columns of these names are replaced.
+    A null or empty text counts zero everywhere and fails; repeated rows fare alike; very long texts
+    are read whole, in a slice of their own; an empty table stays empty; columns of these names are
+    replaced.
     """
     base = docs.drop(*STATS.fieldNames())
     schema = T.StructType([*base.schema.fields, *STATS.fields])

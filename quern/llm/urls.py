@@ -33,19 +33,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
-    """Array of (host suffix, path prefix): suffixes of the given label counts with prefixes of the given lengths.
-
-    Only shapes that some rule has are made, so a URL gives at most len(labels) * len(lengths).
-    """
+def expressions(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> Column:
+    """Array of (host suffix, path prefix): for each (labels, length) that some rule has, the suffix of so many labels with the prefix of that length."""
     parts = F.split(host, r"\.")
     made = [
         F.when(
             (F.size(parts) >= n) & (F.char_length(path) >= k),
             F.struct(F.substring_index(host, ".", -n).alias("host"), F.substring(path, 1, k).alias("path")),
         )
-        for n in labels
-        for k in lengths
+        for n, k in shapes
     ]
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
@@ -63,21 +59,22 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFram
     null and the verdict is `default`: a list of rules says nothing against other URLs.
 
     Null URLs and those without :// have empty host and path and fit no rule; equal URLs get equal
-    verdicts; columns of urls named host, path, rule or verdict are replaced.
+    verdicts; very long ones give no more expressions than short ones; an empty table stays empty,
+    and without rules all verdicts are `default`.  Columns of urls named host, path, rule or
+    verdict are replaced.
     """
     keyed = urls.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     ruled = rules.select(
         F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"),
     ).withColumn("r_digest", digest(F.col("r_host"), F.col("r_path"))).withColumn("r_short", F.substring("r_digest", 1, 8))
     shapes = ruled.select(F.size(F.split("r_host", r"\.")).alias("n"), F.char_length("r_path").alias("k")).distinct().collect()
-    labels, lengths = sorted({s.n for s in shapes}), sorted({s.k for s in shapes})
     if not shapes:
         return keyed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     if ruled.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         ruled = F.broadcast(ruled)
     places = keyed.select("host", "path").distinct()
-    spread = places.withColumn("__quern_x", F.explode(expressions(F.col("host"), F.col("path"), labels, lengths))).withColumn(
-        "__quern_digest", digest(F.col("_x.host"), F.col("_x.path"))
+    spread = places.withColumn("__quern_x", F.explode(expressions(F.col("host"), F.col("path"), sorted((s.n, s.k) for s in shapes)))).withColumn(
+        "__quern_digest", digest(F.col("__quern_x.host"), F.col("__quern_x.path"))
     )
     met = spread.join(ruled, F.substring("__quern_digest", 1, 8) == F.col("r_short")).where(F.col("__quern_digest") == F.col("r_digest"))
     weight = F.struct(

@@ -43,3 +43,11 @@ def test_pages_and_empty_tables(spark, sf_dir):
     empty = spark.createDataFrame([], "verdict string, host string, path string")
     assert {r.verdict for r in urls.judge(spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string"), empty).collect()} == {"allow"}
     assert got(spark, [])== []
+
+
+def test_clashing_names_null_ids_and_long_urls(spark):
+    rows = [(None, "http://example.org/es/x", 1), (None, "http://example.org/es/x", 1), (3, "http://b.com/" + "y" * 100_000, 2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, n long").selectExpr("*", "1 as _x", "2 as _digest", "3 as r_host", "4 as verdict")
+    rules = spark.createDataFrame([("block", "example.org", "/es/"), ("allow", "com", "/" + "y" * 50_000)], "verdict string, host string, path string")
+    found = urls.judge(frame, rules).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in found) == [(0, "block"), (0, "block"), (3, "allow")] and {r["_x"] for r in found} == {1}
