@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.shape import calendar, ratio
+from quern.sources.stage import stored
 
 
 def calendar_index(cells: DataFrame, by: str, value: str = "gross_revenue") -> DataFrame:
@@ -23,6 +24,7 @@ def decompose(series: DataFrame, period: int, value: str, time: str = "period",
 
     The windows order one aggregated series, whose length is its number of periods.
     """
+    series = stored(series, "series")
     order = Window.orderBy(time)
     x = F.col(value).cast("double")
     half = period // 2
@@ -82,6 +84,7 @@ def series_profiles(periods: DataFrame, granularity: str = "week", key: str = "p
     Zeros are counted from the calendar instead of being made: a series has as many periods as
     there are from its first sale to the last period of the data.
     """
+    periods = stored(periods.select(key, "period", value), "periods")
     grid = calendar(periods, granularity).withColumn("place", F.row_number().over(Window.orderBy("period")))
     placed = periods.where(F.col(value) != 0).join(F.broadcast(grid), "period")
     last = grid.agg(F.max("place").alias("last"))
@@ -105,14 +108,15 @@ def class_table(profiles: DataFrame) -> DataFrame:
 
 
 def anomalies(series: DataFrame, value: str, time: str = "period", period: int = 52, threshold: float = 3.5) -> DataFrame:
-    """Each period with baseline, score and flag; reason says why there are no scores.
+    """Each period with baseline, score and flag; reason says why there are no scores.  The aggregated series is stored once.
 
     From 8 cycles on the baseline is a centred rolling median (an odd number of periods, a cycle
     long) and the median departure of each phase of the calendar from it, less the median of these
     departures; shorter series use a centred rolling median of up to 13 periods.  If all values are
     positive, departures are ratios and the miss is proportional.  The score is the miss's robust z.
     """
-    x = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    series = stored(series.select(time, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("value")), "series")
+    x = F.col("value")
     size = series.agg(F.count("*").alias("n"), F.coalesce(F.min(x) > 0, F.lit(False)).alias("positive")).first()  # of one aggregated series
     n, positive = size.n, size.positive
     order = Window.orderBy(time)
@@ -120,7 +124,7 @@ def anomalies(series: DataFrame, value: str, time: str = "period", period: int =
     width = period + 1 - period % 2 if seasonal else max(3, min(13, n // 3 * 2 + 1))
     frame = order.rowsBetween(-(width // 2), width // 2)
     enough = F.count("value").over(frame) >= (max(3, period // 2) if seasonal else 1)
-    rows = series.select(time, x.alias("value")).withColumn("level", F.when(enough, F.percentile("value", 0.5).over(frame)))
+    rows = series.withColumn("level", F.when(enough, F.percentile("value", 0.5).over(frame)))
     baseline = F.col("level")
     if seasonal:
         phase = {52: F.least(F.weekofyear(time), F.lit(52)), 12: F.month(time), 7: F.weekday(time)}.get(period, (F.row_number().over(order) - 1) % period)

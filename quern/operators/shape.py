@@ -69,7 +69,7 @@ def trend_points(trend: DataFrame, granularity: str, data_end: DataFrame, window
     periods, a few thousand rows at most, whatever the number of sale lines.
     """
     columns = ("gross_revenue", "net_revenue", "returns_value", "units", "orders", "active_customers")
-    full = fill_gaps(trend, granularity, columns).join(F.broadcast(data_end.select(F.max("occurred_at").alias("data_max"))))
+    full = fill_gaps(stored(trend, "trend"), granularity, columns).join(F.broadcast(data_end.select(F.max("occurred_at").alias("data_max"))))
     last_instant = period_end(F.col("period"), granularity).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")
     marked = full.withColumn("is_partial", last_instant > F.col("data_max"))
     order = Window.orderBy("period")
