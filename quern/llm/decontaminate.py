@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +14,19 @@ from pyspark.sql import types as T
 
 from quern.llm.common import LOWER, layout, mix, slices, stored, table, word_hashes, words
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 WINDOW = 10
-#: Items are broadcast in blocks of at most so many words (a longer item stands alone); more blocks mean more passes.
+#: Words by which items and documents are sifted and brought together; shorter items are taken whole.
+GRAM = 5
+#: Windows that begin in one piece of an item, words of items in an automaton (on average), and words that a task streams through it.
+PIECE_WORDS = 2_000
 BLOCK_WORDS = 100_000
+PART_WORDS = 1_000_000
+#: The sieve that every task gets has between 2**16 and 2**27 bits (16 MB), however many items there are.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Bytes of the sieve that one task sets.
+PAGE = 1 << 16
 #: A document with a larger percentage of its words hit goes as a whole.
 MAX_COVERAGE = 50
 
@@ -30,11 +41,14 @@ FOUND = T.StructType([
 ])
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
+def _places(texts: pa.Array) -> tuple[np.ndarray, ...]:
     data, offsets = layout(texts)
-    lower = LOWER[data]
-    starts, ends, firsts = words(lower, offsets, WORD)
-    return data, offsets, starts, ends, firsts, word_hashes(lower, starts, ends)
+    return data, offsets, *words(LOWER[data], offsets, WORD)
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    data, offsets, starts, ends, firsts = _places(texts)
+    return data, offsets, starts, ends, firsts, word_hashes(LOWER[data], starts, ends)
 
 
 @dataclass
@@ -42,9 +56,6 @@ class Automaton:
     """A generalised suffix automaton over the items' words, with what a match at each state implies."""
 
     vocabulary: np.ndarray
-    pairs: np.ndarray
-    sieve: np.ndarray
-    shortest: int
     steps: list[dict[int, int]]
     link: list[int]
     length: list[int]
@@ -99,13 +110,7 @@ def build(items: list[tuple[str, np.ndarray]], width: int) -> Automaton:
     next_whole = [0] * len(steps)
     for v in by_length:
         next_whole[v] = link[v] if link[v] in whole else next_whole[link[v]] if link[v] > 0 else 0
-    sieve = np.zeros(1 << 18, bool)
-    sieve[vocabulary >> np.uint64(46)] = True
-    pairs = np.unique(np.concatenate([_pair(h[:-1], h[1:]) for _, h in items]))
-    return Automaton(
-        vocabulary, pairs, sieve, min(min(len(c), width) for _, c in coded), steps, link, length, window,
-        {k: tuple(sorted(v)) for k, v in holders.items()}, whole, next_whole,
-    )
+    return Automaton(vocabulary, steps, link, length, window, {k: tuple(sorted(v)) for k, v in holders.items()}, whole, next_whole)
 
 
 def _split(steps: list[dict[int, int]], link: list[int], length: list[int], p: int, c: int, q: int) -> int:
@@ -120,33 +125,6 @@ def _split(steps: list[dict[int, int]], link: list[int], length: list[int], p: i
     return clone
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(3) + mix(b))
-
-
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
-def _stretches(a: Automaton, hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of words that could hold a window: known words, each pair of neighbours known too."""
-    known = a.sieve[hashes >> np.uint64(46)]
-    at = np.flatnonzero(known)
-    known[at] = _among(hashes[at], a.vocabulary)
-    joined = known[:-1] & known[1:]
-    inner = firsts[(firsts > 0) & (firsts < len(hashes))]
-    joined[inner - 1] = False
-    at = np.flatnonzero(joined)
-    joined[at] = _among(_pair(hashes[at], hashes[at + 1]), a.pairs)
-    follows = np.concatenate([[False], joined])
-    starts = np.flatnonzero(known & ~follows)
-    stops = np.flatnonzero(known & ~np.concatenate([joined, [False]])) + 1
-    enough = stops - starts >= a.shortest
-    return starts[enough], stops[enough]
-
-
 def _stream(a: Automaton, codes: list[int], base: int, width: int, hits: list[tuple[int, int]], names: set[str]) -> None:
     steps, link, length = a.steps, a.link, a.length
     v = m = 0
@@ -178,21 +156,181 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def _blocks(items: DataFrame, width: int, limit: int) -> Iterator[Automaton]:
-    """Automata of items, read a partition at a time; an item's repeated rows fall together."""
-    block: list[tuple[str, np.ndarray]] = []
-    held = 0
-    chosen = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where(F.col("text").isNotNull())
-    for row in chosen.orderBy("item_id", "text").toLocalIterator():
-        hashes = _tokens(pa.array([row.text], pa.string()))[-1]
-        if len(hashes):
-            if block and held + len(hashes) > limit:
-                yield build(block, width)
-                block, held = [], 0
-            block.append((row.item_id, hashes))
-            held += len(hashes)
-    if block:
-        yield build(block, width)
+def _grams(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the n words from each place on, and whether they belong to one text."""
+    out = np.full(len(hashes), n, np.uint64)
+    padded = np.concatenate([hashes, np.zeros(n, np.uint64)])
+    for k in range(n):
+        out = out * _ODD + padded[k : k + len(hashes)]
+    inside = np.ones(len(hashes), bool)
+    for k in range(1, n):
+        late = firsts[1:] - k
+        inside[late[late >= 0]] = False
+    return mix(out), inside
+
+
+def _runs(known: np.ndarray, firsts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of at least `least` known places of one text."""
+    edge = np.zeros(len(known) + 1, bool)
+    edge[firsts] = True
+    begins = known & (edge[:-1] | ~np.concatenate([[True], known[:-1]]))
+    stops = known & (edge[1:] | ~np.concatenate([known[1:], [True]]))
+    los, his = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    enough = his - los >= least
+    return los[enough], his[enough]
+
+
+def _least_of(grams: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each n neighbours, once each: two runs that share n neighbours share one of these."""
+    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, n).min(axis=1))
+
+
+def _classes(sizes: Iterable[int]) -> list[tuple[int, int]]:
+    """(words of a gram, neighbouring grams that every window of the class has), for the items' window sizes."""
+    short = [(n, 1) for n in sorted({n for n in sizes if n < GRAM})]
+    long = [n for n in sizes if n >= GRAM]
+    return short + ([(GRAM, min(long) - GRAM + 1)] if long else [])
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+
+
+def _pieces(items: DataFrame, width: int, piece_words: int) -> DataFrame:
+    """Items' words in pieces; neighbours overlap by width - 1 words, so each window is whole in one of them."""
+    chosen = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                *_, firsts, hashes = _tokens(part.column("text"))
+                cuts = [(d, s, min(s + piece_words + width - 1, hi)) for d, (lo, hi) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)) if hi > lo
+                        for s in range(lo, max(lo + 1, hi - width + 1), piece_words)]
+                yield pa.RecordBatch.from_arrays([
+                    part.column("item_id").take(pa.array([d for d, _, _ in cuts], pa.int64())),
+                    pa.array([min(width, hi - lo) for _, lo, hi in cuts], pa.int32()), _lists([hashes[lo:hi] for _, lo, hi in cuts]),
+                ], ["item_id", "size", "words"])
+
+    return chosen.mapInArrow(run, "item_id string, size int, words array<bigint>")
+
+
+def _with_grams(pieces: DataFrame, classes: list[tuple[int, int]], blocks: int) -> DataFrame:
+    """pieces with their block, all grams of their class, and the keys among them."""
+    needs = dict(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, keys = [], []
+            for size, held in zip(batch.column("size").to_pylist(), batch.column("words"), strict=True):
+                hashes = held.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                n = min(size, GRAM)
+                made, inside = _grams(hashes, np.array([0, len(hashes)]), n)
+                grams.append(made[inside])
+                keys.append(_least_of(made[inside], needs[n]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(grams), _lists(keys)], [*batch.schema.names, "grams", "keys"])
+
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)).cast("int"))
+    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+def _sieve(pieces: DataFrame, bits: int) -> np.ndarray:
+    """Which of 2**bits values the upper bits of the items' grams take, eight to a byte; at most 2**MOST_BITS of them."""
+    size = min(1 << (bits - 3), PAGE)
+
+    def page(values: pa.Table) -> pa.Table:
+        taken = np.zeros(8 * size, np.uint8)
+        taken[values.column("p").to_numpy() % (8 * size)] = 1
+        return pa.table({"page": values.column("page").slice(0, 1), "held": pa.array([np.packbits(taken, bitorder="little").tobytes()], pa.binary())})
+
+    places = pieces.select(F.explode("grams").alias("g")).select(F.shiftrightunsigned("g", 64 - bits).alias("p")).distinct()
+    paged = places.withColumn("page", F.floor(F.col("p") / (8 * size))).groupBy("page").applyInArrow(page, "page bigint, held binary")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in paged.toLocalIterator():
+        out[row.page * size : (row.page + 1) * size] = np.frombuffer(row.held, np.uint8)
+    return out
+
+
+def _candidates(docs: DataFrame, sieve, bits: int, classes: list[tuple[int, int]]) -> DataFrame:
+    """Stretches of the texts (columns key, text) that could hold a window: neighbouring grams that items may have."""
+    schema = "key string, first bigint, stretch string, words array<bigint>, keys array<bigint>"
+    drop = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                *_, firsts, hashes = _tokens(part.column("text"))
+                owners, begins, held, keys = [], [], [], []
+                for n, least in classes:
+                    grams, known = _grams(hashes, firsts, n)
+                    at = grams >> drop
+                    known &= (sieve.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    los, his = _runs(known, firsts, least)
+                    of = np.searchsorted(firsts, los, "right") - 1
+                    owners.append(of)
+                    begins.append(los - firsts[of])
+                    for lo, hi in zip(los.tolist(), his.tolist(), strict=True):
+                        held.append(hashes[lo : hi + n - 1])
+                        keys.append(_least_of(grams[lo:hi], least))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("key").take(pa.array(np.concatenate([np.zeros(0, np.int64), *owners]))), pa.array(np.concatenate([np.zeros(0, np.int64), *begins])),
+                    pa.array([hashlib.md5(h.tobytes(), usedforsecurity=False).hexdigest() for h in held], pa.string()), _lists(held), _lists(keys),
+                ], ["key", "first", "stretch", "words", "keys"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _match(width: int):
+    """Hits of a part's stretches in the automaton of its block of pieces."""
+    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def run(pieces: pa.Table, stretches: pa.Table) -> pa.Table:
+        names, spans, ids = [], [], []
+        if pieces.num_rows and stretches.num_rows:
+            read = lambda x: x.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            automaton = build(list(zip(pieces.column("item_id").to_pylist(), map(read, pieces.column("words")), strict=True)), width)
+            for name, held in zip(stretches.column("stretch").to_pylist(), map(read, stretches.column("words")), strict=True):
+                at = np.minimum(np.searchsorted(automaton.vocabulary, held), len(automaton.vocabulary) - 1)
+                got: list[tuple[int, int]] = []
+                found: set[str] = set()
+                _stream(automaton, np.where(automaton.vocabulary[at] == held, at, -1).tolist(), 0, width, got, found)
+                if got:
+                    names.append(name)
+                    spans.append([{"first": lo, "last": hi} for lo, hi in _merged(got)])
+                    ids.append(sorted(found))
+        return pa.table({"stretch": pa.array(names, pa.string()), "spans": pa.array(spans, spans_type), "ids": pa.array(ids, pa.list_(pa.string()))})
+
+    return run
+
+
+def _hits(docs: DataFrame, items: DataFrame, width: int, block_words: int) -> DataFrame:
+    """Spans and item_ids of the different texts (columns key, text) that hold a window."""
+    spark = docs.sparkSession
+    raw = stored(_pieces(items, width, PIECE_WORDS), "pieces")
+    sizes = raw.groupBy("size").agg(F.sum(F.size("words")).alias("n")).collect()  # a row for each size up to width
+    total = sum(r.n for r in sizes)
+    classes = _classes([r["size"] for r in sizes])
+    pieces = stored(_with_grams(raw, classes, max(1, -(-total // block_words))), "blocks")
+    bits = min(max((32 * total).bit_length(), LEAST_BITS), MOST_BITS)
+    sieve = spark.sparkContext.broadcast(_sieve(pieces, bits))
+    places = stored(_candidates(docs, sieve, bits, classes), "stretches")
+
+    # each different stretch is streamed once, through the blocks that share a key with it
+    contents = places.groupBy("stretch").agg(F.first("words").alias("words"), F.first("keys").alias("keys"))
+    blocks = pieces.select("block", F.explode("keys").alias("k")).distinct()
+    meets = contents.select("stretch", F.explode("keys").alias("k")).join(blocks, "k").select("stretch", "block").distinct()
+    routed = stored(meets.join(contents.drop("keys"), "stretch"), "routed")
+    parts = routed.groupBy("block").agg(F.ceil(F.sum(F.size("words")) / PART_WORDS).cast("int").alias("parts"))
+    left = pieces.select("block", "item_id", "words").join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = routed.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("stretch"), F.col("parts")).cast("int")).drop("parts")
+    matched = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(
+        _match(width), "stretch string, spans array<struct<first: bigint, last: bigint>>, ids array<string>"
+    )
+    shifted = F.transform("spans", lambda s: F.struct((s["first"] + F.col("first")).alias("first"), (s["last"] + F.col("first")).alias("last")))
+    return places.select("key", "first", "stretch").distinct().join(matched, "stretch").groupBy("key").agg(
+        F.flatten(F.collect_list(shifted)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids")
+    )
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -203,64 +341,50 @@ def find(docs: DataFrame, items: DataFrame, width: int = WINDOW, block_words: in
     word numbers, last one not included; item_ids are the items whose windows occur; rest is the
     text with those runs cut out where there are any, else null.
 
-    Items go into automata of bounded size, one pass over docs for each.  Null and empty texts have
-    no words; items without words match nothing; without items nothing is hit; equal item ids count
-    once; repeated rows of docs fare alike, very long texts are read whole, an empty table stays
-    empty; columns of docs of these names are replaced.
+    Items are cut into overlapping pieces and dealt to blocks, whose automata are built in tasks.  One
+    pass over docs finds the stretches whose grams items may have; each different stretch streams
+    through the automata of the blocks that share a gram with it, and hits return by the text's digest.
+
+    Null and empty texts have no words; items without words match nothing; without items nothing is
+    hit; equal item ids count once; repeated rows of docs fare alike, very long texts are read whole,
+    an empty table stays empty; columns of docs of these names are replaced.
     """
     base = docs.drop(*FOUND.fieldNames())
+    key = "_digest"
+    while key in {c.lower() for c in base.columns}:
+        key += "_"
+    text = base.select(F.md5("text").alias("key"), "text").where(F.col("text").isNotNull())
+    hits = stored(_hits(text, items, width, block_words), "hits")
+    known = hits.select(F.col("key").alias(key), F.col("spans").alias("spans"), "item_ids")
+    joined = base.withColumn(key, F.md5("text")).join(known, key, "left")
     schema = T.StructType([*base.schema.fields, *FOUND.fields])
-    context = docs.sparkSession.sparkContext
-    out: DataFrame | None = None
-    for automaton in _blocks(items, width, block_words):
-        out = (base if out is None else stored(out, "found")).mapInArrow(_pass(context.broadcast(automaton), width), schema)
-    return base.mapInArrow(_pass(None, width), schema) if out is None else out
-
-
-def _pass(shared, width: int):
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value if shared else None
         for batch in batches:
             for part in slices(batch):
-                data, offsets, starts, ends, firsts, hashes = _tokens(part.column("text"))
-                n = part.num_rows
-                hits: dict[int, list[tuple[int, int]]] = {}
-                names: dict[int, set[str]] = {}
-                if automaton and len(hashes):
-                    los, his = _stretches(automaton, hashes, firsts)
-                    owners = np.searchsorted(firsts, los, "right") - 1
-                    for lo, hi, d in zip(los.tolist(), his.tolist(), owners.tolist(), strict=True):
-                        codes = np.searchsorted(automaton.vocabulary, hashes[lo:hi]).tolist()
-                        got: list[tuple[int, int]] = []
-                        _stream(automaton, codes, lo - int(firsts[d]), width, got, names.setdefault(d, set()))
-                        if got:
-                            hits[d] = _merged(hits.get(d, []) + got)
-                if "spans" in part.schema.names:  # of the blocks before
-                    for d, (old, ids) in enumerate(zip(part.column("spans").to_pylist(), part.column("item_ids").to_pylist(), strict=True)):
-                        if old:
-                            hits[d] = _merged(hits.get(d, []) + [(s["first"], s["last"]) for s in old])
-                            names.setdefault(d, set()).update(ids)
-                rest: list[str | None] = [None] * n
-                for d, spans in hits.items():
-                    place, kept = int(offsets[d]), []
-                    for lo, hi in spans:
-                        kept.append(data[place : starts[firsts[d] + lo]].tobytes())
-                        place = int(ends[firsts[d] + hi - 1])
-                    kept.append(data[place : offsets[d + 1]].tobytes())
-                    rest[d] = b"".join(kept).decode("utf-8", "replace")
+                data, offsets, starts, ends, firsts = _places(part.column("text"))
+                held = [_merged([(s["first"], s["last"]) for s in spans]) if spans else [] for spans in part.column("spans").to_pylist()]
+                rest: list[str | None] = [None] * part.num_rows
+                for d, spans in enumerate(held):
+                    if spans:
+                        place, kept = int(offsets[d]), []
+                        for lo, hi in spans:
+                            kept.append(data[place : starts[firsts[d] + lo]].tobytes())
+                            place = int(ends[firsts[d] + hi - 1])
+                        kept.append(data[place : offsets[d + 1]].tobytes())
+                        rest[d] = b"".join(kept).decode("utf-8", "replace")
                 added = {
                     "n_words": pa.array(np.diff(firsts), pa.int64()),
-                    "n_hit": pa.array([sum(hi - lo for lo, hi in hits.get(d, ())) for d in range(n)], pa.int64()),
-                    "spans": pa.array([[{"first": lo, "last": hi} for lo, hi in hits.get(d, ())] for d in range(n)], spans_type),
-                    "item_ids": pa.array([sorted(names.get(d, ())) for d in range(n)], pa.list_(pa.string())),
+                    "n_hit": pa.array([sum(hi - lo for lo, hi in spans) for spans in held], pa.int64()),
+                    "spans": pa.array([[{"first": lo, "last": hi} for lo, hi in spans] for spans in held], spans_type),
+                    "item_ids": pa.array([ids or [] for ids in part.column("item_ids").to_pylist()], pa.list_(pa.string())),
                     "rest": pa.array(rest, pa.string()),
                 }
-                own = [c for c in part.schema.names if c not in added]
+                own = [c for c in part.schema.names if c not in added and c != key]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in own], *added.values()], [*own, *added])
 
-    return run
+    return joined.select(*base.columns, "spans", "item_ids").mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, max_coverage: float = MAX_COVERAGE) -> DataFrame:

@@ -48,6 +48,18 @@ def test_against_brute_force(spark):
         assert found(decontaminate.find(left, right, 5, block_words=20)) == expected
 
 
+def test_pieces_blocks_and_parts(spark, monkeypatch):
+    """Items cut into pieces, pieces dealt to blocks, stretches dealt to parts; repeated rows, a long text, clashing names."""
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 7)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 30)
+    items, docs = case(2)
+    docs = [(d, t, d) for d, t in docs + docs[:5] + [(300, "abc " * 700_000 + items[0][1])]]
+    left = spark.createDataFrame(docs, "doc_id long, text string, _digest long")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find(left, right, 5, block_words=20).collect()
+    assert sorted((r.doc_id, r._digest, r.n_words, r.n_hit, r.item_ids) for r in got) == sorted((d, d, *brute(t, items, 5)) for d, t, _ in docs)
+
+
 def test_documents(spark, sf_dir):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
