@@ -178,11 +178,11 @@ def periods(rows: DataFrame) -> DataFrame:
     return span.select("date_min", "date_max", last_complete(F.col("date_max"), "week").alias("last_week"), last_complete(F.col("date_max"), "month").alias("last_month"))
 
 
-def closure_calendar(rows: DataFrame) -> DataFrame:
-    """By weekday (0 Monday): possible days in the span, trading days, and never / rarely (under 20 %) / open."""
-    days = rows.select(F.col("occurred_at").cast("date").alias("day")).distinct()
-    span = days.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("day"))
-    return span.join(days.withColumn("open", F.lit(1)), "day", "left").groupBy(F.weekday("day").cast("long").alias("weekday")).agg(
+def closure_calendar(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """By weekday (0 Monday), and by keys where given: possible days in the span, trading days, and never / rarely (under 20 %) / open."""
+    days = rows.select(*keys, F.col("occurred_at").cast("date").alias("day")).distinct()
+    span = days.groupBy(*keys).agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo is not null").select(*keys, F.explode(F.sequence("lo", "hi")).alias("day"))
+    return span.join(days.withColumn("open", F.lit(1)), [*keys, "day"], "left").groupBy(*keys, F.weekday("day").cast("long").alias("weekday")).agg(
         F.count("*").alias("possible"), F.coalesce(F.sum("open"), F.lit(0)).alias("traded")
     ).withColumn("verdict", F.when(F.col("traded") == 0, "never").when(F.col("traded") < 0.2 * F.col("possible"), "rarely").otherwise("open"))
 

@@ -68,24 +68,26 @@ def correlated_pairs(matrix: DataFrame, threshold: float = 0.9) -> DataFrame:
     return matrix.where(F.abs("pearson") >= threshold).select("left", "right", "pearson")
 
 
-def permutation_importance(rows: DataFrame, features: Sequence[str], predict, target: str = "target", seed: int = 11) -> DataFrame:
-    """(feature, rise of the mean absolute error when its values are dealt anew).
+def permutation_importance(rows: DataFrame, features: Sequence[str], predict, target: str = "target", seed: int = 11, repeats: int = 10) -> DataFrame:
+    """(feature, rise of the mean absolute error when its values are dealt anew, mean and deviation over the repeats).
 
     Values are dealt by joining each row with the value at the same place of another seeded order:
     no task sees a whole column.  predict takes rows and adds a column prediction.
     """
     base = stored(rows.withColumn("_id", F.xxhash64(F.lit(seed), *rows.columns)).withColumn("_h", F.pmod("_id", F.lit(1 << 20))), "importance")
-    error = lambda r: r.agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("e"))
-    before = error(predict(base)).first().e
+    error = F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("e")
+    before = predict(base).agg(error).first().e
+    base = base.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     out = []
     for k, name in enumerate(features):
-        place = F.row_number().over(Window.partitionBy(F.pmod("_id", F.lit(256))).orderBy("_id", *features))
-        dealt = F.row_number().over(Window.partitionBy(F.pmod("_id", F.lit(256))).orderBy(F.xxhash64(F.lit(seed + k), "_id", *features)))
+        place = F.row_number().over(Window.partitionBy("_r", F.pmod("_id", F.lit(256))).orderBy("_id", *features))
+        dealt = F.row_number().over(Window.partitionBy("_r", F.pmod("_id", F.lit(256))).orderBy(F.xxhash64(F.lit(seed + k), "_r", "_id", *features)))
         left = base.withColumn("_part", F.pmod("_id", F.lit(256))).withColumn("_n", place)
-        right = base.select(F.pmod("_id", F.lit(256)).alias("_p"), dealt.alias("_m"), F.col(name).alias("_new"))
-        shuffled = left.join(right, (F.col("_part") == F.col("_p")) & (F.col("_n") == F.col("_m"))).withColumn(name, F.col("_new"))
-        out.append((name, float(error(predict(shuffled)).first().e - before)))
-    return rows.sparkSession.createDataFrame(out, "feature string, rise double")
+        right = base.select(F.col("_r").alias("_q"), F.pmod("_id", F.lit(256)).alias("_p"), dealt.alias("_m"), F.col(name).alias("_new"))
+        shuffled = left.join(right, (F.col("_r") == F.col("_q")) & (F.col("_part") == F.col("_p")) & (F.col("_n") == F.col("_m"))).withColumn(name, F.col("_new"))
+        errors = predict(shuffled).groupBy("_r").agg(error).agg(F.avg("e").alias("e"), F.coalesce(F.stddev_pop("e"), F.lit(0.0)).alias("sd")).first()
+        out.append((name, float(errors.e - before), float(errors.sd)))
+    return rows.sparkSession.createDataFrame(out, "feature string, rise double, rise_sd double")
 
 
 def rank_agreement(scores: DataFrame, k: int = 5) -> DataFrame:
@@ -127,7 +129,7 @@ def lost_invoices(judged: DataFrame) -> DataFrame:
     return judged.where("reason is not null and invoice_id is not null").join(kept, "invoice_id", "left_anti").groupBy("reason").agg(F.count_distinct("invoice_id").alias("invoices"))
 
 
-def silhouette(points: DataFrame, features: Sequence[str], sample: int = 2_000) -> DataFrame:
+def silhouette(points: DataFrame, features: Sequence[str], sample: int = 10_000) -> DataFrame:
     """Mean silhouette (Euclidean) of at most `sample` points, picked by a hash, against each other.
 
     A sampling operator: all pairs of a bounded sample, in one broadcast join of that many rows.

@@ -39,17 +39,17 @@ def kpis(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
-def calendar(frame: DataFrame, granularity: str, column: str = "period") -> DataFrame:
-    """Every period from the first to the last of frame."""
-    span = frame.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo is not null")
-    return span.select(F.explode(F.expr(f"sequence(lo, hi, {STEP[granularity]})")).alias(column))
+def calendar(frame: DataFrame, granularity: str, column: str = "period", keys: Sequence[str] = ()) -> DataFrame:
+    """Every period from the first to the last of frame, or of each group of keys."""
+    span = frame.groupBy(*keys).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo is not null")
+    return span.select(*keys, F.explode(F.expr(f"sequence(lo, hi, {STEP[granularity]})")).alias(column))
 
 
-def fill_gaps(frame: DataFrame, granularity: str, values: Sequence[str], column: str = "period") -> DataFrame:
-    """frame on its whole calendar; missing values are 0 and `filled` marks them."""
+def fill_gaps(frame: DataFrame, granularity: str, values: Sequence[str], column: str = "period", keys: Sequence[str] = ()) -> DataFrame:
+    """frame on its whole calendar, each group of keys (none of them null) on its own; missing values are 0 and `filled` marks them."""
     marked = frame.withColumn("filled", F.lit(False))
-    return calendar(frame, granularity, column).join(marked, column, "left").select(
-        column, *[F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in values], F.coalesce("filled", F.lit(True)).alias("filled"))
+    return calendar(frame, granularity, column, keys).join(marked, [*keys, column], "left").select(
+        *keys, column, *[F.coalesce(F.col(v), F.lit(0.0)).alias(v) for v in values], F.coalesce("filled", F.lit(True)).alias("filled"))
 
 
 def period_end(start: Column, granularity: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.operators import aggregates, cleaning, rfm, rules, series, shape, statistics
 from quern.plans.filters import Filters, within
 from quern.sources.sales import SALES_SQL, bucket, read, sales
+from quern.sources.stage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -284,12 +285,12 @@ def calendar_hour(spark, sf_dir):
     return series.calendar_index(cells, "hour").select("bucket", F.round("index", 6).alias("index"), F.round("total", 4).alias("total"), "observations", "reliable")
 
 
-@query(_sql("""SELECT CAST(d AS VARCHAR) AS period, round(coalesce(v, 0), 4) AS gross_revenue, v IS NULL AS filled
-FROM (SELECT unnest(generate_series((SELECT min(p) FROM w)::TIMESTAMP, (SELECT max(p) FROM w)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d) LEFT JOIN w ON p = d""",
-"w AS (SELECT occurred_at::DATE AS p, sum(revenue)::DOUBLE AS v FROM sales WHERE NOT is_return AND brand = 'Brand#11' GROUP BY 1)"))
+@query(_sql("""SELECT c.brand, CAST(d AS VARCHAR) AS period, round(coalesce(v, 0), 4) AS gross_revenue, v IS NULL AS filled
+FROM (SELECT brand, unnest(generate_series(min(p)::TIMESTAMP, max(p)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM w GROUP BY 1) c LEFT JOIN w ON w.brand = c.brand AND p = d""",
+"w AS (SELECT brand, occurred_at::DATE AS p, sum(revenue)::DOUBLE AS v FROM sales WHERE NOT is_return GROUP BY 1, 2)"))
 def gap_fill_day(spark, sf_dir):
-    days = sales(spark, sf_dir, "occurred_at", "brand", "revenue", "is_return").where("brand = 'Brand#11' and not is_return").groupBy(bucket("occurred_at", "day").alias("period")).agg(F.sum("revenue").cast("double").alias("gross_revenue"))
-    return rounded(shape.fill_gaps(days, "day", ["gross_revenue"]))
+    days = sales(spark, sf_dir, "occurred_at", "brand", "revenue", "is_return").where("not is_return").groupBy("brand", bucket("occurred_at", "day").alias("period")).agg(F.sum("revenue").cast("double").alias("gross_revenue"))
+    return rounded(shape.fill_gaps(stored(days, "days"), "day", ["gross_revenue"], keys=["brand"]))
 
 
 # Cleaning: a rendering of the lines as text, with defects that their keys decide
@@ -347,13 +348,12 @@ def clean_rows(spark, sf_dir):
         F.round(F.sum("revenue").cast("double"), 2).alias("revenue"), F.count_if("is_outlier").alias("outliers"))
 
 
-@query(_sql("""SELECT CAST(isodow(d) - 1 AS BIGINT) AS weekday, count(*) AS possible, count(o.day) AS traded,
+@query(_sql("""SELECT c.region, CAST(isodow(d) - 1 AS BIGINT) AS weekday, count(*) AS possible, count(o.day) AS traded,
   CASE WHEN count(o.day) = 0 THEN 'never' WHEN count(o.day) < 0.2 * count(*) THEN 'rarely' ELSE 'open' END AS verdict
-FROM (SELECT unnest(generate_series((SELECT min(day) FROM o)::TIMESTAMP, (SELECT max(day) FROM o)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d) LEFT JOIN o ON o.day = d GROUP BY 1""",
-"o AS (SELECT DISTINCT occurred_at::DATE AS day FROM sales WHERE region = (SELECT min(n_name) FROM nation))"))
+FROM (SELECT region, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM o GROUP BY 1) c LEFT JOIN o ON o.region = c.region AND o.day = d GROUP BY 1, 2""",
+"o AS (SELECT DISTINCT region, occurred_at::DATE AS day FROM sales)"))
 def clean_calendar(spark, sf_dir):
-    first = read(spark, sf_dir, "nation").agg(F.min("n_name").alias("region"))
-    return cleaning.closure_calendar(within(sales(spark, sf_dir, "occurred_at", "region"), first, "region"))
+    return cleaning.closure_calendar(stored(sales(spark, sf_dir, "occurred_at", "region").select("region", F.to_date("occurred_at").alias("occurred_at")).distinct(), "days"), ["region"])
 
 
 @query(_sql("""SELECT CAST(min(occurred_at)::DATE AS VARCHAR) AS date_min, CAST(max(occurred_at)::DATE AS VARCHAR) AS date_max,

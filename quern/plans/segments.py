@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from quern.operators import segments
+from quern.operators import choice, segments
 from quern.plans.retail import _sql, query, rounded
 from quern.sources.sales import sales
 from quern.sources.stage import stored
@@ -77,7 +77,7 @@ def adjusted_rand(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir, algorithm):
-    return stored(segments.clustered(segments.matrix(_snapshots(spark, sf_dir).where("window = 3")), 3, algorithm, starts=2), "clusters")
+    return stored(segments.clustered(segments.matrix(_snapshots(spark, sf_dir).where("window = 3")), 3, algorithm, starts=10 if algorithm == "kmeans" else 5), "clusters")
 
 
 @query()
@@ -99,3 +99,21 @@ def stability_windows(spark, sf_dir):
   CASE WHEN avg(ari) >= 0.75 THEN 'stable' WHEN avg(ari) >= 0.4 THEN 'moderately stable' ELSE 'unstable' END AS verdict FROM sp""", _SNAP, STABILITY_SQL))
 def stability_summary(spark, sf_dir):
     return rounded(segments.stability_summary(segments.stability(_labels(spark, sf_dir))), 6)
+
+
+@query(_sql("""SELECT count(*) AS points, round(avg(CASE WHEN n > 1 THEN coalesce((b - a) / greatest(a, b), 0) ELSE 0 END), 5) AS silhouette_squared FROM (
+  SELECT id, any_value(n) FILTER (own) AS n, any_value(d * n / greatest(n - 1, 1)) FILTER (own) AS a, min(d) FILTER (NOT own) AS b FROM (
+    SELECT p.id, p.label = c.label AS own, c.n, pow(p.x1, 2) + pow(p.x2, 2) + pow(p.x3, 2) + c.q - 2 * (p.x1 * c.m1 + p.x2 * c.m2 + p.x3 * c.m3) AS d
+    FROM p, (SELECT label, count(*) AS n, avg(pow(x1, 2) + pow(x2, 2) + pow(x3, 2)) AS q, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM p GROUP BY 1) c) GROUP BY 1)""", _SNAP,
+"""p AS (SELECT s.customer AS id, label, (-recency - a1) / d1 AS x1, (ln(1 + frequency) - a2) / d2 AS x2, (sign(monetary) * ln(1 + abs(monetary)) - a3) / d3 AS x3 FROM s JOIN l ON l.customer = s.customer AND l.win = 3,
+  (SELECT avg(-recency) AS a1, stddev_pop(-recency) AS d1, avg(ln(1 + frequency)) AS a2, stddev_pop(ln(1 + frequency)) AS d2, avg(sign(monetary) * ln(1 + abs(monetary))) AS a3, stddev_pop(sign(monetary) * ln(1 + abs(monetary))) AS d3 FROM s WHERE win = 3) WHERE s.win = 3)"""))
+def silhouette_labels(spark, sf_dir):
+    rows = segments.matrix(_snapshots(spark, sf_dir).where("window = 3"))
+    labels = _labels(spark, sf_dir).where("window = 3").select("customer", F.col("label").alias("cluster"))
+    return rounded(choice.silhouette_squared(rows.join(labels, "customer")), 5)
+
+
+@query()
+def segments_by_k(spark, sf_dir):
+    """Every index, the gap and the elbow for 2 to 8 clusters."""
+    return rounded(choice.compared(segments.matrix(_snapshots(spark, sf_dir).where("window = 3"))), 4)
