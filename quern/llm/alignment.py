@@ -26,8 +26,8 @@ from quern.llm.common import layout, slices, stored, table, word_hashes
 FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
-#: Documents aligned together, and texts hashed together, in bytes.
-WINDOW_BYTES, HASHED_BYTES = 32 << 20, 2 << 20
+#: Documents aligned together, and texts hashed together, in bytes; pieces encoded together.
+WINDOW_BYTES, HASHED_BYTES, ENCODED = 5 << 20, 1 << 20, 2_000
 
 #: Fixed value: the character that stands for a space in pieces.
 SPACE_MARK = "▁"
@@ -108,6 +108,24 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
+def _encoded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pair: _Pair) -> tuple[np.ndarray, ...]:
+    """Ids and their numbers by piece for both encoders, and which pieces their tokens spell; the others have none.
+
+    Encoders hand out large objects, so pieces go through them in small runs.
+    """
+    runs = []
+    for lo in range(0, len(starts), ENCODED):
+        raw = [data[s:e].tobytes() for s, e in zip(starts[lo : lo + ENCODED].tolist(), ends[lo : lo + ENCODED].tolist(), strict=True)]
+        a, b = pair.encode([x.decode("utf-8", "replace") for x in raw])
+        good = np.ones(len(raw), bool)
+        for k, x in enumerate(raw):
+            if not b"".join(map(pair.a_bytes.__getitem__, a[k])) == x == b"".join(map(pair.b_bytes.__getitem__, b[k])):
+                good[k], a[k], b[k] = False, [], []
+        runs.append((*_flat(a), *_flat(b), good))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (empty, empty, empty, empty, np.zeros(0, bool))
+
+
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
     return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
@@ -148,16 +166,8 @@ def _aligned(texts: pa.Array, pair: _Pair) -> dict:
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     firsts = np.searchsorted(starts, offsets)
     _, at, piece = np.unique(_hashed(data, starts, ends), return_index=True, return_inverse=True)
-    raw = [data[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-    a_lists, b_lists = pair.encode([x.decode("utf-8", "replace") for x in raw])
-
-    # pieces whose tokens do not spell them have none, nor have their documents
-    joined = lambda ids, spelt: b"".join(map(spelt.__getitem__, ids))
-    good = np.fromiter((joined(a, pair.a_bytes) == x == joined(b, pair.b_bytes) for a, b, x in zip(a_lists, b_lists, raw, strict=True)), bool, len(raw))
-    for k in np.flatnonzero(~good):
-        a_lists[k], b_lists[k] = [], []
-    a_ids, n_a = _flat(a_lists)
-    b_ids, n_b = _flat(b_lists)
+    piece = piece.astype(np.int32)
+    a_ids, n_a, b_ids, n_b, good = _encoded(data, starts[at], ends[at], pair)
     a_ends, b_ends = np.cumsum(pair.a_size[a_ids]), np.cumsum(pair.b_size[b_ids])
     a_label, b_label, far = terminals(a_ends, b_ends)
 
@@ -185,15 +195,15 @@ def _aligned(texts: pa.Array, pair: _Pair) -> dict:
     whole = _sums(~good[piece], firsts) == 0
     doc = np.repeat(np.arange(n), np.diff(firsts))
     counted = whole[doc]
-    times = np.bincount(piece[counted], minlength=len(raw)).astype(np.int64)
+    times = np.bincount(piece[counted], minlength=len(at)).astype(np.int64)
     found = {name: np.where(whole, _sums(x[piece], firsts), 0) for name, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links))}
     groups = ["".join(map(written.__getitem__, piece[firsts[d] : firsts[d + 1]].tolist()))[:-1] if whole[d] else "" for d in range(n)]
-    held, held_times = np.unique(doc[counted] * max(1, len(raw)) + piece[counted], return_counts=True)
-    held_doc = held // max(1, len(raw))
+    held, held_times = np.unique(doc[counted] * max(1, len(at)) + piece[counted], return_counts=True)
+    held_doc = held // max(1, len(at))
     pairs, place = np.unique(keys, return_inverse=True)
     total = np.bincount(place, weights=np.repeat(times, n_links), minlength=len(pairs)).astype(np.int64)
     return found | {
-        "groups": groups, "held": (held % max(1, len(raw))).astype(np.int32), "held_times": held_times.astype(np.int32),
+        "groups": groups, "held": (held % max(1, len(at))).astype(np.int32), "held_times": held_times.astype(np.int32),
         "held_index": np.searchsorted(held_doc, np.arange(n + 1)).astype(np.int32),
         "pairs": pairs, "total": total, "links": place.astype(np.int32), "link_index": np.concatenate([[0], np.cumsum(n_links)]).astype(np.int64),
     }
