@@ -29,11 +29,11 @@ def _home(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
+    """Write df to the shared folder (compressed by `codec`, else as the session has it) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{_home(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
