@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import alignment, chat, decontaminate, jaccard, language, mixing, quality, sharding, spelling, substrings, suffixes, urls
+from quern.llm import alignment, chat, decontaminate, jaccard, language, mixing, quality, sharding, spelling, substrings, suffixes, urls, warc
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffixes": suffixes.op8_suffixes,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
+    "op11_warc": warc.op11_warc,
     "op12_spelling": spelling.op12_spelling,
     "op13_align": alignment.op13_align,
 }
@@ -27,5 +28,6 @@ ORACLE_SQL = {
     "op8_suffixes": suffixes.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op10_quality": quality.OP10_SQL,
+    "op11_warc": warc.OP11_SQL,
     "op12_spelling": spelling.OP12_SQL,
 }
