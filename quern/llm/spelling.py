@@ -97,7 +97,7 @@ def vocabulary(docs: DataFrame, damaged: int = 0, least_points: int = LEAST_POIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=8 << 20):
+            for part in slices(batch, limit=4 << 20):
                 found, n = _counted(part, damaged, least_points)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
 
