@@ -120,6 +120,18 @@ def problems(clean_rows: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("problem"), F.col(k).alias("rows")) for k in rules])).alias("x")).select("x.*")
 
 
+#: A cleaned table needs so many rows, over so many different weeks.
+LEAST_ROWS, LEAST_WEEKS = 100, 8
+
+
+def sufficient(clean_rows: DataFrame, rows: int = LEAST_ROWS, weeks: int = LEAST_WEEKS) -> DataFrame:
+    """(check, code, found, needed): whether a cleaned table has enough rows and weeks; code is empty where it has."""
+    seen = clean_rows.agg(F.count("*").alias("n"), F.count_distinct(F.date_trunc("week", "occurred_at")).alias("w"))
+    each = [F.struct(F.lit(name).alias("check"), F.when(F.col(c) >= least, "").otherwise(f"TOO_FEW_{name.upper()}").alias("code"), F.col(c).alias("found"), F.lit(least).cast("long").alias("needed"))
+            for name, c, least in (("rows", "n", rows), ("weeks", "w", weeks))]
+    return seen.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
 def with_returns(rows: DataFrame) -> DataFrame:
     """is_return: an invoice that starts with C, or a negative quantity."""
     return rows.withColumn("is_return", F.coalesce(F.upper("invoice_id").startswith("C"), F.lit(False)) | F.coalesce(F.col("quantity") < 0, F.lit(False)))

@@ -117,3 +117,18 @@ def date_style(raw: DataFrame, column: str, requested: str | None = None, least:
     if len(good) != 1:
         raise MappingError("AMBIGUOUS_DATES" if good else "DATE_FORMAT", ", ".join(good) or column)
     return good[0]
+
+
+def check_preview(raw: DataFrame, most: int = 200) -> None:
+    """Refuse a table without columns or rows, or with more columns than a sales table has."""
+    if not raw.columns or raw.isEmpty():
+        raise MappingError("EMPTY_FILE", "a header and a row of data are needed")
+    if len(raw.columns) > most:
+        raise MappingError("MALFORMED_CSV", f"{len(raw.columns)} columns, more than {most}; is it separated by commas?")
+
+
+def prepared(raw: DataFrame, mapping: Mapping[str, str | None] | None = None, style: str | None = None) -> tuple[dict[str, str], str]:
+    """The mapping (suggested where none is given) and the date style that cleaning needs, or a MappingError that says what is missing."""
+    check_preview(raw)
+    chosen = validate(suggest({r["column"]: r["kind"] for r in profile(raw).collect()})[0] if mapping is None else mapping, raw.columns)
+    return chosen, date_style(raw, chosen["occurred_at"], style)

@@ -8,47 +8,113 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.stage import delete as discard_path
+
 #: Encodings tried in order, and the texts that count as missing.
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1")
-MALFORMED = "_malformed"
 MISSING = ("", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
+#: How lines are taken apart.
+OPTIONS = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "escape": "\"", "nullValue": "\x00", "emptyValue": ""}
+_MARK, _LAST = "\ufeff", "\ue000\uf8ff"
+
+#: Places of headers are broadcast for up to this many files; beyond it the join shuffles, by place.
+BROADCAST_FILES = 100_000
+
+
+class TableError(ValueError):
+    """Files that cannot be read as a table."""
+
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """The first encoding that reads every line of the files, judged in tasks over raw lines, so a stray byte anywhere counts."""
     lines = spark.read.text(path)
-    seen = lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("broken"), F.bool_or(F.startswith("value", F.lit("\ufeff"))).alias("marked")).first()
+    seen = lines.agg(F.bool_or(~F.is_valid_utf8("value")).alias("broken"), F.bool_or(F.startswith("value", F.lit(_MARK))).alias("marked")).first()
     return ENCODINGS[2] if seen.broken else ENCODINGS[1] if seen.marked else ENCODINGS[0]
 
 
-def _lines(spark: SparkSession, path: str, encoding: str | None) -> DataFrame:
+def _lines(spark: SparkSession, path: str, encoding: str | None) -> tuple[DataFrame, list[str]]:
+    """(line) of the files without empty lines and without each file's header, and the names in the header."""
     chosen = encoding or encoding_of(spark, path)
-    reader = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("encoding", "ISO-8859-1" if chosen == "latin-1" else "UTF-8")
-    names = reader.csv(path).columns
-    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*names, MALFORMED])
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED).option("enforceSchema", True).schema(schema).csv(path)
+    text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if chosen == "latin-1" else F.col("value")
+    rows = spark.read.text(path).select(
+        F.regexp_replace(text, f"^{_MARK}|\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+    ).where(F.trim("line") != "")
+    heads = rows.groupBy("file").agg(F.min("at").alias("head"), F.min_by("line", "at").alias("names"))
+    first = heads.orderBy("file").first()
+    if first is None:
+        raise TableError(f"no lines in {path}")
+    schema = ", ".join(f"c{k} string" for k in range(first.names.count(",") + 2))
+    fields = spark.range(1).select(F.from_csv(F.lit(first.names), schema, OPTIONS).alias("x")).select("x.*").first()
+    tops = heads.select(F.col("file").alias("_of"), "head")
+    if heads.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        tops = F.broadcast(tops)
+    return rows.join(tops, (F.col("file") == F.col("_of")) & (F.col("at") == F.col("head")), "left_anti").select("line"), [c for c in fields if c is not None]
+
+
+def _parsed(spark: SparkSession, path: str, encoding: str | None) -> tuple[DataFrame, list[str]]:
+    """(line, x, fields): each line with its fields c0, c1, ... and how many there are, 0 for too many or an open quote.
+
+    A mark (of private-use code points) is put behind each line as one more field; where it is found tells the number.
+    """
+    lines, names = _lines(spark, path, encoding)
+    marked = [f"c{k}" for k in range(len(names) + 1)]
+    rows = lines.select("line", F.from_csv(F.concat("line", F.lit(f",{_LAST}")), ", ".join(f"{c} string" for c in marked), OPTIONS).alias("x"))
+    return rows.withColumn("fields", F.coalesce(F.array_position(F.array(*[f"x.{c}" for c in marked]), F.lit(_LAST)), F.lit(0)) - 1), names
 
 
 def malformed(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """(line): the lines that read_text leaves out, since they do not have the header's number of fields."""
-    rows = _lines(spark, path, encoding)
-    return rows.where(F.col(MALFORMED).isNotNull()).select(*rows.columns).select(F.col(MALFORMED).alias("line"))
+    """(line): the lines that read_text leaves out: more fields than the header has, or a quote that the line does not close."""
+    return _parsed(spark, path, encoding)[0].where("fields < 0").select("line")
 
 
 def read_text(spark: SparkSession, path: str, columns: Sequence[str] | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV file with header, every column as text; missing-value texts are null and malformed lines are left out (see malformed).
+    """A CSV file (or a folder of them) with header, every column as text; missing-value texts are null.
 
-    Only the named columns are kept if any are named.
+    A line is a row: a quoted field does not run on in the next line.  Lines of fewer fields than
+    the header are filled up with nulls, those of more, or with an open quote, are left out (see
+    malformed); empty lines do not count.  Reading, counting and `malformed` go by the same parsed
+    lines.  Only the named columns are kept if any are named; one that is not there is an error.
     """
-    rows = _lines(spark, path, encoding)
-    rows = rows.where(F.col(MALFORMED).isNull()).drop(MALFORMED)
-    if columns:
-        rows = rows.select(*[f"`{c}`" for c in columns])
-    return rows.select(*[F.when(~F.col(f"`{c}`").isin(list(MISSING)), F.col(f"`{c}`")).alias(c) for c in rows.columns])
+    rows, names = _parsed(spark, path, encoding)
+    if columns and (absent := [c for c in columns if c not in names]):
+        raise TableError(f"columns not in {path}: {', '.join(absent)}")
+    kept = rows.where("fields >= 0")
+    value = lambda k: F.when((F.col("fields") > k) & ~F.col(f"x.c{k}").isin(list(MISSING)), F.col(f"x.c{k}"))
+    return kept.select(*[value(names.index(c)).alias(c) for c in columns or names])
+
+
+def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A table of text columns, by the file's suffix: .csv text, or Parquet, whose values are written out as text."""
+    suffix = path.rstrip("/").rpartition(".")[2].lower()
+    if suffix == "csv":
+        return read_text(spark, path, columns)
+    if suffix == "parquet":
+        rows = spark.read.parquet(path)
+        return rows.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns or rows.columns])
+    raise TableError(f"no reader for .{suffix}: text (.csv) and Parquet are read")
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+    """The names in the header, as read_text has them."""
+    return _lines(spark, path, None)[1]
+
+
+def weekly_series(rows: DataFrame, code: str, quantity: str, price: str, at: str, excluded: Sequence[str]) -> DataFrame:
+    """(period, value): revenue by week from Monday, of text rows as read_text has them.
+
+    A light reading for rehearsals, not the cleaning: rows need a quantity, a price above zero and
+    a date, and a code that is not `excluded`.  Weeks between the first and last without rows are
+    zero; a last week that the rows do not fill up to its Sunday is left out.
+    """
+    number = lambda c: F.expr(f"try_cast(trim(`{c}`) as double)")
+    used = rows.select(F.upper(F.trim(F.col(f"`{code}`"))).alias("code"), number(quantity).alias("q"), number(price).alias("p"), F.expr(f"try_cast(`{at}` as timestamp_ntz)").alias("t"))
+    used = used.where((F.col("p") > 0) & F.col("q").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(F.col("code").isin(list(excluded)), F.lit(False)))
+    weeks = used.groupBy(F.date_trunc("week", "t").cast("date").alias("period")).agg(F.sum(F.col("q") * F.col("p")).alias("value"), F.max("t").cast("date").alias("last"))
+    span = weeks.agg(F.min("period").alias("lo"), F.max("period").alias("hi"), F.max("last").alias("last"))
+    full = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("period"), "last").where(F.date_add("period", 6) <= F.col("last"))
+    return full.select("period").join(weeks.select("period", "value"), "period", "left").select("period", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def stack(sheets: Sequence[tuple[str, DataFrame]]) -> tuple[DataFrame, list[str]]:
@@ -64,6 +130,12 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def delete_dataset(spark: SparkSession, folder: str, dataset_id: str) -> None:
+    """Takes a dataset's partition out of every table of the star; the others stay."""
+    for name in ("categories", "products", "customers", "sales"):
+        discard_path(spark, f"{folder}/{name}/dataset_id={dataset_id}")
+
+
 def write_star(clean: DataFrame, folder: str, dataset_id: str) -> None:
     """Clean lines as a star: sorted dimensions with dense ids, and a fact table; a dataset's earlier rows are replaced.
 

@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir).
 
-    Where none is set, a cluster gets one below its warehouse, which all executors reach; a
-    temporary folder of this machine is made in local mode only.
+    Where none is set, a cluster gets one below its warehouse, if that is in a store that all
+    executors reach (a folder of one machine is refused); a temporary folder of this machine is
+    made in local mode only.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             folder = tempfile.mkdtemp(prefix="quern-")
         else:
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_quern"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if not re.match(r"(?!file:)\w[\w+.-]*:", warehouse):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all executors reach; the warehouse is {warehouse}")
+            folder = f"{warehouse.rstrip('/')}/_quern"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -37,7 +41,8 @@ def stored(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reaches; one that is not there is no error."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
@@ -50,9 +55,9 @@ def discard(df: DataFrame) -> None:
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         at = folder.find(home.removeprefix("file://"))
         if at >= 0:
-            _delete(spark, folder)
+            delete(spark, folder)
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application, once its results are read or written elsewhere."""
-    _delete(spark, _home(spark))
+    delete(spark, _home(spark))

@@ -71,6 +71,18 @@ def test_mapping(spark, raw):
         mapping.date_style(days.where("d <> '13/01/2020'"), "d")
 
 
+def test_prepared_and_sufficient(spark, raw):
+    rows = raw.where("InvoiceDate <> 'not a date'")
+    assert mapping.prepared(rows)[1] == "iso" and mapping.prepared(rows)[0]["occurred_at"] == "InvoiceDate"
+    for bad, code in ((rows.limit(0), "EMPTY_FILE"), (spark.range(1).select(*[F.lit("x").alias(f"c{k}") for k in range(201)]), "MALFORMED_CSV")):
+        with pytest.raises(mapping.MappingError) as problem:
+            mapping.prepared(bad)
+        assert problem.value.code == code
+    days = spark.range(99).select(F.expr("timestamp_ntz '2020-01-01' + make_dt_interval(id % 49)").alias("occurred_at"))
+    assert [(r.check, r.code, r.found) for r in cleaning.sufficient(days).collect()] == [("rows", "TOO_FEW_ROWS", 99), ("weeks", "", 8)]
+    assert [r.code for r in cleaning.sufficient(days.limit(0)).collect()] == ["TOO_FEW_ROWS", "TOO_FEW_WEEKS"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("Name, Qty\nCafé,1\nN/A, 2\n".encode("latin-1"))
     assert files.encoding_of(spark, str(tmp_path / "a.csv")) == "latin-1"
@@ -81,6 +93,47 @@ def test_files(spark, tmp_path):
     assert whole.count() == 4 and left == ["odd"] and files.provenance(spark, str(tmp_path / "a.csv")).first().bytes == 24
 
 
+def test_malformed_lines_are_reported(spark, tmp_path):
+    """Lines of too many fields are left out and reported; short ones are filled up; reading, counting and reporting agree."""
+    (tmp_path / "b.csv").write_text('\ufeffa,b,c\r\n1,2,3\r\n\r\n"x, y",,NA\r\nshort\r\n1,2,3,4\r\n1,2,3,\r\n"say ""hi""", q"r ,\r\n1,"open,2\r\n1,2,3,,\r\n')
+    path = str(tmp_path / "b.csv")
+    rows = files.read_text(spark, path)
+    assert [tuple(r) for r in rows.collect()] == [("1", "2", "3"), ("x, y", None, None), ("short", None, None), ('say "hi"', 'q"r ', None)]
+    assert rows.count() == 4 and files.read_text(spark, path, ["b"]).count() == 4 and files.header(spark, path) == ["a", "b", "c"]
+    assert sorted(r.line for r in files.malformed(spark, path).collect()) == sorted(["1,2,3,", "1,2,3,4", "1,2,3,,", chr(49) + chr(44) + chr(34) + "open,2"]) and files.malformed(spark, path).count() == 4
+    with pytest.raises(files.TableError):
+        files.read_text(spark, path, ["d"])
+
+
+def test_folders_of_files_and_tables_by_suffix(spark, tmp_path):
+    folder = tmp_path / "all.csv"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"p{k}.csv").write_text(f"a,b\n{k},x\na,b\n")
+    got = files.read_table(spark, str(folder))
+    assert sorted(tuple(r) for r in got.collect()) == [("0", "x"), ("1", "x"), ("2", "x"), ("a", "b"), ("a", "b"), ("a", "b")]
+    spark.createDataFrame([(1, None)], "a long, b double").write.parquet(str(tmp_path / "t.parquet"))
+    assert [tuple(r) for r in files.read_table(spark, str(tmp_path / "t.parquet"), ["b", "a"]).collect()] == [(None, "1")]
+    (tmp_path / "empty.csv").write_text("")
+    for bad in ("t.xlsx", "empty.csv"):
+        with pytest.raises(files.TableError):
+            files.read_table(spark, str(tmp_path / bad))
+
+
+def test_weekly_series_from_text(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("StockCode,Quantity,InvoiceDate,Price\n a ,2,2020-01-06 10:00:00,1.5\npost,1,2020-01-07,9\nb,1,2020-01-08,0\nb,x,2020-01-08,2\nc,4,2020-01-26 23:00:00,1\nc,4,2020-01-28,1\n")
+    got = files.weekly_series(files.read_text(spark, str(tmp_path / "c.csv")), "StockCode", "Quantity", "Price", "InvoiceDate", ["POST"])
+    assert [(str(r.period), r.value) for r in got.orderBy("period").collect()] == [("2020-01-06", 3.0), ("2020-01-13", 0.0), ("2020-01-20", 4.0)]
+
+
+def test_deleting_a_dataset(spark, raw, tmp_path):
+    clean = cleaning.clean(raw, MAP)
+    for name in ("x", "y"):
+        files.write_star(clean, str(tmp_path / "star"), name)
+    files.delete_dataset(spark, str(tmp_path / "star"), "x")
+    assert {r.dataset_id for r in spark.read.parquet(str(tmp_path / "star/sales")).collect()} == {"y"}
+
+
 def test_star_replaces_only_its_dataset(spark, raw, tmp_path):
     clean = cleaning.clean(raw, MAP)
     for name in ("x", "y", "x"):
