@@ -27,13 +27,11 @@ FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Documents aligned together, and texts hashed together, in bytes; pieces encoded together.
-WINDOW_BYTES, HASHED_BYTES, ENCODED = 5 << 20, 1 << 20, 2_000
+WINDOW_BYTES, HASHED_BYTES, ENCODED = 3 << 20, 1 << 20, 2_000
 
 #: Fixed value: the character that stands for a space in pieces.
 SPACE_MARK = "▁"
 
-DOCUMENT, PIECES = 0, 1
-
 
 def _byte_letters() -> dict[str, int]:
     """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the rest follow from U+0100."""
@@ -77,21 +75,26 @@ def _pair(folder: str, first: str, second: str) -> _Pair:
     return _Pair(folder, first, second)
 
 
+def _solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place (3 or more) is surely no white space.
+
+    Outside ASCII, all white space is among the two-byte characters of C2 and the three-byte ones of E1 to E3.
+    """
+    before, two, three = data[at - 1], data[at - 2], data[at - 3]
+    return ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (two != 0xC2) & ~((three >= 0xE1) & (three <= 0xE3)))
+
+
 def _cut(data: np.ndarray, offsets: np.ndarray, allowed: bool) -> np.ndarray:
-    """Starts of the pieces that are encoded on their own: each text's start, and each single space between two other characters.
+    """Starts of the pieces that are encoded once: each text's start, and each single space between two other characters.
 
-    Both encodings break before such a space whatever stands around it.  White space of any kind
-    before it (two-byte C2 and three-byte E1 to E3 characters hold all of it outside ASCII) forbids the cut.
+    Both encodings break before such a space whatever stands around it, unless white space comes before it.
     """
     first = offsets[:-1][np.diff(offsets) > 0]
     if not allowed or not len(data):
         return first
     at = np.flatnonzero(data == 0x20)
     at = at[(at >= 3) & (at + 1 < len(data))]
-    before, two, three = data[at - 1], data[at - 2], data[at - 3]
-    plain = (before > 0x20) & (before < 0x7F)
-    other = (before >= 0x80) & (two != 0xC2) & ~((three >= 0xE1) & (three <= 0xE3))
-    at = at[(plain | other) & (data[at + 1] != 0x20)]
+    at = at[_solid(data, at) & (data[at + 1] != 0x20)]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     at = at[~edge[at] & ~edge[at + 1]]
@@ -109,21 +112,47 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def _encoded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pair: _Pair) -> tuple[np.ndarray, ...]:
-    """Ids and their numbers by piece for both encoders, and which pieces their tokens spell; the others have none.
+    """An order of the pieces; in that order, ids and their numbers by piece for both encoders, and which pieces their tokens spell.
 
-    Encoders hand out large objects, so pieces go through them in small runs.
+    Pieces that can follow each other in a text are joined in runs and encoded as one: their tokens
+    break at the pieces' ends, and a run where they do not, or do not spell it, is done piece by
+    piece, as are the pieces that cannot be joined.  Pieces that are not spelt have no tokens.
     """
-    runs = []
-    for lo in range(0, len(starts), ENCODED):
-        raw = [data[s:e].tobytes() for s, e in zip(starts[lo : lo + ENCODED].tolist(), ends[lo : lo + ENCODED].tolist(), strict=True)]
-        a, b = pair.encode([x.decode("utf-8", "replace") for x in raw])
-        good = np.ones(len(raw), bool)
-        for k, x in enumerate(raw):
+    size = ends - starts
+    fits = (size > 3) & pair.cuts
+    fits[fits] = (data[starts[fits] + 1] != 0x20) & _solid(data, ends[fits])
+    joined, single = np.flatnonzero(fits), [np.flatnonzero(~fits)]
+    order, runs = [], []
+    raw = lambda k: data[starts[k] : ends[k]].tobytes()
+    for lo in range(0, len(joined), ENCODED):
+        part = joined[lo : lo + ENCODED]
+        text = b"".join(map(raw, part.tolist()))
+        places = np.cumsum(size[part])
+        made = []
+        for ids, spelt, sizes in zip(pair.encode([text.decode("utf-8", "replace")]), (pair.a_bytes, pair.b_bytes), (pair.a_size, pair.b_size), strict=True):
+            ids = np.array(ids[0], np.int64)
+            at = np.cumsum(sizes[ids])
+            upto = np.searchsorted(at, places, "right")
+            if b"".join(map(spelt.__getitem__, ids.tolist())) == text and np.array_equal(at[upto - 1], places):
+                made += [ids, np.diff(upto, prepend=0)]
+        if len(made) == 4:
+            order.append(part)
+            runs.append((*made, np.ones(len(part), bool)))
+        else:
+            single.append(part)
+    rest = np.concatenate(single)
+    for lo in range(0, len(rest), ENCODED):
+        part = rest[lo : lo + ENCODED]
+        texts = list(map(raw, part.tolist()))
+        a, b = pair.encode([x.decode("utf-8", "replace") for x in texts])
+        good = np.ones(len(part), bool)
+        for k, x in enumerate(texts):
             if not b"".join(map(pair.a_bytes.__getitem__, a[k])) == x == b"".join(map(pair.b_bytes.__getitem__, b[k])):
                 good[k], a[k], b[k] = False, [], []
+        order.append(part)
         runs.append((*_flat(a), *_flat(b), good))
     empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (empty, empty, empty, empty, np.zeros(0, bool))
+    return tuple(np.concatenate(x) for x in ([order, *zip(*runs, strict=True)] if runs else [[empty]] * 5 + [[np.zeros(0, bool)]]))
 
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +195,10 @@ def _aligned(texts: pa.Array, pair: _Pair) -> dict:
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     firsts = np.searchsorted(starts, offsets)
     _, at, piece = np.unique(_hashed(data, starts, ends), return_index=True, return_inverse=True)
-    piece = piece.astype(np.int32)
-    a_ids, n_a, b_ids, n_b, good = _encoded(data, starts[at], ends[at], pair)
+    order, a_ids, n_a, b_ids, n_b, good = _encoded(data, starts[at], ends[at], pair)
+    rank = np.empty(len(at), np.int32)
+    rank[order] = np.arange(len(at), dtype=np.int32)
+    piece = rank[piece]
     a_ends, b_ends = np.cumsum(pair.a_size[a_ids]), np.cumsum(pair.b_size[b_ids])
     a_label, b_label, far = terminals(a_ends, b_ends)
 
@@ -213,10 +244,28 @@ def _aligned(texts: pa.Array, pair: _Pair) -> dict:
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+#: Arrays of a window that go packed: which pieces a document holds and how often, and each piece's links as places among the pairs.
+PACKED = ("held", "held_times", "held_index", "links", "link_index")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit integers, byte by byte of their differences, compressed."""
+    steps = np.diff(values.astype(np.int32), prepend=np.int32(0))
+    return len(values).to_bytes(8, "little") + pa.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], 4 * n, "zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.int32).ravel(), dtype=np.int32)
+
+
 def _windows(docs: DataFrame, keep: list[str], folder: str, first: str, second: str, whole: bool) -> DataFrame:
     """Stored rows of two parts for each window: its documents, and one row of its pairs and pieces."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    schema = f"{types}, _window bigint, _part int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, _held array<int>, _times array<int>, _pairs array<bigint>, _total array<bigint>, _index array<bigint>"
+    packed = ", ".join(f"_{c} binary" for c in PACKED)
+    schema = f"{types}, _window bigint, _place int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, _pairs array<bigint>, _total array<bigint>, {packed}"
+    names = [*keep, "_window", "_place", *NUMBERS[:4], "groups", "_pairs", "_total", *[f"_{c}" for c in PACKED]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(folder, first, second)
@@ -224,28 +273,23 @@ def _windows(docs: DataFrame, keep: list[str], folder: str, first: str, second:
             for part in slices(batch, "_text", WINDOW_BYTES):
                 found = _aligned(part.column("_text"), pair)
                 n, window = part.num_rows, int.from_bytes(os.urandom(8), "big") >> 1
-                lists = lambda values, index: pa.ListArray.from_arrays(pa.array(index, pa.int32()), pa.array(values, pa.int32()))
                 groups = found["groups"] if whole else [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found["groups"]]
-                nothing = lambda kind: pa.nulls(n, pa.list_(kind))
-                own = [part.column(k) for k in range(len(keep))]
+                own, longs = [part.column(k) for k in range(len(keep))], pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    *own, pa.array(np.full(n, window)), pa.array(np.full(n, DOCUMENT, np.int32)), *[pa.array(found[c], pa.int64()) for c in NUMBERS[:4]], pa.array(groups, pa.string()),
-                    lists(found["held"], found["held_index"]), lists(found["held_times"], found["held_index"]), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int64()),
+                    *own, pa.array(np.full(n, window)), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(found[c], pa.int64()) for c in NUMBERS[:4]], pa.array(groups, pa.string()),
+                    *[pa.nulls(n, longs)] * 2, *[pa.nulls(n, pa.binary())] * len(PACKED),
                 ], names)
-                none = [pa.nulls(1, c.type) for c in own]
-                one = lambda values, kind: pa.array([values], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([
-                    *none, pa.array([window]), pa.array([PIECES], pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()),
-                    one(found["links"], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), one(found["pairs"], pa.int64()), one(found["total"], pa.int64()), one(found["link_index"], pa.int64()),
+                    *[pa.nulls(1, c.type) for c in own], pa.array([window]), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()),
+                    pa.array([found["pairs"]], longs), pa.array([found["total"]], longs), *[pa.array([_packed(found[c])], pa.binary()) for c in PACKED],
                 ], names)
 
-    names = [*keep, "_window", "_part", *NUMBERS[:4], "groups", "_held", "_times", "_pairs", "_total", "_index"]
     return stored(docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema), "aligned")
 
 
 def pair_counts(windows: DataFrame) -> DataFrame:
     """pair (first id times the second vocabulary's size plus second id) and count: its links over all documents."""
-    each = windows.where(F.col("_part") == PIECES).select(F.explode(F.arrays_zip("_pairs", "_total")).alias("x")).select(F.col("x._pairs").alias("pair"), F.col("x._total").alias("n"))
+    each = windows.where("_place is null").select(F.explode(F.arrays_zip("_pairs", "_total")).alias("x")).select(F.col("x._pairs").alias("pair"), F.col("x._total").alias("n"))
     return each.where("n > 0").groupBy("pair").agg(F.sum("n").alias("count"))
 
 
@@ -273,32 +317,24 @@ def align(docs: DataFrame, keep: list[str], folder: str = FOLDER, first: str = F
     counts = stored(pair_counts(windows).withColumn("second", (F.col("pair") % n_second).cast("int")), "pairs")
     highest = counts.groupBy("second").agg(F.max("count").alias("top"))
     ranked = counts.join(F.broadcast(highest), "second").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
-    asked = windows.where(F.col("_part") == PIECES).select("_window", F.explode("_pairs").alias("pair"))
+    asked = windows.where("_place is null").select("_window", F.explode("_pairs").alias("pair"))
     known = asked.join(ranked, "pair").select(F.col("_window").alias("_of"), "pair", "count", "best")
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def scored(rows: pa.Table, known: pa.Table) -> pa.Table:
-        is_doc = pc.equal(rows["_part"], DOCUMENT)
-        own, rest = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
-        pieces = rest.slice(0, 1).to_batches()[0]
-        flat = lambda name: np.asarray(pieces.column(pieces.schema.get_field_index(name)).flatten())
-        links, pairs, index = flat("_held"), flat("_pairs"), flat("_index")
-        keys = known["pair"].to_numpy()
-        order = np.argsort(keys)
-        at = np.searchsorted(keys[order], pairs)
-        at = order[np.minimum(at, len(order) - 1)] if len(order) else np.zeros(len(pairs), np.int64)
-        there = keys[at] == pairs if len(order) else np.zeros(len(pairs), bool)
-        count = np.where(there, known["count"].to_numpy()[at], 0) if len(order) else np.zeros(len(pairs), np.int64)
-        best = np.where(there, known["best"].to_numpy(zero_copy_only=False)[at], False).astype(np.int64) if len(order) else count
-        by_piece = {"n_best": _sums(best[links], index), "count_sum": _sums(count[links], index)}
-        held, times = (own[c].combine_chunks() for c in ("_held", "_times"))
-        spans = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        held, times = held.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
-        made = {c: pa.array(_sums(x[held] * times, spans), pa.int64()) for c, x in by_piece.items()}
-        return pa.table([*[own[c] for c in (*keep, *NUMBERS[:4])], *made.values(), own["groups"]], names=[*keep, *NUMBERS, "groups"])
-
-    rows = windows.drop("_total")
-    return rows.groupBy("_window").cogroup(known.groupBy("_of")).applyInArrow(scored, f"{out}, {', '.join(f'{c} bigint' for c in NUMBERS)}, groups string")
+        alone = pc.is_null(rows["_place"])
+        own, window = rows.filter(pc.invert(alone)), rows.filter(alone)
+        held, times, spans, links, index = (_unpacked(window[f"_{c}"][0].as_py()) for c in PACKED)
+        pairs = window["_pairs"].combine_chunks().flatten().to_numpy()
+        place = np.searchsorted(pairs, known["pair"].to_numpy())
+        made = []
+        for c in ("best", "count"):
+            score = np.zeros(len(pairs), np.int64)
+            score[place] = known[c].to_numpy(zero_copy_only=False) if c == "best" else known[c].to_numpy()
+            made.append(_sums(_sums(score[links], index)[held] * times, spans)[own["_place"].to_numpy()])
+        return pa.table([*[own[c] for c in (*keep, *NUMBERS[:4])], *[pa.array(x, pa.int64()) for x in made], own["groups"]], names=[*keep, *NUMBERS, "groups"])
+
+    return windows.drop("_total").groupBy("_window").cogroup(known.groupBy("_of")).applyInArrow(scored, f"{out}, {', '.join(f'{c} bigint' for c in NUMBERS)}, groups string")
 
 
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
