@@ -25,12 +25,12 @@ SIDES, MAINS = ("request", "metadata"), ("response", "revisit", "resource", "con
 
 
 def base32(hexed: Column) -> Column:
-    """The base32 form of 20 bytes given as 40 hex digits."""
-    digits = []
-    for k in range(32):
-        byte = F.conv(F.substring(hexed, 5 * k // 4 + 1, 2), 16, 10).cast("int")
-        digits.append(F.substring(F.lit(BASE32), F.shiftright(byte, 3 - 5 * k % 4).bitwiseAND(31) + 1, F.lit(1)))
-    return F.concat(*digits)
+    """The base32 form of 20 bytes given as 40 hex digits: eight letters for each ten digits."""
+    letters = []
+    for k in range(4):
+        number = F.conv(F.substring(hexed, 10 * k + 1, 10), 16, 10).cast("long")
+        letters += [F.substring(F.lit(BASE32), F.shiftright(number, 35 - 5 * j).bitwiseAND(31).cast("int") + 1, F.lit(1)) for j in range(8)]
+    return F.concat(*letters)
 
 
 def _urn(run: str, number: Column, kind: str) -> Column:
@@ -175,6 +175,8 @@ def captures(records: DataFrame) -> DataFrame:
     record that leads to no capture gives a row of its own without the response's columns, so no
     record is lost; records of other types (warcinfo, malformed ones) are not captures.  A capture
     has few records, and they meet in one row; response bodies move once, by their own identifier.
+    Records need record_id, type and concurrent_to; of the other columns that `read` makes, those
+    that are there come along.  They are read several times: store them before, as far as needed.
     """
     main, side = records.where(F.col("type").isin(*MAINS)), records.where(F.col("type").isin(*SIDES))
     forth = side.select(F.explode("concurrent_to").alias("capture"), F.col("record_id").alias("own"))
@@ -182,11 +184,11 @@ def captures(records: DataFrame) -> DataFrame:
     linked = forth.union(back).distinct()
     loose = side.select("record_id").join(linked, F.col("record_id") == F.col("own"), "left_anti")
     links = linked.union(loose.select("record_id", "record_id"))
-    part = F.struct("record_id", "type", "date", "target", "headers", "block")
+    part = F.struct(*[c for c in ("record_id", "type", "date", "target", "headers", "block") if c in records.columns])
     held = side.select(F.col("record_id").alias("own"), part.alias("part")).join(links, "own").groupBy("capture").agg(F.array_sort(F.collect_list(F.struct(F.col("part.record_id").alias("id"), "part"))).alias("parts"))
     of = lambda kind: F.transform(F.filter("parts", lambda x: x["part"]["type"] == kind), lambda x: x["part"])
     return main.withColumnRenamed("record_id", "capture").join(held, "capture", "full").select(
-        "capture", "type", "target", "date", "refers_to", "digest", "headers", "http", "payload", "payload_bytes", "payload_digest",
+        "capture", *[c for c in ("type", "target", "date", "refers_to", "digest", "headers", "http", "payload", "payload_bytes", "payload_digest") if c in records.columns],
         F.coalesce(of("request"), F.array()).alias("requests"), F.coalesce(of("metadata"), F.array()).alias("metadata"),
     )
 
@@ -195,7 +197,9 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     kept = F.from_json(F.element_at("metadata", 1)["block"].cast("string"), "page_id bigint")
-    found = stored(captures(read(spark, folder)).select("capture", kept["page_id"].alias("page_id"), F.col("type").alias("record_type"), "refers_to", "payload_bytes", "payload_digest"), "read-back")
+    records = stored(read(spark, folder).select(
+        "record_id", "type", "concurrent_to", "refers_to", "payload_bytes", "payload_digest", F.when(F.col("type") == "metadata", F.col("block")).alias("block")), "records")
+    found = stored(captures(records).select("capture", kept["page_id"].alias("page_id"), F.col("type").alias("record_type"), "refers_to", "payload_bytes", "payload_digest"), "read-back")
     heads = found.where("record_type = 'response'").select(F.col("capture").alias("refers_to"), F.col("page_id").alias("head_id"), F.col("payload_bytes").alias("head_bytes"), F.col("payload_digest").alias("head_digest"))
     again = found.where("record_type = 'revisit'").join(heads, "refers_to", "left")
     return found.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).union(
