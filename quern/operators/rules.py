@@ -110,7 +110,7 @@ def fisher_p(both: pd.Series, left: pd.Series, right: pd.Series, n: pd.Series) -
 def tested(rules: DataFrame, alpha: float = 0.05) -> DataFrame:
     fisher = F.pandas_udf(fisher_p, "double")
     rows = rules.withColumn("p_value", fisher("both", "n_antecedent", "n_consequent", "baskets"))
-    return benjamini_hochberg(rows).withColumn("is_association", F.col("q_value") <= alpha)
+    return benjamini_hochberg(rows).withColumn("significant", F.col("q_value") <= alpha).withColumn("is_association", (F.col("lift") > 1) & F.col("significant"))
 
 
 def drop_trivial(rules: DataFrame, most: float = 0.5) -> DataFrame:
@@ -147,26 +147,67 @@ def measure_on(rules: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("antecedent", "consequent", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("held_both", "held_antecedent", "held_consequent")], "held_baskets")
 
 
-def validate(rules: DataFrame, items: DataFrame, min_lift: float = 1.0, least: int = 5) -> DataFrame:
-    """Each rule's lift on held-out baskets; judged from `least` antecedent baskets on."""
+def validate(rules: DataFrame, items: DataFrame, min_lift: float = 1.0, least: int = 5, alpha: float = 0.05) -> DataFrame:
+    """Each rule on held-out baskets: held_lift, whether it is judged, its held_q, and whether it survives.
+
+    Rules are judged if both sides occur there and the antecedent does `least` times.  Surviving
+    takes a lift over `min_lift` and significance: independent items have a lift over 1 half of the
+    time, so a one-sided exact test decides, corrected over all judged rules.
+    """
     rules = stored(rules, "rules")
     held = measure_on(rules, items)
     lift = F.try_divide(F.col("held_both") * F.col("held_baskets"), F.col("held_antecedent").cast("double") * F.col("held_consequent"))
-    return rules.join(held, ["antecedent", "consequent"]).withColumn("judged", F.col("held_antecedent") >= least).withColumn("held_lift", lift).withColumn(
-        "survives", F.col("judged") & F.coalesce(lift > min_lift, F.lit(False)))
+    rows = stored(rules.join(held, ["antecedent", "consequent"]).withColumn("observable", (F.col("held_antecedent") > 0) & (F.col("held_consequent") > 0)).withColumn(
+        "judged", F.col("observable") & (F.col("held_antecedent") >= least)).withColumn("held_lift", lift), "held")
+    exact = F.pandas_udf(fisher_p, "double")
+    p = rows.where("judged").select("antecedent", "consequent", exact("held_both", "held_antecedent", "held_consequent", "held_baskets").alias("held_p"))
+    q = benjamini_hochberg(p, "held_p", "held_q").select("antecedent", "consequent", "held_p", "held_q")
+    return rows.join(q, ["antecedent", "consequent"], "left").withColumn("held_significant", F.coalesce(F.col("held_q") <= alpha, F.lit(False))).withColumn(
+        "survives", F.col("judged") & F.coalesce(F.col("held_lift") > min_lift, F.lit(False)) & F.col("held_significant"))
+
+
+def survival(validated: DataFrame, min_lift: float = 1.0) -> DataFrame:
+    """One row: rules mined, judged, surviving, too thin, unobservable, and lost on significance alone; the judged rules' share
+    of survivors, median lifts with their difference, mean change of lift, and rank correlation of lift (from three rules on)."""
+    rows = stored(validated, "validated")
+    judged = rows.where("judged")
+    ranks = correlation(judged, "lift", "held_lift").select(F.col("spearman").alias("lift_rank_correlation"))
+    above = F.coalesce(F.col("held_lift") > min_lift, F.lit(False))
+    counts = rows.agg(
+        F.count("*").alias("mined"), F.count_if("judged").alias("judged"), F.count_if("survives").alias("surviving"), F.count_if(F.col("observable") & ~F.col("judged")).alias("too_thin"),
+        F.count_if(~F.col("observable")).alias("unobservable"), F.count_if(F.col("judged") & above & ~F.col("held_significant")).alias("lost_on_significance"))
+    means = judged.agg(
+        F.avg(F.col("survives").cast("int")).alias("survival_rate"), F.median("lift").alias("median_lift_mined"), F.median("held_lift").alias("median_lift_held"),
+        (F.median("held_lift") - F.median("lift")).alias("lift_shrinkage"), F.avg(F.col("held_lift") - F.col("lift")).alias("mean_shrinkage"))
+    return counts.join(F.broadcast(means)).join(F.broadcast(ranks)).withColumn("lift_rank_correlation", F.when(F.col("judged") >= 3, F.col("lift_rank_correlation")))
 
 
-def survival(validated: DataFrame) -> DataFrame:
-    """One row over the judged rules: survivors, their share, the mean change of lift, and the rank correlation of lift."""
-    judged = stored(validated.where("judged"), "judged")
-    ranks = correlation(judged, "lift", "held_lift").select(F.col("spearman").alias("lift_rank_correlation"))
-    return judged.agg(
-        F.count("*").alias("judged"), F.count_if("survives").alias("surviving"), F.avg(F.col("survives").cast("int")).alias("survival_rate"),
-        F.avg(F.col("held_lift") - F.col("lift")).alias("mean_shrinkage")).join(F.broadcast(ranks))
+#: Shares of surviving rules from which they count as durable, or as mixed.
+SURVIVED_WELL, SURVIVED_POORLY = 0.70, 0.40
 
 
 def survival_verdict(rate: Column) -> Column:
-    return F.when(rate.isNull(), "not judged").when(rate >= 0.8, "durable").when(rate >= 0.5, "mixed").otherwise("transient")
+    return F.when(rate.isNull(), "not judged").when(rate >= SURVIVED_WELL, "durable").when(rate >= SURVIVED_POORLY, "mixed").otherwise("transient")
+
+
+def summary(rules: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row over tested rules: how many, associations, significant ones, those lost to the correction; lifts and supports."""
+    return rules.agg(
+        F.count("*").alias("rules"), F.count_if("is_association").alias("associations"), F.count("p_value").alias("tested"), F.count_if("significant").alias("significant"),
+        F.count_if((F.col("p_value") <= alpha) & ~F.col("significant")).alias("lost_to_correction"), F.median("lift").alias("median_lift"), F.max("lift").alias("highest_lift"), F.median("support").alias("median_support"))
+
+
+#: Measures by which rules can be ranked.
+RANKED_BY = ("lift", "confidence", "support", "leverage", "conviction", "zhang", "all_confidence", "cosine", "normalised_lift", "cross_support")
+
+
+def top_rules(rules: DataFrame, by: str = "lift", n: int = 20) -> DataFrame:
+    """The n best associations by one measure (null last), with their place; ties go by items."""
+    if by not in RANKED_BY:
+        raise ValueError(f"rules are not ranked by {by}")
+    order = [F.col(by).desc_nulls_last(), F.asc("antecedent"), F.asc("consequent")]
+    best = rules.where("is_association").orderBy(*order).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def new_item_coverage(rules: DataFrame, mined: DataFrame, later: DataFrame, threshold: int = 1) -> DataFrame:

@@ -37,8 +37,11 @@ tr AS (SELECT invoice_id, item FROM b JOIN hd USING (invoice_id), hc WHERE first
 hm AS (SELECT t.*, coalesce(hb, 0) AS hb, coalesce(hl, 0) AS hl, coalesce(hq, 0) AS hq, (SELECT count(DISTINCT invoice_id)::DOUBLE FROM he) AS hn FROM xt t
   LEFT JOIN (SELECT item AS a, count(*)::DOUBLE AS hl FROM he GROUP BY 1) USING (a) LEFT JOIN (SELECT item AS c, count(*)::DOUBLE AS hq FROM he GROUP BY 1) USING (c)
   LEFT JOIN (SELECT i.item AS a, j.item AS c, count(*)::DOUBLE AS hb FROM he i JOIN he j ON i.invoice_id = j.invoice_id AND i.item <> j.item GROUP BY 1, 2) USING (a, c)),
-hv AS (SELECT *, hl >= 5 AS judged, CASE WHEN hl * hq > 0 THEN hb * hn / (hl * hq) END AS held_lift FROM hm),
-hs AS (SELECT *, judged AND coalesce(held_lift > 1, false) AS survives FROM hv),
+hv AS (SELECT *, hl > 0 AND hq > 0 AS observable, hl >= 5 AND hq > 0 AS judged, CASE WHEN hl * hq > 0 THEN hb * hn / (hl * hq) END AS held_lift FROM hm),
+hp AS (SELECT a, c, least(1, sum(exp(lgamma(hl + 1) - lgamma(j + 1) - lgamma(hl - j + 1) + lgamma(hn - hl + 1) - lgamma(hq - j + 1) - lgamma(hn - hl - hq + j + 1) - lgamma(hn + 1) + lgamma(hq + 1) + lgamma(hn - hq + 1)))) AS held_p
+  FROM (SELECT *, unnest(range(greatest(hb, hl + hq - hn)::BIGINT, least(hl, hq)::BIGINT + 1)) AS j FROM hv WHERE judged) GROUP BY 1, 2),
+hb AS (SELECT a, c, held_p, least(1, min(held_p * m / rn) OVER (ORDER BY rn DESC)) AS held_q FROM (SELECT *, row_number() OVER (ORDER BY held_p, a, c) AS rn, count(*) OVER () AS m FROM hp)),
+hs AS (SELECT hv.*, held_q, coalesce(held_q <= 0.05, false) AS held_significant, judged AND coalesce(held_lift > 1, false) AND coalesce(held_q <= 0.05, false) AS survives FROM hv LEFT JOIN hb ON hb.a = hv.a AND hb.c = hv.c),
 hr AS (SELECT lift, held_lift, rank() OVER (ORDER BY lift) + (count(*) OVER (PARTITION BY lift) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY held_lift) + (count(*) OVER (PARTITION BY held_lift) - 1) / 2.0::DOUBLE AS ry FROM hs WHERE judged AND held_lift IS NOT NULL)"""
 
 
@@ -46,28 +49,37 @@ def _mined(items):
     return rules.generate(rules.itemsets(items, 0.01, 2), 0.05, 1.0)
 
 
-@query(_sql("SELECT a AS antecedent, c AS consequent, round(p, 7) AS p_value, round(adjusted, 7) AS q_value, adjusted <= 0.05 AS is_association FROM rt", _TESTED))
+@query(_sql("SELECT a AS antecedent, c AS consequent, round(p, 7) AS p_value, round(adjusted, 7) AS q_value, adjusted <= 0.05 AND lift > 1 AS is_association FROM rt", _TESTED))
 def rules_tested(spark, sf_dir):
     return rounded(rules.tested(_mined(_baskets(spark, sf_dir))).select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", "p_value", "q_value", "is_association"), 7)
 
 
 def _held(spark, sf_dir):
-    """Rules of the earlier baskets with their tests (all count as associations: the given baskets hold few) and their measures on later ones."""
+    """Rules of the earlier baskets with their tests, and their measures on later ones."""
     train, later = rules.split_by_date(_baskets(spark, sf_dir))
-    found = stored(rules.tested(_mined(train), alpha=1.0), "tested")
+    found = stored(rules.tested(_mined(train)), "tested")
     return stored(rules.validate(found, later), "validated"), train, later
 
 
-@query(_sql("""SELECT count(*) AS judged, count(CASE WHEN survives THEN 1 END) AS surviving, round(avg(survives::INT), 6) AS survival_rate, round(avg(held_lift - lift), 6) AS mean_shrinkage,
-  (SELECT round(corr(rx, ry), 6) FROM hr) AS lift_rank_correlation, CASE WHEN avg(survives::INT) >= 0.8 THEN 'durable' WHEN avg(survives::INT) >= 0.5 THEN 'mixed' WHEN count(*) = 0 THEN 'not judged' ELSE 'transient' END AS verdict FROM hs WHERE judged""", _SPLIT))
+@query(_sql("""SELECT count(*) AS mined, count(CASE WHEN judged THEN 1 END) AS judged, count(CASE WHEN survives THEN 1 END) AS surviving, count(CASE WHEN observable AND NOT judged THEN 1 END) AS too_thin, count(CASE WHEN NOT observable THEN 1 END) AS unobservable,
+  count(CASE WHEN judged AND held_lift > 1 AND NOT held_significant THEN 1 END) AS lost_on_significance, round(avg(CASE WHEN judged THEN survives::INT END), 6) AS survival_rate,
+  round(median(CASE WHEN judged THEN lift END), 6) AS median_lift_mined, round(median(CASE WHEN judged THEN held_lift END), 6) AS median_lift_held, round(median(CASE WHEN judged THEN held_lift END) - median(CASE WHEN judged THEN lift END), 6) AS lift_shrinkage,
+  round(avg(CASE WHEN judged THEN held_lift - lift END), 6) AS mean_shrinkage, CASE WHEN count(CASE WHEN judged THEN 1 END) >= 3 THEN (SELECT round(corr(rx, ry), 6) FROM hr) END AS lift_rank_correlation,
+  CASE WHEN count(CASE WHEN judged THEN 1 END) = 0 THEN 'not judged' WHEN avg(CASE WHEN judged THEN survives::INT END) >= 0.7 THEN 'durable' WHEN avg(CASE WHEN judged THEN survives::INT END) >= 0.4 THEN 'mixed' ELSE 'transient' END AS verdict FROM hs""", _SPLIT))
 def rules_holdout(spark, sf_dir):
     got = rules.survival(_held(spark, sf_dir)[0])
     return rounded(got.withColumn("verdict", rules.survival_verdict(F.col("survival_rate"))), 6)
 
 
-@query(_sql("""SELECT a AS antecedent, c AS consequent, hb::BIGINT AS held_both, hl::BIGINT AS held_antecedent, hq::BIGINT AS held_consequent, round(held_lift, 6) AS held_lift, survives FROM hs""", _SPLIT))
+@query(_sql("""SELECT a AS antecedent, c AS consequent, hb::BIGINT AS held_both, hl::BIGINT AS held_antecedent, hq::BIGINT AS held_consequent, round(held_lift, 6) AS held_lift, round(held_q, 7) AS held_q, survives FROM hs""", _SPLIT))
 def rules_measured(spark, sf_dir):
-    return rounded(_held(spark, sf_dir)[0].select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", "held_both", "held_antecedent", "held_consequent", "held_lift", "survives"), 6)
+    return _held(spark, sf_dir)[0].select(F.array_join("antecedent", ",").alias("antecedent"), "consequent", "held_both", "held_antecedent", "held_consequent", F.round("held_lift", 6).alias("held_lift"), F.round("held_q", 7).alias("held_q"), "survives")
+
+
+@query(_sql("""SELECT count(*) AS rules, count(CASE WHEN adjusted <= 0.05 AND lift > 1 THEN 1 END) AS associations, count(p) AS tested, count(CASE WHEN adjusted <= 0.05 THEN 1 END) AS significant, count(CASE WHEN p <= 0.05 AND adjusted > 0.05 THEN 1 END) AS lost_to_correction,
+  round(median(lift), 6) AS median_lift, round(max(lift), 6) AS highest_lift, round(median(b / n), 6) AS median_support FROM rt""", _TESTED))
+def rules_summary(spark, sf_dir):
+    return rounded(rules.summary(rules.tested(_mined(_baskets(spark, sf_dir)))), 6)
 
 
 @query(_sql("""SELECT (SELECT count(DISTINCT item) FROM tr) AS items, (SELECT count(DISTINCT c) FROM xt) AS reachable, round((SELECT count(DISTINCT c) FROM xt) / (SELECT count(DISTINCT item) FROM tr)::DOUBLE, 6) AS item_coverage, count(i.item) AS new_items,
@@ -116,7 +128,7 @@ raw_signals AS (
   UNION ALL SELECT 'forecast', 'interval_understates_risk', 'business', '__TOTAL__', -1, 0.8::DOUBLE - observed, 1, [], NULL FROM mc WHERE observed < 0.8
   UNION ALL SELECT 'segmentation', 'revenue_concentration', 'segment', key, CASE WHEN revenue_share / customer_share > 1 THEN 1 ELSE -1 END, revenue_share / customer_share, 0, [], revenue_share FROM pf
   UNION ALL SELECT 'segmentation', 'segment_outflow', 'segment', a, -1, share, dense_rank() OVER (ORDER BY win) * 6 + nth, [b], NULL FROM fk WHERE nth <= 5 AND share >= 0.15
-  UNION ALL (SELECT 'association', CASE WHEN survives THEN 'durable_pairing' ELSE 'pairing' END, 'product', a || ' -> ' || c, 1, nl, row_number() OVER (ORDER BY round(nl, 9) DESC, a, c), [least(a, c), greatest(a, c)], NULL FROM hs WHERE nl >= 0 ORDER BY round(nl, 9) DESC, a, c LIMIT 25)
+  UNION ALL (SELECT 'association', CASE WHEN survives THEN 'durable_pairing' ELSE 'pairing' END, 'product', a || ' -> ' || c, 1, nl, row_number() OVER (ORDER BY round(nl, 9) DESC, a, c), [least(a, c), greatest(a, c)], NULL FROM hs WHERE nl >= 0.5 AND lift > 1 AND adjusted <= 0.05 ORDER BY round(nl, 9) DESC, a, c LIMIT 25)
   UNION ALL SELECT 'association', 'catalogue_blind_spot', 'business', '__CATALOGUE__', -1, 1 - (SELECT count(DISTINCT c) FROM xt) / (SELECT count(DISTINCT item) FROM tr)::DOUBLE, 0, [], NULL
   UNION ALL SELECT 'association', 'new_product_blind_spot', 'business', '__NEW_PRODUCTS__', -1, 1 - count(x.c) / count(*)::DOUBLE, 0, [], NULL FROM (SELECT DISTINCT item FROM he WHERE item NOT IN (SELECT item FROM tr)) i LEFT JOIN (SELECT DISTINCT c FROM xt) x ON x.c = i.item HAVING count(*) > 0),
 sig AS (SELECT s.*, score, band FROM raw_signals s JOIN ass USING (source)),
@@ -172,7 +184,7 @@ def _insight(spark, sf_dir):
         "association": rules.survival(found).select(insight.association_reliability(F.col("survival_rate"), F.col("lift_rank_correlation")).alias("score")),
     }), "assessed")
     usable = found.withColumn("held", F.col("survives")).withColumn("normalised_lift", F.round("normalised_lift", 9))
-    parts = [insight.from_forecast(bounds), insight.from_segments(profiles, flows), insight.from_rules(usable, rules.coverage(found, train), rules.new_item_coverage(found, train, later), least=0.0)]
+    parts = [insight.from_forecast(bounds), insight.from_segments(profiles, flows), insight.from_rules(usable, rules.coverage(found, train), rules.new_item_coverage(found, train, later))]
     return stored(insight.collect_signals(parts, assessed), "signals"), assessed, money
 
 

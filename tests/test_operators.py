@@ -394,3 +394,30 @@ def test_nothing_outside_the_subpackage_imports_it():
     for path in root.rglob("*.py"):
         if root / "llm" not in path.parents:
             assert "quern.llm" not in path.read_text(), path
+
+
+def test_rules_survive_by_significance(spark):
+    """A pair that holds survives; one that is independent later does not, even where its lift lies just above 1; rare and absent sides are not judged."""
+    later = [(f"h{k}", i) for k in range(200) for i in (["a", "b"] if k % 4 == 0 else []) + (["c"] if k < 100 else []) + (["d"] if 50 <= k < 152 else []) + (["e", "f"] if k < 2 else [])]
+    held = spark.createDataFrame(later, "invoice_id string, item string")
+    pairs = spark.createDataFrame([(["a"], "b", 4.0), (["c"], "d", 2.0), (["e"], "f", 9.0), (["a"], "gone", 3.0)], "antecedent array<string>, consequent string, lift double")
+    got = {r.consequent: r for r in rules.validate(pairs, held).collect()}
+    assert got["b"].survives and got["b"].held_q < 1e-9
+    assert got["d"].judged and not got["d"].survives and not got["d"].held_significant
+    assert not got["f"].judged and got["f"].observable and not got["gone"].observable and got["gone"].held_q is None
+    up = later + [(f"h{k}", "x") for k in range(0, 200, 2)] + [(f"h{k}", "y") for k in [*range(0, 102, 2), *range(101, 199, 2)]]
+    one = rules.validate(pairs.where("consequent = 'gone'").selectExpr("array('x') as antecedent", "'y' as consequent", "lift"), spark.createDataFrame(up, held.schema)).first()
+    assert one.held_lift > 1 and not one.survives
+    sums = rules.survival(rules.validate(pairs, held)).first()
+    assert (sums.mined, sums.judged, sums.surviving, sums.too_thin, sums.unobservable) == (4, 2, 1, 1, 1) and sums.survival_rate == 0.5 and sums.lift_rank_correlation is None
+    assert [spark.range(1).select(rules.survival_verdict(F.lit(x)).alias("v")).first().v for x in (0.7, 0.69, 0.4, 0.39, None)] == ["durable", "mixed", "mixed", "transient", "not judged"]
+    assert rules.survival(rules.validate(pairs.limit(0), held)).first().judged == 0
+
+
+def test_top_rules_are_associations(spark):
+    rows = [(["a"], "b", 3.0, None, True), (["b"], "a", 3.0, 2.0, True), (["c"], "d", 9.0, 9.0, False)]
+    frame = spark.createDataFrame(rows, "antecedent array<string>, consequent string, lift double, conviction double, is_association boolean")
+    assert [(r.consequent, r.place) for r in rules.top_rules(frame).orderBy("place").collect()] == [("b", 1), ("a", 2)]
+    assert [r.consequent for r in rules.top_rules(frame, "conviction").orderBy("place").collect()] == ["a", "b"]
+    with pytest.raises(ValueError):
+        rules.top_rules(frame, "fame")
