@@ -154,6 +154,15 @@ def _sliced(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _phrases(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The wanted phrases, once each: rows repeated as a whole give theirs once a row, and only then are they shuffled and thinned."""
+    wanted = stored(wanted, "wanted")
+    phrases = stored(_sliced(docs, wanted, length), "phrases")
+    if phrases.count() == wanted.count():
+        return phrases
+    return stored(phrases.dropDuplicates(["p1", "p2"]), "phrases")
+
+
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     """Rank of every suffix of data in the order of its first `length` bytes; suffixes equal that far share one.
 
@@ -275,8 +284,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER, block:
     )
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1")
     wanted = dictionary.join(shared, "trigger").select("trigger", "p1", "p2", "phrases", "at.*")
-    phrases = stored(_sliced(docs, wanted, length), "phrases")
-    found = _dictionary_order(phrases, length, block)
+    found = _dictionary_order(_phrases(docs, wanted, length), length, block)
     inside = found.groupBy("p1", "p2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # runs of one phrase
     whole = dictionary.where("n > 1").select("p1", "p2", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("runs"))
     partly = inside.join(dictionary.where("n = 1").select("p1", "p2"), ["p1", "p2"])

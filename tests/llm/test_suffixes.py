@@ -96,3 +96,16 @@ def test_repeated_rows_clashing_names_and_empty_table(spark):
     clash = docs.selectExpr("doc_id", "text", "kept as _hash", "1 as _spans", "2 as hash", "3 as _h", "4 as _id", "5 as removed")
     got_rows = suffixes.cut(clash).collect()
     assert sorted(r.n_removed for r in got_rows) == [0, 420, 800, 800] and {r["_hash"] for r in got_rows} == {"a", "b", "c", "d"} and {r["_spans"] for r in got_rows} == {1}
+
+
+def test_repeated_rows_give_their_phrases_once(spark, monkeypatch):
+    """One text as 500 equal rows, and a variant of it: the dictionary holds what two rows would give."""
+    rng = random.Random(9)
+    base = "".join(rng.choices("abcdefgh ", k=600))
+    variant = base[:300] + "#" + base[301:]
+    seen, order = [], suffixes._dictionary_order
+    monkeypatch.setattr(suffixes, "_dictionary_order", lambda phrases, *a: seen.append((phrases.count(), phrases.select("p1", "p2").distinct().count())) or order(phrases, *a))
+    for rows in ([(1, base), (2, variant)], [(1, base)] * 500 + [(2, variant)]):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        assert got(suffixes.cut(frame, 40, 8)) == brute(rows, 40)
+    assert seen[0][0] == seen[0][1] and seen[1][0] == seen[1][1] and seen[1][0] <= seen[0][0]
