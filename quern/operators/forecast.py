@@ -270,12 +270,6 @@ def weighted_mape(per_series: DataFrame) -> DataFrame:
     return per_series.agg(F.try_divide(kept(F.col("mape") * F.col("weight")), kept(F.col("weight"))).alias("weighted_mape"), F.count_if(usable).alias("series"), F.count_if(~F.coalesce(usable, F.lit(False))).alias("excluded"))
 
 
-def filled_forward(series: DataFrame, key: str = "series_id", time: str = "period", value: str = "value") -> DataFrame:
-    """series with missing values as the last known one; those before the first known one stay missing."""
-    past = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumn(value, F.last(value, ignorenulls=True).over(past))
-
-
 def mase(forecasts: DataFrame, split: DataFrame, season: int = 1, key: str = "series_id") -> DataFrame:
     """MAE over the mean absolute seasonal change inside the training periods."""
     order = Window.partitionBy(key, "fold").orderBy("place")
@@ -337,38 +331,3 @@ def compare_models(errors: DataFrame, metric: str = "wape", alpha: float = 0.05)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     tested = [{"first": a, "second": b, "p": min(1.0, len(pairs) * special.signed_rank_p([row[a] - row[b] for row in blocks]))} for a, b in pairs]
     return {"test": "friedman", "statistic": statistic, "p": p, "mean_ranks": {m: sum(r[i] for r in ranks) / len(ranks) for i, m in enumerate(names)}, "pairs": tested, "different": p <= alpha}
-
-
-# A pooled tree model
-
-
-def tree_features(panel: DataFrame, horizon: int, key: str = "series_id", lags: Sequence[int] = (1, 2, 4, 8), windows: Sequence[int] = (4, 12)) -> DataFrame:
-    """Past values scaled by each series' median and spread, calendar waves, and the value `horizon` ahead as target."""
-    scale = panel.groupBy(key).agg(F.percentile("value", [0.25, 0.5, 0.75]).alias("q"), F.stddev_samp("value").alias("sd"))
-    iqr = F.element_at("q", 3) - F.element_at("q", 1)
-    scale = scale.select(F.col(key).alias("_k"), F.element_at("q", 2).alias("centre"), F.when(iqr > 0, iqr).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("width"))
-    order = Window.partitionBy(key).orderBy("period")
-    rows = panel.join(scale, F.col(key) == F.col("_k")).drop("_k").withColumn("x", (F.col("value") - F.col("centre")) / F.col("width"))
-    for n in lags:
-        rows = rows.withColumn(f"lag_{n}", F.lag("x", n).over(order))
-    for n in windows:
-        past = order.rowsBetween(-n, -1)
-        enough = F.count("x").over(past) >= max(2, n // 2)
-        rows = rows.withColumn(f"mean_{n}", F.when(enough, F.avg("x").over(past))).withColumn(f"sd_{n}", F.when(enough, F.stddev_samp("x").over(past)))
-    angle = 2 * math.pi * F.weekofyear("period") / 52
-    return rows.withColumn("sin", F.sin(angle)).withColumn("cos", F.cos(angle)).withColumn("month", F.month("period").cast("double")).withColumn("target", F.lead("x", horizon).over(order))
-
-
-def feature_names(lags: Sequence[int] = (1, 2, 4, 8), windows: Sequence[int] = (4, 12)) -> list[str]:
-    return [*[f"lag_{n}" for n in lags], *[f"{kind}_{n}" for n in windows for kind in ("mean", "sd")], "sin", "cos", "month"]
-
-
-def tree_forecast(panel: DataFrame, step: int, cutoff: Column, key: str = "series_id", rounds: int = 40) -> DataFrame:
-    """One boosted-tree model over all series for one step ahead, trained on targets up to the cutoff, forecasting from each series' last row before it."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = VectorAssembler(inputCols=feature_names(), outputCol="features").transform(tree_features(panel.where(F.col("period") <= cutoff), step, key).dropna(subset=feature_names()))
-    model = GBTRegressor(labelCol="target", maxDepth=4, maxIter=rounds, stepSize=0.05, minInstancesPerNode=20, seed=7).fit(rows.where("target is not null").select("features", "target"))
-    last = rows.groupBy(key).agg(F.max("period").alias("period"))
-    return model.transform(rows.join(last, [key, "period"])).select(key, "period", F.lit(step).cast("long").alias("step"), (F.col("prediction") * F.col("width") + F.col("centre")).alias("forecast"))

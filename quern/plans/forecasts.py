@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import forecast
+from quern.operators import forecast, pooled
 from quern.plans.retail import ORACLE_SQL as _RETAIL_SQL  # noqa: F401
 from quern.plans.retail import _sql, query, rounded
 from quern.sources.sales import bucket, sales
@@ -125,11 +125,55 @@ def fc_models(spark, sf_dir):
     return rounded(forecast.scores(forecast.run_models(split(spark, sf_dir), ["fourier", "ets"]), "model", "fold"), 3)
 
 
+_PANEL = """w AS (SELECT brand AS series_id, date_trunc('week', occurred_at)::DATE AS period, sum(CASE WHEN NOT is_return THEN revenue ELSE 0 END)::DOUBLE AS value FROM sales GROUP BY 1, 2),
+cal AS (SELECT unnest(generate_series(lo, hi, INTERVAL 7 DAYS))::DATE AS period FROM (SELECT min(period) AS lo, max(period) AS hi FROM w)),
+sz AS (SELECT series_id FROM w GROUP BY 1 ORDER BY sum(value) DESC, series_id LIMIT 100),
+pn AS (SELECT n.series_id, cal.period, coalesce(v.value, 0) AS value FROM cal CROSS JOIN (SELECT series_id FROM sz UNION ALL SELECT '__TOTAL__') n
+  LEFT JOIN (SELECT * FROM w UNION ALL SELECT '__TOTAL__', period, sum(value) FROM w GROUP BY 2) v ON v.series_id = n.series_id AND v.period = cal.period)"""
+
+
+def _panel(spark, sf_dir):
+    """The panel, the total's folds, and the panel's histories in them."""
+    rows = stored(pooled.panel(weekly(spark, sf_dir)), "panel")
+    target = stored(forecast.folds(forecast.placed(rows.where(F.col("series_id") == pooled.TOTAL)), HORIZON, FOLDS), "folds")
+    return rows, target, pooled.histories(rows, target)
+
+
+@query(_sql("SELECT series_id, CAST(period AS VARCHAR) AS period, round(value, 3) AS value FROM pn", _PANEL))
+def fc_panel(spark, sf_dir):
+    return rounded(_panel(spark, sf_dir)[0], 3)
+
+
+@query(_sql("""SELECT series_id, CAST(fold AS BIGINT) AS fold, CAST(period AS VARCHAR) AS period, round(lag_1, 6) AS lag_1, round(lag_52, 6) AS lag_52, round(mean_4, 6) AS mean_4, round(sd_12, 6) AS sd_12, round(ahead_1, 6) AS ahead_1, round(ahead_12, 6) AS ahead_12 FROM (
+  SELECT *, lag(x) OVER o AS lag_1, lag(x, 52) OVER o AS lag_52, CASE WHEN count(x) OVER (o ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) >= 2 THEN avg(x) OVER (o ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) END AS mean_4,
+    CASE WHEN count(x) OVER (o ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) >= 6 THEN stddev_samp(x) OVER (o ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) END AS sd_12, lead(x) OVER o AS ahead_1, lead(x, 12) OVER o AS ahead_12
+  FROM (SELECT h.*, (value - c) / CASE WHEN q > 0 THEN q WHEN sd > 0 THEN sd ELSE 1 END AS x FROM h JOIN (
+    SELECT series_id, fold, quantile_cont(value, 0.5) AS c, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS q, stddev_samp(value) AS sd FROM h GROUP BY 1, 2) USING (series_id, fold))
+  WINDOW o AS (PARTITION BY series_id, fold ORDER BY period))""", _PANEL, """h AS (SELECT series_id, fold, period, value FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY period) AS place, count(*) OVER (PARTITION BY series_id) AS length FROM pn),
+  (VALUES (0, 0), (1, 48), (2, 36), (3, 24), (4, 12)) g(fold, back) WHERE place <= length - back - 12 AND length - back - 12 >= 8)"""))
+def fc_pooled_features(spark, sf_dir):
+    got = pooled.features(_panel(spark, sf_dir)[2], HORIZON)
+    return rounded(got.select("series_id", "fold", "period", "lag_1", "lag_52", "mean_4", "sd_12", F.element_at("targets", 1).alias("ahead_1"), F.element_at("targets", 12).alias("ahead_12")), 6)
+
+
 @query()
 def fc_trees(spark, sf_dir):
-    panel = stored(weekly(spark, sf_dir), "panel")
-    end = panel.agg(F.max("period").alias("m")).first().m
-    return rounded(forecast.tree_forecast(panel, 1, F.date_sub(F.lit(end), 7 * HORIZON), rounds=10), 3)
+    """Boosted trees pooled over all series: every fold, series and step."""
+    return rounded(pooled.pooled(_panel(spark, sf_dir)[2], HORIZON), 3)
+
+
+@query()
+def fc_experiment(spark, sf_dir):
+    """All models on the whole business's folds and hold-out: their WAPE by fold, in the order that the folds give them."""
+    _, target, history = _panel(spark, sf_dir)
+    table = pooled.results_table(pooled.experiment(target, history, HORIZON, SEASON))
+    return rounded(table.withColumn("folds", F.array_join(F.transform(F.map_values("folds"), lambda x: F.round(x, 3).cast("string")), ",")), 3)
+
+
+@query(_sql("""SELECT model, round(max(wape) FILTER (fold = 1), 5) AS fold_1, round(max(wape) FILTER (fold = 2), 5) AS fold_2, round(max(wape) FILTER (fold = 3), 5) AS fold_3, round(max(wape) FILTER (fold = 4), 5) AS fold_4, round(max(wape) FILTER (fold = 0), 5) AS holdout
+FROM (SELECT model, fold, 100 * sum(abs(actual - forecast)) / sum(abs(actual)) AS wape FROM m GROUP BY 1, 2) GROUP BY 1""", _MEMBERS))
+def fc_by_fold(spark, sf_dir):
+    return rounded(pooled.by_fold(_members(spark, sf_dir)[1], FOLDS), 5)
 
 
 @query(_sql("""SELECT a.series_id, CAST(a.fold AS BIGINT) AS fold, round(mae / scale, 5) AS mase FROM (SELECT series_id, fold, avg(abs(actual - forecast)) AS mae FROM m WHERE model = 'naive' GROUP BY 1, 2) a
