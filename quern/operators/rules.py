@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import special
+from quern.operators.bitmaps import itemsets  # noqa: F401  (the search that rules start from)
 from quern.operators.order import numbered
 from quern.operators.shape import gini, ratio
 from quern.operators.statistics import correlation
@@ -35,34 +34,6 @@ def split_by_date(items: DataFrame, holdout: float = 0.25) -> tuple[DataFrame, D
     return marked.where("first < cut").select(*items.columns), marked.where("first >= cut").select(*items.columns)
 
 
-def itemsets(items: DataFrame, min_support: float = 0.01, longest: int = 3) -> DataFrame:
-    """(items, length, freq, baskets) of itemsets in at least ceil(min_support * baskets) baskets.
-
-    Level by level: frequent singles shrink the baskets, then each level joins a basket's frequent
-    sets with its later frequent items; counts are partial sums.  Only candidates that a basket
-    holds are made, so no number of them stops the search.
-    """
-    items = stored(items.select("invoice_id", "item"), "items")
-    n = items.select("invoice_id").distinct().count()
-    least = math.ceil(min_support * n)
-    singles = stored(items.groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= least), "level")
-    kept = items.join(singles.select("item"), "item", "left_semi")
-    out = singles.select(F.array("item").alias("items"), "freq")
-    level, frequent = kept.select("invoice_id", F.array("item").alias("items")), out
-    for length in range(2, longest + 1):
-        if frequent.count() < length:
-            break
-        grown = level.join(kept.withColumnRenamed("item", "_next"), "invoice_id").where(F.col("_next") > F.element_at("items", -1)).select(
-            "invoice_id", F.array_append("items", F.col("_next")).alias("items"))
-        if length > 2:  # every subset must be frequent: the one without the first item is left to check
-            tails = frequent.select(F.col("items").alias("_tail"))
-            grown = grown.join(tails, F.slice("items", 2, length - 1) == F.col("_tail"), "left_semi")
-        frequent = stored(grown.groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= least), "level")
-        level = grown.join(frequent.select("items"), "items", "left_semi").select("invoice_id", "items")
-        out = out.union(frequent)
-    return out.select("items", F.size("items").cast("long").alias("length"), "freq", F.lit(n).cast("long").alias("baskets"))
-
-
 def top_itemsets(sets: DataFrame, n: int = 20, length: int | None = None) -> DataFrame:
     chosen = sets if length is None else sets.where(F.col("length") == length)
     return chosen.orderBy(F.desc("freq"), "items").limit(n)
