@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import special
 from quern.operators.bitmaps import itemsets  # noqa: F401  (the search that rules start from)
-from quern.operators.order import numbered
+from quern.operators.layout import affinity_zones, picking_effort, popularity_zones  # noqa: F401  (the use that rules are put to)
 from quern.operators.shape import gini, ratio
 from quern.operators.statistics import correlation
 from quern.sources.stage import stored
@@ -218,48 +218,3 @@ def affinity(rules: DataFrame, weight: str = "normalised_lift") -> DataFrame:
     whole = rules.select(F.array_append("antecedent", F.col("consequent")).alias("items"), F.col(weight).alias("w"))
     pairs = whole.select("w", "items", F.explode("items").alias("a")).select("w", "a", F.explode("items").alias("b")).where("a < b")
     return pairs.groupBy("a", "b").agg(F.max("w").alias("weight"))
-
-
-def popularity_zones(items: DataFrame, capacity: int) -> DataFrame:
-    """(item, zone): items in order of popularity, `capacity` to a zone."""
-    counts = items.groupBy("item").agg(F.count("*").alias("n"))
-    return numbered(counts, [F.desc("n"), "item"], "_place").select("item", F.floor((F.col("_place") - 1) / capacity).cast("long").alias("zone"))
-
-
-def affinity_zones(edges: DataFrame, items: DataFrame, capacity: int) -> DataFrame:
-    """(item, zone) by greedy growth: a zone starts at the free item of most affinity and takes the item closest to it until full.
-
-    The order of choices is inherent, so edges between catalogue items (a bounded catalogue) are
-    placed on the driver; ties go to the smallest item.
-    """
-    spark = edges.sparkSession
-    near: dict[str, dict[str, float]] = {}
-    for e in edges.collect():
-        near.setdefault(e.a, {})[e.b] = e.weight
-        near.setdefault(e.b, {})[e.a] = e.weight
-    free = {r.item for r in items.select("item").distinct().collect()}
-    out, zone = [], 0
-    while free:
-        seed = min(free, key=lambda i: (-sum(near.get(i, {}).values()), i))
-        pull: dict[str, float] = {}
-        chosen = seed
-        for _ in range(capacity):
-            free.discard(chosen)
-            out.append((chosen, zone))
-            for other, w in near.get(chosen, {}).items():
-                if other in free:
-                    pull[other] = pull.get(other, 0.0) + w
-            pull.pop(chosen, None)
-            if not free:
-                break
-            chosen = min(pull, key=lambda i: (-pull[i], i)) if pull else min(free)
-        zone += 1
-    return spark.createDataFrame(out or [("", 0)], "item string, zone long").where("item <> ''")
-
-
-def picking_effort(items: DataFrame, zones: DataFrame) -> DataFrame:
-    """Zones that a basket touches: mean, median, most, and the share of baskets in one zone."""
-    per = items.join(zones, "item").groupBy("invoice_id").agg(F.count_distinct("zone").alias("zones"))
-    return per.agg(
-        F.count("*").alias("baskets"), F.avg("zones").alias("mean_zones"), F.median("zones").alias("median_zones"), F.max("zones").alias("most_zones"),
-        F.avg((F.col("zones") == 1).cast("int")).alias("single_share"))

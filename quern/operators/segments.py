@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 from datetime import date, timedelta
 
+import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from quern.operators.aggregates import customers
 from quern.operators.rfm import with_measures
 from quern.operators.shape import ratio
+from quern.operators.ward import ward
 from quern.sources.stage import stored
 
 FEATURES = ("recency", "frequency", "monetary")
+#: Points to a task of a fit.
+POINTS = 20_000
 
 
 def windows(first: date, last: date, count: int = 4, least_days: int = 180, days: int | None = None) -> list[tuple[int, date, date]]:
@@ -72,8 +75,11 @@ def matrix(rows: DataFrame, features: Sequence[str] = FEATURES, scaler: str = "s
 
 
 def clustered(points: DataFrame, k: int, algorithm: str = "kmeans", features: Sequence[str] = FEATURES, starts: int = 5, seed: int = 17) -> DataFrame:
-    """points with cluster: the best of several seeded starts of k-means (least cost) or a Gaussian mixture (likelihood)."""
+    """points with cluster: the best of several seeded starts of k-means (least cost) or a Gaussian mixture (likelihood), or Ward's tree cut at k."""
+    if algorithm == "ward":
+        return ward(points, k, features)
     rows = stored(VectorAssembler(inputCols=[f"x_{c}" for c in features], outputCol="_v").transform(points), "points")
+    rows = rows.coalesce(max(1, math.ceil(rows.count() / POINTS)))  # a fit is many small jobs
     best, best_score = None, -math.inf
     for s in range(starts):
         if algorithm == "kmeans":
@@ -159,16 +165,89 @@ def stability_summary(pairs: DataFrame) -> DataFrame:
     return got.withColumn("verdict", verdict(F.col("mean_adjusted_rand"), F.col("mean_retention")))
 
 
-def matched(table: DataFrame, most: int = 8) -> dict:
-    """The renaming of b's labels that keeps most customers, over all assignments of up to `most` clusters."""
-    if table.agg(F.greatest(F.count_distinct("a"), F.count_distinct("b")).alias("k")).first().k > most:
-        raise ValueError(f"matching tries all assignments of up to {most} clusters")
+def assigned(gain: np.ndarray) -> np.ndarray:
+    """The column of each row in an assignment of the largest total gain (square), by shortest augmenting paths."""
+    n = len(gain)
+    cost = gain.max(initial=0) - gain
+    u, v, row_of = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    for row in range(1, n + 1):
+        row_of[0], at = row, 0
+        least, before, used = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)
+        while row_of[at]:
+            used[at] = True
+            reduced = cost[row_of[at] - 1] - u[row_of[at]] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better], before[1:][better] = reduced[better], at
+            free = np.where(used, np.inf, least)
+            free[0] = np.inf
+            step_to = int(free.argmin())
+            step = free[step_to]
+            u[row_of[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            at = step_to
+        while at:
+            row_of[at], at = row_of[before[at]], before[at]
+    out = np.empty(n, np.int64)
+    out[row_of[1:] - 1] = np.arange(n)
+    return out
+
+
+def matched(table: DataFrame) -> dict:
+    """The renaming of b's labels to a's that keeps most customers; labels that find no partner are left out.
+
+    The cells of a table of labels, one a pair of clusters, meet on the driver.
+    """
     cells = {(r.a, r.b): r.n for r in table.collect()}
     left, right = sorted({a for a, _ in cells}), sorted({b for _, b in cells})
-    short, long = (left, right) if len(left) <= len(right) else (right, left)
-    get = (lambda s, x: cells.get((s, x), 0)) if short is left else (lambda s, x: cells.get((x, s), 0))
-    best = max(itertools.permutations(long, len(short)), key=lambda p: sum(get(s, x) for s, x in zip(short, p, strict=True)))
-    return {x: s for s, x in zip(short, best, strict=True)} if short is left else dict(zip(short, best, strict=True))
+    gain = np.zeros((max(len(left), len(right)),) * 2)
+    for (a, b), n in cells.items():
+        gain[left.index(a), right.index(b)] = n
+    return {right[j]: left[i] for i, j in enumerate(assigned(gain)) if i < len(left) and j < len(right)}
+
+
+def aligned(labels: DataFrame) -> DataFrame:
+    """labels (window, customer, label) with every window's labels renamed after the window before, from the first on.
+
+    A label that no label of the window before matches gets a name that no earlier one has.
+    """
+    windows = sorted(r.window for r in labels.select("window").distinct().collect())
+    before, out, names = None, None, set()
+    for w in windows:
+        now = labels.where(F.col("window") == w).select("window", "customer", F.col("label").cast("string").alias("label"))
+        own = {r.label for r in now.select("label").distinct().collect()}
+        if before is not None:
+            renamed = matched(contingency(before, now))
+            for label in sorted(own - set(renamed)):
+                renamed[label] = next(x for x in (label, *(f"{label}{k}" for k in range(2, 1000))) if x not in names and x not in renamed.values())
+            pairs = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair]) if renamed else None
+            now = stored(now.withColumn("label", pairs[F.col("label")]) if renamed else now, "aligned")
+            own = set(renamed.values())
+        names |= own
+        before, out = now, now if out is None else out.union(now)
+    return labels if out is None else out
+
+
+def cluster_windows(snapshots: DataFrame, k: int, algorithm: str = "kmeans", starts: int = 5) -> DataFrame:
+    """(window, customer, label): each window clustered on its own, its clusters named after those of the window before."""
+    each = None
+    for w in sorted(r.window for r in snapshots.select("window").distinct().collect()):
+        one = clustered(matrix(snapshots.where(F.col("window") == w)), k, algorithm, starts=starts).select(F.lit(w).alias("window"), "customer", F.col("cluster").cast("string").alias("label"))
+        one = stored(one, "window")
+        each = one if each is None else each.union(one)
+    return aligned(each)
+
+
+def against(labels: DataFrame, bands: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row a label, a column a band (of the declared `names`): customers in both, with the largest band and its share.
+
+    labels: customer, label; bands: customer, band.  Ties go to the first name.
+    """
+    both = labels.join(bands, "customer").groupBy("label").pivot("band", list(names)).count().na.fill(0, list(names))
+    total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
+    most = F.greatest(*[F.col(f"`{n}`") for n in names]) if len(names) > 1 else F.col(f"`{names[0]}`")
+    first = F.coalesce(*[F.when(F.col(f"`{n}`") == most, F.lit(n)) for n in names])
+    return both.select("label", *[f"`{n}`" for n in names], first.alias("largest"), F.try_divide(most, total).alias("largest_share"))
 
 
 def migration(table: DataFrame) -> DataFrame:

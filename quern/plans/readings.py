@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import aggregates, cleaning, forecast, reports, rfm, rules, series, shape, statistics
+from quern.operators import aggregates, agreement, cleaning, forecast, reports, rfm, rules, series, shape, statistics
 from quern.plans import forecasts, segments
 from quern.plans.retail import _BASKETS, _DECOMPOSED, _JUDGED, _MAPPING, _PP, _RFM, _RULES, _WEEKLY, ALL, _baskets, _brand_weeks, _mined, _net, _scored, _sql, query, raw_lines, rounded
 from quern.sources.sales import read, sales
@@ -195,3 +195,14 @@ def decompose_week(spark, sf_dir):
 @query(_sql("SELECT count(*) AS with_one FROM (SELECT invoice_id FROM b GROUP BY 1 HAVING count(*) = 1)", _BASKETS))
 def singleton_baskets(spark, sf_dir):
     return _baskets(spark, sf_dir).groupBy("invoice_id").agg(F.count("*").alias("n")).where("n = 1").agg(F.count("*").alias("with_one"))
+
+
+@query("""WITH p AS (SELECT c_custkey, any_value(c_acctbal) AS x, count(o_orderkey) AS y FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+q AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM p a JOIN p b ON a.c_custkey < b.c_custkey)
+SELECT (SELECT count(*) FROM p) AS n, count(*) FILTER (s > 0)::DOUBLE AS concordant, count(*) FILTER (s < 0)::DOUBLE AS discordant, count(*) FILTER (tx)::DOUBLE AS ties_x, count(*) FILTER (ty)::DOUBLE AS ties_y, count(*) FILTER (tx AND ty)::DOUBLE AS ties_both,
+  round((count(*) FILTER (s > 0) - count(*) FILTER (s < 0)) / sqrt((count(*) - count(*) FILTER (tx))::DOUBLE * (count(*) - count(*) FILTER (ty))), 9) AS tau_b FROM q""")
+def kendall_balance(spark, sf_dir):
+    """Customers' balances against their numbers of orders."""
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("y"))
+    both = read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_acctbal").alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+    return rounded(agreement.kendall(both, "x", "y"), 9)

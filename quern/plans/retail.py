@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import aggregates, cleaning, rfm, rules, series, shape, statistics
+from quern.operators import aggregates, cleaning, layout, rfm, rules, series, shape, statistics
 from quern.plans.filters import Filters, within
 from quern.sources.sales import SALES_SQL, bucket, read, sales
 from quern.sources.stage import stored
@@ -660,3 +660,28 @@ def picking_effort_popularity(spark, sf_dir):
 def picking_effort_affinity(spark, sf_dir):
     items = _baskets(spark, sf_dir)
     return rounded(rules.picking_effort(items, rules.affinity_zones(rules.affinity(_mined(spark, sf_dir)), items, 5)), 6)
+
+
+_LAYOUTS = """ly AS (SELECT 'popularity' AS layout, item, (row_number() OVER (ORDER BY count(*) DESC, item) - 1) // 5 AS zone FROM b GROUP BY item
+  UNION ALL SELECT 'random_' || s, item, (row_number() OVER (PARTITION BY s ORDER BY md5(item || ':' || s), item) - 1) // 5 FROM (SELECT DISTINCT item FROM b), (SELECT unnest(range(1, 6)) AS s))"""
+
+
+@query(_sql("""SELECT layout, count(*) AS baskets, round(avg(z), 6) AS mean_zones, round(median(z), 6) AS median_zones, max(z) AS most_zones, round(avg((z = 1)::INT), 6) AS single_share
+FROM (SELECT layout, invoice_id, count(DISTINCT zone) AS z FROM b JOIN ly USING (item) GROUP BY 1, 2) GROUP BY 1""", _BASKETS, _LAYOUTS))
+def layout_baselines(spark, sf_dir):
+    items = _baskets(spark, sf_dir)
+    return rounded(layout.efforts(items, layout.baselines(items, 5)), 6)
+
+
+@query()
+def layout_evaluated(spark, sf_dir):
+    """Zones grown from rules, against random ones and the order of popularity."""
+    items = _baskets(spark, sf_dir)
+    return rounded(layout.evaluated(items, layout.affinity_zones(rules.affinity(_mined(spark, sf_dir)), items, 5), 5), 6)
+
+
+@query()
+def layout_merged(spark, sf_dir):
+    """The same with zones merged in rounds."""
+    items = _baskets(spark, sf_dir)
+    return rounded(layout.evaluated(items, layout.merged_zones(rules.affinity(_mined(spark, sf_dir)), items, 5), 5), 6)

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from quern.operators import choice, segments
-from quern.plans.retail import _sql, query, rounded
+from quern.plans.retail import _RFM, _scored, _sql, query, rounded
 from quern.sources.sales import sales
 from quern.sources.stage import stored
 
@@ -117,3 +117,32 @@ def silhouette_labels(spark, sf_dir):
 def segments_by_k(spark, sf_dir):
     """Every index, the gap and the elbow for 2 to 8 clusters."""
     return rounded(choice.compared(segments.matrix(_snapshots(spark, sf_dir).where("window = 3"))), 4)
+
+
+@query()
+def segments_ward(spark, sf_dir):
+    """Profiles of Ward's clusters of the last window's customers."""
+    return rounded(segments.profiles(_clusters(spark, sf_dir, "ward")))
+
+
+@query()
+def stability_clusters(spark, sf_dir):
+    """Agreement of the clusters of every pair of windows, by each algorithm; a window's clusters are named after those before."""
+    snaps, out = _snapshots(spark, sf_dir), None
+    for algorithm in ("kmeans", "mixture", "ward"):
+        one = segments.stability(segments.cluster_windows(snaps, 3, algorithm, starts=2)).withColumn("algorithm", F.lit(algorithm))
+        out = one if out is None else out.union(one)
+    return rounded(out, 4)
+
+
+#: The RFM segments.
+BANDS = ("champions", "loyal", "new", "potential_loyalist", "at_risk", "hibernating")
+
+
+@query(_sql("SELECT label, " + ", ".join(f"count(*) FILTER (segment = '{b}') AS {b}" for b in BANDS) + ", "
+            + "CASE " + " ".join(f"WHEN count(*) FILTER (segment = '{b}') = greatest(" + ", ".join(f"count(*) FILTER (segment = '{c}')" for c in BANDS) + f") THEN '{b}'" for b in BANDS) + " END AS largest, "
+            + "round(greatest(" + ", ".join(f"count(*) FILTER (segment = '{c}')" for c in BANDS) + ") / count(*)::DOUBLE, 6) AS largest_share FROM l JOIN z ON z.customer = l.customer WHERE win = 3 GROUP BY 1", _SNAP, _RFM))
+def segments_against_bands(spark, sf_dir):
+    """The last window's labels against the RFM segments of all time."""
+    bands = _scored(spark, sf_dir).select("customer", F.col("segment").alias("band"))
+    return rounded(segments.against(_labels(spark, sf_dir).where("window = 3").select("customer", "label"), bands, BANDS), 6)
