@@ -199,11 +199,11 @@ def closure_calendar(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).withColumn("verdict", F.when(F.col("traded") == 0, "never").when(F.col("traded") < 0.2 * F.col("possible"), "rarely").otherwise("open"))
 
 
-def gaps(rows: DataFrame, least: int = 4) -> DataFrame:
-    """Runs of at least `least` days without a sale."""
-    days = rows.select(F.col("occurred_at").cast("date").alias("day")).distinct()
-    before = F.lag("day").over(Window.orderBy("day"))
-    return days.select(before.alias("after"), F.col("day").alias("until"), (F.datediff("day", before) - 1).cast("long").alias("days")).where(F.col("days") >= least)
+def gaps(rows: DataFrame, least: int = 4, keys: Sequence[str] = ()) -> DataFrame:
+    """Runs of at least `least` days without a sale, by keys where given."""
+    days = rows.select(*keys, F.col("occurred_at").cast("date").alias("day")).distinct()
+    before = F.lag("day").over(Window.partitionBy(*keys).orderBy("day"))
+    return days.select(*keys, before.alias("after"), F.col("day").alias("until"), (F.datediff("day", before) - 1).cast("long").alias("days")).where(F.col("days") >= least)
 
 
 CLEAN = (

@@ -53,6 +53,13 @@ def assess(parts: Mapping[str, DataFrame]) -> DataFrame:
     return grid.join(rows, "source", "left").select("source", F.coalesce("score", F.lit(0.0)).alias("score"), band(F.col("score")).alias("band"))
 
 
+def reliability_summary(assessed: DataFrame) -> DataFrame:
+    """One row: engines whose evidence is weak, those without any, and the caveat that the list carries; scores are not averaged."""
+    named = lambda band_: F.array_sort(F.collect_list(F.when(F.col("band") == band_, F.col("source"))))
+    got = assessed.agg(named("weak").alias("weak"), named("unknown").alias("unavailable"))
+    return got.withColumn("caveat", F.when(F.size("weak") > 0, F.concat(F.lit("evidence of "), F.array_join("weak", ", "), F.lit(" is weak"))).otherwise("no engine's evidence is weak"))
+
+
 # Signals
 
 
@@ -244,6 +251,21 @@ def ranked(rows: DataFrame, given: Mapping[str, float] | None = None) -> DataFra
 
 # Readings of the list
 
+#: What the quantities in evidence are called.
+DRIVERS = {
+    "support_count": "orders with both products", "lift": "times more often together than by chance", "items": "products in the catalogue", "reachable": "products that a rule names",
+    "new_items": "products that only later orders have", "covered": "of those, products that a rule names", "pessimistic": "lower end of demand", "optimistic": "upper end of demand",
+    "customers": "customers in the segment", "customer_share": "the segment's share of customers", "revenue_share": "the segment's share of revenue", "coverage": "share of periods inside the interval",
+}
+
+
+def drivers(listed: DataFrame) -> DataFrame:
+    """(key, place, feature, label, value): the quantities behind each recommendation that have a name for people."""
+    labels = F.create_map(*[F.lit(x) for pair in DRIVERS.items() for x in pair])
+    each = listed.select("key", "place", F.explode("evidence").alias("feature", "value"))
+    return each.withColumn("label", labels[F.col("feature")]).where("label is not null and value is not null").select("key", "place", "feature", "label", "value")
+
+
 
 def transparency(rows: DataFrame) -> DataFrame:
     """Share of recommendations that carry evidence."""

@@ -1,4 +1,4 @@
-"""Global order without one task that holds it: ranges first, sums before each range after."""
+"""Global order without one task that holds a large column: ranges first, sums before each range after; counted small ones are sorted at once."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quern.sources.stage import stored
 
 
+#: Rows that one task sorts; more go by ranges.
+SMALL = 200_000
+
+
 def _name(order: str | Column) -> Column:
     return F.col(order) if isinstance(order, str) else order
 
@@ -17,12 +21,17 @@ def _name(order: str | Column) -> Column:
 def running(frame: DataFrame, order: Sequence[str | Column], value: str | Column, name: str, by: Sequence[str] = ()) -> DataFrame:
     """frame with the sum of value over all rows up to each one, in an order that has no ties (within `by`).
 
-    A range shuffle by the whole order, stored once, so that ranges stay what they are; a sum for
-    each range; then places inside the ranges.  Only the ranges' sums meet in one task.
+    The frame is stored and counted.  Up to SMALL rows are sorted in one task; beyond that come a
+    range shuffle by the whole order, stored so that ranges stay what they are, a sum for each
+    range, and places inside the ranges, so that only the ranges' sums meet in one task.
     """
     keys = [*[F.col(c) for c in by], *[_name(c) for c in order]]
     parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(frame.withColumn("_order_v", F.lit(value) if not isinstance(value, (str, Column)) else _name(value)).repartitionByRange(parts, *keys).withColumn("_order_part", F.spark_partition_id()), "ranges")
+    given = stored(frame.withColumn("_order_v", F.lit(value) if not isinstance(value, (str, Column)) else _name(value)), "rows")
+    if given.count() <= SMALL:
+        upto = Window.partitionBy(*by).orderBy(*[_name(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+        return given.withColumn(name, F.sum("_order_v").over(upto)).drop("_order_v")
+    rows = stored(given.repartitionByRange(parts, *keys).withColumn("_order_part", F.spark_partition_id()), "ranges")
     whole = Window.partitionBy(*by, "_order_part")
     sums = rows.groupBy(*by, "_order_part").agg(F.sum("_order_v").alias("_order_s"))
     before = F.sum("_order_s").over(Window.partitionBy(*by).orderBy("_order_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -51,9 +60,11 @@ def numbered(frame: DataFrame, order: Sequence[str | Column], name: str) -> Data
 def percentiles(frame: DataFrame, value: str | Column, shares: Sequence[float], name: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """(by, name): the interpolated percentiles, as an array, of a column of any size; nulls are left out.
 
-    Values are counted first; the counts are summed in order by ranges, so no buffer holds a column.
+    Values are counted first; up to SMALL counts make one buffer, more are summed in order by ranges.
     """
-    counts = frame.select(*by, _name(value).cast("double").alias("_x")).where("_x is not null and not isnan(_x)").groupBy(*by, "_x").agg(F.count("*").alias("_n"))
+    counts = stored(frame.select(*by, _name(value).cast("double").alias("_x")).where("_x is not null and not isnan(_x)").groupBy(*by, "_x").agg(F.count("*").alias("_n")), "counts")
+    if counts.count() <= SMALL:
+        return counts.groupBy(*by).agg(F.percentile("_x", list(shares), F.col("_n")).alias(name))
     rows = running(counts, ["_x"], "_n", "_through", by)
     size = rows.groupBy(*by).agg(F.sum("_n").alias("_all"))
     if by:

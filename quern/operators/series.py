@@ -78,8 +78,12 @@ def demand_class(adi: Column, cv_squared: Column) -> Column:
         F.when(cv_squared < 0.49, "intermittent").otherwise("lumpy"))
 
 
-def series_profiles(periods: DataFrame, granularity: str = "week", key: str = "product_code", value: str = "units", least: int = 12) -> DataFrame:
-    """Demand profile of each series from its first sale on, with zeros for the periods between.
+#: A series of fewer periods has no profile.
+LEAST_PERIODS = 26
+
+
+def series_profiles(periods: DataFrame, granularity: str = "week", key: str = "product_code", value: str = "units", least: int = LEAST_PERIODS) -> DataFrame:
+    """Demand profile of each series of `least` periods or more, from its first sale on, with zeros for the periods without.
 
     Zeros are counted from the calendar instead of being made: a series has as many periods as
     there are from its first sale to the last period of the data.

@@ -274,3 +274,16 @@ def recommendation_lines(spark, sf_dir):
 @query()
 def session_lists(spark, sf_dir):
     return insight.session_pack(insight.isolated(_insight(spark, sf_dir)[0]))
+
+
+@query(_sql("""SELECT array_to_string(list_sort(coalesce(list(source) FILTER (band = 'weak'), [])), ',') AS weak, array_to_string(list_sort(coalesce(list(source) FILTER (band = 'unknown'), [])), ',') AS unavailable,
+  CASE WHEN count(*) FILTER (band = 'weak') > 0 THEN 'evidence of ' || array_to_string(list_sort(list(source) FILTER (band = 'weak')), ', ') || ' is weak' ELSE 'no engine''s evidence is weak' END AS caveat FROM ass""", *_SIGNALS))
+def reliability_summary(spark, sf_dir):
+    got = insight.reliability_summary(_insight(spark, sf_dir)[1])
+    return got.withColumn("weak", F.array_join("weak", ",")).withColumn("unavailable", F.array_join("unavailable", ","))
+
+
+@query()
+def recommendation_drivers(spark, sf_dir):
+    """The named quantities behind each recommendation."""
+    return insight.drivers(_listed(spark, sf_dir)[2])

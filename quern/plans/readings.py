@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.operators import aggregates, agreement, cleaning, forecast, reports, rfm, rules, series, shape, statistics
+from quern.operators import aggregates, agreement, cleaning, forecast, profile, reports, rfm, rules, series, shape, statistics
 from quern.plans import forecasts, segments
 from quern.plans.retail import _BASKETS, _DECOMPOSED, _JUDGED, _MAPPING, _PP, _RFM, _RULES, _WEEKLY, ALL, _baskets, _brand_weeks, _mined, _net, _scored, _sql, query, raw_lines, rounded
 from quern.sources.sales import read, sales
@@ -90,7 +90,7 @@ def permutation_importance(spark, sf_dir):
 
 @query(_sql("""SELECT class, count(*) AS series, round(median(adi), 4) AS median_adi, round(median(cv), 4) AS median_cv_squared, round(median(z), 4) AS median_zero_share FROM (
   SELECT n / active::DOUBLE AS adi, pow(sd / m, 2) AS cv, 1 - active / n::DOUBLE AS z, CASE WHEN sd IS NULL THEN 'unknown' WHEN n / active::DOUBLE < 1.32 THEN CASE WHEN pow(sd / m, 2) < 0.49 THEN 'smooth' ELSE 'erratic' END ELSE CASE WHEN pow(sd / m, 2) < 0.49 THEN 'intermittent' ELSE 'lumpy' END END AS class
-  FROM (SELECT product_code, count(*) AS active, stddev_samp(units) AS sd, avg(units) AS m, date_diff('month', min(period), (SELECT max(period) FROM pp)) + 1 AS n FROM pp WHERE units <> 0 GROUP BY 1) WHERE n >= 12) GROUP BY 1""", _PP))
+  FROM (SELECT product_code, count(*) AS active, stddev_samp(units) AS sd, avg(units) AS m, date_diff('month', min(period), (SELECT max(period) FROM pp)) + 1 AS n FROM pp WHERE units <> 0 GROUP BY 1) WHERE n >= 26) GROUP BY 1""", _PP))
 def class_table(spark, sf_dir):
     return rounded(series.class_table(series.series_profiles(aggregates.product_periods(sales(spark, sf_dir, *ALL), "month"), "month")))
 
@@ -124,9 +124,9 @@ def moments_orders(spark, sf_dir):
     return got.select("n", *[F.round(c, 4).alias(c) for c in ("mean", "q1", "median", "q3")], *[F.round(c, 5).alias(c) for c in ("skewness", "kurtosis", "mean_over_median")], "reading")
 
 
-@query(_sql("""SELECT CAST(a AS VARCHAR) AS after, CAST(d AS VARCHAR) AS until, date_diff('day', a, d) - 1 AS days FROM (SELECT d, lag(d) OVER (ORDER BY d) AS a FROM (SELECT DISTINCT occurred_at::DATE AS d FROM sales WHERE brand = 'Brand#11')) WHERE date_diff('day', a, d) > 4"""))
+@query(_sql("""SELECT brand, CAST(a AS VARCHAR) AS after, CAST(d AS VARCHAR) AS until, date_diff('day', a, d) - 1 AS days FROM (SELECT brand, d, lag(d) OVER (PARTITION BY brand ORDER BY d) AS a FROM (SELECT DISTINCT brand, occurred_at::DATE AS d FROM sales)) WHERE date_diff('day', a, d) > 4"""))
 def sales_gaps(spark, sf_dir):
-    return rounded(cleaning.gaps(sales(spark, sf_dir, "occurred_at", "brand").where("brand = 'Brand#11'")))
+    return rounded(cleaning.gaps(sales(spark, sf_dir, "occurred_at", "brand"), keys=("brand",)))
 
 
 @query(_sql("SELECT i || ',' || j AS items, f AS freq FROM s2 ORDER BY f DESC, i, j LIMIT 20", _BASKETS))
@@ -206,3 +206,39 @@ def kendall_balance(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("y"))
     both = read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_acctbal").alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
     return rounded(agreement.kendall(both, "x", "y"), 9)
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS label, o_totalprice AS x FROM orders), r AS (SELECT label, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS r FROM v),
+g AS (SELECT label, count(*)::DOUBLE AS n, sum(r) AS s FROM r GROUP BY 1), t AS (SELECT sum(pow(c, 3) - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM v GROUP BY x)),
+h AS (SELECT count(*) AS k, sum(n) AS n, (12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - any_value(t) / (pow(sum(n), 3) - sum(n))) AS h FROM g, t)
+SELECT 'kruskal-wallis' AS test, round(exp(-h / 2) * (1 + h / 2), 7) AS p, round(greatest(0, (h - k + 1) / (n - k)), 6) AS effect,
+  CASE WHEN greatest(0, (h - k + 1) / (n - k)) < 0.01 THEN 'negligible' WHEN greatest(0, (h - k + 1) / (n - k)) < 0.06 THEN 'small' WHEN greatest(0, (h - k + 1) / (n - k)) < 0.14 THEN 'medium' ELSE 'large' END AS size FROM h""")
+def groups_compared(spark, sf_dir):
+    """Five priorities' order values: the p of four degrees of freedom has a closed form, which the SQL uses."""
+    got = statistics.compare_groups(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
+    return rounded(spark.createDataFrame([(got["test"], got["p"], got["effect"], got["size"])], "test string, p double, effect double, size string"), 7).withColumn("effect", F.round("effect", 6))
+
+
+@query(_sql("""SELECT model, round(avg(r), 6) AS mean_rank, round(any_value(stat), 6) AS statistic, round(exp(-any_value(stat) / 2), 7) AS p, exp(-any_value(stat) / 2) <= 0.05 AS different
+FROM rk, (SELECT 12.0::DOUBLE / (n * 3 * 4) * sum(pow(s, 2)) - 3 * n * 4 AS stat FROM (SELECT sum(r)::DOUBLE AS s, count(*)::DOUBLE AS n FROM rk GROUP BY model) GROUP BY n) GROUP BY model""", forecasts._MEMBERS,
+"rk AS (SELECT model, fold, rank() OVER (PARTITION BY fold ORDER BY wape) AS r FROM (SELECT model, fold, 100 * sum(abs(actual - forecast)) / sum(abs(actual)) AS wape FROM m WHERE fold > 0 GROUP BY 1, 2))"))
+def fc_compared(spark, sf_dir):
+    """Friedman's test of the three baselines over the folds: its two degrees of freedom have a closed p, which the SQL uses."""
+    got = forecast.compare_models(forecast.scores(forecasts._members(spark, sf_dir)[1], "model", "fold"))
+    return rounded(spark.createDataFrame([(m, r, got["statistic"], got["p"], got["different"]) for m, r in got["mean_ranks"].items()], "model string, mean_rank double, statistic double, p double, different boolean"), 7).withColumn("mean_rank", F.round("mean_rank", 6)).withColumn("statistic", F.round("statistic", 6))
+
+
+_PROFILED = ("l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, {'round(avg(' + c + '), 4)' if c != 'l_returnflag' else 'NULL::DOUBLE'} AS mean,
+  {'round(stddev_samp(' + c + '), 4)' if c != 'l_returnflag' else 'NULL::DOUBLE'} AS sd, {'count(*) FILTER (' + c + ' = 0)' if c != 'l_returnflag' else 'NULL::BIGINT'} AS zero, {'min(' + c + ')' if c == 'l_returnflag' else 'NULL::VARCHAR'} AS lowest FROM lineitem""" for c in _PROFILED))
+def table_profile(spark, sf_dir):
+    """The exact parts of a profile; distinct counts and quantiles are sketches and have tests."""
+    got = profile.profiled(read(spark, sf_dir, "lineitem"), _PROFILED)
+    return rounded(got.select("column", "rows", "nulls", "mean", "sd", "zero", F.when(F.col("kind") == "string", F.col("lowest")).alias("lowest")))
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS "column", {c} AS value, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, {c}) AS place FROM sales GROUP BY 2 ORDER BY place LIMIT 10)""" for c in ("brand", "region")).join([_sql(""), ""]))
+def frequent_values(spark, sf_dir):
+    return profile.frequent(sales(spark, sf_dir, "brand", "region"), ["brand", "region"])

@@ -469,7 +469,7 @@ def feature_scores(spark, sf_dir):
 
 @query(_sql("""SELECT product_code, CAST(n AS BIGINT) AS periods, active, round(1 - active / n::DOUBLE, 5) AS zero_share, round(n / active::DOUBLE, 5) AS adi, round(pow(sd / m, 2), 5) AS cv_squared,
   CASE WHEN sd IS NULL THEN 'unknown' WHEN n / active::DOUBLE < 1.32 THEN CASE WHEN pow(sd / m, 2) < 0.49 THEN 'smooth' ELSE 'erratic' END ELSE CASE WHEN pow(sd / m, 2) < 0.49 THEN 'intermittent' ELSE 'lumpy' END END AS class
-FROM (SELECT product_code, count(*) AS active, stddev_samp(units) AS sd, avg(units) AS m, date_diff('month', min(period), (SELECT max(period) FROM pp)) + 1 AS n FROM pp WHERE units <> 0 GROUP BY 1) WHERE n >= 12""", _PP))
+FROM (SELECT product_code, count(*) AS active, stddev_samp(units) AS sd, avg(units) AS m, date_diff('month', min(period), (SELECT max(period) FROM pp)) + 1 AS n FROM pp WHERE units <> 0 GROUP BY 1) WHERE n >= 26""", _PP))
 def series_profile(spark, sf_dir):
     got = series.series_profiles(aggregates.product_periods(sales(spark, sf_dir, *ALL), "month"), "month")
     return got.select("product_code", "periods", "active", *[F.round(c, 5).alias(c) for c in ("zero_share", "adi", "cv_squared")], "class")

@@ -370,7 +370,9 @@ def test_anomalies_guards(spark):
     assert {r.reason for r in series.anomalies(flat.limit(5), "x", period=7).collect()} == {"too few periods"}
 
 
-def test_running_and_percentiles(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_running_and_percentiles(spark, small, monkeypatch):
+    monkeypatch.setattr(order, "SMALL", small)
     import numpy as np
 
     rng = np.random.default_rng(3)
