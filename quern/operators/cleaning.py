@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quern.sources.stage import stored
@@ -49,18 +49,17 @@ def rename(raw: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return raw.select(*[F.col(f"`{own}`").cast("string").alias(name) for name, own in mapping.items()])
 
 
+def normalised(name: str) -> Column:
+    """A field's text trimmed, with single spaces, ids without a trailing .0, codes in upper case, empty as null."""
+    spaced = F.translate(name, "\t\n\x0b\f\r", "     ")  # patterns run only over the values that need them
+    value = F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced))
+    if name in ID_FIELDS:
+        value = F.when(F.contains(spaced, F.lit(".0")), F.regexp_replace(value, r"^(\d+)\.0$", "$1")).otherwise(value)
+    return F.nullif(F.upper(value) if name == "product_code" else value, F.lit(""))
+
+
 def normalise(rows: DataFrame) -> DataFrame:
-    """Trim, single spaces, ids without a trailing .0, codes in upper case, empty as null."""
-    spaced = rows.select(*[F.translate(c, "\t\n\x0b\f\r", "     ").alias(c) for c in rows.columns])
-    out = []
-    for name in rows.columns:  # patterns run only over the values that need them
-        value = F.trim(F.when(F.contains(F.col(name), F.lit("  ")), F.regexp_replace(name, " +", " ")).otherwise(F.col(name)))
-        if name in ID_FIELDS:
-            value = F.when(F.contains(F.col(name), F.lit(".0")), F.regexp_replace(value, r"^(\d+)\.0$", "$1")).otherwise(value)
-        if name == "product_code":
-            value = F.upper(value)
-        out.append(value.alias(name))
-    return spaced.select(*out).select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns])
+    return rows.select(*[normalised(c).alias(c) for c in rows.columns])
 
 
 def typed(rows: DataFrame, style: str = "iso") -> DataFrame:
@@ -247,3 +246,30 @@ def completed(judged_rows: DataFrame) -> DataFrame:
     """The clean rows of judged (and stored) ones."""
     kept = judged_rows.where("reason is null").drop("reason", "readable")
     return finalise(with_outliers(with_revenue(named(with_returns(kept)))))
+
+
+def logged(raw: DataFrame, mapping: Mapping[str, str], style: str = "iso") -> tuple[DataFrame, DataFrame]:
+    """The clean rows, stored, and (place, step, measure, rows): what each step of the cleaning touched, excluded or marked.
+
+    Counters are taken by the passes that write the judged and the clean rows, not by passes of
+    their own.  A stage that runs again after a lost executor may count twice, so where the raw
+    rows counted are not the judged ones, the raw rows are counted once more.  `conserved` is 1 if
+    every raw row was kept or excluded.
+    """
+    texts = [c for c in TEXT_FIELDS if c in mapping]
+    first, second = Observation(), Observation()
+    named_rows = rename(raw, mapping).observe(first, F.count("*").alias("raw"), *[F.count_if(~F.col(c).eqNullSafe(normalised(c))).alias(f"text_{c}") for c in texts])
+    kinds = [F.count_if(F.coalesce("reason", F.lit("kept")) == r).alias(r) for r in ("kept", *REASONS)]
+    rows = stored(flagged(typed(normalise(named_rows), style)).observe(second, F.count("*").alias("judged"), *kinds), "judged")
+    nothing = rows.isEmpty()  # a plan over no rows drops what it observes
+    seen = {"raw": 0, **{f"text_{c}": 0 for c in texts}} if nothing else first.get
+    judged_rows = dict.fromkeys(("judged", "kept", *REASONS), 0) if nothing else second.get
+    raw_rows = seen["raw"] if seen["raw"] == judged_rows["judged"] else raw.count()
+    third = Observation()
+    flags = {"is_return": F.col("is_return"), "guest": F.col("customer_id").isNull(), "unnamed": F.col("product_name") == "UNKNOWN", "is_outlier": F.col("is_outlier")}
+    clean_rows = stored(completed(rows).observe(third, F.count("*").alias("clean"), *[F.count_if(c).alias(k) for k, c in flags.items()]), "clean")
+    marked = third.get if judged_rows["kept"] else dict.fromkeys(("clean", *flags), 0)
+    steps = [("read", "raw", raw_rows), *[("text", c, seen[f"text_{c}"]) for c in texts], *[("excluded", r, judged_rows[r]) for r in REASONS], *[("marked", k, marked[k]) for k in flags]]
+    steps += [("kept", "clean", marked["clean"]), ("check", "conserved", int(raw_rows == judged_rows["judged"] and marked["clean"] == judged_rows["kept"]))]
+    listed = [(k, *x) for k, x in enumerate(steps, 1)]
+    return clean_rows, raw.sparkSession.createDataFrame(listed, "place long, step string, measure string, rows long")

@@ -242,3 +242,20 @@ def table_profile(spark, sf_dir):
 @query(" UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS "column", {c} AS value, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, {c}) AS place FROM sales GROUP BY 2 ORDER BY place LIMIT 10)""" for c in ("brand", "region")).join([_sql(""), ""]))
 def frequent_values(spark, sf_dir):
     return profile.frequent(sales(spark, sf_dir, "brand", "region"), ["brand", "region"])
+
+
+@query(f"""WITH {_JUDGED}, kept AS (SELECT *, abs(quantity) AS q FROM judged WHERE reason IS NULL), names AS (SELECT product_code, count(product_name) AS k FROM kept GROUP BY 1),
+centre AS (SELECT product_code, median(q) AS m, count(*) AS n FROM kept GROUP BY 1), dev AS (SELECT k.*, m, n, abs(q - m) AS d FROM kept k JOIN centre USING (product_code)),
+scale AS (SELECT product_code, CASE WHEN median(d) > 0 THEN median(d) ELSE 1.2533::DOUBLE * avg(d) END AS s FROM dev GROUP BY 1),
+ids AS (SELECT inv AS o, trim(regexp_replace(regexp_replace(inv, '\\s+', ' ', 'g'), '^(\\d+)\\.0$', '\\1')) AS v, code AS co, nullif(upper(regexp_replace(trim(regexp_replace(code, '\\s+', ' ', 'g')), '^(\\d+)\\.0$', '\\1')), '') AS cv,
+  name AS no, nullif(trim(regexp_replace(name, '\\s+', ' ', 'g')), '') AS nv, cust AS uo, nullif(regexp_replace(trim(regexp_replace(cust, '\\s+', ' ', 'g')), '^(\\d+)\\.0$', '\\1'), '') AS uv FROM raw)
+SELECT 'read' AS step, 'raw' AS measure, count(*) AS rows FROM raw UNION ALL SELECT 'text', 'invoice_id', count(*) FILTER (o IS DISTINCT FROM nullif(v, '')) FROM ids UNION ALL SELECT 'text', 'product_code', count(*) FILTER (co IS DISTINCT FROM cv) FROM ids
+UNION ALL SELECT 'text', 'product_name', count(*) FILTER (no IS DISTINCT FROM nv) FROM ids UNION ALL SELECT 'text', 'customer_id', count(*) FILTER (uo IS DISTINCT FROM uv) FROM ids
+UNION ALL SELECT 'excluded', r, count(CASE WHEN reason = r THEN 1 END) FROM judged, (VALUES ('invalid_value'), ('exact_duplicate'), ('non_product_code'), ('non_positive_price')) x(r) GROUP BY 2
+UNION ALL SELECT 'marked', 'is_return', count(CASE WHEN quantity < 0 OR invoice_id LIKE 'C%' THEN 1 END) FROM kept UNION ALL SELECT 'marked', 'guest', count(CASE WHEN customer_id IS NULL THEN 1 END) FROM kept
+UNION ALL SELECT 'marked', 'is_outlier', count(CASE WHEN n >= 10 AND s > 0 AND 0.6745 * d > 5 * s THEN 1 END) FROM dev JOIN scale USING (product_code)
+UNION ALL SELECT 'marked', 'unnamed', count(CASE WHEN product_name IS NULL AND k = 0 THEN 1 END) FROM kept JOIN names USING (product_code)
+UNION ALL SELECT 'kept', 'clean', count(*) FROM kept UNION ALL SELECT 'check', 'conserved', CASE WHEN (SELECT count(*) FROM raw) = (SELECT count(*) FROM judged) THEN 1 ELSE 0 END""")
+def clean_steps(spark, sf_dir):
+    """What each step of the cleaning touched, excluded or marked, counted while it writes."""
+    return cleaning.logged(raw_lines(spark, sf_dir), _MAPPING)[1].drop("place")

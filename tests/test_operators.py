@@ -44,6 +44,16 @@ def test_cleaning_keeps_or_excludes_every_row(raw):
     assert cleaning.fingerprint(clean).first() == again
 
 
+def test_steps_are_counted_while_they_write(raw):
+    rows, steps = cleaning.logged(raw, MAP)
+    got = {(r.step, r.measure): r.rows for r in steps.collect()}
+    assert got["read", "raw"] == 8 and got["kept", "clean"] == 4 == rows.count() and got["check", "conserved"] == 1
+    assert [got["excluded", r] for r in cleaning.REASONS] == [1, 1, 1, 1] and sum(got["excluded", r] for r in cleaning.REASONS) + got["kept", "clean"] == 8
+    assert got["text", "customer_id"] == 5 and got["text", "product_name"] == 1 and got["text", "region"] == 0 and got["marked", "is_return"] == 1 and got["marked", "guest"] == 1
+    none = {(r.step, r.measure): r.rows for r in cleaning.logged(raw.limit(0), MAP)[1].collect()}
+    assert none["read", "raw"] == 0 and none["check", "conserved"] == 1
+
+
 def test_renaming_an_absent_column_fails(raw):
     with pytest.raises(KeyError):
         cleaning.rename(raw, {"invoice_id": "nothing"})
