@@ -310,8 +310,9 @@ def align(docs: DataFrame, keep: list[str], folder: str = FOLDER, first: str = F
 
     Null and empty texts, and those that tokens of either encoder do not spell byte for byte, have
     no tokens: zeros, and empty groups.  Repeated rows each count; a very long text is a window of
-    its own; an empty table stays empty.  `keep` columns named like the results are not allowed.
+    its own; an empty table stays empty; kept columns named like the results are replaced by them.
     """
+    keep = [c for c in keep if c not in (*NUMBERS, "groups")]
     n_second = len(_pair(folder, first, second).b_bytes)
     windows = _windows(docs, keep, folder, first, second, whole)
     counts = stored(pair_counts(windows).withColumn("second", (F.col("pair") % n_second).cast("int")), "pairs")

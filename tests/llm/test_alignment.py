@@ -81,7 +81,8 @@ def test_empty_table_null_ids_and_kept_columns(spark):
     assert got(spark, []) == []
     rows = [(None, "a b", 1, 7), (None, "a b", 1, 7), (2, None, 2, 8)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, pair int, count int")
-    found = alignment.align(frame, ["doc_id", "pair", "count"]).collect()
+    found = alignment.align(frame.selectExpr("*", "9 as n_a", "'x' as groups"), ["doc_id", "pair", "count", "n_a", "groups"]).collect()
+    assert {(r.n_a, r.groups == "x") for r in found} == {(0, False), (2, False)}
     assert sorted((r.doc_id or 0, r.pair, r["count"], r.n_links, r.count_sum) for r in found) == [(0, 1, 7, 2, 4), (0, 1, 7, 2, 4), (2, 2, 8, 0, 0)]
 
 
