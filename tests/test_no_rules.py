@@ -17,7 +17,7 @@ def without_rules(sf_dir, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["rule_exposure", "rule_hazards"])
+@pytest.mark.parametrize("name", ["rule_exposure", "rule_hazards", "rule_overlap"])
 def test_tables_without_rules_equal_sql(spark, without_rules, name):
     con = duckdb.connect()
     for table in TABLES:
