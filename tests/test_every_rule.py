@@ -8,6 +8,7 @@ from tests.test_queries import engine, plain  # noqa: F401  (a fixture)
 #: What each query showed of rules in products before associations of a high normalised lift were asked for.
 SHOWS = {
     "signal_scopes": lambda rows: {r["scopes"] for r in rows if r["source"] == "association"} == {"business,product"},
+    "presentation_isolated": lambda rows: any(r["scope"] == "product" for r in rows),
 }
 
 
