@@ -10,6 +10,7 @@ SHOWS = {
     "signal_scopes": lambda rows: {r["scopes"] for r in rows if r["source"] == "association"} == {"business,product"},
     "presentation_isolated": lambda rows: any(r["scope"] == "product" for r in rows),
     "reconciliation_burden": lambda rows: rows[0]["integrated_items"] > 10,
+    "recommendation_consistency": lambda rows: any(r["template"] == "stock_and_display_together" for r in rows),
 }
 
 
