@@ -71,11 +71,12 @@ def average_ranks(frame: DataFrame, value: str, name: str = "rank") -> DataFrame
 
 
 def correlation(frame: DataFrame, left: str, right: str) -> DataFrame:
-    """One row: pairs, Pearson and Spearman over complete, finite pairs."""
+    """One row: pairs, Pearson and Spearman over complete, finite pairs; null where one side does not vary."""
     x, y = F.col(left).cast("double"), F.col(right).cast("double")
     pairs = frame.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     ranked = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry")
-    return ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    alike = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return ranked.agg(F.count("*").alias("n"), alike("x", "y").alias("pearson"), alike("rx", "ry").alias("spearman"))
 
 
 def correlation_with_p(frame: DataFrame, left: str, right: str) -> dict[str, float]:
