@@ -2,7 +2,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from quern.operators import rules, segments, statistics
+from quern.operators import aggregates, rules, segments, statistics
 
 
 def _plan(frame):
@@ -43,3 +43,11 @@ def test_windows_take_one_pass_over_the_lines(spark):
     got = segments.snapshots(lines.coalesce(1).mapInArrow(counted, lines.schema), [(0, date(2024, 1, 1), date(2024, 1, 31)), (1, date(2024, 1, 1), date(2024, 2, 29))])
     assert {(r.window, r.recency, r.tenure, r.frequency, r.monetary) for r in got.collect()} == {(0, 26, 4 - 4, 1, 2.0), (1, 24, 55 - 24, 2, 4.0)}
     assert passes.value == 3 and got.where(F.col("window") == 1).count() == 1
+
+
+def test_products_by_period_shuffle_no_row_twice(spark):
+    rows = [("p", datetime(2024, 1, d), c, r, 1.0, 2.0, 2.0, False) for d, c, r in ((1, "x", "n"), (2, "y", "n"), (3, None, "m"), (4, "x", None))]
+    lines = spark.createDataFrame(rows, "product_code string, occurred_at timestamp_ntz, customer_id string, region string, quantity double, revenue double, unit_price double, is_return boolean")
+    got = aggregates.product_periods(lines, "month")
+    assert [(r.customers, r.regions, r.units) for r in got.collect()] == [(2, 2, 4.0)]
+    assert "Expand" not in _plan(got)
