@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources.stage import delete as discard_path
+from quern.sources.stage import stored
 
 #: Encodings tried in order, and the texts that count as missing.
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1")
@@ -17,6 +18,7 @@ MISSING = ("", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN"
 #: How lines are taken apart.
 OPTIONS = {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "escape": "\"", "nullValue": "\x00", "emptyValue": ""}
 _MARK, _LAST = "\ufeff", "\ue000\uf8ff"
+_BLANK = "".join(map(chr, range(1, 33)))
 
 #: Places of headers are broadcast for up to this many files; beyond it the join shuffles, by place.
 BROADCAST_FILES = 100_000
@@ -34,34 +36,44 @@ def encoding_of(spark: SparkSession, path: str) -> str:
 
 
 def _lines(spark: SparkSession, path: str, encoding: str | None) -> tuple[DataFrame, list[str]]:
-    """(line) of the files without empty lines and without each file's header, and the names in the header."""
+    """(line) of the files without empty lines and without each file's header, and the names in the header.
+
+    Headers are found by numbers only, so no pass sorts lines; the names are read from one block.
+    """
     chosen = encoding or encoding_of(spark, path)
     text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if chosen == "latin-1" else F.col("value")
     rows = spark.read.text(path).select(
-        F.regexp_replace(text, f"^{_MARK}|\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"),
+        F.when(F.startswith(text, F.lit(_MARK)) | F.endswith(text, F.lit("\r")), F.regexp_replace(text, f"^{_MARK}|\r$", "")).otherwise(text).alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     ).where(F.trim("line") != "")
-    heads = rows.groupBy("file").agg(F.min("at").alias("head"), F.min_by("line", "at").alias("names"))
+    blocks = rows.groupBy("file", "block").agg(F.min("row").alias("row"))
+    heads = stored(blocks.groupBy("file").agg(F.min(F.struct("block", "row")).alias("head")), "heads")
     first = heads.orderBy("file").first()
     if first is None:
         raise TableError(f"no lines in {path}")
-    schema = ", ".join(f"c{k} string" for k in range(first.names.count(",") + 2))
-    fields = spark.range(1).select(F.from_csv(F.lit(first.names), schema, OPTIONS).alias("x")).select("x.*").first()
-    tops = heads.select(F.col("file").alias("_of"), "head")
+    names = rows.where((F.col("file") == first.file) & (F.col("row") == first["head"].row)).first().line
+    schema = ", ".join(f"c{k} string" for k in range(names.count(",") + 2))
+    fields = spark.range(1).select(F.from_csv(F.lit(names), schema, OPTIONS).alias("x")).select("x.*").first()
+    tops = heads.select(F.col("head.row").alias("head"))
     if heads.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
         tops = F.broadcast(tops)
-    return rows.join(tops, (F.col("file") == F.col("_of")) & (F.col("at") == F.col("head")), "left_anti").select("line"), [c for c in fields if c is not None]
+    return rows.join(tops, F.col("row") == F.col("head"), "left_anti").select("line"), [c for c in fields if c is not None]
 
 
 def _parsed(spark: SparkSession, path: str, encoding: str | None) -> tuple[DataFrame, list[str]]:
-    """(line, x, fields): each line with its fields c0, c1, ... and how many there are, 0 for too many or an open quote.
+    """(line, x, fields): each line with its fields c0, c1, ... and how many there are, -1 for too many or an open quote.
 
-    A mark (of private-use code points) is put behind each line as one more field; where it is found tells the number.
+    A line without quotes is cut at its commas.  In others a mark (of private-use code points) is
+    put behind the line as one more field; where it is found tells the number.
     """
     lines, names = _lines(spark, path, encoding)
     marked = [f"c{k}" for k in range(len(names) + 1)]
-    rows = lines.select("line", F.from_csv(F.concat("line", F.lit(f",{_LAST}")), ", ".join(f"{c} string" for c in marked), OPTIONS).alias("x"))
-    return rows.withColumn("fields", F.coalesce(F.array_position(F.array(*[f"x.{c}" for c in marked]), F.lit(_LAST)), F.lit(0)) - 1), names
+    plain = ~F.contains("line", F.lit('"')) & ~F.contains("line", F.lit("\x00")) & F.is_valid_utf8("line")
+    read = F.from_csv(F.concat("line", F.lit(f",{_LAST}")), ", ".join(f"{c} string" for c in marked), OPTIONS)
+    # explode hands a parsed line on as a value, so that no filter or field parses it again
+    whole = lines.select("line", F.explode(F.array(F.struct(F.when(plain, F.split("line", ",", -1)).alias("cut"), F.when(~plain, read).alias("read")))).alias("x"))
+    place = F.coalesce(F.array_position(F.array(*[f"x.read.{c}" for c in marked]), F.lit(_LAST)), F.lit(0)) - 1
+    return whole.withColumn("fields", F.when(F.col("x.cut").isNull(), place).when(F.size("x.cut") <= len(names), F.size("x.cut").cast("long")).otherwise(-1)), names
 
 
 def malformed(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -81,7 +93,9 @@ def read_text(spark: SparkSession, path: str, columns: Sequence[str] | None = No
     if columns and (absent := [c for c in columns if c not in names]):
         raise TableError(f"columns not in {path}: {', '.join(absent)}")
     kept = rows.where("fields >= 0")
-    value = lambda k: F.when((F.col("fields") > k) & ~F.col(f"x.c{k}").isin(list(MISSING)), F.col(f"x.c{k}"))
+    part = lambda k: F.get("x.cut", F.lit(k))
+    field = lambda k: F.coalesce(F.when(part(k) < "!", F.ltrim(part(k), F.lit(_BLANK))).otherwise(part(k)), F.col(f"x.read.c{k}"))
+    value = lambda k: F.when((F.col("fields") > k) & ~field(k).isin(list(MISSING)), field(k))
     return kept.select(*[value(names.index(c)).alias(c) for c in columns or names])
 
 
@@ -111,7 +125,8 @@ def weekly_series(rows: DataFrame, code: str, quantity: str, price: str, at: str
     number = lambda c: F.expr(f"try_cast(trim(`{c}`) as double)")
     used = rows.select(F.upper(F.trim(F.col(f"`{code}`"))).alias("code"), number(quantity).alias("q"), number(price).alias("p"), F.expr(f"try_cast(`{at}` as timestamp_ntz)").alias("t"))
     used = used.where((F.col("p") > 0) & F.col("q").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(F.col("code").isin(list(excluded)), F.lit(False)))
-    weeks = used.groupBy(F.date_trunc("week", "t").cast("date").alias("period")).agg(F.sum(F.col("q") * F.col("p")).alias("value"), F.max("t").cast("date").alias("last"))
+    days = used.groupBy(F.date_trunc("week", "t").cast("date").alias("period")).agg(F.sum(F.col("q") * F.col("p")).alias("value"), F.max("t").cast("date").alias("last"))
+    weeks = stored(days, "weeks")  # a row for each week, read twice
     span = weeks.agg(F.min("period").alias("lo"), F.max("period").alias("hi"), F.max("last").alias("last"))
     full = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("period"), "last").where(F.date_add("period", 6) <= F.col("last"))
     return full.select("period").join(weeks.select("period", "value"), "period", "left").select("period", F.coalesce("value", F.lit(0.0)).alias("value"))
