@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, NOT_SPACE, layout, mix, shingle_hashes, slices, stored, table, word_hashes, words
+from quern.llm.common import LOWER, NOT_SPACE, discard, layout, mix, shingle_hashes, slices, stored, table, word_hashes, words
 from quern.llm.graph import components
 
 WIDTH = 5
@@ -371,13 +371,17 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _crossing(blocks: DataFrame, parts: DataFrame, nodes: DataFrame, nearest: int | None = None) -> DataFrame:
+def _members(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """Each node of each block, with its component (part)."""
+    return blocks.select("tile", "block", F.explode("nodes").alias("node")).join(parts, "node", "left").select("tile", "block", "node", F.coalesce("component", "node").alias("part"))
+
+
+def _crossing(members: DataFrame, nodes: DataFrame, nearest: int | None = None) -> DataFrame:
     """Pairs of a tile that no chain of links joins yet and whose sizes and signatures allow a link.
 
     All of them, in a task for each two blocks of the same or neighbouring bands that are not all
     of one component; or, inside blocks, for each set only those with its `nearest` larger sets by signature.
     """
-    members = stored(blocks.select("tile", "block", F.explode("nodes").alias("node")).join(parts, "node", "left").select("tile", "block", "node", F.coalesce("component", "node").alias("part")), "members")
     spans = members.groupBy("tile", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
     if nearest:
         work = spans.where("lo < hi").select("tile", F.array("block").alias("sides"))
@@ -433,18 +437,24 @@ def grouped(docs: DataFrame, block: int = BLOCK, dealt: int = DEALT) -> DataFram
     )
     buckets = max(32, min(1 << 16, size.members // (5 * BUCKET)))
     tiles = stored(_tiles(_postings(docs, _frequent(scanned, dealt), buckets), block), "tiles")
-    likely = _bounded(tiles.where("a is not null").select("a", "b").union(_chained(tiles)).distinct(), nodes, "coarse")
-    pairs = stored(_bounded(stored(likely, "likely"), nodes, "bits"), "pairs")
+    likely = stored(_bounded(tiles.where("a is not null").select("a", "b").union(_chained(tiles)).distinct(), nodes, "coarse"), "likely")
+    pairs, large = stored(_bounded(likely, nodes, "bits"), "pairs"), stored(_once(tiles), "blocks")
+    for done in (likely, tiles):
+        discard(done)
 
     def checked(some: DataFrame) -> DataFrame:
         ends = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
-        return stored(_verified(some, stored(_arrays(docs, nodes.join(ends, "node")), "arrays")), "links")
+        arrays = stored(_arrays(docs, nodes.join(ends, "node")), "arrays")
+        found = stored(_verified(some, arrays), "links")
+        discard(arrays)  # about as large as the texts they are of
+        return found
 
     links = checked(pairs)
     parts = stored(components(links), "parts")
-    large = stored(_once(tiles), "blocks")
     for nearest in (NEAREST, None):  # first the likely links of large groups, then every pair that is left
-        crossing = stored(_crossing(large, parts, nodes, nearest).join(pairs, ["a", "b"], "left_anti"), "crossing")
+        members = stored(_members(large, parts), "members")
+        crossing = stored(_crossing(members, nodes, nearest).join(pairs, ["a", "b"], "left_anti"), "crossing")
+        discard(members)
         if not crossing.isEmpty():
             links, pairs = stored(links.union(checked(crossing)), "links"), pairs.union(crossing)
             parts = stored(components(links), "parts")

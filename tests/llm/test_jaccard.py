@@ -102,3 +102,21 @@ def test_components(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(found[k] == 0 for k in range(41)) and all(found[100 + k] == 100 for k in range(50))
     assert all(found[a] == found[b] for a, b in links if a != b)
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    from quern.llm import graph
+
+    rng, made = random.Random(3), []
+    write = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, what: made.append(what) or write(df, what))
+    order = rng.sample(range(1000), 1000)  # a path through shuffled numbers: many rounds for stars
+    links = [*zip(order, order[1:]), *((2000, k) for k in range(1500, 1600)), (5000, 5000)]
+    rng.shuffle(links)
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    expected = {k: 0 for k in range(1000)} | {k: 1500 for k in [*range(1500, 1600), 2000]}
+    found = [(r.node, r.component) for r in graph.components(frame).collect()]
+    assert len(made) <= 2 and len(found) == len(expected) and dict(found) == expected
+    found = [(r.node, r.component) for r in graph.components(frame, held=50).collect()]  # more than a task holds
+    assert len(found) == len(expected) and dict(found) == expected
+    assert graph.components(frame.limit(0)).count() == 0
