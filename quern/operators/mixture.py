@@ -8,7 +8,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,8 @@ from quern.sources.stage import discard, stored
 
 #: As in Spark's GaussianMixture: the floor of a component's weighted density, the most rounds, and the change of the log-likelihood that ends them.
 EPSILON, ROUNDS, TOLERANCE = 2.0**-52, 100, 0.01
+#: Points of a start's component, as there.
+DRAWN = 5
 #: Points whose densities are in memory at once.
 CHUNK = 2048
 
@@ -37,14 +38,14 @@ class Mixture(NamedTuple):
             return roots, np.log(self.weights) - 0.5 * (values.shape[1] * math.log(2 * math.pi) + np.log(safe).sum(1))
 
 
-def begun(rows: DataFrame, k: int, starts: int, seed: int, vector: str = "_v") -> list[Mixture]:
-    """Spark's own starts, from one seed after the other: its fit of no rounds."""
-    out, rows = [], rows.select(vector).persist()
+def begun(rows: DataFrame, k: int, starts: int, seed: int, names: Sequence[str]) -> list[Mixture]:
+    """The starts of Spark's GaussianMixture, from one seed after the other: means and spreads of `DRAWN` random points a component."""
+    out, points = [], rows.select(*names).persist()
     for s in range(starts):
-        model = GaussianMixture(k=k, seed=seed + s, featuresCol=vector, maxIter=0).fit(rows)
-        held = model.gaussians
-        out.append(Mixture(np.array(model.weights), np.array([g.mean.toArray() for g in held]), np.array([g.cov.toArray() for g in held])))
-    rows.unpersist()
+        drawn = points._jdf.javaRDD().takeSample(True, k * DRAWN, seed + s)
+        slices = np.array([[r.getDouble(i) for i in range(len(names))] for r in drawn]).reshape(k, DRAWN, len(names))
+        out.append(Mixture(np.full(k, 1 / k), slices.mean(1), np.array([np.diag(v) for v in slices.var(1)])))
+    points.unpersist()
     return out
 
 

@@ -45,3 +45,14 @@ def test_sums_by_order_equal_the_lines(spark, sf_dir):
     expected = sales(spark, sf_dir, *keys, "quantity", "revenue").groupBy(*keys).agg(F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), F.count("*").alias("lines"))
     got = order_sales(spark, sf_dir).select(expected.columns)
     assert got.count() == expected.count() and got.exceptAll(expected).count() == 0
+
+
+def test_windows_share_their_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(w, c, float(5 + 300 * (c % 3) + rng.normal()), float(1 + 10 ** (c % 3) + rng.random()), float(20.0 * 9 ** (c % 3) + rng.normal())) for w in (1, 2) for c in range(90)]
+    snaps = spark.createDataFrame(rows, "window int, customer long, recency double, frequency double, monetary double")
+    given, passed = [], mixture.fits
+    monkeypatch.setattr(mixture, "fits", lambda *args: given.append(set(args[1])) or passed(*args))
+    got = segments.cluster_windows(snaps, 3, "mixture", starts=2).collect()
+    assert given == [{(1, 0), (1, 1), (2, 0), (2, 1)}]
+    assert {(r.window, r.customer) for r in got} == {(w, c) for w in (1, 2) for c in range(90)} and {r.label for r in got} <= {"0", "1", "2", "02", "12", "22"}
