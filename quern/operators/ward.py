@@ -17,47 +17,81 @@ from quern.sources.stage import stored
 LEAVES = 2000
 #: Parts that a pass cuts a block into at most, tasks of a round at most, and the share of clusters left by a round that makes the next one's blocks larger.
 WAYS, TASKS, SLOW = 16, 256, 0.8
-
-
-def chains(n: np.ndarray, centre: np.ndarray, outside: Callable[[float, np.ndarray], float] | None = None) -> list[tuple[int, int, float]]:
-    """Ward's merges of weighted centres as (kept, absorbed, cost), in the order of chains: the rise of the sum of squares.
-
-    Chains of nearest neighbours end in pairs that are nearest to each other; such pairs merge in
-    any order to the same tree, so no step looks for the least cost over all pairs.  outside(n,
-    centre) bounds from below the cost of merging a cluster with any that is not given: a cluster
-    whose nearest may lie there is left as it is, and so are those whose nearest it is.
+#: Costs in a table (which should stay in a core's cache), and the share of clusters in pairs below which pairs are looked for one by one.
+CELLS, FEW = 50_000, 0.02
+
+
+def _nearest(n: np.ndarray, centre: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cluster nearest to each of some clusters and the cost of their merge, from tables of CELLS costs at a time."""
+    near, least, step = np.zeros(len(rows), np.int64), np.full(len(rows), np.inf), max(1, CELLS // max(1, len(n)))
+    for i in range(0, len(rows), step):
+        some = rows[i : i + step]
+        cost = sum((x[some, None] - x) ** 2 for x in centre.T) * (n[some, None] * n / (n[some, None] + n))
+        cost[np.arange(len(some)), some] = np.inf
+        near[i : i + step] = cost.argmin(1)
+        least[i : i + step] = cost.min(1)
+    return near, least
+
+
+def chains(n: np.ndarray, centre: np.ndarray, outside: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int, float]]:
+    """Ward's merges of weighted centres as (kept, absorbed, cost), children first: the rise of the sum of squares.
+
+    Pairs that are nearest to each other merge in any order to the same tree, so no step looks for
+    the least cost over all pairs: while such pairs are many they merge at once, then chains of
+    nearest neighbours find them.  outside(n, centre) bounds from below the cost of merging clusters
+    with any that is not given: a cluster whose nearest may lie there is left as it is, and so are
+    those whose nearest it is.
     """
-    n, axes = n.astype(float), [np.array(x, float) for x in centre.T]
-    name, level, alive, free = np.arange(len(n)), np.zeros(len(n)), np.ones(len(n), bool), np.ones(len(n), bool)
-    out, chain = [], []
+    n, centre, name, level, out = n.astype(float), centre.astype(float), np.arange(len(n)), np.zeros(len(n)), []
+    bound = outside or (lambda weights, _: np.full(len(weights), np.inf))
+    reach = bound(n, centre)
+    near, cost = _nearest(n, centre, name)
+    while True:
+        sure, here = cost < reach, np.arange(len(n))
+        a = np.flatnonzero((near[near] == here) & sure & sure[near] & (here < near))
+        if len(a) <= FEW * len(n):
+            break
+        b = near[a]
+        level[a] = np.maximum(cost[a], np.maximum(level[a], level[b]))  # no less than what it is made of, in spite of rounding
+        out += zip(name[a].tolist(), name[b].tolist(), level[a].tolist())
+        centre[a] = (n[a, None] * centre[a] + n[b, None] * centre[b]) / (n[a] + n[b])[:, None]
+        n[a] += n[b]
+        reach[a] = bound(n[a], centre[a])
+        kept, merged = np.ones(len(n), bool), np.zeros(len(n), bool)
+        kept[b], merged[a], merged[b] = False, True, True
+        rows = np.flatnonzero((merged | merged[near])[kept])  # the others' nearest are as they were
+        near = (np.cumsum(kept) - 1)[near][kept]
+        n, centre, name, level, cost, reach = n[kept], centre[kept], name[kept], level[kept], cost[kept], reach[kept]
+        near[rows], cost[rows] = _nearest(n, centre, rows)
+    axes, alive, free, chain = [x.copy() for x in centre.T], np.ones(len(n), bool), cost < reach, []
     while chain or free.any():
         if not chain:
             chain = [int(free.argmax())]
         last = chain[-1]
-        at = np.array([x[last] for x in axes])
-        cost = sum((x - c) ** 2 for x, c in zip(axes, at)) * (n[last] * n / (n[last] + n))
+        cost = sum((x - x[last]) ** 2 for x in axes) * (n[last] * n / (n[last] + n))
         cost[last] = np.inf
         near = int(cost.argmin())
         if len(chain) > 1 and cost[chain[-2]] <= cost[near]:
             near = chain[-2]
-        if not free[near] or cost[near] >= (outside(n[last], at) if outside else np.inf):
+        if not free[near] or cost[near] >= reach[last]:
             free[chain] = False
             chain = []
         elif len(chain) == 1 or near != chain[-2]:
             chain.append(near)
         else:
             a, b = min(near, last), max(near, last)
-            level[a] = max(cost[near], level[a], level[b])  # no less than what it is made of, in spite of rounding
+            level[a] = max(cost[near], level[a], level[b])
             out.append((int(name[a]), int(name[b]), float(level[a])))
             for x in axes:
                 x[a], x[b] = (n[a] * x[a] + n[b] * x[b]) / (n[a] + n[b]), np.inf
             n[a] += n[b]
+            reach[a] = bound(n[a : a + 1], np.array([[x[a] for x in axes]]))[0]
             alive[b] = free[b] = False
             chain = [c for c in chain[:-2] if alive[c]]
             if 2 * alive.sum() < len(alive):
                 place = np.cumsum(alive) - 1
                 chain = [int(place[c]) for c in chain]
-                n, axes, name, level, free = n[alive], [x[alive] for x in axes], name[alive], level[alive], free[alive]
+                n, axes, name, level, reach, free = n[alive], [x[alive] for x in axes], name[alive], level[alive], reach[alive], free[alive]
                 alive = alive[alive]
     return out
 
@@ -111,7 +145,7 @@ def _blocked(now: DataFrame, axes: Sequence[str], leaves: int) -> tuple[DataFram
     while True:
         found = rows.groupBy("set", "block").agg(
             F.count("*").alias("clusters"), F.min("n").alias("least"), *[F.min(x).alias(f"lo{x}") for x in axes], *[F.max(x).alias(f"hi{x}") for x in axes],
-            *[F.percentile_approx(x, places).alias(f"q{x}") for x in axes]).collect()
+            *[F.percentile_approx(x, places, 200).alias(f"q{x}") for x in axes]).collect()
         cuts = []
         for block in found:
             how = _cuts(block, axes, leaves) if block.clusters > leaves else None
@@ -147,10 +181,13 @@ def _round(now: DataFrame, k: int, names: Sequence[str], leaves: int, seed: int)
         least, lo, hi = least[others], lo[others], hi[others]
         slack = 1e-12 * max(np.abs(lo).max(initial=0), np.abs(hi).max(initial=0))
 
-        def outside(n: float, centre: np.ndarray) -> float:
-            here = turn @ centre
-            gap = np.maximum(np.maximum(lo - here, here - hi) - slack, 0.0)
-            return (n * least / (n + least) * (gap**2).sum(1)).min() * (1 - 1e-9)
+        def outside(n: np.ndarray, centre: np.ndarray) -> np.ndarray:
+            out, step = np.empty(len(n)), max(1, CELLS // len(least))
+            for i in range(0, len(n), step):
+                some, here = n[i : i + step, None], centre[i : i + step] @ turn.T
+                gaps = (np.maximum(np.maximum(low - x[:, None], x[:, None] - high) - slack, 0.0) for x, low, high in zip(here.T, lo.T, hi.T))
+                out[i : i + step] = (some * least / (some + least) * sum(gap**2 for gap in gaps)).min(1) * (1 - 1e-9)
+            return out
 
         n, centre = pdf["n"].to_numpy(float), pdf[list(names)].to_numpy(float)
         done = sorted(chains(n, centre, outside if len(least) else None), key=lambda x: x[2])

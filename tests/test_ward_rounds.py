@@ -47,5 +47,5 @@ def test_points_in_a_row_do_not_stop_the_rounds(spark):
 def test_what_may_be_nearer_outside_stays():
     centre = np.array([[0.0], [1.0], [10.0], [11.5]])
     assert len(merges(np.ones(4), centre)) == 3
-    assert chains(np.ones(4), centre, lambda n, x: np.inf if x[0] < 5 else 1.0) == [(0, 1, 0.5)]
-    assert chains(np.ones(4), centre, lambda n, x: 0.5) == []
+    assert chains(np.ones(4), centre, lambda n, x: np.where(x[:, 0] < 5, np.inf, 1.0)) == [(0, 1, 0.5)]
+    assert chains(np.ones(4), centre, lambda n, x: np.full(len(n), 0.5)) == []
